@@ -26,6 +26,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm.exact_dedup import find_duplicates
+
+    return find_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"), 40)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm.simple8b import read_ids, write_ids
 
@@ -36,7 +48,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_sharding": op5_sharding,
     "op10_token_ids": op10_token_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH rows AS (
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+            FROM documents)
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = min(doc_id) OVER g AS kept, text_sha256
+        FROM rows WINDOW g AS (PARTITION BY text_sha256)
+    """,
+}
