@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm.secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm.packing import pack_documents
 
@@ -47,6 +53,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
