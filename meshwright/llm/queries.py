@@ -26,6 +26,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm.packing import pack_documents
 
@@ -44,6 +52,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), 40)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm import language
+
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", common.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm.simple8b import read_ids, write_ids
 
@@ -54,9 +70,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op7_language": op7_language,
     "op10_token_ids": op10_token_ids,
 }
 
