@@ -52,6 +52,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), 40)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm import language
 
@@ -60,6 +66,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm.simple8b import read_ids, write_ids
 
@@ -74,11 +86,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op6_top_k": op6_top_k,
     "op7_language": op7_language,
+    "op9_mixing": op9_mixing,
     "op10_token_ids": op10_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s)
+        SELECT * FROM r WHERE rank <= 5
+    """,
     "op4_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
