@@ -5,6 +5,564 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from meshwright import fixtures as fx
+from meshwright.functions import geo, text
+from meshwright.operators import aggregates, network, paths, spatial
+from meshwright.operators.components import connected_components
+from meshwright.sources import graph_csv, graph_json, graphml, layers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# Parts of the oracles: the road grid as tables.
+_ROAD = """
+    road AS (
+        SELECT 2 * k AS segmento_id, k AS u, k + 1 AS v, CAST(50 + s AS DOUBLE) AS largo_m, 'H' || (k // 50) AS calle,
+               CASE k % 3 WHEN 0 THEN 'ambos' WHEN 1 THEN 'directo' ELSE 'inverso' END AS sentido
+        FROM (SELECT p_partkey AS k, p_size AS s FROM part) WHERE k % 50 < 49 AND (k * 7) % 11 NOT IN (3, 5) AND k + 1 IN (SELECT p_partkey FROM part)
+        UNION ALL
+        SELECT 2 * k + 1, k, k + 50, CAST(60 + s AS DOUBLE), 'V' || (k % 50), 'ambos'
+        FROM (SELECT p_partkey AS k, p_size AS s FROM part) WHERE (k * k + k) % 13 NOT IN (2, 6, 7) AND k + 50 IN (SELECT p_partkey FROM part)),
+    arcs AS (SELECT u AS src, v AS dst, largo_m FROM road UNION ALL SELECT v, u, largo_m FROM road)
+"""
+_POINTS = """
+    h AS (SELECT greatest(count(*) // 50 - 1, 1) AS h FROM part),
+    c AS (SELECT c_custkey AS id, ((c_custkey * 6151) % 490000) / 100.0 AS x, ((c_custkey * 7919) % (h.h * 10000)) / 100.0 AS y FROM customer, h),
+    s AS (SELECT s_suppkey AS id, ((s_suppkey * 4211) % 490000) / 100.0 AS x, ((s_suppkey * 9173) % (h.h * 10000)) / 100.0 AS y FROM supplier, h)
+"""
+
+
+# Patterns
+
+
+@registered("""
+    SELECT c.c_name AS customer, n.n_name AS nation, s.s_name AS supplier
+    FROM customer c JOIN nation n ON c_nationkey = n_nationkey JOIN supplier s ON s_nationkey = n_nationkey
+""")
+def pattern_same_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.key_graph(spark, sf_dir).match().node("c", "Customer", "name").out("CUSTOMER_IN").node("n", "Nation", "name").into("SUPPLIER_IN").node("s", "Supplier", "name")
+    return m.rows().select(F.col("c_name").alias("customer"), F.col("n_name").alias("nation"), F.col("s_name").alias("supplier"))
+
+
+@registered("""
+    SELECT n_name AS nation, count(*) AS orders, CAST(sum(CASE WHEN month(o_orderdate) >= 11 OR month(o_orderdate) < 3 THEN 1 ELSE 0 END) AS BIGINT) AS in_winter,
+           CAST(sum(CASE WHEN o_totalprice >= 200000 THEN 1 ELSE 0 END) AS BIGINT) AS large
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name
+""")
+def pattern_group_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.key_graph(spark, sf_dir).match().node("o", "Orders", "orderdate", "totalprice").into("PLACED").node("c", "Customer").out("CUSTOMER_IN").node("n", "Nation")
+    month = F.month("o_orderdate")
+    counted = m.rows().groupBy("n").agg(F.count("*").alias("orders"), F.count_if((month >= 11) | (month < 3)).alias("in_winter"), F.count_if(F.col("o_totalprice") >= 200000).alias("large"))
+    nations = fx.key_graph(spark, sf_dir).nodes["Nation"].rows.select(F.col("id").alias("n"), F.col("name").alias("nation"))
+    return counted.join(nations, "n").select("nation", "orders", "in_winter", "large")
+
+
+@registered("""
+    SELECT p_name AS part, p_brand AS brand FROM part p
+    WHERE EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p.p_partkey AND s_acctbal < 0)
+""")
+def pattern_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.key_graph(spark, sf_dir)
+    indebted = g.match().node("s", "Supplier", "acctbal").where("s_acctbal < 0").out("SUPPLIES").node("p", "Part")
+    return g.match().node("p", "Part", "name", "brand").exists(indebted).rows().select(F.col("p_name").alias("part"), F.col("p_brand").alias("brand"))
+
+
+@registered("""
+    SELECT c_name AS customer, n_name AS nation FROM customer c JOIN nation n ON c_nationkey = n_nationkey
+    WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus = 'F')
+      AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n.n_nationkey AND s_acctbal < -900)
+""")
+def pattern_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.key_graph(spark, sf_dir)
+    finished = g.match().node("c", "Customer").out("PLACED").node("o", "Orders", "orderstatus").where("o_orderstatus = 'F'")
+    poor = g.match().node("s", "Supplier", "acctbal").where("s_acctbal < -900").out("SUPPLIER_IN").node("n", "Nation")
+    m = g.match().node("c", "Customer", "name").out("CUSTOMER_IN").node("n", "Nation", "name").not_exists(finished).not_exists(poor)
+    return m.rows().select(F.col("c_name").alias("customer"), F.col("n_name").alias("nation"))
+
+
+@registered("""
+    SELECT a.l_orderkey AS orders, a.l_partkey AS part, b.l_partkey AS other, a.l_quantity AS quantity
+    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_quantity >= 45 AND a.l_partkey <> b.l_partkey
+""")
+def pattern_comma_different(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.key_graph(spark, sf_dir)
+    big = g.match().node("o", "Orders").out("CONTAINS", "e", "quantity").node("p", "Part").where("e_quantity >= 45")
+    m = big.also(g.match().node("o", "Orders").out("CONTAINS").node("q", "Part")).where("p != q")
+    return m.rows().select(F.col("o").alias("orders"), F.col("p").alias("part"), F.col("q").alias("other"), F.col("e_quantity").alias("quantity"))
+
+
+@registered(f"""
+    WITH {_ROAD} SELECT u AS a, v AS b, largo_m FROM road WHERE sentido = 'ambos' UNION ALL SELECT v, u, largo_m FROM road WHERE sentido = 'ambos'
+""")
+def pattern_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.road_graph(spark, sf_dir).match().node("a", "Corner").undirected("ROAD", "e", "largo_m").node("b", "Corner")
+    return m.rows().select("a", "b", F.col("e_largo_m").alias("largo_m"))
+
+
+@registered(f"""
+    WITH {_ROAD}, e AS (SELECT *, CASE WHEN sentido = 'ambos' THEN 'ROAD' ELSE 'ONE_WAY' END AS label FROM road)
+    SELECT u AS a, v AS b, largo_m, label FROM e UNION ALL SELECT v, u, largo_m, label FROM e
+""")
+def pattern_any_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.road_graph(spark, sf_dir).match().node("a", "Corner").any_way(None, "e", "largo_m").node("b", "Corner")
+    return m.rows().select("a", "b", F.col("e_largo_m").alias("largo_m"), F.col("e_label").alias("label"))
+
+
+@registered("""
+    SELECT c_mktsegment AS segment, count(DISTINCT o_custkey) AS customers, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS nations
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 400000 GROUP BY c_mktsegment
+""")
+def pattern_collect_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.key_graph(spark, sf_dir).match().node("o", "Orders", "totalprice").where("o_totalprice > 400000").into("PLACED").node("c", "Customer", "mktsegment").out("CUSTOMER_IN").node("n", "Nation", "name")
+    return m.rows().groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count_distinct("c").alias("customers"), F.array_join(F.sort_array(F.collect_set("n_name")), ",").alias("nations"))
+
+
+@registered("SELECT p_brand AS brand, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand")
+def pattern_value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.value_counts(fx.table(spark, sf_dir, "part"), "p_brand").withColumnRenamed("p_brand", "brand")
+
+
+@registered("""
+    SELECT 'nodo' AS clase, 'Nation' AS etiqueta, count(*) AS cantidad FROM nation UNION ALL SELECT 'nodo', 'Region', count(*) FROM region
+    UNION ALL SELECT 'nodo', 'Customer', count(*) FROM customer UNION ALL SELECT 'nodo', 'Supplier', count(*) FROM supplier
+    UNION ALL SELECT 'nodo', 'Part', count(*) FROM part UNION ALL SELECT 'nodo', 'Orders', count(*) FROM orders
+    UNION ALL SELECT 'arista', 'CUSTOMER_IN', count(*) FROM customer UNION ALL SELECT 'arista', 'SUPPLIER_IN', count(*) FROM supplier
+    UNION ALL SELECT 'arista', 'IN_REGION', count(*) FROM nation UNION ALL SELECT 'arista', 'PLACED', count(*) FROM orders
+    UNION ALL SELECT 'arista', 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'arista', 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+""")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.key_graph(spark, sf_dir).counts()
+
+
+# Paths
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three junctions: halfway along the grid, at a third and at two fifths."""
+    n = fx.table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    return n.select(F.explode(F.array(F.floor(F.col("n") / 2) + 20, F.floor(F.col("n") / 3), F.floor(F.col("n") * 2 / 5))).alias("node"))
+
+
+def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    road = fx.grid_road(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"), "largo_m")
+    return paths.both_ways(road)
+
+
+_SEEDS = "seeds AS (SELECT unnest([count(*) // 2 + 20, count(*) // 3, (count(*) * 2) // 5]) AS node FROM part)"
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, {_SEEDS},
+    walk(seed, node, hops, total) AS (
+        SELECT node, node, 0, CAST(0 AS DOUBLE) FROM seeds
+        UNION
+        SELECT seed, dst, hops + 1, total + largo_m FROM walk JOIN arcs ON node = src WHERE hops < 12 AND total < 600),
+    least AS (SELECT seed, node, min(hops) AS hops FROM walk GROUP BY ALL)
+    SELECT seed, node, hops, min(total) AS total FROM walk JOIN least USING (seed, node, hops) GROUP BY ALL HAVING min(total) < 600
+""")
+def path_any_shortest_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.any_shortest(_arcs(spark, sf_dir), _seeds(spark, sf_dir), weight="largo_m", cap=600.0)
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD},
+    walk(node, hops) AS (
+        SELECT p_partkey, 0 FROM part WHERE p_size % 10 = 0
+        UNION
+        SELECT dst, hops + 1 FROM walk JOIN arcs ON node = src WHERE hops < 40)
+    SELECT node, min(hops) AS hops FROM walk GROUP BY node
+""")
+def path_min_hops_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = fx.table(spark, sf_dir, "part").filter("p_size % 10 = 0").select(F.col("p_partkey").alias("node"))
+    return paths.hops_to_nearest(_arcs(spark, sf_dir), sources)
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, {_SEEDS},
+    walk(seed, node, hops, path) AS (
+        SELECT node, node, 0, [node] FROM seeds
+        UNION ALL
+        SELECT seed, dst, hops + 1, list_append(path, dst) FROM walk JOIN arcs ON node = src WHERE hops < 6 AND NOT list_contains(path, dst)),
+    least AS (SELECT seed, node, min(hops) AS hops FROM walk GROUP BY ALL)
+    SELECT seed, node AS target, hops, array_to_string(path, '>') AS path FROM walk JOIN least USING (seed, node, hops)
+""")
+def path_all_shortest_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds, everywhere = _seeds(spark, sf_dir), fx.grid_nodes(spark, sf_dir)
+    found = paths.all_shortest(_arcs(spark, sf_dir), seeds, everywhere, most_hops=6)
+    return found.withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), ">"))
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, {_SEEDS},
+    walk(seed, node, total) AS (
+        SELECT node, node, CAST(0 AS DOUBLE) FROM seeds
+        UNION
+        SELECT seed, dst, total + largo_m FROM walk JOIN arcs ON node = src WHERE total + largo_m <= 500)
+    SELECT seed, node, min(total) AS total FROM walk GROUP BY ALL
+""")
+def isochrone_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.isochrone(_arcs(spark, sf_dir), _seeds(spark, sf_dir), "largo_m", 500.0)
+
+
+_LABELS = """
+    part_of(node, component) USING KEY (node) AS (
+        SELECT p_partkey, p_partkey FROM part WHERE p_partkey IN (SELECT src FROM arcs)
+        UNION
+        SELECT p.node, min(q.component) FROM recurring.part_of p JOIN arcs ON p.node = src JOIN part_of q ON q.node = dst
+        WHERE q.component < p.component GROUP BY p.node)
+"""
+
+
+@registered(f"WITH RECURSIVE {_ROAD}, {_LABELS} SELECT node, component FROM part_of")
+def components_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(fx.grid_road(spark, sf_dir), "u", "v")
+
+
+@registered(f"""
+    WITH {_ROAD},
+    starts AS (SELECT *, v - u AS step, CASE WHEN lag(v) OVER (PARTITION BY calle ORDER BY u) = u THEN 0 ELSE 1 END AS opens FROM road),
+    runs AS (SELECT *, sum(opens) OVER (PARTITION BY calle ORDER BY u ROWS UNBOUNDED PRECEDING) AS run FROM starts)
+    SELECT segmento_id, calle AS name, min(u) OVER (PARTITION BY calle, run) AS axis_node FROM runs
+""")
+def components_same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.axes(fx.grid_road(spark, sf_dir), "calle").select("segmento_id", "name", F.col("axis.node").alias("axis_node"))
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, {_LABELS},
+    top AS (SELECT component FROM part_of GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+    SELECT node FROM part_of WHERE component IN (SELECT component FROM top)
+""")
+def giant_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.giant_nodes(fx.grid_road(spark, sf_dir), "u", "v")
+
+
+# Networks
+
+
+@registered("""
+    WITH m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+    SELECT a.l_suppkey AS calle_a, b.l_suppkey AS calle_b, count(*) AS esquinas FROM m a JOIN m b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL
+""")
+def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = fx.key_graph(spark, sf_dir).edges["SUPPLIES"].rows
+    return network.crossings(members.select(F.col("dst").alias("nodo_id"), F.col("src").alias("calle_id")))
+
+
+@registered(f"""
+    WITH {_ROAD}, j AS (SELECT u AS nodo_id, calle FROM road UNION SELECT v, calle FROM road)
+    SELECT a.calle AS calle_a, b.calle AS calle_b, count(*) AS esquinas FROM j a JOIN j b ON a.nodo_id = b.nodo_id AND a.calle < b.calle GROUP BY ALL
+""")
+def street_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    road = fx.grid_road(spark, sf_dir).withColumnRenamed("calle", "calle_id")
+    return network.crossings(network.street_junctions(road))
+
+
+@registered(f"WITH {_ROAD} SELECT p_partkey AS node, count(src) AS grado FROM part LEFT JOIN arcs ON src = p_partkey GROUP BY p_partkey")
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.degrees(fx.grid_nodes(spark, sf_dir), fx.grid_road(spark, sf_dir))
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, {_LABELS},
+    sizes AS (SELECT component, count(*) AS n FROM part_of GROUP BY component)
+    SELECT 'grid' AS red, (SELECT CAST(sum(n) AS BIGINT) FROM sizes) AS nodos, count(*) AS tramos, count(*) + count(*) FILTER (sentido = 'ambos') AS arcos, sum(largo_m) / 1000 AS km,
+           2.0 * count(*) / (SELECT sum(n) FROM sizes) AS grado_medio, (SELECT count(*) FROM sizes) AS componentes,
+           CAST((SELECT max(n) FROM sizes) AS DOUBLE) / (SELECT sum(n) FROM sizes) AS componente_mayor
+    FROM road
+""")
+def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.summary("grid", network.directed_edges(fx.grid_road(spark, sf_dir)))
+
+
+@registered(f"""
+    WITH {_ROAD} SELECT segmento_id, u, v FROM road WHERE sentido <> 'inverso' UNION ALL SELECT segmento_id, v, u FROM road WHERE sentido <> 'directo'
+""")
+def oneway_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.directed_edges(fx.grid_road(spark, sf_dir)).select("segmento_id", "u", "v")
+
+
+def _pick(values: tuple, by: str) -> str:
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"([{listed}])[(({by}) % {len(values)}) + 1]"
+
+
+_TAGS = f"""
+    tags AS (SELECT p_partkey AS way_id,
+        {_pick(("residential", "motorway", "footway", "cycleway", "service", "path", "primary", "steps", None, "Track "), "p_partkey")} AS highway,
+        {_pick((None, "private", "no", "yes", ""), "p_partkey * 3 + p_size")} AS access, {_pick((None, None, "yes", "no", " Designated"), "p_partkey + p_size")} AS bicycle,
+        {_pick((None, "no", "yes"), "p_size")} AS foot, {_pick((None, None, "yes", "no"), "p_partkey * 5 + p_size * 3")} AS motor_vehicle,
+        {_pick((None, "driveway", None, "parking_aisle", None, None, None), "p_partkey + 2 * p_size")} AS service,
+        {_pick((None, "yes", "-1", "no", "reverse", "1"), "p_partkey * 7 + p_size")} AS oneway, {_pick((None, "lane", "no", "separate", ""), "p_partkey * 11 + p_size")} AS cycleway FROM part),
+    t AS (SELECT way_id, lower(trim(coalesce(highway, ''))) AS highway, lower(trim(coalesce(access, ''))) AS access, lower(trim(coalesce(bicycle, ''))) AS bici,
+        lower(trim(coalesce(foot, ''))) AS foot, lower(trim(coalesce(motor_vehicle, ''))) AS auto, lower(trim(coalesce(service, ''))) AS service,
+        lower(trim(coalesce(oneway, ''))) AS oneway, lower(trim(coalesce(cycleway, ''))) AS cycleway FROM tags)
+"""
+
+
+def _rule(own: str, uses: frozenset, never: frozenset) -> str:
+    inside = lambda c, values: f"{c} IN ({', '.join(repr(v) for v in sorted(values))})"
+    allowed = inside(own, network.ALLOWS)
+    return f"({inside('highway', uses)} OR {allowed}) AND NOT {inside('highway', never)} AND NOT ({own} IN ('no', 'private') OR (access IN ('no', 'private') AND NOT {allowed})) AND service NOT IN ('parking_aisle', 'driveway')"
+
+
+_P = network.PROFILES
+
+
+@registered(f"""
+    WITH {_TAGS} SELECT way_id, {_rule("auto", _P["auto"].uses, _P["auto"].never)} AS permite_auto, {_rule("bici", _P["bici"].uses, _P["bici"].never)} AS permite_bici,
+        {_rule("foot", _P["peaton"].uses, _P["peaton"].never)} AS permite_peaton,
+        CASE WHEN oneway IN ('yes', 'true', '1') THEN 'directo' WHEN oneway IN ('-1', 'reverse') THEN 'inverso' ELSE 'ambos' END AS sentido,
+        highway = 'cycleway' OR (cycleway <> '' AND cycleway NOT IN ('no', 'separate', 'none')) AS ciclovia FROM t
+""")
+def access_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ways = fx.tagged_ways(spark, sf_dir)
+    tagged = network.permissions(ways).withColumns({"sentido": network.oneway(ways), "ciclovia": network.has_cycleway(ways)})
+    return tagged.select("way_id", "permite_auto", "permite_bici", "permite_peaton", "sentido", "ciclovia")
+
+
+def _street_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unbroken run of the grid's streets as one way, with a half-metre wobble that the tolerance takes up."""
+    road = fx.grid_road(spark, sf_dir)
+    axis = network.axes(road, "calle").select("segmento_id", F.concat_ws("@", "name", F.col("axis.node").cast("string")).alias("way_id"))
+    ends = road.join(axis, "segmento_id").select("way_id", F.explode(F.array("u", "v")).alias("node")).distinct().join(fx.grid_nodes(spark, sf_dir), "node")
+    wobble = F.when(F.col("way_id").startswith("V"), F.lit(0.5)).otherwise(F.lit(0.0))
+    return ends.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("node", F.col("x").alias("x"), (F.col("y") + wobble).alias("y")))).alias("l")).select("way_id", F.transform("l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
+
+
+@registered(f"""
+    WITH {_ROAD},
+    starts AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY calle ORDER BY u) = u THEN 0 ELSE 1 END AS opens FROM road),
+    runs AS (SELECT *, calle || '@' || min(u) OVER (PARTITION BY calle, run) AS way_id
+             FROM (SELECT *, sum(opens) OVER (PARTITION BY calle ORDER BY u ROWS UNBOUNDED PRECEDING) AS run FROM starts)),
+    members AS (SELECT way_id, u AS node FROM runs UNION SELECT way_id, v FROM runs),
+    ends AS (SELECT way_id, min(node) AS a, max(node) AS b FROM members GROUP BY way_id),
+    junctions AS (SELECT node FROM members GROUP BY node HAVING count(*) > 1 UNION SELECT a FROM ends UNION SELECT b FROM ends),
+    along AS (SELECT way_id, node, lag(node) OVER (PARTITION BY way_id ORDER BY node) AS before FROM members JOIN junctions USING (node))
+    SELECT way_id, count(before) AS segments, CAST(sum(CASE WHEN way_id LIKE 'H%' THEN (node - before) * 100 ELSE (node - before) * 2 END) AS DOUBLE) AS metres FROM along GROUP BY way_id
+""")
+def split_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, segments = network.split_ways(_street_lines(spark, sf_dir), 1.5)
+    return segments.groupBy("way_id").agg(F.count("*").alias("segments"), F.sum("largo_m").alias("metres"))
+
+
+@registered()
+def street_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    road, nodes = fx.grid_road(spark, sf_dir), fx.grid_nodes(spark, sf_dir)
+    at = lambda end: nodes.select(F.col("node").alias(end), F.struct("x", "y").alias(f"_{end}"))
+    lined = road.join(at("u"), "u").join(at("v"), "v").withColumn("line", F.array("_u", "_v")).withColumn("highway", F.when(F.col("segmento_id") % 3 == 0, "primary").otherwise("residential")).drop("_u", "_v")
+    streets, _ = network.build_streets(lined, "calle", 150.0)
+    return streets.select("calle_id", "nombre", "largo_m", "segmentos", "tipo")
+
+
+@registered("""
+    WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT l_suppkey AS street, any_value(l.n) AS segments, any_value(l.q) AS metres, arg_min(l_returnflag, (-c.n, l_returnflag)) AS kind, any_value(l.a) AS any_small
+    FROM c JOIN (SELECT l_suppkey AS k, count(*) AS n, sum(l_quantity) AS q, bool_or(l_quantity < 2) AS a FROM lineitem GROUP BY 1) l ON k = l_suppkey GROUP BY l_suppkey
+""")
+def street_build_mode_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_suppkey").alias("street")).agg(F.count("*").alias("segments"), F.sum("l_quantity").alias("metres"), F.mode("l_returnflag", True).alias("kind"), F.bool_or(F.col("l_quantity") < 2).alias("any_small"))
+
+
+@registered()
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = fx.table(spark, sf_dir, "part")
+    streets = parts.select(F.col("p_partkey").alias("street"), F.col("p_type").alias("nombre"), F.col("p_retailprice").alias("largo_m"), F.col("p_brand").alias("comuna"))
+    return network.unique_names(streets).select("street", "nombre", "calle_id")
+
+
+# Space
+
+
+@registered(f"WITH {_POINTS} SELECT c.id AS left_id, s.id AS right_id, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS distance FROM c, s WHERE distance <= 100")
+def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.radius_join(fx.points(spark, sf_dir, "customer"), fx.points(spark, sf_dir, "supplier"), 100.0)
+
+
+@registered(f"""
+    WITH {_POINTS}, d AS (SELECT c.id AS left_id, s.id AS right_id, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS distance FROM c, s)
+    SELECT left_id, arg_min(right_id, (distance, right_id)) AS right_id, min(distance) AS distance FROM d GROUP BY left_id
+""")
+def nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.nearest_join(fx.points(spark, sf_dir, "customer"), fx.points(spark, sf_dir, "supplier"), 200.0)
+
+
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping triangles, one for each nation."""
+    k = F.col("n_nationkey").cast("double")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    first = corner(k * 190, k * 3)
+    return fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("polygon_id"), F.array(F.array(first, corner(k * 190 + 400, k * 3), corner(k * 190 + 200, k * 3 + 900), first)).alias("rings"))
+
+
+@registered(f"""
+    WITH {_POINTS},
+    z AS (SELECT n_nationkey AS polygon_id, n_nationkey * 190.0 AS x0, n_nationkey * 3.0 AS y0 FROM nation),
+    held AS (SELECT c.id, polygon_id FROM c, z WHERE y > y0 AND y < y0 + 900 AND x > x0 + 200 * (y - y0) / 900 AND x < x0 + 400 - 200 * (y - y0) / 900)
+    SELECT c.id, min(polygon_id) AS polygon_id FROM c LEFT JOIN held USING (id) GROUP BY c.id
+""")
+def within_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.within_join(fx.points(spark, sf_dir, "customer"), _zones(spark, sf_dir), 500.0)
+
+
+@registered(f"""
+    WITH RECURSIVE {_POINTS}, near AS (SELECT a.id AS src, b.id AS dst FROM c a, c b WHERE a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 40 * 40),
+    walk(id, other) AS (SELECT id, id FROM c UNION SELECT id, dst FROM walk JOIN near ON other = src)
+    SELECT id, min(other) AS cluster FROM walk GROUP BY id
+""")
+def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.cluster(fx.points(spark, sf_dir, "customer"), 40.0)
+
+
+@registered(f"""
+    WITH {_POINTS}, {_ROAD},
+    g AS (SELECT segmento_id, (u % 50) * 100.0 AS ax, (u // 50) * 100.0 AS ay, (v % 50) * 100.0 AS bx, (v // 50) * 100.0 AS b_y FROM road),
+    d AS (SELECT s.id, segmento_id, sqrt((x - greatest(ax, least(bx, x))) * (x - greatest(ax, least(bx, x))) + (y - greatest(ay, least(b_y, y))) * (y - greatest(ay, least(b_y, y)))) AS distance FROM s, g)
+    SELECT s.id, arg_min(segmento_id, (distance, segmento_id)) AS segmento_id, round(min(distance), 6) AS distance FROM s LEFT JOIN (SELECT * FROM d WHERE distance <= 40) USING (id) GROUP BY s.id
+""")
+def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = fx.grid_nodes(spark, sf_dir)
+    at = lambda end, k: nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    segments = fx.grid_road(spark, sf_dir).join(at("u", "a"), "u").join(at("v", "b"), "v")
+    found = spatial.nearest_segment(fx.points(spark, sf_dir, "supplier"), segments, 40.0)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@registered()
+def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.points(spark, sf_dir, "customer").select("id", (F.col("x") / 100_000 - 70.7).alias("lon"), (F.col("y") / 100_000 - 33.5).alias("lat"))
+    return geo.project_utm(points, "lon", "lat").select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+# Text, ids and aggregates
+
+
+@registered(r"""
+    SELECT s_suppkey AS id, coalesce(nullif(trim(regexp_replace(lower(strip_accents(s_name)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'sin-nombre') AS slug FROM supplier
+""")
+def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.slug(F.col("s_name")).alias("slug"))
+
+
+@registered(r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
+def clean_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.squeeze(F.col("text")).alias("text"))
+
+
+@registered()
+def anonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.anonymise(F.col("text")).alias("text"))
+
+
+@registered("SELECT event_id, lpad(CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS VARCHAR), 6, '0') AS reporte_id, strftime(ts, '%Y-%m-%d') AS fecha FROM events")
+def positional_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fx.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created_at"))
+    return layers.numbered_reports(events, "event_id").select("event_id", "reporte_id", "fecha")
+
+
+@registered("SELECT quality, count(*) AS n FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id) GROUP BY quality")
+def value_counts_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = fx.table(spark, sf_dir, "documents").select("doc_id").join(fx.table(spark, sf_dir, "labels").select("doc_id", "quality").distinct(), "doc_id", "left")
+    return aggregates.value_counts(joined, "quality", keep_null=True)
+
+
+@registered("""
+    SELECT n_name AS nation, o.n * 10000.0 / c.n AS rate FROM nation
+    JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c ON c.k = n_nationkey
+    JOIN (SELECT c_nationkey AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) o ON o.k = n_nationkey
+""")
+def rate_per_10k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders, nation = (fx.table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
+    people = customers.groupBy("c_nationkey").agg(F.count("*").alias("people"))
+    events = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("events"))
+    return people.join(events, "c_nationkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("nation"), aggregates.rate(F.col("events"), F.col("people")).alias("rate"))
+
+
+@registered("SELECT o_orderpriority AS priority, o_orderstatus AS status, n, n * 100.0 / sum(n) OVER (PARTITION BY o_orderpriority) AS pct FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL)")
+def pct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.row_percent(fx.table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus").withColumnsRenamed({"o_orderpriority": "priority", "o_orderstatus": "status"})
+
+
+@registered("SELECT CAST(floor(o_totalprice / 10000) AS INTEGER) AS bin, count(*) AS n FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 300000 GROUP BY 1")
+def hist30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.histogram(fx.table(spark, sf_dir, "orders"), "o_totalprice", 0, 300_000, 30)
+
+
+@registered("""
+    SELECT count(*) AS n, sum(o_totalprice) AS total, median(o_totalprice) AS middle, avg(o_totalprice) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most,
+           count(*) FILTER (o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) AS share_f FROM orders
+""")
+def scalar_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    return fx.table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.sum(price).alias("total"), F.median(price).alias("middle"), F.avg(price).alias("mean"), F.min(price).alias("least"), F.max(price).alias("most"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("share_f"))
+
+
+@registered("""
+    SELECT c_custkey AS id, coalesce(n, 0) AS checkins FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON k = c_custkey WHERE c_mktsegment NOT IN ('Home (private)')
+""")
+def venue_checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    venues = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("venue_id"), F.col("c_mktsegment").alias("category"))
+    return layers.public_venues(venues, fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("venue_id"))).select(F.col("venue_id").alias("id"), "checkins")
+
+
+@registered("""
+    SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9900 GROUP BY 1) a
+    FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 9000 GROUP BY 1) b ON a.k = b.k
+""")
+def outer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = fx.table(spark, sf_dir, "customer").filter("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    b = fx.table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    return a.join(b, "k", "full")
+
+
+# Files
+
+
+@registered(f"""
+    WITH {_ROAD} SELECT CAST(CASE WHEN sentido = 'ambos' THEN 'road' ELSE 'one_way' END AS VARCHAR) AS file, CAST(sum(CASE WHEN sentido = 'ambos' THEN 2 ELSE 1 END) AS BIGINT) AS n FROM road GROUP BY 1
+    UNION ALL SELECT 'corner', count(*) FROM part
+""")
+def csv_bundle_undirected_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.plans.materialise import scratch_path
+
+    path = scratch_path(spark, "bundle")
+    graph_csv.write_bundle(fx.road_graph(spark, sf_dir), path)
+    return graph_csv.read_bundle(spark, path).counts().select(F.lower("etiqueta").alias("file"), F.col("cantidad").alias("n"))
+
+
+@registered(f"""
+    WITH {_ROAD} SELECT 'edges' AS kind, CASE WHEN sentido = 'ambos' THEN '~~' ELSE '->' END AS directionality, count(*) AS n FROM road GROUP BY ALL
+    UNION ALL SELECT 'nodes', NULL, count(*) FROM part
+""")
+def json_roundtrip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.plans.materialise import scratch_path
+
+    path = scratch_path(spark, "graph-json")
+    graph_json.write_lines(fx.road_graph(spark, sf_dir), path)
+    nodes, edges = graph_json.read_lines(spark, path)
+    counted = edges.groupBy("directionality").agg(F.count("*").alias("n")).select(F.lit("edges").alias("kind"), "directionality", "n")
+    return counted.unionByName(nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("kind"), F.lit(None).cast("string").alias("directionality"), "n"))
+
+
+@registered(f"WITH {_ROAD} SELECT 'node' AS element, count(*) AS n FROM part UNION ALL SELECT 'edge', count(*) FROM road")
+def graphml_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = graphml.lines(fx.road_graph(spark, sf_dir))
+    element = F.regexp_extract("value", "^<(node|edge) ", 1)
+    return lines.groupBy(element.alias("element")).agg(F.count("*").alias("n")).filter("element != ''")

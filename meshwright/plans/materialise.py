@@ -14,3 +14,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark, name: str) -> str:
+    """A new folder name in the place that executors share."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
