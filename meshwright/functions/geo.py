@@ -55,9 +55,20 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(_steps(ring), F.lit(0), lambda s, p: s + crosses(p)) % 2 == 1
 
 
+def on_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether the point lies on an edge of the ring."""
+    def on(p):
+        ax, ay, bx, by = p["a"]["x"], p["a"]["y"], p["b"]["x"], p["b"]["y"]
+        straight = (bx - ax) * (y - ay) == (by - ay) * (x - ax)
+        return straight & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+
+    return F.exists(_steps(ring), on)
+
+
 def inside_polygon(x: Column, y: Column, rings: Column) -> Column:
-    """Inside the outer ring and outside all holes: an odd number of rings hold the point."""
-    return F.aggregate(rings, F.lit(0), lambda s, r: s + inside_ring(x, y, r).cast("int")) % 2 == 1
+    """Within the outer ring and outside all holes, edges excluded: an odd number of rings hold the point."""
+    odd = F.aggregate(rings, F.lit(0), lambda s, r: s + inside_ring(x, y, r).cast("int")) % 2 == 1
+    return odd & ~F.exists(rings, lambda r: on_ring(x, y, r))
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
