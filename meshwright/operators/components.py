@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.plans.materialise import checkpoint
+from meshwright.plans.materialise import checkpoint, release
 
 
 def _pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -54,4 +54,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if after == before:
             break
         before = after
+        release(pairs.sparkSession)
     return nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
