@@ -47,20 +47,24 @@ def _kept(docs: DataFrame, found: DataFrame, keys: list[str], made: dict) -> Dat
     both = common.checkpoint(dropped.select("doc_id").distinct().alias("d").join(kept.select(*keys).distinct().alias("k"), same).select("k.*"))
     if not both.limit(1).count():
         return out
-    rows = common.with_ids(docs, both).withColumns({f"_{k}": made.get(k, F.col(k)) for k in keys})
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*(f"_{k}" for k in keys)).orderBy(F.lit(1)))).filter("_n = 1")
-    renamed = both.select(*(F.col(k).alias(f"_k_{k}") for k in keys))
-    rows = rows.join(renamed, [F.col(f"_{k}").eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left_semi")
-    return out.unionByName(rows.select(*docs.columns))
+    own, told = common.fresh(docs, *(f"_own_{k}" for k in keys)), [f"_told_{k}" for k in keys]
+    (place,) = common.fresh(docs, "_place")
+    rows = common.with_ids(docs, both).withColumns({o: made.get(k, F.col(k)) for o, k in zip(own, keys)})
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1)))).filter(F.col(place) == 1).alias("r")
+    renamed = both.toDF(*told).alias("b")
+    rows = rows.join(renamed, [F.col(f"r.{o}").eqNullSafe(F.col(f"b.{t}")) for o, t in zip(own, told)], "left_semi")
+    return out.unionByName(rows.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it. Rows that share an id may swap their numbers of copies."""
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1)))
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).withColumn("_nth", nth)
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_nth", nth)
-    taken = rows.alias("r").join(copies.alias("c"), F.col("r._id").eqNullSafe(F.col("c._id")) & (F.col("r._nth") == F.col("c._nth")))
-    return taken.filter("c._copies > 0").select(*(F.col(f"r.{c}") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("c._copies"))).alias("_copy")).drop("_copy")
+    key, nth, copy = common.fresh(docs, "_id", "_nth", "_copy")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
+    copies = mixing.mix(docs).select(F.col("doc_id").alias(key), F.col("copies").alias(copy)).withColumn(nth, place)
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(nth, place)
+    taken = rows.alias("r").join(copies.alias("c"), F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}")) & (F.col(f"r.{nth}") == F.col(f"c.{nth}")))
+    repeated = F.explode(F.sequence(F.lit(1), F.col(f"c.{copy}"))).alias(copy)
+    return taken.filter(F.col(f"c.{copy}") > 0).select(*(F.col(f"r.`{c}`") for c in docs.columns), repeated).drop(copy)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,30 +46,45 @@ def held_out(doc_id: str, parts: int, left_out: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == left_out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", buckets: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """docs whose key can't be in ids, and the rest, by a set of hash buckets.
 
     The set has `buckets` rows at most, whatever the input's size, so that it may be broadcast; the rest still
     needs an exact join, which then shuffles little more than the rows that match.
     """
+    (name,) = fresh(docs, "_bucket")
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-    filled = F.broadcast(ids.select(bucket.alias("_bucket")).distinct())
-    tagged = docs.withColumn("_bucket", bucket)
-    return tagged.join(filled, "_bucket", "left_anti").drop("_bucket"), tagged.join(filled, "_bucket", "left_semi").drop("_bucket")
+    filled = F.broadcast(ids.select(bucket.alias(name)).distinct())
+    tagged = docs.withColumn(name, bucket)
+    return tuple(tagged.join(filled, name, kind).select(*(F.col(f"`{c}`") for c in docs.columns)) for kind in ("left_anti", "left_semi"))
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is in ids (nulls match nulls); texts of other rows aren't shuffled."""
+    (name,) = fresh(docs, "_key")
     _, near = split_by_ids(docs, ids, key)
-    keys = ids.select(F.col(key).alias("_key")).distinct()
-    return near.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    keys = ids.select(F.col(key).alias(name)).distinct()
+    return near.join(keys, F.col(key).eqNullSafe(F.col(name)), "left_semi")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key isn't in ids (nulls match nulls); few texts are shuffled."""
+    (name,) = fresh(docs, "_key")
     far, near = split_by_ids(docs, ids, key)
-    keys = ids.select(F.col(key).alias("_key")).distinct()
-    return far.unionByName(near.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti"))
+    keys = ids.select(F.col(key).alias(name)).distinct()
+    return far.unionByName(near.join(keys, F.col(key).eqNullSafe(F.col(name)), "left_anti"))
 
 
 def slices(lengths: np.ndarray, most: int):
