@@ -24,7 +24,7 @@ class Nodes:
 
 @dataclass(frozen=True)
 class Edges:
-    """The edges of one label: `src`, `dst` and properties, between two node labels; parallel edges stay apart."""
+    """The edges of one label between two node labels: `src`, `dst` and properties; parallel edges stay apart."""
 
     rows: DataFrame
     source: str
@@ -50,7 +50,10 @@ class PropertyGraph:
 
     @staticmethod
     def build(nodes: dict[str, DataFrame], edges: dict[str, tuple]) -> PropertyGraph:
-        """From {label: rows} and {label: (rows, source label, target label[, directed])}."""
+        """From {label: rows} and {label: (rows, source label, target label[, directed])}.
+
+        An edge label with several kinds of ends has a table for each, named label:kind; patterns find all of them by the label.
+        """
         return PropertyGraph({k: Nodes(v) for k, v in nodes.items()}, {k: Edges(*v) for k, v in edges.items()})
 
     def match(self) -> Pattern:
@@ -73,7 +76,7 @@ class PropertyGraph:
         return sum(t.rows.count() for t in self.edges.values())
 
     def schema(self) -> dict[str, list[str]]:
-        return {"node_labels": sorted(self.nodes), "edge_labels": sorted(self.edges)}
+        return {"node_labels": sorted(self.nodes), "edge_labels": sorted({k.split(":")[0] for k in self.edges})}
 
     def node_values(self, label: str) -> DataFrame:
         """Whole nodes as values: id and a struct of kind, labels and props; null properties are absent from its JSON."""
@@ -120,8 +123,11 @@ class Pattern:
     def _edges(self, labels: str | None, direction: str, to: str, edge: str | None, properties: Sequence[str], var: str) -> DataFrame:
         """Edges from the last node to nodes labelled `to`, as columns last, var and the edge's properties."""
         out, here = None, self.label
-        for label in labels.split("|") if labels else self.graph.edges:
-            t = self.graph.edges[label]
+        wanted = labels.split("|") if labels else None
+        for name, t in self.graph.edges.items():
+            label = name.split(":")[0]
+            if wanted and label not in wanted and name not in wanted:
+                continue
             forward = (t.source, t.target) == (here, to) and (direction in ("out", "any") and t.directed or direction in ("undirected", "any") and not t.directed)
             backward = (t.target, t.source) == (here, to) and (direction in ("in", "any") and t.directed or direction in ("undirected", "any") and not t.directed)
             for rows in ([t.rows] if forward else []) + ([t.swapped() if forward and backward else swapped(t.rows)] if backward else []):

@@ -1,0 +1 @@
+"""Whole jobs, and how their intermediate results are kept."""

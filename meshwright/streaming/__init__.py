@@ -1,0 +1 @@
+"""Nothing here yet: no operator that this library covers works on streams."""
