@@ -90,7 +90,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
         piece = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(upto[i : i + 2000])), "array<struct<b:long,u:array<long>>>"))).toDF("_block", "_upto")
         bounds = piece if bounds is None else bounds.unionByName(piece)
     local = Window.partitionBy("_block").orderBy(F.xxhash64("_row", F.lit(seed)), "_row")
-    dealt = rows.withColumn("_at", F.row_number().over(local) - 1).join(F.broadcast(bounds), "_block")
+    dealt = rows.withColumn("_at", F.row_number().over(local) - 1).join(bounds, "_block")
     dealt = dealt.withColumn("shard", F.size(F.filter("_upto", lambda u: u <= F.col("_at"))))
     order = F.xxhash64("_row", F.lit(seed + 1), F.lit("slot"))
     dealt = dealt.select("doc_id", "size", "text_crc32", "_row", "shard", order.alias("_order")).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 57).cast("int"), F.lit(SLOT_PARTS)))
