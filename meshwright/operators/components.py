@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.plans.materialise import checkpoint, release
+from meshwright.plans.materialise import checkpoint
 
 
 def _pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     ways = _both_ways(pairs)
     least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     found = ways.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return found.filter("u != v").distinct()
+    return found.filter("u != v")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
@@ -54,5 +54,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if after == before:
             break
         before = after
-        release(pairs.sparkSession)
     return nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -16,14 +16,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark) -> None:
-    """Has the driver collect its garbage, on which Spark waits before it removes files of plans that nothing refers to.
-
-    A loop of many short rounds would else keep the shuffle files and checkpoints of all of them.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def scratch_path(spark, name: str) -> str:
     """A new folder name in the place that executors share."""
     import uuid
