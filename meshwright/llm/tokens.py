@@ -14,6 +14,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 #: Characters below this are classed here.
 _LIMIT = 0x2100
@@ -68,16 +69,16 @@ class BatchEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        told = json.loads(self.tokenizer.to_str())
-        pre, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        #: Whether texts must go through the library whole.
         self.plain = not (
-            told.get("normalizer") is None
+            self.tokenizer.normalizer is None
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
-            and model.get("type") == "BPE"
-            and not model.get("dropout")
-            and all(t.get("special") for t in told.get("added_tokens", []))
+            and isinstance(self.tokenizer.model, BPE)
+            and not self.tokenizer.model.dropout
+            and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
         )
         self.model = self.tokenizer.model
         self.letters = {chr(b): c for b, c in _byte_letters().items()}
