@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +61,8 @@ class LanguageModel:
 def train(docs: DataFrame) -> LanguageModel:
     """Fits on text and non-null lang of docs that are not held out: about PER_LANGUAGE documents of each language.
 
-    The share taken of a language follows from its count, by a hash of the id, so the sample that the driver gets is bounded by
-    the number of languages, not by the input.
+    The share taken of a language follows from its count, by a hash of the id, so the sample that one task gets is bounded by
+    the number of languages, not by the input; the driver gets the model.
     """
     rows = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & F.col("text").isNotNull() & ~common.held_out("doc_id", 3, 1))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -67,10 +70,14 @@ def train(docs: DataFrame) -> LanguageModel:
         return LanguageModel.fit([], [])
     share = F.create_map(*[x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(min(1.0, PER_LANGUAGE / n)))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.filter((F.length("text") <= LONGEST) & (place < share[F.col("lang")])).select("doc_id", "lang", "text").toPandas()
-    some = some.drop_duplicates().sort_values(["doc_id", "lang", "text"])
-    some = some.groupby("lang").head(2 * PER_LANGUAGE)
-    return LanguageModel.fit(some["text"].tolist(), some["lang"].tolist())
+    some = rows.filter((F.length("text") <= LONGEST) & (place < share[F.col("lang")])).select("doc_id", "lang", "text")
+
+    def fit(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.drop_duplicates().sort_values(["doc_id", "lang", "text"]).groupby("lang").head(2 * PER_LANGUAGE)
+        return pd.DataFrame({"model": [pickle.dumps(LanguageModel.fit(some["text"].tolist(), some["lang"].tolist()))]})
+
+    made = some.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "model binary").first()
+    return pickle.loads(bytes(made["model"])) if made else LanguageModel.fit([], [])
 
 
 _LETTER = np.zeros(256, bool)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,15 +76,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02) -> np.ndarray
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fits on labels(doc_id, quality) of documents that are not held out: PER_LABEL of each label at most, by a hash of the id.
 
-    The sample is bounded, so it goes to the driver: ids are chosen from the labels alone, then their texts are read. Rows with
-    a null id or label, or another label than 0 and 1, teach nothing.
+    The sample is bounded, so one task may hold it: ids are chosen from the labels alone, then their texts are read, and the driver gets
+    the model. Rows with a null id or label, or another label than 0 and 1, teach nothing.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.held_out("doc_id", 4, 2)).select("doc_id", "quality").distinct()
     chosen = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL) for q in (0, 1)]
     some = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(some, "doc_id").select("doc_id", "quality", common.text_or_empty().alias("text")).toPandas()
-    rows = rows.drop_duplicates(["doc_id", "quality"]).sort_values(["doc_id", "quality"])
-    return QualityModel.fit(rows["text"].tolist(), rows["quality"].astype(int).tolist())
+    rows = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(some, "doc_id").select("doc_id", "quality", common.text_or_empty().alias("text"))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["doc_id", "quality"]).sort_values(["doc_id", "quality"])
+        return pd.DataFrame({"model": [pickle.dumps(QualityModel.fit(rows["text"].tolist(), rows["quality"].astype(int).tolist()))]})
+
+    made = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "model binary").first()
+    return pickle.loads(bytes(made["model"])) if made else QualityModel.fit([], [])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
