@@ -12,7 +12,7 @@ from meshwright.llm import common
 #: Fixed values of the mix: weights of the sources in turn, and how often a source may repeat.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents that one task balances, and tasks whose open documents meet in one.
-CHUNK_ROWS, FAN_IN = 50_000, 1024
+CHUNK_ROWS, FAN_IN = 4096, 1024
 _ZERO = 1e-9
 
 
