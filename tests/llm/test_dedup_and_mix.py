@@ -215,13 +215,6 @@ def test_pipeline_end_to_end(spark, sf_dir):
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0
 
 
-def test_components_are_joined_by_further_links(spark):
-    parts = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"c", b"c"), (b"d", b"c"), (b"e", b"e")], "node binary, component binary")
-    links = spark.createDataFrame([(b"b", b"d"), (b"e", b"f"), (b"g", b"h")], "a binary, b binary")
-    got = {bytes(r.node): bytes(r.component) for r in near_dedup._joined(parts, links).collect()}
-    assert got == {b"a": b"a", b"b": b"a", b"c": b"a", b"d": b"a", b"e": b"e", b"f": b"e", b"g": b"g", b"h": b"g"}
-
-
 def test_chains_in_large_buckets_are_followed(spark, monkeypatch):
     """Texts that drift apart step by step, all in one bucket: the first leader resembles few of them."""
     monkeypatch.setattr(near_dedup, "ALL_PAIRS", 2)
