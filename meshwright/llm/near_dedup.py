@@ -22,8 +22,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Counters of a summary, and the share of documents from which a shingle counts as common.
 COUNTERS, COMMON = 1 << 16, 0.01
-#: Members up to which all pairs of a bucket are candidates; in larger ones all are held against one.
+#: Members up to which all pairs of a bucket are candidates; in larger ones leaders are drawn until every pair is decided.
 ALL_PAIRS = 6
+#: Members of a large bucket that one join key gathers, and how the number of leaders of a bucket grows by turns.
+BLOCK, GROWTH = 256, 4
 
 
 class Summary:
@@ -161,13 +163,16 @@ def _signing(weights: Weights):
             shingles, tf, counts = distinct(*shingler(step.column("text")))
             some = np.flatnonzero(counts)
             keys, bands = np.full(len(counts), None, object), np.full(len(counts), None, object)
+            total = np.zeros(len(counts))
             if len(some):
-                samples = sampler(shingles, weights(shingles, tf), counts[some]).reshape(len(some), BANDS, ROWS).astype(np.uint64)
+                weighed = weights(shingles, tf)
+                total[some] = np.add.reduceat(weighed.astype(float), np.cumsum(counts[some]) - counts[some])
+                samples = sampler(shingles, weighed, counts[some]).reshape(len(some), BANDS, ROWS).astype(np.uint64)
                 hashed = mixed((samples * factors).sum(2, dtype=np.uint64) ^ mixed(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
                 keys[some] = _fingerprints(shingles, tf, counts[some])
                 for i, row in zip(some.tolist(), hashed):
                     bands[i] = row
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(total), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "size", "weight", "bands"])
 
     return sign
 
@@ -219,25 +224,26 @@ def _order(turn: int) -> Column:
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Classes of docs(doc_id long, text string) linked by a similarity of `least` or more over shingles of five words.
 
-    One row for each input row: doc_id, class_id (the class's smallest doc_id), class_size (rows), n_links (verified links of the row's text to other
-    texts), kept (one row of each class, with the smallest doc_id).
+    One row for each input row: doc_id, class_id (the class's smallest doc_id), class_size (rows), kept (one row of each class, with the
+    smallest doc_id). Links aren't counted: within a class most pairs need no comparison, and all of them grow with the square of its size.
 
-    Texts with the same shingles are one node from the start, so copies are never paired. A bucket (a band's samples) of up to
-    ALL_PAIRS nodes offers all its pairs; in a larger one every node is held against the bucket's leader. A pair is linked if its
-    weighted Jaccard similarity is at least `least`; so it is if the unweighted one is, as weights mustn't undo a link. Members of large
-    buckets that aren't in their leader's component are then held against another leader, drawn anew from the whole
-    bucket, until two rounds running find no further link. Work is linear in the members of buckets.
+    Texts with the same shingles are one node from the start, so copies are never paired. A pair is linked if its weighted Jaccard
+    similarity is at least `least`; so it is if the unweighted one is, as weights mustn't undo a link. Every two members of a bucket (a band's
+    samples) are compared, or found in one component by other links, or so unlike in size that they can't be linked. A bucket of up to
+    ALL_PAIRS nodes offers all its pairs. In a larger one leaders are held against all members of other components; they are drawn from
+    members that haven't led and aren't in the bucket's largest component, GROWTH times as many each turn, until those
+    that haven't led are of one component. Work is linear in the members of a bucket times those outside its largest component.
 
     Nulls: a null or empty text, or one without words, resembles nothing and is a class of its own. Null ids are linked as any; a class's
     id is null only if all its ids are. Rows that share an id are rows of their own. Empty table: no rows. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     weights = document_frequencies(texts.select("text"))
-    rows = common.checkpoint(texts.mapInArrow(_signing(weights), "doc_id long, key binary, bands array<long>"))
-    nodes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    buckets = common.checkpoint(nodes.select("key", "doc_id", F.posexplode("bands").alias("band", "hash")))
-    sizes = buckets.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min_by("key", _order(0)).alias("leader")).filter("n > 1")
-    members = common.checkpoint(buckets.join(sizes, ["band", "hash"]).toDF("band", "hash", "key", "doc_id", "n", "leader"))
+    rows = common.checkpoint(texts.mapInArrow(_signing(weights), "doc_id long, key binary, size long, weight double, bands array<long>"))
+    nodes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    buckets = common.checkpoint(nodes.select("key", "doc_id", "size", "weight", F.posexplode("bands").alias("band", "hash")))
+    sizes = buckets.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "size", "weight"), _order(0)).alias("leader")).filter("n > 1")
+    members = common.checkpoint(buckets.join(sizes, ["band", "hash"]))
 
     _, near = common.split_by_ids(texts, members.select("doc_id"))
     wanted = members.select("key").distinct()
@@ -245,42 +251,43 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     few = members.filter(F.col("n") <= ALL_PAIRS).groupBy("band", "hash").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     few = few.select(F.posexplode("keys").alias("i", "a"), "keys").select("a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b")).distinct()
-    large = members.filter(F.col("n") > ALL_PAIRS)
-    tried = common.checkpoint(few.unionByName(_led(large)).distinct())
-    links = common.checkpoint(_verified(tried, sets, least))
-    parts = common.checkpoint(connected_components(links, "a", "b"))
-    turn = dry = 0
-    while dry < 2:
+    large = members.filter((F.col("n") > ALL_PAIRS) & (F.col("key") != F.col("leader.key")))
+    tried = common.checkpoint(few.unionByName(_led(large, least)).distinct())
+    parts = common.checkpoint(connected_components(common.checkpoint(_verified(tried, sets, least)), "a", "b"))
+    # members that haven't led, in blocks of bounded size
+    large = large.withColumn("blocks", F.expr(f"n div {BLOCK} + 1")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    large = large.select("band", "hash", "key", "size", "weight", "blocks", "block")
+    turn = 0
+    while True:
         turn += 1
-        # members that aren't in their leader's component, and a leader of this turn for their bucket
-        where = large.join(parts.withColumnRenamed("node", "key"), "key", "left").select("band", "hash", "key", F.coalesce("component", "key").alias("part"))
-        split = where.groupBy("band", "hash").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by(F.struct(F.col("key").alias("leader"), "part"), F.xxhash64("key", "band", F.lit(turn))).alias("chosen")).filter("low != high")
-        split = split.select("band", "hash", "chosen.leader", F.col("chosen.part").alias("leading"))
-        offered = where.join(split, ["band", "hash"]).filter("part != leading").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+        where = large.join(parts.toDF("key", "part"), "key", "left").withColumn("part", F.coalesce("part", "key"))
+        counted = where.groupBy("band", "hash", "part").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks"))
+        split = counted.groupBy("band", "hash").agg(F.max(F.struct("n", "part")).alias("big"), F.sum("n").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.max("blocks").alias("blocks")).filter("low != high")
+        split = split.select("band", "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("big.part").alias("main"), (F.col("n") - F.col("big.n")).alias("others"))
+        # buckets that are decided drop out; each other member of few is a leader, and some of many
+        drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 20)) * F.col("others") < F.lit(GROWTH**turn << 20)
+        where = common.checkpoint(where.join(split, ["band", "hash", "block"]).select(*large.columns, "part", ((F.col("part") != F.col("main")) & drawn).alias("leads")))
+        if not where.limit(1).count():
+            break
+        leaders = where.filter("leads").select("band", "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("part").alias("leading"), F.struct("key", "size", "weight").alias("leader"))
+        offered = _led(where.join(leaders, ["band", "hash", "block"]).filter("part != leading"), least).distinct()
         fresh = common.checkpoint(offered.join(tried, ["a", "b"], "left_anti"))
-        if not fresh.limit(1).count():
-            # nothing that this turn's leaders could still be held against
-            dry += 1
-            continue
-        found = common.checkpoint(_verified(fresh, sets, least))
         tried = tried.unionByName(fresh)
+        found = common.checkpoint(_verified(fresh, sets, least))
         if found.limit(1).count():
-            dry, links = 0, common.checkpoint(links.unionByName(found))
-            parts = common.checkpoint(connected_components(links, "a", "b"))
-        else:
-            dry += 1
+            parts = _joined(parts, found)
+        large = where.filter("not leads").select(*large.columns)
 
-    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     copies = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
     parts = parts.withColumnRenamed("node", "key")
     # nodes of one row without a link are classes of their own and take no part in what follows
     grouped = copies.join(parts, "key", "left").filter("component is not null or rows > 1").withColumn("component", F.coalesce("component", "key"))
     classes = grouped.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = grouped.select("key", "component").join(classes, "component").join(ends, "key", "left").select("key", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = grouped.select("key", "component").join(classes, "component").select("key", "class_id", "class_size")
     out = rows.filter("key is not null").select("doc_id", "key").join(named, "key", "left")
     single = F.col("class_size").isNull()
-    out = out.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    lone = rows.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    out = out.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    lone = rows.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return _first_kept(out).unionByName(lone.withColumn("kept", F.lit(True)))
 
 
@@ -298,8 +305,19 @@ def _first_kept(rows: DataFrame) -> DataFrame:
     return alone.unionByName(first).unionByName(nameless).unionByName(others)
 
 
-def _led(large: DataFrame) -> DataFrame:
-    return large.filter("key != leader").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
+def _led(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of each row's text and its leader whose sizes or weights allow a similarity of `least`."""
+    alike = [F.least(c, f"leader.{c}") >= F.greatest(c, f"leader.{c}") * (least - 1e-6) for c in ("size", "weight")]
+    return rows.filter(alike[0] | alike[1]).select(F.least("leader.key", "key").alias("a"), F.greatest("leader.key", "key").alias("b"))
+
+
+def _joined(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """parts(node, component) after new links found(a, b): only the components that these touch are searched."""
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    parts = common.checkpoint(parts.unionByName(ends.join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    touched = found.join(parts.toDF("a", "u"), "a").join(parts.toDF("b", "v"), "b").select("u", "v").distinct()
+    moved = connected_components(common.checkpoint(touched), "u", "v").toDF("component", "now")
+    return common.checkpoint(parts.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

@@ -225,3 +225,25 @@ def test_chains_in_large_buckets_are_followed(spark, monkeypatch):
         text[3 + i * 9] = f"other{rng.integers(10**9)}"
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
+
+
+def test_large_buckets_are_decided_whole(spark, monkeypatch):
+    """All texts in the same buckets, one class that fills them, and pairs and single texts beside it."""
+
+    class Same(near_dedup.Sampler):
+        def __call__(self, shingles, weights, counts):
+            return np.zeros((len(counts), len(self.seeds)), np.uint32)
+
+        def plain(self, shingles, counts):
+            return np.zeros((len(counts), len(self.seeds)), np.uint64)
+
+    monkeypatch.setattr(near_dedup, "Sampler", Same)
+    monkeypatch.setattr(near_dedup, "BANDS", 2)
+    rng = np.random.default_rng(4)
+    bases = [[f"b{k}w{rng.integers(10**6)}" for _ in range(200)] for k in range(21)]
+    rows = [(i, edited(bases[0], rng, 0.005)) for i in range(120)] + [(200 + i, edited(bases[1 + i // 2], rng, 0.005)) for i in range(24)] + [(300 + i, " ".join(bases[13 + i])) for i in range(8)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    classes = defaultdict(list)
+    for r in got:
+        classes[r.class_id].append(r.doc_id)
+    assert {frozenset(Counter(map(str, v)).items()) for v in classes.values()} == brute_classes(rows)
