@@ -6,7 +6,7 @@ Parquet and reads again as the next one's docs. All but the last return the colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm import common, exact_dedup, mixing, near_dedup, packing, quality
@@ -30,30 +30,26 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = common.checkpoint(exact_dedup.find_duplicates(docs))
     # a row that repeats a kept row's id and text is dropped although its id stays
     sha = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
-    return _kept(docs, found, ["doc_id", "text_sha256"], {"text_sha256": sha})
+    return _kept(docs, found, sha)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each class of near copies."""
+    """The row with the smallest id of each class of near copies (one, where rows repeat or have no id)."""
     found = common.checkpoint(near_dedup.near_duplicates(docs))
-    return _kept(docs, found, ["doc_id"], {})
+    return _kept(docs, found, F.sha2(common.text_or_empty().cast("binary"), 256))
 
 
-def _kept(docs: DataFrame, found: DataFrame, keys: list[str], made: dict) -> DataFrame:
-    """docs without the ids that found(doc_id, kept) drops; of ids that are both kept and dropped, one row for each kept key."""
+def _kept(docs: DataFrame, found: DataFrame, sha: Column) -> DataFrame:
+    """The rows of docs that found(doc_id, text_sha256, kept) keeps: as many of each id and text, which sha gives, as are kept there."""
     dropped, kept = found.filter("not kept"), found.filter("kept")
-    out = common.without_ids(docs, dropped)
-    same = [F.col(f"k.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys[:1]]
-    both = common.checkpoint(dropped.select("doc_id").distinct().alias("d").join(kept.select(*keys).distinct().alias("k"), same).select("k.*"))
-    if not both.limit(1).count():
-        return out
-    own, told = common.fresh(docs, *(f"_own_{k}" for k in keys)), [f"_told_{k}" for k in keys]
-    (place,) = common.fresh(docs, "_place")
-    rows = common.with_ids(docs, both).withColumns({o: made.get(k, F.col(k)) for o, k in zip(own, keys)})
-    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1)))).filter(F.col(place) == 1).alias("r")
-    renamed = both.toDF(*told).alias("b")
-    rows = rows.join(renamed, [F.col(f"r.{o}").eqNullSafe(F.col(f"b.{t}")) for o, t in zip(own, told)], "left_semi")
-    return out.unionByName(rows.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    far, near = common.split_by_ids(docs, dropped)
+    _, told = common.split_by_ids(kept, dropped)
+    own, place = common.fresh(docs, "_own", "_place")
+    told = told.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).alias("t")
+    rows = near.withColumn(own, sha)
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.lit(1)))).alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col(f"r.{own}") == F.col("t.text_sha256")) & (F.col(f"r.{place}") <= F.col("t.n"))
+    return far.unionByName(rows.join(told, same, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

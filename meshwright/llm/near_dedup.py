@@ -172,7 +172,7 @@ def _signing(weights: Weights):
                 keys[some] = _fingerprints(shingles, tf, counts[some])
                 for i, row in zip(some.tolist(), hashed):
                     bands[i] = row
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(total), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "size", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("sha"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(total), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sha", "key", "size", "weight", "bands"])
 
     return sign
 
@@ -224,8 +224,8 @@ def _order(turn: int) -> Column:
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Classes of docs(doc_id long, text string) linked by a similarity of `least` or more over shingles of five words.
 
-    One row for each input row: doc_id, class_id (the class's smallest doc_id), class_size (rows), kept (one row of each class, with the
-    smallest doc_id). Links aren't counted: within a class most pairs need no comparison, and all of them grow with the square of its size.
+    One row for each input row: doc_id, class_id (the class's smallest doc_id), class_size (rows), kept (one row of each class: the least
+    by doc_id, nulls last, then text_sha256) and text_sha256, which with doc_id tells rows of different texts apart. Links aren't counted: within a class most pairs need no comparison, and all of them grow with the square of its size.
 
     Texts with the same shingles are one node from the start, so copies are never paired. A pair is linked if its weighted Jaccard
     similarity is at least `least`; so it is if the unweighted one is, as weights mustn't undo a link. Every two members of a bucket (a band's
@@ -235,11 +235,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     that haven't led are of one component. Work is linear in the members of a bucket times those outside its largest component.
 
     Nulls: a null or empty text, or one without words, resembles nothing and is a class of its own. Null ids are linked as any; a class's
-    id is null only if all its ids are. Rows that share an id are rows of their own. Empty table: no rows. Other columns are ignored.
+    id is null only if all its ids are, and one of its rows is kept all the same. Rows that share an id are rows of their own. Empty table: no rows. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     weights = document_frequencies(texts.select("text"))
-    rows = common.checkpoint(texts.mapInArrow(_signing(weights), "doc_id long, key binary, size long, weight double, bands array<long>"))
+    rows = common.checkpoint(texts.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).mapInArrow(_signing(weights), "doc_id long, sha binary, key binary, size long, weight double, bands array<long>"))
     nodes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     buckets = common.checkpoint(nodes.select("key", "doc_id", "size", "weight", F.posexplode("bands").alias("band", "hash")))
     sizes = buckets.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "size", "weight"), _order(0)).alias("leader")).filter("n > 1")
@@ -278,31 +278,26 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             parts = _joined(parts, found)
         large = where.filter("not leads").select(*large.columns)
 
-    copies = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
+    copies = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha")).alias("first"), F.count("*").alias("rows"))
     parts = parts.withColumnRenamed("node", "key")
     # nodes of one row without a link are classes of their own and take no part in what follows
     grouped = copies.join(parts, "key", "left").filter("component is not null or rows > 1").withColumn("component", F.coalesce("component", "key"))
-    classes = grouped.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = grouped.select("key", "component").join(classes, "component").select("key", "class_id", "class_size")
-    out = rows.filter("key is not null").select("doc_id", "key").join(named, "key", "left")
-    single = F.col("class_size").isNull()
-    out = out.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
-    lone = rows.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return _first_kept(out).unionByName(lone.withColumn("kept", F.lit(True)))
+    classes = grouped.groupBy("component").agg(F.min("first").alias("first"), F.sum("rows").alias("class_size"))
+    named = grouped.select("key", "component").join(classes, "component")
+    out = common.checkpoint(rows.filter("key is not null").select("doc_id", "sha", "key").join(named, "key", "left"))
+    single = rows.filter("key is null").select("doc_id", "sha").unionByName(out.filter("component is null").select("doc_id", "sha"))
+    single = single.withColumns({"class_id": F.col("doc_id"), "class_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    return single.unionByName(_first_kept(out.filter("component is not null"))).select("doc_id", "class_id", "class_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def _first_kept(rows: DataFrame) -> DataFrame:
-    """kept: the row with its class's id, one where several have it."""
+    """kept: the row with its class's first id and text, one where several have both."""
     from pyspark.sql import Window
 
-    mine = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    alone = rows.filter(F.col("class_size") == 1).withColumn("kept", F.lit(True))
-    several = rows.filter(F.col("class_size") > 1)
-    first = several.filter(mine & F.col("class_id").isNotNull()).withColumn("kept", F.row_number().over(Window.partitionBy("class_id").orderBy(F.lit(1))) == 1)
-    # classes without any id: as nothing names them, their rows all stay
-    nameless = several.filter(F.col("class_id").isNull()).withColumn("kept", F.lit(True))
-    others = several.filter(~mine).withColumn("kept", F.lit(False))
-    return alone.unionByName(first).unionByName(nameless).unionByName(others)
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    one = rows.filter(first).withColumn("kept", F.row_number().over(Window.partitionBy("component").orderBy(F.lit(1))) == 1)
+    both = one.unionByName(rows.filter(~first).withColumn("kept", F.lit(False)))
+    return both.select("doc_id", "sha", F.col("first.doc_id").alias("class_id"), "class_size", "kept")
 
 
 def _led(rows: DataFrame, least: float) -> DataFrame:

@@ -247,3 +247,22 @@ def test_large_buckets_are_decided_whole(spark, monkeypatch):
     for r in got:
         classes[r.class_id].append(r.doc_id)
     assert {frozenset(Counter(map(str, v)).items()) for v in classes.values()} == brute_classes(rows)
+
+
+def test_near_dedup_stage_tells_rows_of_one_id_apart(spark, sf_dir):
+    rng = np.random.default_rng(6)
+    base = [[f"c{k}w{rng.integers(10**6)}" for _ in range(150)] for k in range(8)]
+
+    def near(k, n):
+        return " ".join([*base[k][:-n], *("other" for _ in range(n))])
+
+    rows = [(1, near(0, 1)), (None, near(0, 2)), (None, " ".join(base[1])), (None, " ".join(base[2])), (None, ""), (None, ""), (None, None)]
+    rows += [(5, " ".join(base[3])), (5, near(0, 3)), (5, " ".join(base[4])), (3, near(5, 1)), (3, near(6, 1)), (4, near(5, 2)), (4, near(6, 2))]
+    rows += [(None, near(7, 1)), (None, near(7, 2)), (None, near(7, 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir).collect()]
+    nameless = [x for x in got if x in rows[-3:]]
+    want = [rows[k] for k in (0, 2, 3, 4, 5, 6, 7, 9, 10, 11)]
+    assert len(nameless) == 1 and Counter(x for x in got if x not in nameless) == Counter(want)
+    classes = near_dedup.near_duplicates(docs)
+    assert Counter(r.class_size for r in classes.filter("kept").collect()) == Counter({1: 7, 2: 2, 3: 2})
