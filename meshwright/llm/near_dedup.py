@@ -1,5 +1,7 @@
 """Near duplicates by improved consistent weighted sampling (Ioffe, 2010) over TF-IDF shingles.
 
+Half of the bands sample each distinct shingle alike, so that pairs of that unweighted similarity are found as surely.
+
 Passes over the text: two find the exact document frequency of common shingles (a mergeable summary of bounded size, then
 counts); one takes each document's weighted samples and bands them; a last one, over candidates only, gives the
 weighted sets by which pairs are verified.
@@ -18,7 +20,7 @@ from meshwright.llm.shingles import STEP, Shingler, distinct, mixed
 from meshwright.operators.components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Twelve bands of three samples find a pair of similarity 0.8 with a chance of 0.9998.
+#: Twelve bands of three samples find a pair of similarity 0.8 with a chance of 0.9998; as many again are of unweighted samples.
 BANDS, ROWS = 12, 3
 #: Counters of a summary, and the share of documents from which a shingle counts as common.
 COUNTERS, COMMON = 1 << 16, 0.01
@@ -146,6 +148,11 @@ class Sampler:
             out[:, k] = np.minimum.reduceat(ln_c - r * (t - b) - r, starts).view(np.uint32)
         return out
 
+    def plain(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same for weights of 1: the least hash of each document's shingles for each draw."""
+        starts = np.cumsum(counts) - counts
+        return np.stack([np.minimum.reduceat(mixed(shingles ^ ~seed), starts) for seed in self.seeds], 1)
+
 
 def _fingerprints(shingles: np.ndarray, tf: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """16 bytes that two documents share if they have the same shingles as often."""
@@ -167,8 +174,8 @@ def _signing(weights: Weights):
             if len(some):
                 weighed = weights(shingles, tf)
                 total[some] = np.add.reduceat(weighed.astype(float), np.cumsum(counts[some]) - counts[some])
-                samples = sampler(shingles, weighed, counts[some]).reshape(len(some), BANDS, ROWS).astype(np.uint64)
-                hashed = mixed((samples * factors).sum(2, dtype=np.uint64) ^ mixed(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
+                samples = np.concatenate([sampler(shingles, weighed, counts[some]).astype(np.uint64), sampler.plain(shingles, counts[some])], 1).reshape(len(some), 2 * BANDS, ROWS)
+                hashed = mixed((samples * factors).sum(2, dtype=np.uint64) ^ mixed(np.arange(2 * BANDS, dtype=np.uint64))).view(np.int64)
                 keys[some] = _fingerprints(shingles, tf, counts[some])
                 for i, row in zip(some.tolist(), hashed):
                     bands[i] = row

@@ -266,3 +266,11 @@ def test_near_dedup_stage_tells_rows_of_one_id_apart(spark, sf_dir):
     assert len(nameless) == 1 and Counter(x for x in got if x not in nameless) == Counter(want)
     classes = near_dedup.near_duplicates(docs)
     assert Counter(r.class_size for r in classes.filter("kept").collect()) == Counter({1: 7, 2: 2, 3: 2})
+
+
+def test_repeated_passages_are_linked_to_single_ones(spark):
+    """Unweighted similarity near 1, weighted about 1 / (1 + ln 12)."""
+    rng = np.random.default_rng(7)
+    texts = [[f"p{k}w{rng.integers(10**6)}" for _ in range(120)] for k in range(60)]
+    docs = spark.createDataFrame([(i + 100 * j, " ".join(t * (12 if j else 1))) for i, t in enumerate(texts) for j in (0, 1)], "doc_id long, text string").repartition(3)
+    assert Counter((r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()) == Counter({(i, 2): 2 for i in range(60)})
