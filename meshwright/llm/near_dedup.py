@@ -2,13 +2,14 @@
 
 Half of the bands sample each distinct shingle alike, so that pairs of that unweighted similarity are found as surely.
 
-Passes over the text: two find the exact document frequency of common shingles (a mergeable summary of bounded size, then
-counts); one takes each document's weighted samples and bands them; a last one, over candidates only, gives the
-weighted sets by which pairs are verified.
+Passes over the text: one estimates the document frequency of every shingle (an additive sketch of bounded size); one takes each
+document's weighted samples and bands them; a last one, over candidates only, gives the weighted sets by which pairs are verified.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,26 +23,25 @@ from meshwright.operators.components import connected_components
 WORDS, SIMILARITY = 5, 0.8
 #: Twelve bands of three samples find a pair of similarity 0.8 with a chance of 0.9998; as many again are of unweighted samples.
 BANDS, ROWS = 12, 3
-#: Counters of a summary, and the share of documents from which a shingle counts as common.
-COUNTERS, COMMON = 1 << 16, 0.01
+#: Rows and columns (a power of two) of the sketch of document frequencies, and the share of documents at which a shingle weighs 2.
+DEPTH, BITS, COMMON = 3, 18, 0.01
 #: Members up to which all pairs of a bucket are candidates; in larger ones leaders are drawn until every pair is decided.
 ALL_PAIRS = 6
 #: Members of a large bucket that one join key gathers, and how the number of leaders of a bucket grows by turns.
 BLOCK, GROWTH = 256, 4
 
 
-class Summary:
-    """Misra-Gries counters of shingles: any that more than total / COUNTERS documents hold is among them."""
+def _cells(shingles: np.ndarray) -> list[np.ndarray]:
+    """The column of each shingle in each row of the sketch: bits of their own, as shingles are hashes."""
+    return [((shingles >> np.uint64(BITS * k)) & np.uint64((1 << BITS) - 1)).astype(np.int32) for k in range(DEPTH)]
+
 
-    def __init__(self):
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _packed(table: np.ndarray) -> bytes:
+    return zlib.compress(table.astype(np.int64).tobytes(), 1)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        both, inverse = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
-        if len(both) > COUNTERS:
-            total = total - np.partition(total, -COUNTERS - 1)[-COUNTERS - 1]
-        self.keys, self.counts = both[total > 0], total[total > 0]
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.int64).reshape(DEPTH, 1 << BITS)
 
 
 def _steps(batches):
@@ -52,73 +52,52 @@ def _steps(batches):
             yield batch.slice(i, j - i)
 
 
-def _summaries(batches):
+def _sketches(batches):
     from pyspark import TaskContext
 
-    made, total, docs, shingler = Summary(), 0, 0, Shingler(WORDS)
+    table, docs, shingler = np.zeros((DEPTH, 1 << BITS), np.int64), 0, Shingler(WORDS)
     for step in _steps(batches):
         keys, _, counts = distinct(*shingler(step.column("text")))
-        made.add(*np.unique(keys, return_counts=True))
-        total, docs = total + len(keys), docs + int((counts > 0).sum())
-    yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "docs": [docs], "total": [total], "keys": pa.array([made.keys.tobytes()], pa.binary()), "counts": pa.array([made.counts.tobytes()], pa.binary())})
+        for row, cells in zip(table, _cells(keys)):
+            row += np.bincount(cells, minlength=1 << BITS)
+        docs += int((counts > 0).sum())
+    if docs:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "docs": [docs], "sketch": pa.array([_packed(table)], pa.binary())})
 
 
-_SUMMARY = "part int, docs long, total long, keys binary, counts binary"
+_SKETCH = "part int, docs long, sketch binary"
 
 
 def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    made = Summary()
-    for keys, counts in zip(rows["keys"], rows["counts"]):
-        made.add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
-    return pd.DataFrame({"part": [0], "docs": [rows["docs"].sum()], "total": [rows["total"].sum()], "keys": [made.keys.tobytes()], "counts": [made.counts.tobytes()]})
+    table = np.zeros((DEPTH, 1 << BITS), np.int64)
+    for sketch in rows["sketch"]:
+        table += _unpacked(sketch)
+    return pd.DataFrame({"part": [0], "docs": [rows["docs"].sum()], "sketch": [_packed(table)]})
 
 
 class Weights:
     """Weight of a shingle in a document: (1 + ln tf) times a damped inverse document frequency.
 
-    The frequency is exact from a share `least` of all documents on; rarer shingles weigh as one of just that share, so every pair of
-    documents that few others resemble is compared with equal weights.
+    The frequency is an estimate for every shingle: the least, over the sketch's rows, of its cell less the row's median cell, which is what
+    other shingles add by chance; 1 at least. As it depends on the shingle alone, all documents are compared with equal weights.
     """
 
-    def __init__(self, docs: int, keys: np.ndarray, frequency: np.ndarray, least: float):
-        self.keys, self.most = keys, np.log1p(1 / least)
-        self.idf = 1 + np.log1p(docs / np.maximum(frequency, 1)) / self.most
+    def __init__(self, docs: int, table: np.ndarray):
+        frequency = np.maximum(table - np.median(table, axis=1, keepdims=True), 1)
+        self.idf = (1 + np.log1p(docs / frequency) / np.log1p(1 / COMMON)).astype(np.float32)
 
     def __call__(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        out = np.full(len(shingles), 2.0)
-        if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
-            out = np.where(self.keys[place] == shingles, self.idf[place], out)
-        return (out * (1 + np.log(tf))).astype(np.float32)
+        idf = np.max([row[cells] for row, cells in zip(self.idf, _cells(shingles))], axis=0)
+        return (idf * (1 + np.log(tf))).astype(np.float32)
 
 
 def document_frequencies(texts: DataFrame) -> Weights:
-    """Weights from all rows of texts(text): two passes; the driver gets COUNTERS counters and their counts at most."""
-    parts = texts.mapInArrow(_summaries, _SUMMARY).groupBy("part").applyInPandas(_merged, _SUMMARY)
-    row = parts.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_merged, _SUMMARY).first()
-    if row is None or not row["docs"]:
-        return Weights(0, np.zeros(0, np.uint64), np.zeros(0), COMMON)
-    docs, missed = row["docs"], row["total"] / COUNTERS
-    least = max(COMMON, missed / docs)
-    keys, counts = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
-    keys = np.sort(keys[counts + missed >= least * docs])
-
-    def count(batches):
-        found, shingler = np.zeros(len(keys), np.int64), Shingler(WORDS)
-        for step in _steps(batches):
-            held = distinct(*shingler(step.column("text")))[0]
-            place = np.minimum(np.searchsorted(keys, held), len(keys) - 1)
-            found += np.bincount(place[keys[place] == held], minlength=len(keys))
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_pydict({"place": pa.array(some, pa.int64()), "n": pa.array(found[some], pa.int64())})
-
-    if not len(keys):
-        return Weights(docs, keys, np.zeros(0), least)
-    exact = np.zeros(len(keys), np.int64)
-    for r in texts.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        exact[r["place"]] = r["n"]
-    common_ones = exact >= least * docs
-    return Weights(docs, keys[common_ones], exact[common_ones], least)
+    """Weights from all rows of texts(text): one pass; the driver gets one sketch."""
+    parts = texts.mapInArrow(_sketches, _SKETCH).groupBy("part").applyInPandas(_merged, _SKETCH)
+    row = parts.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_merged, _SKETCH).first()
+    if row is None:
+        return Weights(0, np.zeros((DEPTH, 1 << BITS), np.int64))
+    return Weights(row["docs"], _unpacked(row["sketch"]))
 
 
 class Sampler:

@@ -274,3 +274,14 @@ def test_repeated_passages_are_linked_to_single_ones(spark):
     texts = [[f"p{k}w{rng.integers(10**6)}" for _ in range(120)] for k in range(60)]
     docs = spark.createDataFrame([(i + 100 * j, " ".join(t * (12 if j else 1))) for i, t in enumerate(texts) for j in (0, 1)], "doc_id long, text string").repartition(3)
     assert Counter((r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()) == Counter({(i, 2): 2 for i in range(60)})
+
+
+def test_rare_shingles_weigh_by_their_own_frequency(spark):
+    """A line that 0.5 % of documents hold, one that 2 % hold, and words of one document."""
+    rows = [(f"{'seldom seen line of words ' if i % 200 == 0 else ''}{'often seen line of words ' if i % 50 == 1 else ''}" + " ".join(f"d{i}w{k}" for k in range(30)),) for i in range(2000)]
+    weights = near_dedup.document_frequencies(spark.createDataFrame(rows, "text string").repartition(7))
+    import pyarrow as pa
+
+    keys = Shingler(5)(pa.array(["seldom seen line of words", "often seen line of words", "d7w1 d7w2 d7w3 d7w4 d7w5"]))[0]
+    want = 1 + np.log1p(2000 / np.array([10, 40, 1])) / np.log1p(100)
+    assert weights(keys, np.ones(3)) == pytest.approx(want, rel=0.01)
