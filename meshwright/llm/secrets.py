@@ -83,9 +83,11 @@ def _analyse(tree) -> tuple[list[bytes] | None, Query]:
     """(all strings that the tree can match, if few; what any match must hold)."""
     exact: list[bytes] | None = [b""]
     needs: Query = None
+    closed = False
 
     def close():
-        nonlocal exact, needs
+        nonlocal exact, needs, closed
+        closed = True
         if exact is not None:
             needs = _both(needs, _either([_of_text(x) for x in exact]))
         exact = None
@@ -126,7 +128,7 @@ def _analyse(tree) -> tuple[list[bytes] | None, Query]:
                 exact = sorted(set(own))
             else:
                 exact = sorted(joined)
-    if needs is not None:
+    if closed:  # what follows an unknown part isn't all that the tree matches
         close()
     return exact, needs
 

@@ -87,3 +87,12 @@ def test_near_ties_at_the_end(spark):
     df = spark.createDataFrame(pd.DataFrame({"vec_id": range(60), "embedding": [[1.0, 0.0]] * 60}))
     got = topk.top_k(df, 5, 50).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
+
+
+def test_unknown_parts_amid_a_pattern_lose_no_match(spark):
+    patterns = ["foo([0-9]+)bar", "foo[0-9]{4}bar", "foo[0-9]?bar", "foo(?:[0-9]+ab)bar", "foo(x|[0-9]+y)?bar", "foo(?:[0-9]z){2}bar"]
+    texts = ["foo12bar", "x foo1234bar", "foobar", "foo7bar foo77bar", "foo5abbar", "foo5ybar", "fooxbar", "foo1z2zbar", "food bark", None]
+    rules = tuple(secrets.Rule(f"rule{k}", p, 0, 0) for k, p in enumerate(patterns))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, f.kind, f.start) for r in secrets.find_secrets(docs, rules).collect() for f in r.found}
+    assert got == {(i, f"rule{k}", m.start()) for i, t in enumerate(texts) for k, p in enumerate(patterns) for m in re.finditer(p, t or "", re.ASCII)}
