@@ -137,12 +137,14 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     balanced by one task each; two documents at most stay open in a chunk, meet in the next round FAN_IN chunks to a
     task, and the last one or two of a source are rounded.
 
-    The same documents give the same result, however they are partitioned: chunks and order come from a hash of the id. Nulls:
-    a null text has no words, a null source is a source of its own (last), null ids are rows as any other; rows that share an id
-    share a chunk. Sources without words get nothing. Empty table: no rows. Other columns are ignored.
+    The same documents give the same result, however they are partitioned: chunks and order come from a hash of the id, the size and the
+    row's place among rows equal in these and the source, which are alike here and counted before they are dealt. Nulls: a null text has no
+    words, a null source is a source of its own (last), null ids are rows as any other. Sources without words get nothing. Empty table: no rows. Other columns are ignored.
     """
     words = F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long")
-    rows = common.checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), F.col("source").cast("string").alias("source")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), F.col("source").cast("string").alias("source"))
+    rows = rows.groupBy("doc_id", "size", "source").agg(F.count("*").alias("_n"))
+    rows = common.checkpoint(rows.select("doc_id", "size", "source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_place")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     sources = targets(sources).withColumn("_source", F.xxhash64("source"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -150,8 +152,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     whole = F.floor(each + F.lit(_ZERO)).cast("int")
     sources = common.checkpoint(sources.withColumn("_whole", whole).withColumn("_chance", F.greatest(each - F.col("_whole"), F.lit(0.0))).withColumn("_chunks", F.greatest(F.lit(1), F.ceil(F.col("_n") / CHUNK_ROWS)).cast("int")))
     most = sources.agg(F.max("_chunks")).first()[0] or 1
-    hashed = F.xxhash64("doc_id", F.lit(seed))
-    joined = rows.join(sources.drop("_n"), rows["source"].eqNullSafe(sources["source"])).select(rows["*"], "source_size", "target", "_source", "_whole", "_chance", F.pmod(hashed, F.col("_chunks")).cast("int").alias("_chunk"), F.xxhash64("doc_id", F.lit(seed), F.lit("order")).alias("_order"))
+    own = ["doc_id", "size", "_place", F.lit(seed)]
+    joined = rows.join(sources.drop("_n"), rows["source"].eqNullSafe(sources["source"])).select(rows["*"], "source_size", "target", "_source", "_whole", "_chance", F.pmod(F.xxhash64(*own), F.col("_chunks")).cast("int").alias("_chunk"), F.xxhash64(*own, F.lit("order")).alias("_order"))
     schema = joined.schema
     state = common.checkpoint(joined.groupBy("_source", "_chunk").applyInPandas(_balancing(seed, False), schema))
     is_open = (F.col("_chance") > _ZERO) & (F.col("_chance") < 1 - _ZERO)

@@ -285,3 +285,22 @@ def test_rare_shingles_weigh_by_their_own_frequency(spark):
     keys = Shingler(5)(pa.array(["seldom seen line of words", "often seen line of words", "d7w1 d7w2 d7w3 d7w4 d7w5"]))[0]
     want = 1 + np.log1p(2000 / np.array([10, 40, 1])) / np.log1p(100)
     assert weights(keys, np.ones(3)) == pytest.approx(want, rel=0.01)
+
+
+def test_rows_that_share_an_id_are_dealt_over_chunks(spark, monkeypatch):
+    made = mixing._balancing
+
+    def bounded(seed, last):
+        balance = made(seed, last)
+
+        def checked(rows):
+            assert len(rows) <= 300
+            return balance(rows)
+
+        return checked
+
+    monkeypatch.setattr(mixing, "_balancing", bounded)
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 100)
+    docs = spark.createDataFrame([(None if i % 2 else 5, "w " * (1 + (i % 9 == 0) * i), "s") for i in range(4000)], "doc_id long, text string, source string").repartition(5)
+    got, again = (Counter(map(tuple, mixing.mix(d).collect())) for d in (docs, docs.repartition(2)))
+    assert got == again and sum(got.values()) == 4000
