@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meshwright.plans.materialise import checkpoint
@@ -33,9 +33,11 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def _state(pairs: DataFrame) -> tuple:
-    mixed: Column = F.xxhash64("u", "v")
-    return tuple(pairs.agg(F.count("*"), F.sum(mixed.cast("decimal(38,0)")), F.bit_xor(mixed)).first())
+def _checkpoint(pairs: DataFrame) -> tuple[DataFrame, dict]:
+    """pairs, written, and what tells one set of pairs from another, observed while they are written."""
+    seen, mixed = Observation(), F.xxhash64("u", "v")
+    state = F.count("*").alias("n"), F.sum(mixed.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mixed).alias("xor")
+    return checkpoint(pairs.observe(seen, *state)), seen.get
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -45,13 +47,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Stars need a number of steps that grows with the logarithm of the longest path, and no step gathers a node's
     neighbours, so a hub is split like any skewed join key.
     """
-    nodes = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node"))).filter(F.col("node").isNotNull()).distinct()
-    pairs = checkpoint(_pairs(edges, src, dst))
-    before = _state(pairs)
-    while before[0]:
-        pairs = checkpoint(_small_star(_large_star(pairs)))
-        after = _state(pairs)
+    ends = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node")))
+    nodes = ends.filter(F.col("node").isNotNull()).distinct()
+    pairs, before = _checkpoint(_pairs(edges, src, dst))
+    while before["n"]:
+        pairs, after = _checkpoint(_small_star(_large_star(pairs)))
         if after == before:
             break
         before = after
-    return nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df once to spark.checkpoint.dir (a temporary folder where that is unset, as in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, or where that is unset the one given to setCheckpointDir.
+
+    Without either, a session of one process (local[n], as in tests) gets a folder of its own. On a cluster that is an error, as no folder
+    of one machine is shared.
+    """
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    held = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not folder and re.fullmatch(r"local(\[.*\])?", context.master):
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not held.isDefined():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df once to the shared folder; a lost executor loses nothing, and Spark drops the files with the plan."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the place that executors share."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
