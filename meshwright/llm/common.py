@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.plans.materialise import checkpoint, scratch_path  # noqa: F401
+
 #: White space of every contract here: space, and tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a local one (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = sc._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written once to the shared folder; a lost executor loses nothing, and Spark drops the files with the plan."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -58,17 +35,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", buckets: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """docs whose key can't be in ids, and the rest, by a set of hash buckets.
+#: Bits of an id filter for each id, and in all (at 64 bits a row, 2**21 rows are broadcast at most).
+BITS_EACH, MOST_BITS = 16, 1 << 27
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """docs whose key can't be in ids, and the rest: one in 16 of the others beside those that are.
 
-    The set has `buckets` rows at most, whatever the input's size, so that it may be broadcast; the rest still
-    needs an exact join, which then shuffles little more than the rows that match.
+    The filter is a bitmap of hashes, its rows words of 64 bits; its size follows the number of ids up to MOST_BITS. Of more ids than that
+    it would pass nearly all rows: then all are the rest. What follows must tell them apart itself, and shuffles little more
+    than the rows that match.
     """
-    (name,) = fresh(docs, "_bucket")
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-    filled = F.broadcast(ids.select(bucket.alias(name)).distinct())
-    tagged = docs.withColumn(name, bucket)
-    return tuple(tagged.join(filled, name, kind).select(*(F.col(f"`{c}`") for c in docs.columns)) for kind in ("left_anti", "left_semi"))
+    n = ids.count()
+    if n > MOST_BITS:
+        return docs.limit(0), docs
+    bits = min(MOST_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
+    word, mask, filled = fresh(docs, "_word", "_mask", "_filled")
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    own = [F.shiftright(place, 6).alias(word), F.expr("shiftleft(1L, cast(%s as int))" % mask).alias(mask)]
+    put = lambda df: df.withColumn(mask, F.pmod(place, F.lit(64)))
+    words = put(ids.select(key)).select(*own).groupBy(word).agg(F.bit_or(mask).alias(filled))
+    tagged = put(docs).withColumns({word: own[0], mask: own[1]}).alias("d")
+    words = F.broadcast(words.alias("f"))
+    hit = (F.col(f"d.{word}") == F.col(f"f.{word}")) & (F.col(f"d.{mask}").bitwiseAND(F.col(f"f.{filled}")) != 0)
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    return tuple(tagged.join(words, hit, kind).select(*columns) for kind in ("left_anti", "left_semi"))
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,19 +1,18 @@
 """Near duplicates by improved consistent weighted sampling (Ioffe, 2010) over TF-IDF shingles.
 
-Half of the bands sample each distinct shingle alike, so that pairs of that unweighted similarity are found as surely.
-
 Passes over the text: one estimates the document frequency of every shingle (an additive sketch of bounded size); one takes each
 document's weighted samples and bands them; a last one, over candidates only, gives the weighted sets by which pairs are verified.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.llm import common
@@ -21,19 +20,26 @@ from meshwright.llm.shingles import STEP, Shingler, distinct, mixed
 from meshwright.operators.components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Twelve bands of three samples find a pair of similarity 0.8 with a chance of 0.9998; as many again are of unweighted samples.
-BANDS, ROWS = 12, 3
-#: Rows and columns (a power of two) of the sketch of document frequencies, and the share of documents at which a shingle weighs 2.
-DEPTH, BITS, COMMON = 3, 18, 0.01
-#: Members up to which all pairs of a bucket are candidates; in larger ones leaders are drawn until every pair is decided.
-ALL_PAIRS = 6
-#: Members of a large bucket that one join key gathers, and how the number of leaders of a bucket grows by turns.
-BLOCK, GROWTH = 256, 4
+#: Sixteen bands of five samples find a pair of similarity 0.8 with a chance of 0.998, one of 0.5 with 0.4.
+BANDS, ROWS = 16, 5
+#: Rows and columns (a power of two) of the sketch of document frequencies.
+DEPTH, BITS = 3, 18
+#: A shingle of one document alone weighs 1 + IDF_SHARE, one of all documents a little over 1.
+IDF_SHARE = 0.5
+#: Weights are powers of this, so that a set's entry holds its weight in 8 bits.
+LEVEL = 1.02
+#: Members of a bucket that one join key or one group gathers.
+BLOCK = 512
+#: Keys over which a bucket is dealt before its size is known.
+SALT = 16
+#: Of 80 samples, a pair of similarity 0.8 shares fewer than this share with a chance of 1 in 10 000.
+LEAST_SHARED = 0.63
 
 
 def _cells(shingles: np.ndarray) -> list[np.ndarray]:
     """The column of each shingle in each row of the sketch: bits of their own, as shingles are hashes."""
-    return [((shingles >> np.uint64(BITS * k)) & np.uint64((1 << BITS) - 1)).astype(np.int32) for k in range(DEPTH)]
+    mask = np.uint64((1 << BITS) - 1)
+    return [((shingles >> np.uint64(BITS * k)) & mask).astype(np.int32) for k in range(DEPTH)]
 
 
 def _packed(table: np.ndarray) -> bytes:
@@ -52,6 +58,10 @@ def _steps(batches):
             yield batch.slice(i, j - i)
 
 
+_SKETCH = "part int, docs long, sketch binary"
+_SKETCH_ARROW = pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("sketch", pa.binary())])
+
+
 def _sketches(batches):
     from pyspark import TaskContext
 
@@ -62,10 +72,8 @@ def _sketches(batches):
             row += np.bincount(cells, minlength=1 << BITS)
         docs += int((counts > 0).sum())
     if docs:
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "docs": [docs], "sketch": pa.array([_packed(table)], pa.binary())})
-
-
-_SKETCH = "part int, docs long, sketch binary"
+        part = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs], "sketch": [_packed(table)]}, _SKETCH_ARROW)
 
 
 def _merged(rows: pd.DataFrame) -> pd.DataFrame:
@@ -76,19 +84,24 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Weights:
-    """Weight of a shingle in a document: (1 + ln tf) times a damped inverse document frequency.
+    """Weight of a shingle in a document: (1 + ln tf) * (1 + IDF_SHARE * ln(1 + n / df) / ln(1 + n)), as a power of LEVEL.
 
-    The frequency is an estimate for every shingle: the least, over the sketch's rows, of its cell less the row's median cell, which is what
-    other shingles add by chance; 1 at least. As it depends on the shingle alone, all documents are compared with equal weights.
+    The document frequency df is an estimate for every shingle: the least, over the sketch's rows, of its cell less the row's median cell,
+    which is what other shingles add by chance; 1 at least. As it depends on the shingle alone, all documents are compared alike.
     """
 
     def __init__(self, docs: int, table: np.ndarray):
         frequency = np.maximum(table - np.median(table, axis=1, keepdims=True), 1)
-        self.idf = (1 + np.log1p(docs / frequency) / np.log1p(1 / COMMON)).astype(np.float32)
+        self.ln_idf = np.log1p(IDF_SHARE * np.log1p(docs / frequency) / np.log1p(max(docs, 1))).astype(np.float32)
 
     def __call__(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        idf = np.max([row[cells] for row, cells in zip(self.idf, _cells(shingles))], axis=0)
-        return (idf * (1 + np.log(tf))).astype(np.float32)
+        """The exponent of LEVEL for each shingle."""
+        ln_idf = np.max([row[cells] for row, cells in zip(self.ln_idf, _cells(shingles))], axis=0)
+        return np.minimum(np.rint((ln_idf + np.log1p(np.log(tf))) / np.log(LEVEL)), 255).astype(np.uint8)
+
+
+_LN_LEVELS = (np.arange(256) * np.log(LEVEL)).astype(np.float32)
+_LEVELS = LEVEL ** np.arange(256.0)
 
 
 def document_frequencies(texts: DataFrame) -> Weights:
@@ -113,10 +126,9 @@ class Sampler:
         self.ln_c = np.log(rng.gamma(2, 1, 1 << 16)).astype(np.float32)
         self.seeds = rng.integers(1, 1 << 63, draws, dtype=np.uint64)
 
-    def __call__(self, shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def __call__(self, shingles: np.ndarray, ln_w: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """A row of samples (bits of the least a) for each document; counts are positive."""
-        starts = np.cumsum(counts) - counts
-        ln_w = np.log(weights).astype(np.float32)
+        starts, ln_w = np.cumsum(counts) - counts, ln_w.astype(np.float32)
         out = np.empty((len(counts), len(self.seeds)), np.uint32)
         for k, seed in enumerate(self.seeds):
             x = mixed(shingles ^ seed)
@@ -127,11 +139,6 @@ class Sampler:
             out[:, k] = np.minimum.reduceat(ln_c - r * (t - b) - r, starts).view(np.uint32)
         return out
 
-    def plain(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The same for weights of 1: the least hash of each document's shingles for each draw."""
-        starts = np.cumsum(counts) - counts
-        return np.stack([np.minimum.reduceat(mixed(shingles ^ ~seed), starts) for seed in self.seeds], 1)
-
 
 def _fingerprints(shingles: np.ndarray, tf: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """16 bytes that two documents share if they have the same shingles as often."""
@@ -141,139 +148,295 @@ def _fingerprints(shingles: np.ndarray, tf: np.ndarray, counts: np.ndarray) -> l
     return [row.tobytes() for row in both]
 
 
+_SIGNED = "doc_id long, sha binary, key binary, weight float, samples binary, bands array<long>"
+
+
 def _signing(weights: Weights):
     def sign(batches):
+        """Of each document: key (None without words), total weight, a byte of each sample, and the bucket of each band."""
         shingler, sampler = Shingler(WORDS), Sampler(BANDS * ROWS)
         factors = mixed(np.arange(1, ROWS + 1, dtype=np.uint64))
         for step in _steps(batches):
             shingles, tf, counts = distinct(*shingler(step.column("text")))
             some = np.flatnonzero(counts)
-            keys, bands = np.full(len(counts), None, object), np.full(len(counts), None, object)
-            total = np.zeros(len(counts))
+            keys, parts, bands = (np.full(len(counts), None, object) for _ in range(3))
+            total = np.zeros(len(counts), np.float32)
             if len(some):
-                weighed = weights(shingles, tf)
-                total[some] = np.add.reduceat(weighed.astype(float), np.cumsum(counts[some]) - counts[some])
-                samples = np.concatenate([sampler(shingles, weighed, counts[some]).astype(np.uint64), sampler.plain(shingles, counts[some])], 1).reshape(len(some), 2 * BANDS, ROWS)
-                hashed = mixed((samples * factors).sum(2, dtype=np.uint64) ^ mixed(np.arange(2 * BANDS, dtype=np.uint64))).view(np.int64)
-                keys[some] = _fingerprints(shingles, tf, counts[some])
-                for i, row in zip(some.tolist(), hashed):
-                    bands[i] = row
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("sha"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(total), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sha", "key", "size", "weight", "bands"])
+                levels, sizes = weights(shingles, tf), counts[some]
+                total[some] = np.add.reduceat(_LEVELS[levels], np.cumsum(sizes) - sizes)
+                samples = sampler(shingles, _LN_LEVELS[levels], sizes)
+                banded = (samples.reshape(len(some), BANDS, ROWS) * factors).sum(2, dtype=np.uint64)
+                buckets = mixed(banded ^ mixed(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
+                keys[some] = _fingerprints(shingles, tf, sizes)
+                for i, row, sample in zip(some.tolist(), buckets, samples.astype(np.uint8)):
+                    bands[i], parts[i] = row, sample.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [step.column("doc_id"), step.column("sha"), pa.array(keys, pa.binary()), pa.array(total), pa.array(parts, pa.binary())]
+                + [pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "sha", "key", "weight", "samples", "bands"],
+            )
 
     return sign
 
 
 def _sets(weights: Weights):
     def sets(batches):
-        """Fingerprint, shingles and weights of each document with words."""
+        """Fingerprint and weighted set of each document with words: ascending words of 56 bits of a shingle and 8 of its weight."""
         shingler = Shingler(WORDS)
         for step in _steps(batches):
             shingles, tf, counts = distinct(*shingler(step.column("text")))
-            w, some = weights(shingles, tf), counts[counts > 0]
+            some = counts[counts > 0]
             if len(some):
+                entries = (shingles & ~np.uint64(255)) | weights(shingles, tf)
                 ends = np.cumsum(some)
-                short = (shingles >> np.uint64(24)).astype(np.uint64)  # 40 bits tell a pair's shingles apart
-                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(shingles, tf, some), pa.binary()), pa.array([short[e - n : e].tobytes() for e, n in zip(ends, some)], pa.binary()), pa.array([w[e - n : e].tobytes() for e, n in zip(ends, some)], pa.binary())], ["key", "shingles", "weights"])
+                own = [entries[e - n : e].tobytes() for e, n in zip(ends, some)]
+                keys = _fingerprints(shingles, tf, some)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(own, pa.binary())], ["key", "entries"])
 
     return sets
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """(weighted, unweighted) Jaccard similarity of two sets of ascending shingles."""
-    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = b[place] == a
-    x, y = wa[both].astype(float), wb[place[both]].astype(float)
-    shared = np.minimum(x, y).sum()
-    n = int(both.sum())
-    return shared / (wa.sum(dtype=float) + wb.sum(dtype=float) - shared), n / (len(a) + len(b) - n)
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of ascending entries."""
+    x, y = a >> np.uint64(8), b >> np.uint64(8)
+    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = y[place] == x
+    wa, wb = _LEVELS[(a & np.uint64(255)).astype(np.int32)], _LEVELS[(b & np.uint64(255)).astype(np.int32)]
+    shared = np.minimum(wa[both], wb[place[both]]).sum()
+    return shared / (wa.sum() + wb.sum() - shared)
+
+
+def _alike(x, y, least: float):
+    """Whether total weights allow a similarity of `least` (of arrays, or of columns through F.least)."""
+    return np.minimum(x, y) >= np.maximum(x, y) * (least - 1e-5)
+
+
+_LINKS = "a binary, b binary"
+
+
+def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    left, right = ([p[k] for p in pairs] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
 def _verifying(least: float):
     def verify(batches):
         for batch in batches:
-            left, right, sims = [], [], []
-            for a, b, sa, wa, sb, wb in zip(*(batch.column(c) for c in ("a", "b", "sa", "wa", "sb", "wb"))):
-                sim = max(similarity(*(np.frombuffer(x.as_buffer(), t) for x, t in ((sa, np.uint64), (wa, np.float32), (sb, np.uint64), (wb, np.float32)))))
-                if sim >= least:
-                    left.append(a.as_py())
-                    right.append(b.as_py())
-                    sims.append(sim)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+            rows = zip(*(batch.column(c) for c in ("leader", "key", "of_leader", "entries")))
+            sets = ((a, b, *(np.frombuffer(s.as_buffer(), np.uint64) for s in both)) for a, b, *both in rows)
+            yield _links([(a.as_py(), b.as_py()) for a, b, x, y in sets if similarity(x, y) >= least])
 
     return verify
 
 
-def _order(turn: int) -> Column:
-    return F.xxhash64("key", F.lit(turn))
+def _runs(batches, by: tuple[str, ...]):
+    """Tables of rows that agree in the integer columns `by`, from batches sorted by these."""
+    held, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids = np.stack([batch.column(c).to_numpy() for c in by], 1)
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(batch)]
+        for i, j in itertools.pairwise(cuts):
+            if held and (i or tuple(ids[0]) != last):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+        last = tuple(ids[-1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _candidates(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a group that may be linked, best first: (rows of members, rows of others, number of samples shared).
+
+    A pair counts in the first band that it shares and, if both are others, in one order; pairs of a component, pairs with the bucket's
+    leader (tried before), and those too unlike in weight or in samples are left out.
+    """
+    side = rows["other"].to_numpy()
+    left, right = np.flatnonzero(~side), np.flatnonzero(side)
+    part = rows["part"].combine_chunks().dictionary_encode().indices.to_numpy()
+    weight, leads, main = (rows[c].to_numpy() for c in ("weight", "leads", "main"))
+    samples, keys = _matrix(rows["samples"], np.uint8, BANDS * ROWS), _matrix(rows["key"], ">u8", 2)
+    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    band = int(rows["band"][0].as_py())
+    found = []
+    for r in right[~leads[right]].tolist():
+        ahead = (keys[left, 0] < keys[r, 0]) | ((keys[left, 0] == keys[r, 0]) & (keys[left, 1] < keys[r, 1]))
+        some = left[(part[left] != part[r]) & ~leads[left] & (main[left] | ahead) & _alike(weight[left], weight[r], least)]
+        shared = (samples[some] == samples[r]).sum(1)
+        near = shared >= LEAST_SHARED * BANDS * ROWS
+        some, shared = some[near], shared[near]
+        first = ~(bands[some, :band] == bands[r, :band]).any(1)
+        found.append((some[first], np.full(int(first.sum()), r), shared[first]))
+    a, b, shared = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
+    order = np.argsort(-shared, kind="stable")
+    return a[order], b[order], shared[order]
+
+
+_GROUP = ("bucket", "i", "j")
+
+
+def _wanting(least: float):
+    def wanting(batches):
+        """The rows of each group that some candidate pair needs."""
+        for rows in _runs(batches, _GROUP):
+            a, b, _ = _candidates(rows, least)
+            if len(a):
+                yield from rows.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
+
+    return wanting
+
+
+def _linking(least: float):
+    def link(batches):
+        """Links between a group's members; components that a link has joined aren't compared further."""
+        for rows in _runs(batches, _GROUP):
+            a, b, _ = _candidates(rows, least)
+            part = rows["part"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+            keys, sets = rows["key"].to_pylist(), [np.frombuffer(x, np.uint64) for x in rows["entries"].to_pylist()]
+            found = []
+            for x, y in zip(a.tolist(), b.tolist()):
+                if part[x] != part[y] and similarity(sets[x], sets[y]) >= least:
+                    found.append((keys[x], keys[y]))
+                    part[part == part[y]] = part[x]
+            if found:
+                yield _links(found)
+
+    return link
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Classes of docs(doc_id long, text string) linked by a similarity of `least` or more over shingles of five words.
+    """Classes of docs(doc_id long, text string) linked by a weighted similarity of `least` or more over shingles of five words.
 
     One row for each input row: doc_id, class_id (the class's smallest doc_id), class_size (rows), kept (one row of each class: the least
-    by doc_id, nulls last, then text_sha256) and text_sha256, which with doc_id tells rows of different texts apart. Links aren't counted: within a class most pairs need no comparison, and all of them grow with the square of its size.
+    by doc_id, nulls last, then text_sha256) and text_sha256, which with doc_id tells rows of different texts apart.
 
-    Texts with the same shingles are one node from the start, so copies are never paired. A pair is linked if its weighted Jaccard
-    similarity is at least `least`; so it is if the unweighted one is, as weights mustn't undo a link. Every two members of a bucket (a band's
-    samples) are compared, or found in one component by other links, or so unlike in size that they can't be linked. A bucket of up to
-    ALL_PAIRS nodes offers all its pairs. In a larger one leaders are held against all members of other components; they are drawn from
-    members that haven't led and aren't in the bucket's largest component, GROWTH times as many each turn, until those
-    that haven't led are of one component. Work is linear in the members of a bucket times those outside its largest component.
+    Texts with the same shingles are one node from the start, so copies are never paired. Two nodes are candidates if they share a bucket
+    (a band's samples), and linked if the weighted Jaccard similarity of their whole sets is at least `least`. First every member of a
+    bucket is held against its leader, the member whose buckets are fullest: in a group of near copies that is the text they derive from,
+    and the components that follow join nearly all. Then buckets whose members are still in different components are searched whole, in
+    blocks: each member outside the bucket's largest component against all members of other components. So every pair that shares a
+    bucket is decided, and buckets of one component cost as much as they have members.
 
     Nulls: a null or empty text, or one without words, resembles nothing and is a class of its own. Null ids are linked as any; a class's
-    id is null only if all its ids are, and one of its rows is kept all the same. Rows that share an id are rows of their own. Empty table: no rows. Other columns are ignored.
+    id is null only if all its ids are, and one of its rows is kept all the same. Rows that share an id are rows of their own. Very long
+    texts are taken whole. Empty table: no rows. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     weights = document_frequencies(texts.select("text"))
-    rows = common.checkpoint(texts.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).mapInArrow(_signing(weights), "doc_id long, sha binary, key binary, size long, weight double, bands array<long>"))
-    nodes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    buckets = common.checkpoint(nodes.select("key", "doc_id", "size", "weight", F.posexplode("bands").alias("band", "hash")))
-    sizes = buckets.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "size", "weight"), _order(0)).alias("leader")).filter("n > 1")
-    members = common.checkpoint(buckets.join(sizes, ["band", "hash"]))
+    hashed = texts.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    rows = common.checkpoint(hashed.mapInArrow(_signing(weights), _SIGNED))
+    own = ("doc_id", "weight", "samples", "bands")
+    nodes = rows.filter("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in own))
+    nodes = common.checkpoint(nodes)
+    members = _members(nodes)
+    pairs = common.checkpoint(_led(members, least))
 
     _, near = common.split_by_ids(texts, members.select("doc_id"))
-    wanted = members.select("key").distinct()
-    sets = common.checkpoint(near.mapInArrow(_sets(weights), "key binary, shingles binary, weights binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-
-    few = members.filter(F.col("n") <= ALL_PAIRS).groupBy("band", "hash").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    few = few.select(F.posexplode("keys").alias("i", "a"), "keys").select("a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b")).distinct()
-    large = members.filter((F.col("n") > ALL_PAIRS) & (F.col("key") != F.col("leader.key")))
-    tried = common.checkpoint(few.unionByName(_led(large, least)).distinct())
-    parts = common.checkpoint(connected_components(common.checkpoint(_verified(tried, sets, least)), "a", "b"))
-    # members that haven't led, in blocks of bounded size
-    large = large.withColumn("blocks", F.expr(f"n div {BLOCK} + 1")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    large = large.select("band", "hash", "key", "size", "weight", "blocks", "block")
-    turn = 0
-    while True:
-        turn += 1
-        where = large.join(parts.toDF("key", "part"), "key", "left").withColumn("part", F.coalesce("part", "key"))
-        counted = where.groupBy("band", "hash", "part").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks"))
-        split = counted.groupBy("band", "hash").agg(F.max(F.struct("n", "part")).alias("big"), F.sum("n").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.max("blocks").alias("blocks")).filter("low != high")
-        split = split.select("band", "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("big.part").alias("main"), (F.col("n") - F.col("big.n")).alias("others"))
-        # buckets that are decided drop out; each other member of few is a leader, and some of many
-        drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 20)) * F.col("others") < F.lit(GROWTH**turn << 20)
-        where = common.checkpoint(where.join(split, ["band", "hash", "block"]).select(*large.columns, "part", ((F.col("part") != F.col("main")) & drawn).alias("leads")))
-        if not where.limit(1).count():
-            break
-        leaders = where.filter("leads").select("band", "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("part").alias("leading"), F.struct("key", "size", "weight").alias("leader"))
-        offered = _led(where.join(leaders, ["band", "hash", "block"]).filter("part != leading"), least).distinct()
-        fresh = common.checkpoint(offered.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(fresh)
-        found = common.checkpoint(_verified(fresh, sets, least))
-        if found.limit(1).count():
-            parts = _joined(parts, found)
-        large = where.filter("not leads").select(*large.columns)
-
-    copies = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha")).alias("first"), F.count("*").alias("rows"))
-    parts = parts.withColumnRenamed("node", "key")
+    sets = near.mapInArrow(_sets(weights), "key binary, entries binary").join(members.select("key").distinct(), "key", "left_semi")
+    sets = common.checkpoint(sets.dropDuplicates(["key"]))
+
+    parts = common.checkpoint(connected_components(common.checkpoint(_verified(pairs, sets, least)), "a", "b"))
+    found = common.checkpoint(_found_in_open(members, nodes, sets, parts, least))
+    if not found.isEmpty():
+        parts = _joined(parts, found)
+    return _classes(rows, parts)
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, doc_id, weight, band, bucket, n, blocks, block, leads) of every node in buckets of two or more; n counts the bucket."""
+    buckets = nodes.select("key", "doc_id", "weight", F.posexplode("bands").alias("band", "bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = sizes.select("bucket", "n", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    buckets = buckets.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int"))
+    members = buckets.join(sizes, ["bucket", "salt"]).drop("salt").withColumn("blocks", F.expr(f"n div {BLOCK} + 1"))
+    members = common.checkpoint(members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))))
+    central = members.groupBy("key").agg(F.sum("n").alias("central"))
+    leaders = members.join(central, "key").groupBy("bucket").agg(F.max(F.struct("central", "key", "weight")).alias("leader"), F.max("blocks").alias("blocks"))
+    return common.checkpoint(members.join(_dealt(leaders).select("bucket", "block", "leader"), ["bucket", "block"]))
+
+
+def _dealt(buckets: DataFrame) -> DataFrame:
+    """A row for each block of each bucket."""
+    return buckets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+
+def _led(members: DataFrame, least: float) -> DataFrame:
+    """Each pair (leader, key) once whose weights allow a similarity of `least`, in blocks of a leader."""
+    alike = F.least("leader.weight", "weight") >= F.greatest("leader.weight", "weight") * F.lit(least - 1e-5)
+    pairs = members.filter((F.col("leader.key") != F.col("key")) & alike).select(F.col("leader.key").alias("leader"), "key", "blocks")
+    pairs = pairs.groupBy("leader", "key").agg(F.max("blocks").alias("blocks"))
+    return pairs.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) among pairs; a leader's set meets its pairs in blocks."""
+    place = ["leader", "blocks", "block"]
+    leaders = pairs.select(*place).distinct().join(sets.toDF("leader", "of_leader"), "leader")
+    both = pairs.join(sets, "key").join(leaders, place).select("leader", "key", "of_leader", "entries")
+    return both.mapInArrow(_verifying(least), _LINKS)
+
+
+def _found_in_open(members: DataFrame, nodes: DataFrame, sets: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that leaders haven't shown, from buckets whose members are in several components."""
+    where = members.join(parts.toDF("key", "part"), "key", "left").withColumn("part", F.coalesce("part", "key"))
+    counted = where.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks"))
+    split = counted.groupBy("bucket").agg(
+        F.max(F.struct("n", "part")).alias("big"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("blocks").alias("blocks")
+    )
+    # a bucket of two is decided by its leader
+    split = split.filter("parts > 1 and n > 2").select(
+        "bucket", "blocks", F.col("big.part").alias("largest"), F.expr(f"(n - big.n) div {BLOCK} + 1").alias("turns")
+    )
+    rows = where.join(_dealt(split).drop("blocks"), ["bucket", "block"])
+    rows = rows.select(
+        "bucket", "band", "key", "part", "weight", "blocks", "block", "turns",
+        (F.col("leader.key") == F.col("key")).alias("leads"), (F.col("part") == F.col("largest")).alias("main"),
+    ).join(nodes.select("key", "samples", "bands"), "key")
+    turn = F.pmod(F.xxhash64("key", F.lit("turn")), F.col("turns"))
+    until = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    held = rows.withColumns({"other": F.lit(False), "i": F.col("block"), "j": F.explode(until("turns"))})
+    others = rows.filter("not main").withColumns({"other": F.lit(True), "i": F.explode(until("blocks")), "j": turn})
+    columns = [*_GROUP, "other", "band", "key", "part", "weight", "leads", "main", "samples", "bands"]
+    groups = held.select(*columns).unionByName(others.select(*columns))
+    wanted = _grouped(groups).mapInArrow(_wanting(least), groups.schema)
+    return _grouped(wanted.join(sets, "key")).mapInArrow(_linking(least), _LINKS)
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def _joined(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """parts(node, component) after new links found(a, b): only components are searched, not their nodes."""
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    alone = ends.join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+    parts = common.checkpoint(parts.unionByName(alone))
+    touched = found.join(parts.toDF("a", "u"), "a").join(parts.toDF("b", "v"), "b").select("u", "v").distinct()
+    moved = connected_components(common.checkpoint(touched), "u", "v").toDF("component", "now")
+    moved = parts.join(moved, "component", "left")
+    return common.checkpoint(moved.select("node", F.coalesce("now", "component").alias("component")))
+
+
+def _classes(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The result for every row from the components of nodes."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha"))
+    copies = rows.filter("key is not null").groupBy("key").agg(first.alias("first"), F.count("*").alias("rows"))
     # nodes of one row without a link are classes of their own and take no part in what follows
-    grouped = copies.join(parts, "key", "left").filter("component is not null or rows > 1").withColumn("component", F.coalesce("component", "key"))
+    grouped = copies.join(parts.withColumnRenamed("node", "key"), "key", "left").filter("component is not null or rows > 1")
+    grouped = grouped.withColumn("component", F.coalesce("component", "key"))
     classes = grouped.groupBy("component").agg(F.min("first").alias("first"), F.sum("rows").alias("class_size"))
     named = grouped.select("key", "component").join(classes, "component")
     out = common.checkpoint(rows.filter("key is not null").select("doc_id", "sha", "key").join(named, "key", "left"))
     single = rows.filter("key is null").select("doc_id", "sha").unionByName(out.filter("component is null").select("doc_id", "sha"))
     single = single.withColumns({"class_id": F.col("doc_id"), "class_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    return single.unionByName(_first_kept(out.filter("component is not null"))).select("doc_id", "class_id", "class_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    both = single.unionByName(_first_kept(out.filter("component is not null")))
+    return both.select("doc_id", "class_id", "class_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def _first_kept(rows: DataFrame) -> DataFrame:
@@ -281,27 +444,7 @@ def _first_kept(rows: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
-    one = rows.filter(first).withColumn("kept", F.row_number().over(Window.partitionBy("component").orderBy(F.lit(1))) == 1)
+    nth = F.row_number().over(Window.partitionBy("component").orderBy(F.lit(1)))
+    one = rows.filter(first).withColumn("kept", nth == 1)
     both = one.unionByName(rows.filter(~first).withColumn("kept", F.lit(False)))
     return both.select("doc_id", "sha", F.col("first.doc_id").alias("class_id"), "class_size", "kept")
-
-
-def _led(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of each row's text and its leader whose sizes or weights allow a similarity of `least`."""
-    alike = [F.least(c, f"leader.{c}") >= F.greatest(c, f"leader.{c}") * (least - 1e-6) for c in ("size", "weight")]
-    return rows.filter(alike[0] | alike[1]).select(F.least("leader.key", "key").alias("a"), F.greatest("leader.key", "key").alias("b"))
-
-
-def _joined(parts: DataFrame, found: DataFrame) -> DataFrame:
-    """parts(node, component) after new links found(a, b): only the components that these touch are searched."""
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    parts = common.checkpoint(parts.unionByName(ends.join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))))
-    touched = found.join(parts.toDF("a", "u"), "a").join(parts.toDF("b", "v"), "b").select("u", "v").distinct()
-    moved = connected_components(common.checkpoint(touched), "u", "v").toDF("component", "now")
-    return common.checkpoint(parts.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(_verifying(least), "a binary, b binary, similarity double")

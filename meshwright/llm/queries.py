@@ -81,7 +81,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm.simple8b import read_ids, write_ids
 
-    path = common.new_path(spark, "token-ids")
+    path = common.scratch_path(spark, "token-ids")
     write_ids(_table(spark, sf_dir, "documents"), path, tokenizer_path())
     return read_ids(spark, path, with_ids=False)
 

@@ -1,9 +1,10 @@
 import hashlib
-import itertools
+import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -77,24 +78,42 @@ def words(text):
     return re.findall(r"[0-9a-z_\u0080-\U0010ffff]+", (text or "").lower())
 
 
-def shingled(text):
-    w = words(text)
-    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+def brute_weights(rows):
+    """Each document's shingles and weights, from exact document frequencies."""
+    counts = []
+    for i, t in rows:
+        w = words(t)
+        counts.append((i, Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()))
+    frequency = Counter(s for _, c in counts for s in c)
+    n = sum(bool(c) for _, c in counts)
+
+    def weight(shingle, tf):
+        raw = (1 + math.log(tf)) * (1 + 0.5 * math.log1p(n / frequency[shingle]) / math.log1p(n))
+        return 1.02 ** round(math.log(raw) / math.log(1.02))
+
+    return [(i, {s: weight(s, tf) for s, tf in c.items()}) for i, c in counts]
+
 
+def jaccard(x, y):
+    shared = sum(min(w, y[s]) for s, w in x.items() if s in y)
+    return shared / (sum(x.values()) + sum(y.values()) - shared) if shared else 0.0
 
-def brute_classes(rows):
-    sets = [(i, shingled(t)) for i, t in rows]
-    root = list(range(len(sets)))
+
+def brute_classes(rows, least=0.8):
+    sets = brute_weights(rows)
+    root, holders = list(range(len(sets))), defaultdict(list)
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(range(len(sets)), 2):
-        x, y = sets[a][1], sets[b][1]
-        if x and y and len(x & y) >= 0.8 * len(x | y):
-            root[find(b)] = find(a)
+    for k, (_, x) in enumerate(sets):
+        for a in {a for s in x for a in holders[s]}:
+            if find(a) != find(k) and jaccard(sets[a][1], x) >= least:
+                root[find(k)] = find(a)
+        for s in x:
+            holders[s].append(k)
     classes = defaultdict(list)
     for k, (i, _) in enumerate(sets):
         classes[find(k)].append(i)
@@ -132,13 +151,11 @@ def test_samples_agree_as_often_as_weighted_similarity_says():
     a, b = keys[:150], keys[50:]
     shared = np.minimum(wa[50:], wb[:100]).sum()
     want = shared / (wa.sum() + wb.sum() - shared)
-    got = (sampler(a, wa, np.array([150])) == sampler(b, wb, np.array([150]))).mean()
+    got = (sampler(a, np.log(wa), np.array([150])) == sampler(b, np.log(wb), np.array([150]))).mean()
     assert abs(got - want) < 0.05
 
 
 def test_shingles_of_a_batch():
-    import pyarrow as pa
-
     keys, counts = Shingler(5)(pa.array(["a b c d e f", "A, b; c d e", "", "x y", "a b c d e f a b c d e"]))
     assert counts.tolist() == [2, 1, 0, 1, 7] and keys[0] == keys[2] and len(distinct(keys, counts)[0]) == 2 + 1 + 1 + 6
 
@@ -215,9 +232,26 @@ def test_pipeline_end_to_end(spark, sf_dir):
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0
 
 
+def same_buckets(monkeypatch):
+    """All texts share all buckets, and no two can be told apart by their samples."""
+
+    class Same(near_dedup.Sampler):
+        def __call__(self, shingles, ln_w, counts):
+            return np.zeros((len(counts), len(self.seeds)), np.uint32)
+
+    monkeypatch.setattr(near_dedup, "Sampler", Same)
+
+
+def found_classes(docs):
+    classes = defaultdict(list)
+    for r in near_dedup.near_duplicates(docs).collect():
+        classes[r.class_id].append(r.doc_id)
+    return {frozenset(Counter(map(str, v)).items()) for v in classes.values()}
+
+
 def test_chains_in_large_buckets_are_followed(spark, monkeypatch):
-    """Texts that drift apart step by step, all in one bucket: the first leader resembles few of them."""
-    monkeypatch.setattr(near_dedup, "ALL_PAIRS", 2)
+    """Texts that drift apart step by step, all in one bucket: its leader resembles few of them."""
+    same_buckets(monkeypatch)
     rng = np.random.default_rng(8)
     text, rows = [f"w{k}" for k in range(300)], []
     for i in range(24):
@@ -227,26 +261,37 @@ def test_chains_in_large_buckets_are_followed(spark, monkeypatch):
     assert {r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
 
 
-def test_large_buckets_are_decided_whole(spark, monkeypatch):
-    """All texts in the same buckets, one class that fills them, and pairs and single texts beside it."""
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_buckets_are_decided_whole(spark, monkeypatch, block):
+    """One class that fills a bucket, and pairs and single texts beside it; also where a bucket is many blocks."""
+    same_buckets(monkeypatch)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    bases = [[f"b{k}w{rng.integers(10**6)}" for _ in range(200)] for k in range(21)]
+    rows = [(i, edited(bases[0], rng, 0.005)) for i in range(120)] + [(300 + i, " ".join(bases[13 + i])) for i in range(8)]
+    rows += [(200 + i, edited(bases[1 + i // 2], rng, 0.005)) for i in range(24)]
+    assert found_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_classes(rows)
 
-    class Same(near_dedup.Sampler):
-        def __call__(self, shingles, weights, counts):
-            return np.zeros((len(counts), len(self.seeds)), np.uint32)
 
-        def plain(self, shingles, counts):
-            return np.zeros((len(counts), len(self.seeds)), np.uint64)
+def test_buckets_of_over_a_thousand(spark):
+    """1500 near copies of one text, some of them linked only to each other, and texts that share its first half."""
+    rng = np.random.default_rng(12)
+    base = [f"w{rng.integers(10**6)}" for _ in range(60)]
+    far = base[:44] + [f"f{k}" for k in range(16)]
+    rows = [(i, edited(base, rng, 0.004)) for i in range(1500)] + [(2000 + i, edited(far, rng, 0.004)) for i in range(60)]
+    rows += [(3000 + i, " ".join(base[:30] + [f"x{rng.integers(10**6)}" for _ in range(30)])) for i in range(200)]
+    assert found_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute_classes(rows)
 
-    monkeypatch.setattr(near_dedup, "Sampler", Same)
-    monkeypatch.setattr(near_dedup, "BANDS", 2)
-    rng = np.random.default_rng(4)
-    bases = [[f"b{k}w{rng.integers(10**6)}" for _ in range(200)] for k in range(21)]
-    rows = [(i, edited(bases[0], rng, 0.005)) for i in range(120)] + [(200 + i, edited(bases[1 + i // 2], rng, 0.005)) for i in range(24)] + [(300 + i, " ".join(bases[13 + i])) for i in range(8)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    classes = defaultdict(list)
-    for r in got:
-        classes[r.class_id].append(r.doc_id)
-    assert {frozenset(Counter(map(str, v)).items()) for v in classes.values()} == brute_classes(rows)
+
+def test_weights_decide(spark):
+    """Two texts of one similarity by counts: linked where what they share is rare, not where it is in most documents."""
+    common_line, rare = [f"c{k}" for k in range(84)], [f"r{k}" for k in range(84)]
+    rows = [(k, " ".join(common_line + [f"d{k}w{j}" for j in range(300)])) for k in range(200)]
+    rows += [(1000 + k, " ".join(common_line + [f"e{k}w{j}" for j in range(8)])) for k in range(2)]
+    rows += [(2000 + k, " ".join(rare + [f"g{k}w{j}" for j in range(8)])) for k in range(2)]
+    classes = found_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert classes == brute_classes(rows)
+    assert frozenset({("2000", 1), ("2001", 1)}) in classes and frozenset({("1000", 1), ("1001", 1)}) not in classes
 
 
 def test_near_dedup_stage_tells_rows_of_one_id_apart(spark, sf_dir):
@@ -268,23 +313,24 @@ def test_near_dedup_stage_tells_rows_of_one_id_apart(spark, sf_dir):
     assert Counter(r.class_size for r in classes.filter("kept").collect()) == Counter({1: 7, 2: 2, 3: 2})
 
 
-def test_repeated_passages_are_linked_to_single_ones(spark):
-    """Unweighted similarity near 1, weighted about 1 / (1 + ln 12)."""
-    rng = np.random.default_rng(7)
-    texts = [[f"p{k}w{rng.integers(10**6)}" for _ in range(120)] for k in range(60)]
-    docs = spark.createDataFrame([(i + 100 * j, " ".join(t * (12 if j else 1))) for i, t in enumerate(texts) for j in (0, 1)], "doc_id long, text string").repartition(3)
-    assert Counter((r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()) == Counter({(i, 2): 2 for i in range(60)})
-
-
 def test_rare_shingles_weigh_by_their_own_frequency(spark):
     """A line that 0.5 % of documents hold, one that 2 % hold, and words of one document."""
-    rows = [(f"{'seldom seen line of words ' if i % 200 == 0 else ''}{'often seen line of words ' if i % 50 == 1 else ''}" + " ".join(f"d{i}w{k}" for k in range(30)),) for i in range(2000)]
+    seldom, often = "seldom seen line of words ", "often seen line of words "
+    rows = [((seldom if i % 200 == 0 else "") + (often if i % 50 == 1 else "") + " ".join(f"d{i}w{k}" for k in range(30)),) for i in range(2000)]
     weights = near_dedup.document_frequencies(spark.createDataFrame(rows, "text string").repartition(7))
-    import pyarrow as pa
-
-    keys = Shingler(5)(pa.array(["seldom seen line of words", "often seen line of words", "d7w1 d7w2 d7w3 d7w4 d7w5"]))[0]
-    want = 1 + np.log1p(2000 / np.array([10, 40, 1])) / np.log1p(100)
-    assert weights(keys, np.ones(3)) == pytest.approx(want, rel=0.01)
+    keys = Shingler(5)(pa.array([seldom, often, "d7w1 d7w2 d7w3 d7w4 d7w5"]))[0]
+    want = 1 + 0.5 * np.log1p(2000 / np.array([10, 40, 1])) / np.log1p(2000)
+    assert 1.02 ** weights(keys, np.ones(3)).astype(float) == pytest.approx(want, rel=0.011)
+
+
+def test_ids_filter_of_many_ids(spark, odd_docs, monkeypatch):
+    """A filter that is full, and more ids than a filter can hold."""
+    ids = spark.range(0, 4000, 2).toDF("doc_id")
+    for most in (1 << 10, 1 << 4):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        far, near = common.split_by_ids(odd_docs, ids)
+        assert far.count() + near.count() == odd_docs.count() and far.columns == near.columns == odd_docs.columns
+        assert sorted(str(r.doc_id) for r in common.with_ids(odd_docs, ids).collect()) == ["12", "2", "4", "6", "8"]
 
 
 def test_rows_that_share_an_id_are_dealt_over_chunks(spark, monkeypatch):
