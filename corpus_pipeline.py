@@ -78,7 +78,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over documents; what each stage returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = common.new_path(spark, f"stage-{name}")
+        path = common.scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
