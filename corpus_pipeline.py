@@ -16,8 +16,8 @@ from meshwright.llm.queries import tokenizer_path
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the classifier accepts; it learns from the labels of rows that aren't held out.
 
-    Null and empty texts are scored as the empty text; repeated rows are scored alike. Without labels of both kinds every row stays or, if
-    all are 0, goes.
+    Null and empty texts are scored as the empty text, very long ones whole; repeated rows are scored alike. Without labels of both kinds
+    every row stays or, if all are 0, goes. Empty table: no rows.
     """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not model.combine.any():  # nothing learned: nothing can be rejected
@@ -26,7 +26,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of equal texts (one, where rows repeat)."""
+    """The row with the smallest id of each group of equal texts (one, where rows repeat).
+
+    A null text equals the empty one; very long texts are compared whole. A row without an id stays only where its group has no other.
+    Empty table: no rows.
+    """
     found = common.checkpoint(exact_dedup.find_duplicates(docs))
     # a row that repeats a kept row's id and text is dropped although its id stays
     sha = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
@@ -34,37 +38,71 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each class of near copies (one, where rows repeat or have no id)."""
+    """The row with the smallest id of each class of near copies (one, where rows repeat or have no id).
+
+    Null and empty texts, and texts without words, resemble nothing and stay; very long texts are compared whole. Empty table: no rows.
+    """
     found = common.checkpoint(near_dedup.near_duplicates(docs))
     return _kept(docs, found, F.sha2(common.text_or_empty().cast("binary"), 256))
 
 
 def _kept(docs: DataFrame, found: DataFrame, sha: Column) -> DataFrame:
-    """The rows of docs that found(doc_id, text_sha256, kept) keeps: as many of each id and text, which sha gives, as are kept there."""
-    dropped, kept = found.filter("not kept"), found.filter("kept")
+    """The rows of docs that found(doc_id, text_sha256, kept) keeps: as many of each id and text, which sha gives, as are kept there.
+
+    Only rows whose id may be that of a dropped row are shuffled.
+    """
+    dropped = found.filter("not kept")
     far, near = common.split_by_ids(docs, dropped)
-    _, told = common.split_by_ids(kept, dropped)
+    _, told = common.split_by_ids(found, dropped)
     own, place = common.fresh(docs, "_own", "_place")
-    told = told.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).alias("t")
-    rows = near.withColumn(own, sha)
-    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.lit(1)))).alias("r")
-    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col(f"r.{own}") == F.col("t.text_sha256")) & (F.col(f"r.{place}") <= F.col("t.n"))
-    return far.unionByName(rows.join(told, same, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)))
+    told = told.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay")).filter("stay > 0").alias("t")
+    rows = near.withColumn(own, sha).alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col(f"r.{own}") == F.col("t.text_sha256"))
+    names = [F.col(f"r.`{c}`") for c in docs.columns]
+    whole = rows.join(told.filter("stay = n"), same, "left_semi").select(*names)
+    # rows that repeat in id and text, of which some stay
+    nth = F.row_number().over(Window.partitionBy("r.doc_id", f"r.{own}").orderBy(F.lit(1)))
+    some = rows.join(told.filter("stay < n"), same).withColumn(place, nth).filter(F.col(place) <= F.col("t.stay")).select(*names)
+    return far.unionByName(whole).unionByName(some)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it. Rows that share an id may swap their numbers of copies."""
-    key, nth, copy = common.fresh(docs, "_id", "_nth", "_copy")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
-    copies = mixing.mix(docs).select(F.col("doc_id").alias(key), F.col("copies").alias(copy)).withColumn(nth, place)
-    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(nth, place)
-    taken = rows.alias("r").join(copies.alias("c"), F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}")) & (F.col(f"r.{nth}") == F.col(f"c.{nth}")))
-    repeated = F.explode(F.sequence(F.lit(1), F.col(f"c.{copy}"))).alias(copy)
-    return taken.filter(F.col(f"c.{copy}") > 0).select(*(F.col(f"r.`{c}`") for c in docs.columns), repeated).drop(copy)
+    """Each row as often as the mix takes it. Rows that share an id and a size may swap their numbers of copies.
+
+    Null and empty texts, and texts without words, have size 0 and come as often as their source's share says; a null source is a source
+    of its own; null ids are rows as any other. Very long texts are sized whole. Empty table: no rows.
+
+    The copies that all documents of a source get come from a table of sources; only rows that may get one more are shuffled.
+    """
+    found = common.checkpoint(mixing.mix(docs))
+    more = found.filter("copies > sure")
+    far, near = common.split_by_ids(docs, more)
+    key, place, copy = common.fresh(docs, "_key", "_place", "_copy")
+    names = [F.col(f"r.`{c}`") for c in docs.columns]
+    sure = found.groupBy("source").agg(F.first("sure").alias("sure")).alias("s")
+    same_source = F.col("r.source").eqNullSafe(F.col("s.source"))
+    far = far.alias("r").join(sure, same_source).select(*names, F.col("s.sure").alias(copy))
+    # copies of each id, size and source, in the order of their rows there
+    _, told = common.split_by_ids(found, more)
+    told = told.groupBy("doc_id", "size", "source").agg(F.count("*").alias("n"), F.count_if(F.expr("copies > sure")).alias("more"), F.first("sure").alias("sure"))
+    told = told.alias("t")
+    rows = near.withColumn(key, mixing.words(F.col("text"))).alias("r")
+    same = F.col("r.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")) & (F.col(f"r.{key}") == F.col("t.size"))
+    near = rows.join(told, same & F.col("r.source").cast("string").eqNullSafe(F.col("t.source")))
+    alike = near.filter("t.more in (0, t.n)").select(*names, (F.col("t.sure") + F.sign("t.more").cast("int")).alias(copy))
+    nth = F.row_number().over(Window.partitionBy("t.doc_id", "t.size", "t.source").orderBy(F.lit(1)))
+    apart = near.filter("t.more not in (0, t.n)").withColumn(place, nth)
+    apart = apart.select(*names, (F.col("t.sure") + (F.col(place) <= F.col("t.more")).cast("int")).alias(copy))
+    taken = far.unionByName(alike).unionByName(apart).filter(F.col(copy) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(copy)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 token ids."""
+    """Pieces of documents in sequences of 2048 token ids.
+
+    A null text is empty: its end id alone is a piece. Very long texts fill whole sequences; null and repeated ids are packed as any other
+    row. Empty table: no rows.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
