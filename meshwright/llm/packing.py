@@ -6,7 +6,6 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from meshwright.llm import common
 from meshwright.llm.tokens import BatchEncoder
 
-_COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Parts whose leftovers are merged by one task.
 _FAN_IN = 64
 
@@ -73,20 +71,25 @@ class Windows:
             self._close(0)
 
 
-def _rows(windows: list[list], first: int, closed: bool, ids_too: bool, part: int) -> pd.DataFrame:
-    out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
+_NUMBERS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+_COLUMNS = ", ".join(f"{c} long" for c in _NUMBERS)
+_STATE = _COLUMNS + ", ids binary, part int, closed boolean"
+_ARROW = pa.schema([*((c, pa.int64()) for c in _NUMBERS), ("ids", pa.binary()), ("part", pa.int32()), ("closed", pa.bool_())])
+
+
+def _rows(windows: list[list], first: int, closed: bool, ids_too: bool, part: int) -> pa.Table:
+    """A row for each piece; ids of documents stay whole numbers, as no null turns an Arrow column into floats."""
+    out = {c: [] for c in (*_NUMBERS, "ids")}
     for k, window in enumerate(windows):
         at = 0
         for doc, start, ids, total in window:
             data = ids.astype("<u4").tobytes()
-            for name, value in zip(out, (doc, start, len(ids), zlib.crc32(data), total, first + k, at, data if ids_too or not closed else None)):
+            row = (doc, start, len(ids), zlib.crc32(data), total, first + k, at, data if ids_too or not closed else None)
+            for name, value in zip(out, row):
                 out[name].append(value)
             at += len(ids)
-    return pd.DataFrame(out | {"part": part, "closed": closed})
-
-
-_STATE = _COLUMNS + ", ids binary, part int, closed boolean"
-_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary()), ("part", pa.int32()), ("closed", pa.bool_())])
+    n = len(out["doc_id"])
+    return pa.Table.from_pydict(out | {"part": [part] * n, "closed": [closed] * n}, _ARROW)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, open_windows: int = 16, min_cut: int = 16, include_ids: bool = False) -> DataFrame:
@@ -121,13 +124,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
                     at += n
                 # what stays open keeps its own ids, not the batch's
                 windows.open = [[(d, s, x.copy(), t) for d, s, x, t in w] for w in windows.open]
-                rows = _rows(windows.out, (part << 32) + made, True, include_ids, part)
+                yield from _rows(windows.out, (part << 32) + made, True, include_ids, part).to_batches()
                 made, windows.out = made + len(windows.out), []
-                if len(rows):
-                    yield pa.RecordBatch.from_pandas(rows, schema=_ARROW, preserve_index=False)
-        rows = _rows(windows.open, (part << 32) + made, False, True, part)
-        if len(rows):
-            yield pa.RecordBatch.from_pandas(rows, schema=_ARROW, preserve_index=False)
+        yield from _rows(windows.open, (part << 32) + made, False, True, part).to_batches()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     state = common.checkpoint(rows.mapInArrow(first, _STATE))
@@ -137,7 +136,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
     rounds = max(1, math.ceil(math.log(max(parts, 2), _FAN_IN)))
     for r in range(1, rounds + 1):
         merge = _merging(r, r == rounds, length, open_windows, min_cut, include_ids)
-        left = common.checkpoint(left.withColumn("part", F.floor(F.col("part") / _FAN_IN).cast("int")).groupBy("part").applyInPandas(merge, _STATE))
+        met = left.withColumn("part", F.floor(F.col("part") / _FAN_IN).cast("int"))
+        left = common.checkpoint(met.groupBy("part").applyInArrow(merge, _STATE))
         done.append(left.filter("closed"))
         left = left.filter("not closed")
     out = done[0]
@@ -147,16 +147,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
 
 
 def _merging(r: int, last: bool, length: int, most: int, min_cut: int, ids_too: bool):
-    def merge(left: pd.DataFrame) -> pd.DataFrame:
-        windows, part = Windows(length, most, min_cut), int(left["part"].iloc[0])
-        left = left.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True])
-        for doc, start, total, data in zip(left["doc_id"], left["start"], left["doc_tokens"], left["ids"]):
-            windows.add(None if pd.isna(doc) else int(doc), int(start), np.frombuffer(data, "<u4"), int(total))
+    def merge(left: pa.Table) -> pa.Table:
+        windows, part = Windows(length, most, min_cut), left["part"][0].as_py()
+        left = left.sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        for doc, start, total, data in zip(*(left[c].to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))):
+            windows.add(doc, start, np.frombuffer(data, "<u4"), total)
         if last:
             windows.finish()
         first = (r << 60) + (part << 32)
-        rows = [_rows(windows.out, first, True, ids_too, part), _rows(windows.open, first + len(windows.out), False, True, part)]
-        out = pd.concat([x for x in rows if len(x)]) if any(len(x) for x in rows) else rows[0]
-        return out.astype({"doc_id": "Int64"})
+        closed = _rows(windows.out, first, True, ids_too, part)
+        return pa.concat_tables([closed, _rows(windows.open, first + len(windows.out), False, True, part)])
 
     return merge
