@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm import common
@@ -118,21 +118,26 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def _balancing(seed: int, last: bool):
-    def balance(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        rng = np.random.default_rng([seed, int(rows["_source"].iloc[0]) & (2**63 - 1), int(rows["_chunk"].iloc[0])])
+    def balance(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("size", "descending"), ("_order", "ascending"), ("doc_id", "ascending")])
+        rng = np.random.default_rng([seed, rows["_source"][0].as_py() & (2**63 - 1), rows["_chunk"][0].as_py()])
         chances = fly(rows["size"].to_numpy(), rows["_chance"].to_numpy(), rng)
-        rows["_chance"] = land(chances, rng) if last else chances
-        return rows.astype({"doc_id": "Int64"})
+        chances = pa.array(land(chances, rng) if last else chances, pa.float64())
+        return rows.set_column(rows.column_names.index("_chance"), "_chance", chances)
 
     return balance
 
 
+def words(text: Column) -> Column:
+    """Number of words of a text; none of a null."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(common.WORD)).cast("long")
+
+
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """How often each of docs(doc_id long, text string, source string) is taken so that sources get their target words.
 
-    One row for each input row: doc_id, size (words), source, source_size, target, copies and taken (size * copies). A source's documents
-    share one expected number of copies, target / source_size; its whole part is sure, its fraction is a chance that the cube
+    One row for each input row: doc_id, size (words), source, source_size, target, copies, taken (size * copies) and sure (the copies that
+    every document of the source gets). A source's documents share one expected number of copies, target / source_size; its whole part is sure, its fraction is a chance that the cube
     method turns into 0 or 1 while it balances words and documents. Chunks of about CHUNK_ROWS documents of one source are
     balanced by one task each; two documents at most stay open in a chunk, meet in the next round FAN_IN chunks to a
     task, and the last one or two of a source are rounded.
@@ -141,8 +146,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     row's place among rows equal in these and the source, which are alike here and counted before they are dealt. Nulls: a null text has no
     words, a null source is a source of its own (last), null ids are rows as any other. Sources without words get nothing. Empty table: no rows. Other columns are ignored.
     """
-    words = F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), F.col("source").cast("string").alias("source"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"))
     rows = rows.groupBy("doc_id", "size", "source").agg(F.count("*").alias("_n"))
     rows = common.checkpoint(rows.select("doc_id", "size", "source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_place")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
@@ -155,17 +159,18 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     own = ["doc_id", "size", "_place", F.lit(seed)]
     joined = rows.join(sources.drop("_n"), rows["source"].eqNullSafe(sources["source"])).select(rows["*"], "source_size", "target", "_source", "_whole", "_chance", F.pmod(F.xxhash64(*own), F.col("_chunks")).cast("int").alias("_chunk"), F.xxhash64(*own, F.lit("order")).alias("_order"))
     schema = joined.schema
-    state = common.checkpoint(joined.groupBy("_source", "_chunk").applyInPandas(_balancing(seed, False), schema))
+    state = common.checkpoint(joined.groupBy("_source", "_chunk").applyInArrow(_balancing(seed, False), schema))
     is_open = (F.col("_chance") > _ZERO) & (F.col("_chance") < 1 - _ZERO)
     done, left = [state.filter(~is_open)], state.filter(is_open)
     last = False
     while not last:
         last, most, seed = most <= FAN_IN, -(-most // FAN_IN), seed + 1
-        left = common.checkpoint(left.withColumn("_chunk", F.floor(F.col("_chunk") / FAN_IN).cast("int")).groupBy("_source", "_chunk").applyInPandas(_balancing(seed, last), schema))
+        left = common.checkpoint(left.withColumn("_chunk", F.floor(F.col("_chunk") / FAN_IN).cast("int")).groupBy("_source", "_chunk").applyInArrow(_balancing(seed, last), schema))
         done.append(left.filter(~is_open))
         left = left.filter(is_open)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("_whole") + F.round("_chance").cast("int")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), "source", copies.alias("copies"))
+    taken = (F.col("size") * copies).cast("long").alias("taken")
+    return out.select("doc_id", "size", "source_size", "target", taken, "source", copies.alias("copies"), F.col("_whole").alias("sure"))
