@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0)
 
     The files lie under `path` as Parquet that holds one Simple-8b segment (about SEGMENT ids) a row: part, segment,
     n_ids, doc_ids, payload. Order: part, segment, place in the segment. Null ids come first, rows with one id
-    in the order of their texts' hash; a null text is empty, so it has the end id alone. An empty table gives files
+    in the order of their texts' hash, so that they may lie in several parts; a null text is empty, so it has the end id alone. An empty table gives files
     without rows. Other columns are ignored.
 
     One range shuffle of the texts puts them in order; the ids themselves are never shuffled. The write is a plain
@@ -171,7 +171,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0)
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(write, schema).write.option("compression", "uncompressed").parquet(path)
+    # rows of one id, or even of one id and text, are cut by what follows
+    order = ["doc_id", F.xxhash64("text"), "place"]
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.drop("place").mapInArrow(write, schema).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
