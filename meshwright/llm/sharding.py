@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from meshwright.llm import common
 
-#: Rows of one block, which is permuted by one task.
-BLOCK_ROWS = 1 << 17
+#: Rows of one block, which is permuted by one task; and the number of blocks above which they are made larger.
+BLOCK_ROWS, MOST_BLOCKS = 1 << 17, 4096
 #: Parts by which a shard's rows are put in order.
 SLOT_PARTS = 64
 
@@ -67,8 +67,9 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     One row for each input row: doc_id, size (UTF-8 bytes of the text plus 16), text_crc32 (unsigned), law, shard, slot (the row's place
     in its shard, gapless from 0), grown_shard (null under this law).
 
-    Blocks are runs of BLOCK_ROWS rows of an input partition. The driver sees a row count for each block and draws how many go to
-    each shard; a block's rows in the order of a seeded hash of their place (the local permutation) fill these counts in turn.
+    Blocks are runs of BLOCK_ROWS rows of an input partition. Where these would be over MOST_BLOCKS they are longer, and of more
+    partitions than that neighbours share a block; so the driver sees twice MOST_BLOCKS row counts at most, whatever the input. For each
+    it draws how many rows go to each shard; a block's rows in the order of a seeded hash of their place (the local permutation) fill these counts in turn.
     A shard's rows are again in the order of another hash; their slots come from counts of SLOT_PARTS ranges of it, so that no
     task holds a whole shard. Places, not contents, are hashed: copies and hot keys spread as any rows do. The text is
     read once; only ids, sizes and checksums are shuffled. The same files and settings give the same result.
@@ -77,27 +78,42 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(common.text_or_empty().cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
-    rows = common.checkpoint(rows.withColumn("_block", F.shiftright("_row", 17)))
+    rows = common.checkpoint(
+        docs.select(
+            "doc_id",
+            (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+            F.crc32(common.text_or_empty().cast("binary")).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("_row"),
+        )
+    )
+    # a row's number is its partition's, shifted by 33 bits, and its place there
+    n, last = rows.agg(F.count("*"), F.max(F.shiftright("_row", 33))).first()
+    run, share = max(BLOCK_ROWS, -(-n // MOST_BLOCKS)), (last or 0) // MOST_BLOCKS + 1
+    within = F.expr(f"(_row & {(1 << 33) - 1}) div {run}") if share == 1 else F.lit(0).cast("long")
+    rows = rows.withColumn("_block", F.shiftleft(F.expr(f"shiftright(_row, 33) div {share}"), 33) + within)
     counts = sorted((r["_block"], r["n"]) for r in rows.groupBy("_block").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)
     sizes = [total // shards + (k < total % shards) for k in range(shards)]
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
     upto = [{"b": b, "u": [sum(line[: k + 1]) for k in range(shards)]} for (b, _), line in zip(counts, matrix)]
-    # one short row for each BLOCK_ROWS rows or partition, in pieces that a literal can hold
+    # one short row for each block, in pieces that a literal can hold
     bounds = None
     for i in range(0, max(1, len(upto)), 2000):
-        piece = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(upto[i : i + 2000])), "array<struct<b:long,u:array<long>>>"))).toDF("_block", "_upto")
+        listed = F.from_json(F.lit(json.dumps(upto[i : i + 2000])), "array<struct<b:long,u:array<long>>>")
+        piece = spark.range(1).select(F.inline(listed)).toDF("_block", "_upto")
         bounds = piece if bounds is None else bounds.unionByName(piece)
     local = Window.partitionBy("_block").orderBy(F.xxhash64("_row", F.lit(seed)), "_row")
     dealt = rows.withColumn("_at", F.row_number().over(local) - 1).join(bounds, "_block")
     dealt = dealt.withColumn("shard", F.size(F.filter("_upto", lambda u: u <= F.col("_at"))))
     order = F.xxhash64("_row", F.lit(seed + 1), F.lit("slot"))
-    dealt = dealt.select("doc_id", "size", "text_crc32", "_row", "shard", order.alias("_order")).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 57).cast("int"), F.lit(SLOT_PARTS)))
-    dealt = common.checkpoint(dealt)
+    dealt = dealt.select("doc_id", "size", "text_crc32", "_row", "shard", order.alias("_order"))
+    part = F.pmod(F.shiftrightunsigned("_order", 57).cast("int"), F.lit(SLOT_PARTS))
+    dealt = common.checkpoint(dealt.withColumn("_part", part))
     # SLOT_PARTS rows for each shard, whatever the input
     per_part = dealt.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = per_part.select("shard", "_part", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")).alias("_before"))
-    within = Window.partitionBy("shard", "_part").orderBy("_order", "_row")
-    out = dealt.withColumn("_in", F.row_number().over(within) - 1).join(F.broadcast(before), ["shard", "_part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("_before") + F.col("_in")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    inside = Window.partitionBy("shard", "_part").orderBy("_order", "_row")
+    out = dealt.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(before), ["shard", "_part"])
+    slot = (F.col("_before") + F.col("_in")).cast("long").alias("slot")
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, F.col("shard").cast("int").alias("shard"), slot, grown)
