@@ -26,6 +26,8 @@ BANDS, ROWS = 16, 5
 DEPTH, BITS = 3, 18
 #: A shingle of one document alone weighs 1 + IDF_SHARE, one of all documents a little over 1.
 IDF_SHARE = 0.5
+#: Sketches that one task adds.
+FAN_IN = 64
 #: Weights are powers of this, so that a set's entry holds its weight in 8 bits.
 LEVEL = 1.02
 #: Members of a bucket that one join key or one group gathers.
@@ -72,7 +74,7 @@ def _sketches(batches):
             row += np.bincount(cells, minlength=1 << BITS)
         docs += int((counts > 0).sum())
     if docs:
-        part = TaskContext.get().partitionId() % 64
+        part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs], "sketch": [_packed(table)]}, _SKETCH_ARROW)
 
 
@@ -80,7 +82,7 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
     table = np.zeros((DEPTH, 1 << BITS), np.int64)
     for sketch in rows["sketch"]:
         table += _unpacked(sketch)
-    return pd.DataFrame({"part": [0], "docs": [rows["docs"].sum()], "sketch": [_packed(table)]})
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "docs": [rows["docs"].sum()], "sketch": [_packed(table)]})
 
 
 class Weights:
@@ -105,9 +107,15 @@ _LEVELS = LEVEL ** np.arange(256.0)
 
 
 def document_frequencies(texts: DataFrame) -> Weights:
-    """Weights from all rows of texts(text): one pass; the driver gets one sketch."""
-    parts = texts.mapInArrow(_sketches, _SKETCH).groupBy("part").applyInPandas(_merged, _SKETCH)
-    row = parts.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_merged, _SKETCH).first()
+    """Weights from all rows of texts(text): one pass; partitions' sketches are added FAN_IN at a time, and the driver gets one."""
+    sketches, parts = texts.mapInArrow(_sketches, _SKETCH), texts.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // FAN_IN)
+        met = sketches.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int"))
+        sketches = met.groupBy("part").applyInPandas(_merged, _SKETCH)
+        if parts <= 1:
+            break
+    row = sketches.first()
     if row is None:
         return Weights(0, np.zeros((DEPTH, 1 << BITS), np.int64))
     return Weights(row["docs"], _unpacked(row["sketch"]))
