@@ -113,7 +113,10 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose text scores at least threshold, with all their columns."""
+    """The rows of docs whose text scores at least threshold, with all their columns.
+
+    Null and empty texts score as the empty text, very long ones whole; repeated rows stay or go together; empty table: no rows.
+    """
 
     def keep(batches):
         for batch in batches:

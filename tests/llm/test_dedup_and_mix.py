@@ -1,11 +1,13 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meshwright.llm import common, exact_dedup, golomb, mixing, near_dedup, sharding
@@ -49,11 +51,50 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     assert len(got) == 180 and all(r.group_size == 2 and r.keep_id == r.doc_id % 90 for r in got)
 
 
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    """A hash that knows only how a text begins: the bytes decide."""
+    monkeypatch.setattr(exact_dedup, "_digest", lambda body: F.unhex(F.sha2(F.substring(F.col(body), 1, 1).cast("binary"), 256)))
+    rows = [(i, f"{'abc'[i % 3]}{i % 4}") for i in range(24)] + [(None, "a0"), (24, "z"), (0, "a0")]
+    got = exact_dedup.find_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), owners=3).collect()
+    assert sorted(r[:4] for r in map(tuple, got) if r[0] is not None) == sorted(r[:4] for r in brute_exact_ids(rows) if r[0] is not None)
+    assert sum(r.kept for r in got) == 13 and len(got) == 27
+
+
+def brute_exact_ids(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    for ids in groups.values():
+        keep, seen = min(i for i in ids if i is not None), False
+        for i in ids:
+            kept = i == keep and not seen
+            seen = seen or kept
+            yield i, keep, len(ids), kept
+
+
+def test_hot_texts_send_each_fingerprint_once(spark):
+    """A text that nearly all rows share is one fingerprint of a packet."""
+    sent = []
+    made = exact_dedup._answer
+    docs = spark.createDataFrame([(i, "the very same text" if i % 50 else f"text {i}") for i in range(3000)], "doc_id long, text string").repartition(3)
+    rows = docs.select("doc_id", exact_dedup._digest("text").alias("sha"))
+    packets = rows.mapInArrow(exact_dedup._send(4, 48), exact_dedup._SENT).toPandas()
+    assert packets["n"].sum() == 60 + 3 and packets["doc_ids"].map(len).sum() == 3000
+    for _, of in packets.groupby("owner"):
+        sent += made(of)["bitmap"].tolist()
+    assert len(sent) == len(packets)
+    got = exact_dedup.find_duplicates(docs).collect()
+    assert Counter(r.group_size for r in got) == Counter({2940: 2940, 1: 60}) and sum(r.kept for r in got) == 61
+
+
 def test_exact_dedup_of_nothing(no_docs):
     assert exact_dedup.find_duplicates(no_docs).count() == 0
 
 
 def test_shards_are_exact_and_gapless(spark, odd_docs, no_docs):
+    texts = {r.doc_id: (r.text or "").encode() for r in odd_docs.select("doc_id", "text").collect()}
+    for r in sharding.shard(odd_docs, 40).collect():
+        assert r.size == len(texts[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id])
     for docs, n in ((odd_docs, 12), (spark.range(5000).selectExpr("id AS doc_id", "repeat('x', cast(id % 7 AS int)) AS text"), 5000), (no_docs, 0)):
         rows = sharding.shard(docs, 40).collect()
         assert len(rows) == n and all(r.law == "rows" and r.grown_shard is None for r in rows)
@@ -64,6 +105,18 @@ def test_shards_are_exact_and_gapless(spark, odd_docs, no_docs):
         assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_blocks_grow_with_the_input(spark, monkeypatch):
+    """More runs, and more partitions, than the driver may draw for."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(sharding, "MOST_BLOCKS", 4)
+    seen, draw = [], sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda rows, *a: seen.append(len(rows)) or draw(rows, *a))
+    for parts in (2, 15):
+        docs = spark.range(0, 900, 1, parts).selectExpr("id AS doc_id", "'x' AS text")
+        by = Counter(r.shard for r in sharding.shard(docs, 7).collect())
+        assert sum(by.values()) == 900 and max(by.values()) - min(by.values()) <= 1 and seen[-1] <= 8
+
+
 def test_communication_matrix_has_its_margins_and_spread():
     rows, shards = [1000, 1, 0, 300], [400, 401, 500]
     draws = np.array([sharding.communication_matrix(rows, shards, s) for s in range(400)])
@@ -203,6 +256,12 @@ def test_mix_meets_its_targets(spark, odd_docs, sf_dir):
         assert all(abs(taken[s] - want[s]) <= 1.01 * largest[s] + 1 for s in want)
 
 
+def test_mix_keeps_large_ids_beside_null_ones(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, 2**53 + 1, -(2**62) - 1, None]
+    docs = spark.createDataFrame([(i, "w " * (k + 1), "s") for k, i in enumerate(ids)], "doc_id long, text string, source string").repartition(2)
+    assert sorted((r.doc_id or 0, r.size) for r in mixing.mix(docs).collect()) == sorted((i or 0, k + 1) for k, i in enumerate(ids))
+
+
 def test_mix_of_nothing(no_docs):
     assert mixing.mix(no_docs).count() == 0
 
@@ -227,6 +286,32 @@ def test_pipeline_stages_keep_columns_and_act(spark, odd_docs, no_docs, sf_dir):
     assert copies == Counter({k: v for k, v in Counter([str(r.doc_id) for r in mixing.mix(odd_docs).collect() for _ in range(r.copies)]).items() if v})
 
 
+def test_pipeline_mixes_rows_that_repeat(spark, sf_dir):
+    """Sources taken 0 to 3 times, ids that several rows share, null ids and sources: each row comes as often as its group is taken."""
+    rows = [(None if i % 11 == 0 else i // 2 if i % 7 == 0 else i, "w " * (i % 9), ("a", "b", "c", None)[min(3, i % 13 % 4)]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_copy", F.lit("x")).repartition(3)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.size, r.source] += r.copies
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, len(r.text.split()), r.source) for r in got.collect()) == Counter({k: v for k, v in want.items() if v})
+
+
+def test_pipeline_of_odd_and_of_no_documents(spark, odd_docs, no_docs, sf_dir, tmp_path):
+    """All stages in turn, packing too, on rows with nulls, repeats and clashing names, and on an empty table."""
+    labels = spark.createDataFrame([(10**9 + i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in rows} <= {1, 2, 3, 4, 6, 7, 8, 9, 12, None} and bool(rows) == (name == "odd")
+        tokens = defaultdict(int)
+        for r in rows:
+            tokens[r.doc_id, r.doc_tokens] += r.length
+        assert all(n % k[1] == 0 for k, n in tokens.items())
+
+
 def test_pipeline_end_to_end(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0

@@ -3,19 +3,29 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from meshwright.llm import secrets, topk
 
 
+#: The contract's rules, written out: kind, expression, group that counts, its least length.
+CONTRACT = [
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
+     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+]
+
+
 def brute_secrets(text):
     text, found, counts = text or "", [], [0, 0, 0]
-    for rank, rule in enumerate(secrets.BASE_RULES):
-        for m in re.finditer(rule.pattern, text, re.ASCII):
-            if len(m.group(rule.group)) >= rule.least:
+    for rank, (_, pattern, group, least) in enumerate(CONTRACT):
+        for m in re.finditer(pattern, text):
+            if len(m.group(group)) >= least:
                 found.append((m.start(), rank, m.end()))
                 counts[rank] += 1
-    found.sort()
-    spans = ",".join(f"{secrets.BASE_RULES[r].kind}:{a}:{b}" for a, r, b in found)
+    spans = ",".join(f"{CONTRACT[r][0]}:{a}:{b}" for a, r, b in sorted(found))
     return (*counts, hashlib.sha256(spans.encode()).hexdigest())
 
 
@@ -51,32 +61,66 @@ def brute_top(rows, k, every):
     return sorted(out)
 
 
-def test_top_k_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 16])
+def test_top_k_matches_brute_force(spark, monkeypatch, block):
+    """Also with many blocks, spans and blocks of queries, with rows that share an id, and with columns named as the operator's own."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", max(2, block // 8))
+    monkeypatch.setattr(topk, "LANE", 2)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 1 + i % 3, 8).astype(np.float32).tolist()) for i in range(300)]
-    rows += [(300 + i, rows[7][1]) for i in range(20)] + [(400, None), (401, []), (402, [1.0, None] * 4), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (None, rows[0][1]), (500, [1.0, 2.0]), (501, [3.0, 4.0]), (550, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("vec_id", "vec_id").repartition(5)
+    rows += [(300 + i, rows[7][1]) for i in range(20)] + [(400, None), (401, []), (402, [1.0, None] * 4), (403, [float("nan")] * 8)]
+    rows += [(404, [float("inf")] * 8), (None, rows[0][1]), (500, [1.0, 2.0]), (501, [3.0, 4.0]), (550, [0.0] * 8)]
+    rows += [rows[50], rows[50], rows[8], (8, rows[9][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    names = ("dim", "norm", "data", "ids", "rank", "score", "query_id", "span", "part", "asked", "least", "number", "lane", "longest")
+    df = df.withColumns({c: F.lit("x") for c in names}).repartition(5)
     got = sorted(map(tuple, topk.top_k(df, 5, 50).select("query_id", "rank", "vec_id", "score").collect()))
     assert got == brute_top(rows, 5, 50)
     assert topk.top_k(df.limit(0), 5, 50).count() == 0
 
 
-def test_pruned_blocks_lose_nothing():
+def uneven_vectors():
     rng = np.random.default_rng(2)
     v = (rng.normal(0, 100, (3000, 16)) * rng.gamma(1, 1, (3000, 1))).astype(np.int64)
-    ids, q = np.arange(3000), v[:40]
-    turn = np.linalg.svd(v.T.astype(float) @ v)[0]
-    order = np.argsort(-np.linalg.norm(v, axis=1))
+    scores = v[:40] @ v.T
+    scores[np.arange(40), np.arange(40)] = np.iinfo(np.int64).min
+    want = np.lexsort((np.broadcast_to(np.arange(3000), scores.shape), ~scores))[:, :5]
+    return v, want, np.linalg.svd(v.T.astype(float) @ v)[0], np.argsort(-np.linalg.norm(v, axis=1))
+
+
+def test_pruned_blocks_lose_nothing():
+    v, want, turn, order = uneven_vectors()
     best = topk.TopK(40, 5)
     for i in range(0, 3000, 500):
         part = np.sort(order[i : i + 500])
-        topk.search_block(best, ids[:40], q, ids[part], v[part], turn)
-    scores = q @ v.T
-    scores[np.arange(40), np.arange(40)] = np.iinfo(np.int64).min
-    want = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :5]
+        topk.search_block(best, np.arange(40), v[:40], part, v[part], turn)
     assert (best.ids == want).all()
 
 
+def test_thresholds_travel_from_the_longest_block_to_all_spans():
+    """Each span alone finds what it has of the best, but scores few of its vectors; many spans aren't joined at all."""
+    v, want, turn, order = uneven_vectors()
+    cuts = [order[i : i + 250] for i in range(0, 3000, 250)]
+    norms = np.linalg.norm(v, axis=1)
+    blocks = [{"ids": c.tobytes(), "data": v[c].tobytes(), "longest": norms[c].max(), "number": n} for n, c in enumerate(cuts)]
+    asked = pd.DataFrame([{"dim": 16, "asked": 0, "ids": np.arange(40).tobytes(), "data": v[:40].tobytes(), "least": None, "reach": 0.0}])
+    started = topk._starting(5, {16: turn})(asked, pd.DataFrame(blocks[:1]))
+    found, scored, alone, skipped = [], 0, 0, 0
+    for i in range(0, len(blocks), 2):
+        span = pd.DataFrame(blocks[i : i + 2])
+        alone += topk.search(asked, span, 5, turn)[2]
+        if span["longest"].max() < started["reach"].iloc[0]:
+            skipped += 1
+            continue
+        q_ids, best, n = topk.search(started, span, 5, turn)
+        scored += n
+        found += [(q, -int(s), int(i)) for q, ids, scores in zip(q_ids, best.ids, best.scores) for i, s in zip(ids, scores)]
+    first = [[i for _, _, i in sorted(f for f in found if f[0] == q)[:5]] for q in range(40)]
+    assert first == want.tolist()
+    assert scored < 0.25 * 40 * 3000 and scored < 0.5 * alone
+
+
 def test_large_scores_stay_exact():
     a = np.array([[2**40 + 1, 3]])
     assert topk.exact_scores(a, np.array([[5, 7]]))[0, 0] == (2**40 + 1) * 5 + 21

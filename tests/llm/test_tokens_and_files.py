@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -91,6 +92,31 @@ def test_packing_nothing_and_with_ids(no_docs, odd_docs):
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
 
 
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, 2**53 + 1, -(2**62) - 1, None]
+    rows = [(i, f"text number {k} " * (k + 1) * 40) for k, i in enumerate(ids)]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        check_packed(packing.pack_documents(docs, tokenizer_path()).collect(), encoded(docs, 1))
+
+
+def test_rows_of_one_id_lie_in_several_files(spark, tmp_path):
+    """A third of all rows without an id, a third of one id, half of them of one text; large ids too."""
+    rows = [((None, 7, 2**60 + i)[i % 3], f"text {i // 6 if i % 2 else 'again'} " * 9) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart, as large ones do
+    simple8b.write_ids(docs, str(tmp_path / "ids"), tokenizer_path())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "ids")).collect()
+    assert max(len(r.doc_ids) for r in files) < 1200 and len({r.part for r in files if 7 in r.doc_ids}) > 1
+    got = simple8b.read_ids(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert [r.doc_id is None for r in got] == sorted((r.doc_id is None for r in got), reverse=True)
+    named = [r.doc_id for r in got if r.doc_id is not None]
+    assert named == sorted(named) and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    want = Counter((str(i), x.tobytes()) for i, x in encoded(docs, 0))
+    assert Counter((str(r.doc_id), np.array(r.ids, "<u4").tobytes()) for r in got) == want
+
+
 def test_windows_fit_best_and_emit_the_fullest():
     w = packing.Windows(10, 2, 3)
     ids = np.arange(30, dtype="<u4")
