@@ -14,6 +14,8 @@ from meshwright.llm import common, golomb
 FINGERPRINT_BITS = 48
 #: Rows that one packet's source holds at most.
 CHUNK = 1 << 16
+#: Keys over which the rows of one text are dealt.
+SALT = 16
 
 
 def normalised(text: Column) -> Column:
@@ -145,7 +147,10 @@ def find_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     groups = texts.groupBy("sha", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = groups.groupBy("sha").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     classes = common.checkpoint(classes)
-    found = suspects.select("doc_id", "sha").join(classes.filter("texts = 1"), "sha").withColumn("class", F.lit(""))
+    # rows of one text meet its class under SALT keys
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
+    single = classes.filter("texts = 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    found = suspects.select("doc_id", "sha", dealt.alias("salt")).join(single, ["sha", "salt"]).withColumn("class", F.lit(""))
     clashes = classes.filter("texts > 1").select("sha")
     if not clashes.isEmpty():
         # several texts of one hash: their rows take their classes by the bytes
