@@ -11,6 +11,7 @@ from meshwright import fixtures as fx
 from meshwright.functions import geo, text
 from meshwright.operators import aggregates, network, paths, spatial
 from meshwright.operators.components import connected_components
+from meshwright.plans.materialise import scratch_path
 from meshwright.sources import graph_csv, graph_json, graphml, layers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,19 +168,129 @@ def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEEDS = "seeds AS (SELECT unnest([count(*) // 2 + 20, count(*) // 3, (count(*) * 2) // 5]) AS node FROM part)"
 
 
-@registered(f"""
-    WITH RECURSIVE {_ROAD}, {_SEEDS},
-    walk(seed, node, hops, total) AS (
+# The whole grid is walked level by level; the cap is a condition on what was found.
+_WALK = """
+    walk(seed, node, hops, total) USING KEY (seed, node) AS (
         SELECT node, node, 0, CAST(0 AS DOUBLE) FROM seeds
         UNION
-        SELECT seed, dst, hops + 1, total + largo_m FROM walk JOIN arcs ON node = src WHERE hops < 12 AND total < 600),
-    least AS (SELECT seed, node, min(hops) AS hops FROM walk GROUP BY ALL)
-    SELECT seed, node, hops, min(total) AS total FROM walk JOIN least USING (seed, node, hops) GROUP BY ALL HAVING min(total) < 600
-""")
+        SELECT w.seed, dst, w.hops + 1, min(w.total + largo_m) FROM walk w JOIN arcs ON w.node = src
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.seed = w.seed AND r.node = dst) GROUP BY w.seed, dst, w.hops)
+"""
+
+
+@registered(f"WITH RECURSIVE {_ROAD}, {_SEEDS}, {_WALK} SELECT seed, node, hops, total FROM walk WHERE total < 600")
 def path_any_shortest_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.any_shortest(_arcs(spark, sf_dir), _seeds(spark, sf_dir), weight="largo_m", cap=600.0)
 
 
+_HEAVY = _ROAD.replace(
+    "arcs AS (SELECT u AS src, v AS dst, largo_m FROM road UNION ALL SELECT v, u, largo_m FROM road)",
+    "heavy AS (SELECT * REPLACE (CASE WHEN segmento_id % 5 = 0 THEN largo_m * 12 ELSE largo_m END AS largo_m) FROM road),\n"
+    "    arcs AS (SELECT u AS src, v AS dst, largo_m FROM heavy UNION ALL SELECT v, u, largo_m FROM heavy)",
+)
+
+
+@registered(f"WITH RECURSIVE {_HEAVY}, {_SEEDS}, {_WALK} SELECT seed, node, hops, total FROM walk WHERE total < 600")
+def path_cap_is_no_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth segment weighs over the cap: a node behind it counts as reached, and a longer way round isn't taken instead."""
+    metres = F.when(F.col("segmento_id") % 5 == 0, F.col("largo_m") * 12).otherwise(F.col("largo_m"))
+    road = fx.grid_road(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"), metres.alias("largo_m"))
+    return paths.any_shortest(paths.both_ways(road), _seeds(spark, sf_dir), weight="largo_m", cap=600.0)
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of the group street - corner - street over the grid."""
+    g = fx.street_graph(spark, sf_dir)
+    turn = g.match().node("s", "Street").into("ON", "e").node("x", "Corner", "x").out("ON").node("m", "Street", "kind")
+    return paths.group(turn.rows(), "s", "m", "x", "m_kind")
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, j AS (SELECT u AS x, calle FROM road UNION SELECT v, calle FROM road),
+    steps AS (SELECT a.calle AS src, a.x, b.calle AS dst FROM j a JOIN j b ON a.x = b.x AND a.calle <> b.calle),
+    seeds AS (SELECT calle AS seed FROM j WHERE calle IN ('H1', 'V3') GROUP BY calle),
+    walk(seed, here, hops, streets, corners, kinds) AS (
+        SELECT seed, seed, 0, [seed], CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) FROM seeds
+        UNION ALL
+        SELECT seed, dst, hops + 1, list_append(streets, dst), list_append(corners, x), list_append(kinds, left(dst, 1))
+        FROM walk JOIN steps ON here = src WHERE hops < 2),
+    least AS (SELECT seed, here, min(hops) AS hops FROM walk GROUP BY ALL)
+    SELECT seed, here AS target, hops, array_to_string(streets, '>') AS streets, array_to_string(corners, '>') AS corners,
+           array_to_string(kinds, '>') AS kinds
+    FROM walk JOIN least USING (seed, here, hops) WHERE here IN ('H3', 'V7', 'H1')
+""")
+def path_group_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All routes with the fewest turns from two streets to three, with their streets, corners and a property of each street in order."""
+    streets = fx.street_graph(spark, sf_dir).nodes["Street"].rows.select(F.col("id").alias("node"))
+    seeds, targets = streets.filter(F.col("node").isin("H1", "V3")), streets.filter(F.col("node").isin("H3", "V7", "H1"))
+    found = paths.all_shortest(_turns(spark, sf_dir), seeds, targets, most_hops=2)
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ">")
+    return found.select(
+        "seed", "target", "hops", joined("path").alias("streets"), joined(F.col("vias.x")).alias("corners"), joined(F.col("vias.m_kind")).alias("kinds")
+    )
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, j AS (SELECT u AS x, calle FROM road UNION SELECT v, calle FROM road),
+    steps AS (SELECT DISTINCT a.calle AS src, b.calle AS dst FROM j a JOIN j b ON a.x = b.x AND a.calle <> b.calle),
+    walk(node, hops) AS (
+        SELECT DISTINCT calle, 0 FROM j WHERE calle LIKE '%9'
+        UNION
+        SELECT dst, hops + 1 FROM walk JOIN steps ON node = src WHERE hops < 6),
+    reports AS (SELECT s_suppkey AS report, calle FROM supplier JOIN j ON x = s_suppkey % 97)
+    SELECT report, calle AS street, 2 * min(hops) + 1 - 2 AS hops FROM reports JOIN walk ON node = calle GROUP BY report, calle
+""")
+def path_hops_per_report_and_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each report and each street of its corner, the edges to the nearest place, less two: an expression over an aggregate."""
+    members = fx.street_graph(spark, sf_dir).edges["ON"].rows
+    places = members.filter(F.col("dst").endswith("9")).select(F.col("dst").alias("node"))
+    turns = paths.hops_to_nearest(_turns(spark, sf_dir).select("src", "dst"), places)
+    reports = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("report"), (F.col("s_suppkey") % 97).alias("src"))
+    on = reports.join(members, "src").select("report", F.col("dst").alias("street")).join(turns.withColumnRenamed("node", "street"), "street")
+    return on.groupBy("report", "street").agg((F.min(2 * F.col("hops") + 1) - 2).alias("hops"))
+
+
+@registered("""
+    SELECT 'Customer' AS label, c_custkey AS id, n_name AS nation, r_name AS region, c_mktsegment AS segment
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9000
+    UNION ALL
+    SELECT 'Supplier', s_suppkey, n_name, r_name, NULL
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 9000
+""")
+def pattern_either_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers as one variable, before and after an edge; ids of both are the same numbers."""
+    g = fx.key_graph(spark, sf_dir)
+    m = g.match().node("a", "Customer|Supplier", "acctbal", "mktsegment").where("a_acctbal > 9000").out("CUSTOMER_IN|SUPPLIER_IN").node("n", "Nation", "name")
+    back = m.also(g.match().node("r", "Region", "name").into("IN_REGION").node("n", "Nation").into("CUSTOMER_IN|SUPPLIER_IN").node("a", "Customer|Supplier"))
+    return back.rows().select(F.col("a_label").alias("label"), F.col("a").alias("id"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.col("a_mktsegment").alias("segment"))
+
+
+@registered("""
+    SELECT n_name AS nation, c_mktsegment AS segment, min(o_totalprice) - 100 AS least, (max(o_totalprice) - min(o_totalprice)) / count(*) AS spread
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL ORDER BY spread DESC, nation, segment LIMIT 20
+""")
+def pattern_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.key_graph(spark, sf_dir).match().node("o", "Orders", "totalprice").into("PLACED").node("c", "Customer", "mktsegment").out("CUSTOMER_IN").node("n", "Nation", "name")
+    price = F.col("o_totalprice")
+    found = m.rows().groupBy(F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    found = found.agg((F.min(price) - 100).alias("least"), ((F.max(price) - F.min(price)) / F.count("*")).alias("spread"))
+    return found.orderBy(F.col("spread").desc(), "nation", "segment").limit(20)
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, {_SEEDS},
+    walk(seed, node, total) AS (
+        SELECT node, node, CAST(0 AS DOUBLE) FROM seeds
+        UNION
+        SELECT seed, dst, total + largo_m FROM walk JOIN arcs ON node = src WHERE total + largo_m <= 400)
+    SELECT seed, s_suppkey AS place, min(total) AS total FROM walk JOIN supplier ON node = s_suppkey * 7 GROUP BY ALL
+""")
+def path_nearest_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reached = paths.isochrone(_arcs(spark, sf_dir), _seeds(spark, sf_dir), "largo_m", 400.0)
+    anchors = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place"), (F.col("s_suppkey") * 7).alias("node"))
+    return paths.nearest_places(reached, anchors)
+
+
 @registered(f"""
     WITH RECURSIVE {_ROAD},
     walk(node, hops) AS (
@@ -316,18 +427,17 @@ _TAGS = f"""
 """
 
 
-def _rule(own: str, uses: frozenset, never: frozenset) -> str:
+def _rule(own: str, mode: str) -> str:
     inside = lambda c, values: f"{c} IN ({', '.join(repr(v) for v in sorted(values))})"
-    allowed = inside(own, network.ALLOWS)
-    return f"({inside('highway', uses)} OR {allowed}) AND NOT {inside('highway', never)} AND NOT ({own} IN ('no', 'private') OR (access IN ('no', 'private') AND NOT {allowed})) AND service NOT IN ('parking_aisle', 'driveway')"
-
-
-_P = network.PROFILES
+    allowed = inside(own, [v for v, sign in network.VALUES.items() if sign == "+"])
+    uses, never = inside("highway", network.classes(mode, "+")), inside("highway", network.classes(mode, "-"))
+    denied = f"({own} IN ('no', 'private') OR (access IN ('no', 'private') AND NOT {allowed}))"
+    return f"({uses} OR {allowed}) AND NOT {never} AND NOT {denied} AND service NOT IN ('parking_aisle', 'driveway')"
 
 
 @registered(f"""
-    WITH {_TAGS} SELECT way_id, {_rule("auto", _P["auto"].uses, _P["auto"].never)} AS permite_auto, {_rule("bici", _P["bici"].uses, _P["bici"].never)} AS permite_bici,
-        {_rule("foot", _P["peaton"].uses, _P["peaton"].never)} AS permite_peaton,
+    WITH {_TAGS} SELECT way_id, {_rule("auto", "auto")} AS permite_auto, {_rule("bici", "bici")} AS permite_bici,
+        {_rule("foot", "peaton")} AS permite_peaton,
         CASE WHEN oneway IN ('yes', 'true', '1') THEN 'directo' WHEN oneway IN ('-1', 'reverse') THEN 'inverso' ELSE 'ambos' END AS sentido,
         highway = 'cycleway' OR (cycleway <> '' AND cycleway NOT IN ('no', 'separate', 'none')) AS ciclovia FROM t
 """)
@@ -362,7 +472,18 @@ def split_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.groupBy("way_id").agg(F.count("*").alias("segments"), F.sum("largo_m").alias("metres"))
 
 
-@registered()
+@registered(f"""
+    WITH {_ROAD},
+    starts AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY calle ORDER BY u) = u THEN 0 ELSE 1 END AS opens FROM road),
+    runs AS (SELECT *, sum(opens) OVER (PARTITION BY calle ORDER BY u ROWS UNBOUNDED PRECEDING) AS run FROM starts),
+    axes AS (SELECT calle, run, min(u) AS a, max(v) AS z FROM runs GROUP BY calle, run),
+    step AS (SELECT calle, run, a, CASE WHEN (a - lag(z) OVER w) * (CASE WHEN calle LIKE 'H%' THEN 100 ELSE 2 END) < 150 THEN 0 ELSE 1 END AS opens FROM axes WINDOW w AS (PARTITION BY calle ORDER BY a)),
+    streets AS (SELECT *, sum(opens) OVER (PARTITION BY calle ORDER BY a ROWS UNBOUNDED PRECEDING) AS street FROM step),
+    built AS (SELECT calle, street, min(streets.a) AS a, sum(largo_m) AS largo_m, count(*) AS segmentos, CASE WHEN 2 * count(*) FILTER (segmento_id % 3 = 0) >= count(*) THEN 'primary' ELSE 'residential' END AS tipo
+              FROM runs JOIN streets USING (calle, run) GROUP BY calle, street),
+    named AS (SELECT *, row_number() OVER (PARTITION BY calle ORDER BY largo_m DESC, calle || ',' || lpad(CAST(a AS VARCHAR), 12, '0')) AS k FROM built)
+    SELECT lower(calle) || CASE WHEN k = 1 THEN '' ELSE '-' || k END AS calle_id, calle AS nombre, largo_m, segmentos, tipo FROM named
+""")
 def street_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     road, nodes = fx.grid_road(spark, sf_dir), fx.grid_nodes(spark, sf_dir)
     at = lambda end: nodes.select(F.col("node").alias(end), F.struct("x", "y").alias(f"_{end}"))
@@ -381,13 +502,101 @@ def street_build_mode_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("l_suppkey").alias("street")).agg(F.count("*").alias("segments"), F.sum("l_quantity").alias("metres"), F.mode("l_returnflag", True).alias("kind"), F.bool_or(F.col("l_quantity") < 2).alias("any_small"))
 
 
-@registered()
+@registered("""
+    WITH s AS (SELECT p_partkey AS street, p_type AS nombre, p_retailprice AS metres, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS plain,
+                      trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS brand, count(*) OVER (PARTITION BY p_type) AS n FROM part),
+    b AS (SELECT *, CASE WHEN n > 1 THEN plain || '-' || brand ELSE plain END AS base FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY nombre, metres DESC, street) AS k FROM b)
+    SELECT street, nombre, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS calle_id FROM r
+""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = fx.table(spark, sf_dir, "part")
     streets = parts.select(F.col("p_partkey").alias("street"), F.col("p_type").alias("nombre"), F.col("p_retailprice").alias("largo_m"), F.col("p_brand").alias("comuna"))
     return network.unique_names(streets).select("street", "nombre", "calle_id")
 
 
+@registered("""
+    WITH r AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48 GROUP BY 1)
+    SELECT s_suppkey AS calle_id, coalesce(n, 0) AS reclamos_ruido, coalesce(n, 0) / ((s_suppkey * 10 + 500) / 1000.0) AS ruido_por_km
+    FROM supplier LEFT JOIN r ON k = s_suppkey
+""")
+def noise_per_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streets = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("calle_id"), (F.col("s_suppkey") * 10 + 500).alias("largo_m"))
+    lines = fx.table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
+    reports = lines.select(F.col("l_suppkey").alias("calle_id"), F.when(F.col("l_returnflag") == "R", "Ruido").otherwise("Otro").alias("categoria"))
+    return network.noise_per_street(streets, reports).select("calle_id", "reclamos_ruido", "ruido_por_km")
+
+
+@registered("""
+    WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN ' ' || c_mktsegment END AS declared,
+                      CASE WHEN o_orderkey % 3 <> 0 THEN c_nationkey END AS calle_id, o_totalprice AS far
+               FROM orders JOIN customer ON o_custkey = c_custkey),
+    b AS (SELECT p.*, CASE n_nationkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END AS nombre FROM p LEFT JOIN nation ON calle_id = n_nationkey)
+    SELECT count(*) AS lugares, count(calle_id) AS asignados, median(far) FILTER (calle_id IS NOT NULL) AS mediana_m,
+           count(*) FILTER (declared IS NOT NULL AND calle_id IS NOT NULL) AS declarados,
+           avg(CAST(trim(declared) = nombre AS INTEGER)) FILTER (declared IS NOT NULL AND calle_id IS NOT NULL) AS coinciden
+    FROM b
+""")
+def audit_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "orders").join(fx.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey")
+    places = rows.select(key.alias("id"), F.when(key % 4 != 0, F.concat(F.lit(" "), "c_mktsegment")).alias("addr:street"))
+    near = key % 3 != 0
+    assigned = rows.select(key.alias("id"), F.when(near, F.col("c_nationkey")).alias("calle_id"), F.when(near, F.col("o_totalprice")).alias("distancia_m"))
+    k = F.col("n_nationkey") % 3
+    named = F.when(k == 0, "BUILDING").when(k == 1, "MACHINERY").otherwise("FURNITURE").alias("nombre")
+    return network.audit(places, assigned, fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("calle_id"), named))
+
+
+@registered(f"""
+    WITH {_ROAD}, e AS (SELECT u AS node, v AS other, calle FROM road UNION ALL SELECT v, u, calle FROM road)
+    SELECT node, array_to_string(list_sort(list(DISTINCT other)), ',') AS neighbours, array_to_string(list_sort(list(DISTINCT calle)), ',') AS calles FROM e GROUP BY node
+""")
+def corner_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = network.corner_index(fx.grid_road(spark, sf_dir).withColumnRenamed("calle", "calle_id"))
+    return found.select("node", F.array_join(F.transform("neighbours", lambda n: n.cast("string")), ",").alias("neighbours"), F.array_join("calles", ",").alias("calles"))
+
+
+_LINED = """
+    l AS (SELECT segmento_id, calle, u, v, largo_m, (u % 50) * 100.0 AS ax, (u // 50) * 100.0 AS ay, (v % 50) * 100.0 AS bx, (v // 50) * 100.0 AS b_y FROM road)
+"""
+
+
+def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's segments with straight lines and calle_id."""
+    nodes = fx.grid_nodes(spark, sf_dir)
+    at = lambda end: nodes.select(F.col("node").alias(end), F.struct("x", "y").alias(f"_{end}"))
+    road = fx.grid_road(spark, sf_dir).join(at("u"), "u").join(at("v"), "v")
+    return road.withColumn("line", F.array("_u", "_v")).withColumn("calle_id", F.col("calle")).drop("_u", "_v")
+
+
+@registered(f"WITH {_ROAD}, {_LINED} SELECT min(least(ax, bx)) AS x0, min(least(ay, b_y)) AS y0, max(greatest(ax, bx)) AS x1, max(greatest(ay, b_y)) AS y1 FROM l")
+def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.bounds(_lined(spark, sf_dir))
+
+
+@registered(f"""
+    WITH {_ROAD}, {_LINED}, m AS (SELECT calle, segmento_id, largo_m, (ax + bx) / 2 AS x, (ay + b_y) / 2 AS y FROM l),
+    c AS (SELECT calle, avg(x) AS mx, avg(y) AS my, sum(largo_m) AS metres FROM m GROUP BY calle),
+    r AS (SELECT m.calle, m.x, m.y, c.metres, row_number() OVER (PARTITION BY m.calle ORDER BY round((x - mx) * (x - mx) + (y - my) * (y - my), 6), segmento_id) AS k FROM m JOIN c USING (calle))
+    SELECT calle AS calle_id, x, y FROM r WHERE k = 1 ORDER BY CASE calle WHEN 'V3' THEN 1 WHEN 'H2' THEN 2 END NULLS LAST, metres DESC, calle LIMIT 12
+""")
+def label_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    focus = fx.grid_road(spark, sf_dir).select(F.col("calle").alias("calle_id")).distinct().filter(F.col("calle_id").isin("V3", "H2"))
+    focus = focus.withColumn("prioridad", F.when(F.col("calle_id") == "V3", 1).otherwise(2))
+    return network.label_places(_lined(spark, sf_dir), focus, 12)
+
+
+@registered(f"""
+    WITH {_ROAD}, {_LINED}
+    SELECT calle AS calle_id, count(*) AS parts, array_to_string(list(CAST(ax + ay AS BIGINT) ORDER BY segmento_id), ',') AS starts FROM l GROUP BY calle
+""")
+def street_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = network.dissolved(_lined(spark, sf_dir), "calle_id")
+    starts = F.transform("lines", lambda part: (part[0]["x"] + part[0]["y"]).cast("long").cast("string"))
+    return found.select("calle_id", F.size("lines").cast("long").alias("parts"), F.array_join(starts, ",").alias("starts"))
+
+
 # Space
 
 
@@ -445,7 +654,16 @@ def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@registered()
+@registered("""
+    WITH c AS (SELECT 1 / 298.257223563 AS f, 6378137.0 AS a), k AS (SELECT f / (2 - f) AS n, a FROM c),
+    p AS (SELECT n, a / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS big, 2 * sqrt(n) / (1 + n) AS e, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM k),
+    h AS (SELECT greatest(count(*) // 50 - 1, 1) AS h FROM part),
+    d AS (SELECT c_custkey AS id, radians(((c_custkey * 6151) % 490000) / 100.0 / 100000 - 70.7) - radians(6 * 19 - 183) AS dl, sin(radians(((c_custkey * 7919) % (h * 10000)) / 100.0 / 100000 - 33.5)) AS s FROM customer, h),
+    t AS (SELECT id, dl, sinh(atanh(s) - e * atanh(e * s)) AS t, p.* FROM d, p),
+    x AS (SELECT id, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta, big, a1, a2, a3 FROM t)
+    SELECT id, round(500000 + 0.9996 * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS x,
+           round(10000000 + 0.9996 * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS y FROM x
+""")
 def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fx.points(spark, sf_dir, "customer").select("id", (F.col("x") / 100_000 - 70.7).alias("lon"), (F.col("y") / 100_000 - 33.5).alias("lat"))
     return geo.project_utm(points, "lon", "lat").select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
@@ -461,6 +679,20 @@ def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.slug(F.col("s_name")).alias("slug"))
 
 
+@registered(r"""
+    SELECT s_suppkey AS id, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') || '-fi-12-ij' AS slug,
+           upper(s_name) || ' FI 12 IJ' AS nombre, 'San José De ' || upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS titulo
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name NOT LIKE '% %'
+""")
+def accented_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain names in accented letters, some beyond Latin-1, and compatible forms of several letters at the end."""
+    rows = fx.table(spark, sf_dir, "supplier").join(fx.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.filter(~F.col("n_name").contains(" "))
+    name = F.concat(F.translate("s_name", "Supleir", "Ṥửṕłḗįṟ".replace("ł", "ḽ")), F.lit(" \ufb01 \u00bd \u0133"))
+    title = text.title_case(F.concat(F.lit("SAN JOSÉ DE "), "n_name"))
+    return rows.select(F.col("s_suppkey").alias("id"), text.slug(name).alias("slug"), text.normal_name(name).alias("nombre"), title.alias("titulo"))
+
+
 @registered(r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
 def clean_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.squeeze(F.col("text")).alias("text"))
@@ -515,10 +747,11 @@ def scalar_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-    SELECT c_custkey AS id, coalesce(n, 0) AS checkins FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON k = c_custkey WHERE c_mktsegment NOT IN ('Home (private)')
+    SELECT c_custkey AS id, coalesce(n, 0) AS checkins FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON k = c_custkey WHERE c_custkey % 9 <> 0
 """)
 def venue_checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    venues = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("venue_id"), F.col("c_mktsegment").alias("category"))
+    kind = F.when(F.col("c_custkey") % 9 == 0, "Home (private)").otherwise(F.col("c_mktsegment")).alias("category")
+    venues = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("venue_id"), kind)
     return layers.public_venues(venues, fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("venue_id"))).select(F.col("venue_id").alias("id"), "checkins")
 
 
@@ -532,7 +765,94 @@ def outer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k", "full")
 
 
-# Files
+# Files: contents of what was written and read back, of a graph whose IS_IN edges come from nodes of two labels
+
+
+@registered(f"""
+    WITH {_ROAD}, one AS (SELECT * REPLACE (CASE sentido WHEN 'inverso' THEN v ELSE u END AS u, CASE sentido WHEN 'inverso' THEN u ELSE v END AS v) FROM road)
+    SELECT 'ROAD' AS label, 'corner:' || u AS src, 'corner:' || v AS dst, calle AS value FROM one WHERE sentido = 'ambos'
+    UNION ALL SELECT 'ROAD', 'corner:' || v, 'corner:' || u, calle FROM one WHERE sentido = 'ambos'
+    UNION ALL SELECT 'ONE_WAY', 'corner:' || u, 'corner:' || v, calle FROM one WHERE sentido <> 'ambos'
+    UNION ALL SELECT 'IS_IN', 'customer:' || c_custkey, 'nation:' || c_nationkey, NULL FROM customer
+    UNION ALL SELECT 'IS_IN', 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'supplies' FROM supplier
+    UNION ALL SELECT 'Nation', 'nation:' || n_nationkey, NULL, n_name FROM nation
+    UNION ALL SELECT 'file', 'corner.csv customer.csv nation.csv supplier.csv is_in.csv one_way.csv road.csv', NULL, NULL
+""")
+def csv_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "bundle")
+    graph_csv.write_bundle(fx.mixed_graph(spark, sf_dir), path)
+    graph = graph_csv.read_bundle(spark, path)
+    out = graph.nodes["Nation"].rows.select(F.lit("Nation").alias("label"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("name").alias("value"))
+    for name, t in graph.edges.items():
+        label = name.split(":")[0]
+        value = F.col("role") if label == "IS_IN" else F.col("calle")
+        out = out.unionByName(t.rows.select(F.lit(label).alias("label"), "src", "dst", value.alias("value")))
+    files = spark.read.text(f"{path}/{graph_csv.CONFIG}").select(F.lower(F.array_join(F.from_json("value", "files array<struct<path:string>>")["files"]["path"], " ")).alias("src"))
+    return out.unionByName(files.select(F.lit("file").alias("label"), "src", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("value")))
+
+
+_ELEMENTS = """
+    elements AS (
+        SELECT 'IS_IN' AS label, '->' AS directionality, 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, '{}' AS props FROM customer
+        UNION ALL SELECT 'IS_IN', '->', 'supplier:' || s_suppkey, 'nation:' || s_nationkey, '{"role":"supplies"}' FROM supplier
+        UNION ALL SELECT 'ROAD', '~~', 'corner:' || u, 'corner:' || v, '{"calle":"' || calle || '"}' FROM road WHERE sentido = 'ambos'
+        UNION ALL SELECT 'ONE_WAY', '->', 'corner:' || CASE sentido WHEN 'inverso' THEN v ELSE u END, 'corner:' || CASE sentido WHEN 'inverso' THEN u ELSE v END, '{"calle":"' || calle || '"}' FROM road WHERE sentido <> 'ambos'
+        UNION ALL SELECT 'Nation', NULL, 'nation:' || n_nationkey, NULL, '{"name":"' || n_name || '"}' FROM nation
+        UNION ALL SELECT 'Customer', NULL, 'customer:' || c_custkey, NULL, '{"segment":"' || c_mktsegment || '"}' FROM customer
+        UNION ALL SELECT 'Supplier', NULL, 'supplier:' || s_suppkey, NULL, '{}' FROM supplier
+        UNION ALL SELECT 'Corner', NULL, 'corner:' || p_partkey, NULL, '{}' FROM part)
+"""
+
+
+def _elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    props = F.to_json("props").alias("props")
+    listed = edges.select(F.col("labels")[0].alias("label"), "directionality", F.col("endpoints")[0].alias("src"), F.col("endpoints")[1].alias("dst"), props)
+    null = F.lit(None).cast("string")
+    return listed.unionByName(nodes.select(F.col("labels")[0].alias("label"), null.alias("directionality"), F.col("id").alias("src"), null.alias("dst"), props))
+
+
+@registered(f"WITH {_ROAD}, {_ELEMENTS} SELECT * FROM elements")
+def json_lines_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "graph-lines")
+    graph_json.write_lines(fx.mixed_graph(spark, sf_dir), path)
+    return _elements(*graph_json.read_lines(spark, path))
+
+
+@registered(f"WITH {_ROAD}, {_ELEMENTS} SELECT * FROM elements")
+def json_document_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "graph-json")
+    graph_json.write_document(fx.mixed_graph(spark, sf_dir), path)
+    return _elements(*graph_json.read_document(spark, path))
+
+
+@registered(f"""
+    WITH {_ROAD}, {_ELEMENTS}
+    SELECT CASE WHEN dst IS NULL THEN 'node' ELSE 'edge' END AS element, label, src, dst, coalesce(regexp_extract(props, '":"([^"]*)"', 1), '') AS value,
+           coalesce(directionality = '~~', false) AS undirected FROM elements
+""")
+def graphml_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = graphml.lines(fx.mixed_graph(spark, sf_dir)).filter(F.col("order").isin(1, 2)).select("value")
+    part = lambda pattern: F.regexp_extract("value", pattern, 1)
+    return line.select(
+        part("^<(node|edge) ").alias("element"),
+        part('<data key="label">([^<]*)<').alias("label"),
+        F.when(F.col("value").startswith("<node"), part('id="([^"]*)"')).otherwise(part('source="([^"]*)"')).alias("src"),
+        F.nullif(part('target="([^"]*)"'), F.lit("")).alias("dst"),
+        part('<data key="(?:calle|role|name|segment)">([^<]*)<').alias("value"),
+        F.col("value").contains(' directed="false"').alias("undirected"),
+    )
+
+
+@registered("""
+    SELECT 'nodo' AS clase, 'Nation' AS etiqueta, count(*) AS cantidad FROM nation UNION ALL SELECT 'nodo', 'Customer', count(*) FROM customer
+    UNION ALL SELECT 'nodo', 'Supplier', count(*) FROM supplier UNION ALL SELECT 'nodo', 'Corner', count(*) FROM part
+    UNION ALL SELECT 'arista', 'IS_IN', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)
+    UNION ALL SELECT 'arista', 'ROAD', (SELECT count(*) FROM road WHERE sentido = 'ambos') UNION ALL SELECT 'arista', 'ONE_WAY', (SELECT count(*) FROM road WHERE sentido <> 'ambos')
+""".replace("\n    SELECT", f"\n    WITH {_ROAD} SELECT", 1))
+def summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "summary")
+    graph_csv.write_summary(fx.mixed_graph(spark, sf_dir), path)
+    return graph_csv.read_summary(spark, path)
 
 
 @registered(f"""
@@ -540,8 +860,6 @@ def outer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'corner', count(*) FROM part
 """)
 def csv_bundle_undirected_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meshwright.plans.materialise import scratch_path
-
     path = scratch_path(spark, "bundle")
     graph_csv.write_bundle(fx.road_graph(spark, sf_dir), path)
     return graph_csv.read_bundle(spark, path).counts().select(F.lower("etiqueta").alias("file"), F.col("cantidad").alias("n"))
@@ -552,8 +870,6 @@ def csv_bundle_undirected_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'nodes', NULL, count(*) FROM part
 """)
 def json_roundtrip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meshwright.plans.materialise import scratch_path
-
     path = scratch_path(spark, "graph-json")
     graph_json.write_lines(fx.road_graph(spark, sf_dir), path)
     nodes, edges = graph_json.read_lines(spark, path)

@@ -63,6 +63,34 @@ def road_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph.build({"Corner": corners}, {"ROAD": (two, "Corner", "Corner", False), "ONE_WAY": (one, "Corner", "Corner")})
 
 
+def street_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The grid's streets and the corners that lie on them."""
+    road = grid_road(spark, sf_dir)
+    on = road.select(F.explode(F.array("u", "v")).alias("src"), F.col("calle").alias("dst")).distinct()
+    streets = road.select(F.col("calle").alias("id"), F.substring("calle", 1, 1).alias("kind")).distinct()
+    corners = grid_nodes(spark, sf_dir).withColumnRenamed("node", "id")
+    return PropertyGraph.build({"Corner": corners, "Street": streets}, {"ON": (on, "Corner", "Street")})
+
+
+def mixed_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The road graph, and customers and suppliers in nations by one edge label with two kinds of ends."""
+    road, t = road_graph(spark, sf_dir), {n: table(spark, sf_dir, n) for n in ("customer", "supplier", "nation")}
+    no_text = F.nullif(F.lit("x"), F.lit("x"))
+    nodes = {
+        "Corner": road.nodes["Corner"].rows.select("id"),
+        "Nation": t["nation"].select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),
+        "Customer": t["customer"].select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")),
+        "Supplier": t["supplier"].select(F.col("s_suppkey").alias("id"), no_text.alias("segment")),
+    }
+    of = lambda name, key, role: t[name].select(F.col(f"{key[0]}_{key[1]}").alias("src"), F.col(f"{key[0]}_nationkey").alias("dst"), *role)
+    kinds = {
+        "IS_IN:Customer": (of("customer", ("c", "custkey"), []), "Customer", "Nation"),
+        "IS_IN:Supplier": (of("supplier", ("s", "suppkey"), [F.lit("supplies").alias("role")]), "Supplier", "Nation"),
+    }
+    roads = {k: (e.rows.select("src", "dst", "calle"), e.source, e.target, e.directed) for k, e in road.edges.items()}
+    return PropertyGraph.build(nodes, kinds | roads)
+
+
 def points(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Customers or suppliers as points over the grid: id, x, y."""
     key, a, b = {"customer": ("c_custkey", 6151, 7919), "supplier": ("s_suppkey", 4211, 9173)}[name]

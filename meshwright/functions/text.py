@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _unaccented() -> tuple[str, str]:
-    """Characters below U+0250 whose decomposition starts with one ASCII letter, and these letters; a rule, not a table."""
-    pairs = [(chr(i), d[0]) for i in range(0x80, 0x250) for d in [unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()] if len(d) == 1 and d.isalnum()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@cache
+def _decompositions() -> tuple[str, str, str]:
+    """What compatibility decomposition leaves in ASCII, by Unicode's own rule and not by a table.
 
-
-_FROM, _TO = _unaccented()
+    Characters that leave one character and these characters; and a JSON object of those that leave several.
+    """
+    one, several = {}, {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x30000))):
+        left = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if left:
+            (one if len(left) == 1 else several)[c] = left
+    return "".join(one), "".join(one.values()), json.dumps(several, ensure_ascii=False)
 
 
 def ascii_only(text: Column) -> Column:
-    """Accents off, other non-ASCII characters dropped (as NFKD and an ASCII encoding do below U+0250); combining marks dropped."""
-    return F.regexp_replace(F.translate(text, _FROM, _TO), r"[^\x00-\x7F]", "")
+    """Accents off, ligatures and other compatible forms spelt out, what then isn't ASCII dropped (as NFKD and an ASCII encoding do).
+
+    Texts without characters that leave several (ligatures, fractions) need one translation; others are taken apart.
+    """
+    one, ascii_, several = _decompositions()
+    listed = "".join(json.loads(several))
+    plain = F.regexp_replace(F.translate(text, one, ascii_), f"[^\\x00-\\x7F{listed}]", "")
+    spelt = F.from_json(F.lit(several), "map<string,string>")
+    each = F.transform(F.regexp_extract_all(plain, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(spelt, c), c))
+    return F.when(plain.rlike(f"[{listed}]"), F.array_join(each, "")).otherwise(plain)
 
 
 def slug(name: Column, empty: str = "sin-nombre") -> Column:
@@ -34,6 +49,12 @@ def normal_name(name: Column) -> Column:
     return F.trim(F.upper(ascii_only(name)))
 
 
+def title_case(text: Column) -> Column:
+    """Each run of letters with a capital first and small letters after."""
+    runs = F.regexp_extract_all(text, F.lit("(\\p{L}+|\\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def clean_tag(tag: Column) -> Column:
     """Trimmed lower case; null as empty."""
     return F.lower(F.trim(F.coalesce(tag, F.lit(""))))

@@ -60,12 +60,13 @@ class PropertyGraph:
         return Pattern(self)
 
     def counts(self) -> DataFrame:
-        """etiqueta, cantidad, clase of every label, nodes first: one pass for each table."""
-        parts = [t.rows.agg(F.lit(k).alias("etiqueta"), F.count("*").alias("cantidad"), F.lit(kind).alias("clase")) for kind, tables in (("nodo", self.nodes), ("arista", self.edges)) for k, t in tables.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """etiqueta, cantidad, clase of every label: one pass for each table; the kinds of an edge label count together."""
+        out = None
+        for kind, tables in (("nodo", self.nodes), ("arista", self.edges)):
+            for k, t in tables.items():
+                counted = t.rows.agg(F.lit(k.split(":")[0]).alias("etiqueta"), F.count("*").alias("cantidad"), F.lit(kind).alias("clase"))
+                out = counted if out is None else out.unionByName(counted)
+        return out.groupBy("etiqueta", "clase").agg(F.sum("cantidad").alias("cantidad")).select("etiqueta", "cantidad", "clase")
 
     @property
     def node_count(self) -> int:
@@ -102,39 +103,54 @@ class Pattern:
         return Pattern(self.graph, rows, last or self.last, label or self.label)
 
     def _table(self, var: str, label: str, properties: Sequence[str]) -> DataFrame:
-        return self.graph.nodes[label].rows.select(F.col("id").alias(var), *(F.col(p).alias(f"{var}_{p}") for p in properties))
+        """Nodes of any of the labels; a property that one of them lacks is null there."""
+        out = None
+        for one in label.split("|"):
+            rows = self.graph.nodes[one].rows
+            known = [F.col(p).alias(f"{var}_{p}") for p in properties if p in rows.columns]
+            table = rows.select(F.col("id").alias(var), *([F.lit(one).alias(f"{var}_label")] if "|" in label else []), *known)
+            out = table if out is None else out.unionByName(table, allowMissingColumns=True)
+        return out
+
+    @staticmethod
+    def _name(var: str, label: str) -> list[str]:
+        """The columns that tell a node of a variable: where labels are several, an id alone doesn't."""
+        return [var, f"{var}_label"] if "|" in label else [var]
 
     def node(self, var: str, label: str, *properties: str) -> Pattern:
-        """Binds var. label may be "A|B"."""
+        """Binds var. label may be "A|B"; then var_label says which it is."""
         if self.edge is None:
-            tables = [self._table(var, one, properties) for one in label.split("|")]
-            table = tables[0]
-            for t in tables[1:]:
-                table = table.unionByName(t)
-            return self._with(table if self.rows_ is None else self.rows_.join(table, var), var, label)
-        labels, direction, edge, edge_properties = self.edge
-        table = self._edges(labels, direction, label, edge, edge_properties, var)
-        on = [self.last, var] if var in self.rows_.columns else [self.last]
+            table = self._table(var, label, properties)
+            return self._with(table if self.rows_ is None else self.rows_.join(table, self._name(var, label)), var, label)
+        table = self._edges(label, var)
+        on = self._name(self.last, self.label) + (self._name(var, label) if var in self.rows_.columns else [])
         rows = self.rows_.join(table, on)
         if properties:
-            rows = rows.join(self._table(var, label, properties), var)
+            rows = rows.join(self._table(var, label, properties), self._name(var, label))
         return self._with(rows, var, label)
 
-    def _edges(self, labels: str | None, direction: str, to: str, edge: str | None, properties: Sequence[str], var: str) -> DataFrame:
-        """Edges from the last node to nodes labelled `to`, as columns last, var and the edge's properties."""
-        out, here = None, self.label
-        wanted = labels.split("|") if labels else None
+    def _edges(self, to: str, var: str) -> DataFrame:
+        """Edges from the last node to nodes labelled `to`: the columns that tell both, and the edge's properties."""
+        labels, direction, edge, properties = self.edge
+        wanted, out = labels.split("|") if labels else None, None
         for name, t in self.graph.edges.items():
             label = name.split(":")[0]
             if wanted and label not in wanted and name not in wanted:
                 continue
-            forward = (t.source, t.target) == (here, to) and (direction in ("out", "any") and t.directed or direction in ("undirected", "any") and not t.directed)
-            backward = (t.target, t.source) == (here, to) and (direction in ("in", "any") and t.directed or direction in ("undirected", "any") and not t.directed)
-            for rows in ([t.rows] if forward else []) + ([t.swapped() if forward and backward else swapped(t.rows)] if backward else []):
-                named = rows.select(F.col("src").alias(self.last), F.col("dst").alias(var), *(F.col(p).alias(f"{edge}_{p}") for p in properties if p in t.properties), *([F.lit(label).alias(f"{edge}_label")] if labels is None and edge else []))
-                out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+            fits = lambda way: direction == "any" or (direction == way if t.directed else direction == "undirected")  # noqa: E731, B023
+            ahead = t.source in self.label.split("|") and t.target in to.split("|") and fits("out")
+            back = t.target in self.label.split("|") and t.source in to.split("|") and fits("in")
+            # between nodes of one label a loop is met once, though both ways are
+            turned = t.swapped() if ahead and back and t.source == t.target else swapped(t.rows)
+            for rows, ends in [(t.rows, (t.source, t.target))] * ahead + [(turned, (t.target, t.source))] * back:
+                columns = [F.col("src").alias(self.last), F.col("dst").alias(var)]
+                columns += [F.lit(ends[0]).alias(f"{self.last}_label")] if "|" in self.label else []
+                columns += [F.lit(ends[1]).alias(f"{var}_label")] if "|" in to else []
+                columns += [F.col(p).alias(f"{edge}_{p}") for p in properties if p in t.properties]
+                columns += [F.lit(label).alias(f"{edge}_label")] if labels is None and edge else []
+                out = rows.select(*columns) if out is None else out.unionByName(rows.select(*columns), allowMissingColumns=True)
         if out is None:
-            raise ValueError(f"no {direction} edge {labels or ''} between {here} and {to}")
+            raise ValueError(f"no {direction} edge {labels or ''} between {self.label} and {to}")
         return out
 
     def _step(self, direction: str, labels: str | None, edge: str | None, properties: Sequence[str]) -> Pattern:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwright.plans.materialise import checkpoint
+
 
 def value_counts(df: DataFrame, column: str, keep_null: bool = False, limit: int | None = None) -> DataFrame:
     """column and n, most frequent first (ties by value)."""
@@ -31,16 +33,33 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 30
 
 
 def positions(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
-    """The place of each row in a total order, from 0.
+    """The place of each row in a total order, from 0."""
+    one = F.lit(1).cast("long")
+    return running_total(df.withColumn("_one", one), "_one", *order, name=name).drop("_one")
 
-    Rows are dealt by range, so no task sees them all: a place is the number of rows in the ranges before plus the place in
-    one's own range.
-    """
-    from meshwright.plans.materialise import checkpoint
 
-    dealt = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+def running_total(df: DataFrame, value: str, *order: str | Column, name: str = "before") -> DataFrame:
+    """The sum of a whole-number column over the rows that come before, in a total order.
+
+    Rows are dealt by range, so no task sees them all: the sum is that of the ranges before plus that within one's own range.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = checkpoint(ordered.withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
     # one row for each range
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    ahead = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_ahead"))
+    until = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(until), F.lit(0))
+    out = dealt.withColumn("_own", own).join(F.broadcast(ahead), "_range").withColumn(name, F.col("_ahead") + F.col("_own"))
+    return out.drop("_range", "_own", "_ahead")
+
+
+def numbered(df: DataFrame, name: str = "number") -> DataFrame:
+    """Numbers from 0 in the order of partitions and of their rows; none is moved."""
+    placed = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # one row for each partition
+    ahead = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    found = placed.withColumn("_part", part).join(F.broadcast(ahead), "_part")
+    return found.withColumn(name, F.col("_ahead") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_row", "_ahead")

@@ -28,30 +28,64 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= radius).select("left_id", "right_id", "distance")
 
 
+#: A coarser grid's cells have this many times the side of the next finer one's.
+COARSER = 4
+
+
 def nearest_join(left: DataFrame, right: DataFrame, first: float, most: float | None = None) -> DataFrame:
-    """The nearest right point of each left point: left_id, right_id, distance; ties to the lower right_id.
+    """The nearest right point of each left point (at most `most` away): left_id, right_id, distance; ties to the lower right_id.
 
-    Rounds with doubled radii from `first` serve the points that have found none yet; without `most` they go on until the radius
-    spans both layers, so every point finds one if there is any.
+    One radius join finds those within `first`. The other points go down grids of occupied cells, each COARSER times as fine as the one
+    before, from one that holds everything: at each, a cell stays if its nearest edge is no farther than the farthest
+    corner of some other cell. So a far point meets the points of a few small cells, however many there are in all.
     """
     left = checkpoint(left.select("id", "x", "y"))
     right = checkpoint(right.select("id", "x", "y"))
-    if most is None:
-        box = left.unionByName(right).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-        most = max(first, (box[0] or 0.0) + (box[1] or 0.0))
-    out, open_, radius = [], left, min(first, most)
-    while True:
-        near = radius_join(open_, right, radius)
-        best = checkpoint(near.groupBy("left_id").agg(F.min_by(F.struct("right_id", "distance"), F.struct("distance", "right_id")).alias("b")).select("left_id", "b.right_id", "b.distance"))
-        out.append(best)
-        open_ = checkpoint(open_.join(best.select(F.col("left_id").alias("id")), "id", "left_anti"))
-        if radius >= most or not open_.limit(1).count():
-            break
-        radius = min(2 * radius, most)
-    found = out[0]
-    for o in out[1:]:
-        found = found.unionByName(o)
-    return found
+    radius = first if most is None else min(first, most)
+    found = checkpoint(_nearest(radius_join(left, right, radius)))
+    if most is not None and most <= first:
+        return found
+    open_ = checkpoint(left.join(found.select(F.col("left_id").alias("id")), "id", "left_anti"))
+    if open_.isEmpty():
+        return found
+    return found.unionByName(_nearest(_descended(open_, right, first, most)))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    best = F.min_by(F.struct("right_id", "distance"), F.struct("distance", "right_id")).alias("b")
+    return pairs.groupBy("left_id").agg(best).select("left_id", "b.right_id", "b.distance")
+
+
+def _descended(left: DataFrame, right: DataFrame, size: float, most: float | None) -> DataFrame:
+    """Pairs (left_id, right_id, distance) that hold the nearest right point of each left point."""
+    box = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if box[0] is None:
+        return left.select(F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(0.0).alias("distance")).limit(0)
+    level = 0
+    while max(box[1] - box[0], box[3] - box[2]) > size * COARSER**level:
+        level += 1
+    finest = checkpoint(right.select(_cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy")).distinct())
+    at = lambda up, c: F.floor(F.col(c) / COARSER**up)
+    # four cells at most, as none of the two sides is longer than a cell's
+    tops = sorted(map(tuple, finest.select(at(level, "cx"), at(level, "cy")).distinct().collect()))
+    listed = F.array(*(F.struct(F.lit(a).alias("cx"), F.lit(b).alias("cy")) for a, b in tops))
+    held = left.select("id", "x", "y", F.explode(listed).alias("c")).select("id", "x", "y", "c.cx", "c.cy")
+    for up in range(level - 1, -1, -1):
+        cells = finest.select(at(up, "cx").alias("cx"), at(up, "cy").alias("cy")).distinct()
+        cells = cells.select(F.floor(F.col("cx") / COARSER).alias("px"), F.floor(F.col("cy") / COARSER).alias("py"), "cx", "cy")
+        finer = held.withColumnsRenamed({"cx": "px", "cy": "py"}).join(cells, ["px", "py"])
+        side = size * COARSER**up
+        near = [F.greatest(F.col(c) * side - F.col(v), F.col(v) - (F.col(c) + 1) * side, F.lit(0.0)) for c, v in (("cx", "x"), ("cy", "y"))]
+        far = [F.greatest(F.abs(F.col(c) * side - F.col(v)), F.abs((F.col(c) + 1) * side - F.col(v))) for c, v in (("cx", "x"), ("cy", "y"))]
+        finer = finer.withColumns({"_near": F.hypot(*near), "_far": F.hypot(*far)})
+        reach = F.min("_far").over(Window.partitionBy("id")) * (1 + 1e-9)
+        finer = finer.withColumn("_reach", reach if most is None else F.least(reach, F.lit(float(most))))
+        held = finer.filter("_near <= _reach").select("id", "x", "y", "cx", "cy")
+    points = right.select(F.col("id").alias("right_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    points = points.withColumns({"cx": _cell(F.col("bx"), size), "cy": _cell(F.col("by"), size)})
+    d = geo.distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))
+    pairs = held.join(points, ["cx", "cy"]).select(F.col("id").alias("left_id"), "right_id", d.alias("distance"))
+    return pairs if most is None else pairs.filter(F.col("distance") <= most)
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, most: float = 40.0) -> DataFrame:

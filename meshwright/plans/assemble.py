@@ -28,13 +28,13 @@ def _properties(df: DataFrame, names: dict[str, str]) -> list[Column]:
     return out
 
 
-def mode_edges(segments: DataFrame, profile: network.Profile) -> DataFrame:
+def mode_edges(segments: DataFrame, mode: str) -> DataFrame:
     """Edges of one mode: arcs by direction of travel if the mode heeds it, else one undirected edge for each segment."""
-    used = segments.filter(F.col(f"permite_{profile.name}"))
-    used = network.directed_edges(used) if profile.directed else used
-    extra = [F.col("ciclovia")] if profile.name == "bici" and "ciclovia" in used.columns else []
+    used = segments.filter(F.col(f"permite_{mode}"))
+    used = network.directed_edges(used) if network.MODES[mode].directed else used
+    extra = [F.col("ciclovia")] if mode == "bici" and "ciclovia" in used.columns else []
     street = [F.col("calle_id")] if "calle_id" in used.columns else []
-    return used.select(F.col("u").alias("src"), F.col("v").alias("dst"), *_properties(used, SEGMENT_PROPERTIES), F.bround("largo_m", 1).alias("largo_m"), F.lit(profile.name).alias("modo"), *extra, *street)
+    return used.select(F.col("u").alias("src"), F.col("v").alias("dst"), *_properties(used, SEGMENT_PROPERTIES), F.bround("largo_m", 1).alias("largo_m"), F.lit(mode).alias("modo"), *extra, *street)
 
 
 def _straight(segments: DataFrame) -> DataFrame:
@@ -58,7 +58,9 @@ def build(nodes: DataFrame, segments: DataFrame, streets: DataFrame, places: Dat
     walkable = checkpoint(corners.select("id", "x", "y").join(paths.giant_nodes(on_foot, "u", "v").withColumnRenamed("node", "id"), "id", "left_semi"))
     named = [F.bround("largo_m", 1).alias("largo_m") if c == "largo_m" else F.col(c) for c in streets.columns]
     tables = {"Calle": streets.select(F.col("calle_id").alias("id"), *named), "Interseccion": corners}
-    edges: dict[str, tuple] = {p.label: (mode_edges(segments, p), "Interseccion", "Interseccion", p.directed) for p in network.PROFILES.values()}
+    edges: dict[str, tuple] = {
+        mode.label: (mode_edges(segments, name), "Interseccion", "Interseccion", mode.directed) for name, mode in network.MODES.items()
+    }
     members = network.street_junctions(segments)
     edges["CRUZA_CON"] = (network.crossings(members).withColumnsRenamed({"calle_a": "src", "calle_b": "dst"}), "Calle", "Calle", False)
     edges["EN_CALLE:Interseccion"] = (members.withColumnsRenamed({"nodo_id": "src", "calle_id": "dst"}), "Interseccion", "Calle")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.graph import PropertyGraph
+from meshwright.graph import Edges, PropertyGraph
+from meshwright.operators.aggregates import numbered
 
 
 def _props(names: list[str], kinds: dict[str, str]) -> Column:
@@ -18,18 +22,38 @@ def _props(names: list[str], kinds: dict[str, str]) -> Column:
     return F.struct(*map(value, names)) if names else F.from_json(F.lit("{}"), "struct<_:string>")
 
 
+def numbered_edges(graph: PropertyGraph) -> Iterator[tuple[str, Edges, DataFrame]]:
+    """(label, edges, rows with _number) of each table; numbers go on from one table to the next."""
+    before = 0
+    for name, t in graph.edges.items():
+        rows = numbered(t.rows, "_number")
+        n = rows.count()
+        yield name.split(":")[0], t, rows.withColumn("_number", F.col("_number") + before)
+        before += n
+
+
+def identified(label: str, column: str) -> Column:
+    """A node's id in every format: its label in small letters, a colon, its id there."""
+    return F.concat(F.lit(label.lower() + ":"), F.col(column).cast("string"))
+
+
 def element_lines(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) as a column `value` of compact JSON objects; ids are "<label>:<id>"."""
+    """(nodes, edges) as a column `value` of compact JSON objects; edges are a0, a1 and so on."""
     nodes = edges = None
     for label, t in graph.nodes.items():
-        ident = F.concat(F.lit(label.lower() + ":"), F.col("id").cast("string"))
-        lines = t.rows.select(F.to_json(F.struct(ident.alias("id"), F.array(F.lit(label)).alias("labels"), _props(t.properties, dict(t.rows.dtypes)).alias("props"))).alias("value"))
+        props = _props(t.properties, dict(t.rows.dtypes)).alias("props")
+        element = F.struct(identified(label, "id").alias("id"), F.array(F.lit(label)).alias("labels"), props)
+        lines = t.rows.select(F.to_json(element).alias("value"))
         nodes = lines if nodes is None else nodes.unionByName(lines)
-    for label, t in graph.edges.items():
-        ends = F.array(*(F.concat(F.lit(of.lower() + ":"), F.col(c).cast("string")) for of, c in ((t.source, "src"), (t.target, "dst"))))
-        # an edge's id says label and place: no count over all edges is needed
-        ident = F.concat(F.lit(f"{label}:"), F.monotonically_increasing_id().cast("string"))
-        lines = t.rows.select(F.to_json(F.struct(ident.alias("id"), F.array(F.lit(label)).alias("labels"), ends.alias("endpoints"), F.lit("->" if t.directed else "~~").alias("directionality"), _props(t.properties, dict(t.rows.dtypes)).alias("props"))).alias("value"))
+    for label, t, rows in numbered_edges(graph):
+        element = F.struct(
+            F.concat(F.lit("a"), F.col("_number").cast("string")).alias("id"),
+            F.array(F.lit(label)).alias("labels"),
+            F.array(identified(t.source, "src"), identified(t.target, "dst")).alias("endpoints"),
+            F.lit("->" if t.directed else "~~").alias("directionality"),
+            _props(t.properties, dict(t.rows.dtypes)).alias("props"),
+        )
+        lines = rows.select(F.to_json(element).alias("value"))
         edges = lines if edges is None else edges.unionByName(lines)
     return nodes, edges
 
@@ -37,16 +61,30 @@ def element_lines(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
 def write_lines(graph: PropertyGraph, path: str) -> None:
     """The elements as JSON lines, in parallel: <path>/nodes and <path>/edges."""
     for name, lines in zip(("nodes", "edges"), element_lines(graph)):
-        lines.write.text(f"{path}/{name}")
+        if lines is not None:
+            lines.write.text(f"{path}/{name}")
+
+
+def _separated(batches):
+    """A comma before each element but the first of a list; the frames between lists have none."""
+    within = False
+    for batch in batches:
+        out = []
+        for text, part in zip(batch.column("value").to_pylist(), batch.column("_p").to_pylist()):
+            out.append(f",{text}" if within and part % 2 else text)
+            within = part % 2 == 1
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
 def write_document(graph: PropertyGraph, path: str) -> None:
     """One JSON document as a text file in `path`, for small graphs: a single writer puts the elements in order."""
     nodes, edges = element_lines(graph)
-    frame = lambda text, part: nodes.sparkSession.range(1).select(F.lit(text).alias("value"), F.lit(part).alias("_p"), F.lit(0).alias("_c"))
-    body = lambda lines, part: lines.select(F.concat("value", F.lit(",")).alias("value"), F.lit(part).alias("_p"), F.lit(0).alias("_c"))
-    whole = frame('{"nodes":[', 0).unionByName(body(nodes, 1)).unionByName(frame('null],"edges":[', 2)).unionByName(body(edges, 3)).unionByName(frame("null]}", 4))
-    whole.repartition(1).sortWithinPartitions("_p").select("value").write.text(path)
+    spark = nodes.sparkSession
+    whole = spark.createDataFrame([('{"nodes":[', 0), ('],"edges":[', 2), ("]}", 4)], "value string, _p int")
+    for lines, part in ((nodes, 1), (edges, 3)):
+        whole = whole if lines is None else whole.unionByName(lines.withColumn("_p", F.lit(part)))
+    ordered = whole.repartition(1).sortWithinPartitions("_p")
+    ordered.mapInArrow(_separated, "value string").write.text(path)
 
 
 _NODE = "struct<id:string,labels:array<string>,props:map<string,string>>"
@@ -56,7 +94,7 @@ _EDGE = "struct<id:string,labels:array<string>,endpoints:array<string>,direction
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a JSON document: id, labels, props and id, labels, endpoints, directionality, props as text values."""
     whole = spark.read.schema(f"nodes array<{_NODE}>, edges array<{_EDGE}>").option("multiLine", True).json(path)
-    return tuple(whole.select(F.explode(c).alias("e")).filter("e is not null").select("e.*") for c in ("nodes", "edges"))
+    return tuple(whole.select(F.explode(c).alias("e")).select("e.*") for c in ("nodes", "edges"))
 
 
 def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

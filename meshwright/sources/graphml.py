@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions.text import xml_escaped
 from meshwright.graph import PropertyGraph
+from meshwright.sources.graph_json import identified, numbered_edges
 
 #: GraphML's names of types.
 TYPES = {"boolean": "boolean", "int": "long", "bigint": "long", "smallint": "long", "float": "double", "double": "double"}
 
 
-def _data(df: DataFrame, names: list[str], scope: str) -> list[Column]:
-    """<data> elements of the values that are there."""
-    kinds = dict(df.dtypes)
-    return [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f'<data key="{scope}_{c}">'), xml_escaped(F.col(c).cast("string")) if kinds[c] == "string" else F.col(c).cast("string"), F.lit("</data>"))) for c in names]
+def _data(df: DataFrame, names: list[str]) -> list[Column]:
+    """<data> elements of the values that are there: not null, empty, infinite or not a number."""
+    kinds, out = dict(df.dtypes), []
+    for c in names:
+        value = F.col(f"`{c}`").cast("string")
+        there = value.isNotNull() & (value != "")
+        if kinds[c] in ("double", "float"):
+            there = there & ~value.isin("NaN", "Infinity", "-Infinity")
+        text = xml_escaped(value) if kinds[c] == "string" else value
+        out.append(F.when(there, F.concat(F.lit(f'<data key="{escape(c)}">'), text, F.lit("</data>"))))
+    return out
 
 
 def widened(kinds: list[str]) -> str:
@@ -24,29 +35,42 @@ def widened(kinds: list[str]) -> str:
     return found.pop() if len(found) == 1 else "double" if found == {"long", "double"} else "string"
 
 
+#: The head of a file.
+HEAD = [
+    '<?xml version="1.0" encoding="UTF-8"?>',
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '
+    'xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns http://graphml.graphdrawing.org/xmlns/1.0/graphml.xsd">',
+]
+
+
+def _keys(tables: Iterable, scope: str) -> list[str]:
+    """A declaration for each property that elements of a scope have, the label first."""
+    kinds: dict[str, list[str]] = {"label": ["string"]}
+    for t in tables:
+        for c in t.properties:
+            kinds.setdefault(c, []).append(dict(t.rows.dtypes)[c])
+    names = {c: escape(c) for c in kinds}
+    return [f'<key id="{names[c]}" for="{scope}" attr.name="{names[c]}" attr.type="{widened(k)}"/>' for c, k in kinds.items()]
+
+
 def lines(graph: PropertyGraph, directed: bool = True) -> DataFrame:
-    """value and order: head and keys 0, nodes 1, edges 2, tail 3."""
+    """value and order: head and keys 0, nodes 1, edges 2, tail 3. Edges are e0, e1 and so on."""
     spark = next(iter(graph.nodes.values())).rows.sparkSession
-    keys: dict[tuple[str, str], list[str]] = {}
-    for scope, tables in (("n", graph.nodes), ("e", graph.edges)):
-        for t in tables.values():
-            for c in t.properties:
-                keys.setdefault((scope, c), []).append(dict(t.rows.dtypes)[c])
-    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
-    for scope, name in (("n", "node"), ("e", "edge")):
-        head.append(f'<key id="{scope}_label" for="{name}" attr.name="label" attr.type="string"/>')
-        head += [f'<key id="{scope}_{c}" for="{name}" attr.name="{c}" attr.type="{widened(k)}"/>' for (s, c), k in keys.items() if s == scope]
-    head.append(f'<graph edgedefault="{"directed" if directed else "undirected"}">')
-    framed = lambda texts, order: spark.range(1).select(F.posexplode(F.array(*map(F.lit, texts))).alias("place", "value"), F.lit(order).alias("order")).select("value", "order", F.col("place").cast("long").alias("place"))
-    out = framed(head, 0).unionByName(framed(["</graph>", "</graphml>"], 3))
-    name = lambda label, c: xml_escaped(F.concat(F.lit(label.lower() + ":"), F.col(c).cast("string")))
+    head = HEAD + _keys(graph.nodes.values(), "node") + _keys(graph.edges.values(), "edge")
+    head.append(f'<graph id="G" edgedefault="{"directed" if directed else "undirected"}">')
+    framed = [(text, 0, k) for k, text in enumerate(head)] + [("</graph>", 3, 0), ("</graphml>", 3, 1)]
+    out = spark.createDataFrame(framed, "value string, order int, place long")
+    name = lambda label, c: xml_escaped(identified(label, c))
     for label, t in graph.nodes.items():
-        text = F.concat(F.lit('<node id="'), name(label, "id"), F.lit(f'"><data key="n_label">{label}</data>'), F.concat_ws("", *_data(t.rows, t.properties, "n")), F.lit("</node>"))
+        opened = F.concat(F.lit('<node id="'), name(label, "id"), F.lit(f'"><data key="label">{label}</data>'))
+        text = F.concat(opened, F.concat_ws("", *_data(t.rows, t.properties)), F.lit("</node>"))
         out = out.unionByName(t.rows.select(text.alias("value"), F.lit(1).alias("order"), F.lit(0).cast("long").alias("place")))
-    for label, t in graph.edges.items():
+    for label, t, rows in numbered_edges(graph):
         own = "" if t.directed == directed else f' directed="{str(t.directed).lower()}"'
-        text = F.concat(F.lit(f'<edge id="{label}:'), F.monotonically_increasing_id().cast("string"), F.lit('" source="'), name(t.source, "src"), F.lit('" target="'), name(t.target, "dst"), F.lit(f'"{own}><data key="e_label">{label}</data>'), F.concat_ws("", *_data(t.rows, t.properties, "e")), F.lit("</edge>"))
-        out = out.unionByName(t.rows.select(text.alias("value"), F.lit(2).alias("order"), F.lit(0).cast("long").alias("place")))
+        ends = [F.lit('" source="'), name(t.source, "src"), F.lit('" target="'), name(t.target, "dst")]
+        opened = F.concat(F.lit('<edge id="e'), F.col("_number").cast("string"), *ends, F.lit(f'"{own}><data key="label">{label}</data>'))
+        text = F.concat(opened, F.concat_ws("", *_data(t.rows, t.properties)), F.lit("</edge>"))
+        out = out.unionByName(rows.select(text.alias("value"), F.lit(2).alias("order"), F.col("_number").alias("place")))
     return out
 
 

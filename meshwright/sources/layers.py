@@ -46,6 +46,7 @@ def keep_listed(df: DataFrame, columns: list[str], key: str = "osm_id") -> DataF
 #: Unnamed features that aren't places.
 UNNAMED_AMENITIES = ("bench", "parking", "parking_space", "parking_entrance", "waste_basket", "waste_disposal", "bicycle_parking", "bicycle_repair_station", "toilets", "fountain", "recycling", "drinking_water", "shelter", "bbq", "grit_bin", "clock", "vending_machine", "telephone", "post_box", "smoking_area", "watering_place", "hunting_stand")
 UNNAMED_LEISURE = ("swimming_pool", "pitch", "garden", "picnic_table", "bleachers", "outdoor_seating", "fitness_station", "track")
+#: Categories of venues that are homes.
 PRIVATE_CATEGORIES = ("Home (private)", "Residential Building (Apartment / Condo)", "Housing Development", "Assisted Living")
 
 
@@ -67,9 +68,21 @@ def public_venues(df: DataFrame, checkins: DataFrame) -> DataFrame:
     return open_.join(counts, "venue_id", "left").withColumn("checkins", F.coalesce("checkins", F.lit(0)))
 
 
+def of_geometry(df: DataFrame, *kinds: str, column: str = "geometry_type") -> DataFrame:
+    """The features whose geometry is one of kinds, alone or as several parts; all where the column is missing."""
+    if column not in df.columns:
+        return df
+    return df.filter(F.col(column).isin(*kinds, *(f"Multi{k}" for k in kinds)))
+
+
+def write_layer(df: DataFrame, path: str) -> None:
+    """The layer as Parquet; what is there already stays as it is."""
+    df.write.mode("ignore").parquet(path)
+
+
 def boundaries(df: DataFrame, names: list[str]) -> DataFrame:
-    """Municipal boundaries of these names; ValueError if one is missing."""
-    found = df.filter((F.col("admin_level") == "8") & F.col("name").isin(*names))
+    """Municipal boundaries of these names (areas, where geometry_type says so); ValueError if one is missing."""
+    found = of_geometry(df, "Polygon").filter((F.col("admin_level") == "8") & F.col("name").isin(*names))
     missing = set(names) - {r["name"] for r in found.select("name").distinct().collect()}
     if missing:
         raise ValueError(f"no boundary for {sorted(missing)}")
@@ -88,6 +101,34 @@ def numbered_reports(df: DataFrame, *tie: str) -> DataFrame:
     return placed.withColumn("reporte_id", F.lpad(F.col("position").cast("string"), 6, "0")).withColumn("fecha", F.date_format("created_at", "yyyy-MM-dd")).drop("position")
 
 
+#: Places of the night, and shops that sell alcohol.
+NIGHT_PLACES, LIQUOR_SHOPS = ("bar", "pub", "nightclub"), ("alcohol",)
+
+
+def count_kinds(places: DataFrame, venues: DataFrame, night: tuple[str, ...]) -> DataFrame:
+    """One row: places of the night, liquor shops, and venues whose category is one of night."""
+    here = places.agg(F.count_if(F.col("amenity").isin(*NIGHT_PLACES)).alias("nocturnos"), F.count_if(F.col("shop").isin(*LIQUOR_SHOPS)).alias("botillerias"))
+    # two tables of one row each
+    return here.crossJoin(venues.agg(F.count_if(F.col("category").isin(*night)).alias("venues_nocturnos")))
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Query files as archivo, numero (before the first hyphen), titulo (first comment line), explicacion (the others) and gql (the rest)."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("archivo"), "value")
+    lines, is_comment = F.split("value", r"\r?\n"), lambda x: F.ltrim(x).startswith("--")
+    said = F.transform(F.filter(lines, is_comment), lambda x: F.trim(F.regexp_replace(x, "^[- ]+", "")))
+    rest = F.array_join(F.filter(lines, lambda x: ~is_comment(x)), "\n")
+    found = files.select("archivo", said.alias("_said"), F.regexp_replace(rest, r"^\s+|\s+$", "").alias("gql"))
+    stem = F.regexp_replace("archivo", r"\.[^.]*$", "")
+    return found.select(
+        "archivo",
+        F.substring_index(stem, "-", 1).alias("numero"),
+        F.coalesce(F.regexp_replace(F.try_element_at("_said", F.lit(1)), r"\.+$", ""), stem).alias("titulo"),
+        F.array_join(F.slice("_said", F.lit(2), F.greatest(F.size("_said"), F.lit(1))), " ").alias("explicacion"),
+        "gql",
+    )
+
+
 def split_header(text: str) -> tuple[list[str], str]:
     """(lines of the leading -- comment, the rest) of a query file."""
     lines = text.splitlines()

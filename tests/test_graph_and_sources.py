@@ -53,7 +53,57 @@ def test_csv_writes_undirected_edges_twice(spark, graph, tmp_path):
     graph_csv.write_bundle(graph, str(tmp_path / "bundle"))
     back = graph_csv.read_bundle(spark, str(tmp_path / "bundle"))
     assert back.edge_count == graph.edge_count + 2 and back.node_count == 5  # the loop has one orientation
-    assert {r.id: r.nombre for r in back.nodes["Calle"].rows.collect()}[2] == "Otra calle"
+    assert {r.id: r.nombre for r in back.nodes["Calle"].rows.collect()}["calle:2"] == "Otra calle"
+
+
+def kinds_of_ends(spark):
+    """An edge label whose edges come from nodes of two labels, with other properties each."""
+    rows = lambda values, schema: spark.createDataFrame(values, schema)
+    nodes = {"Lugar": rows([(1, "bar")], "id long, kind string"), "Reclamo": rows([(1,), (2,)], "id long"), "Calle": rows([(7, "Á")], "id long, nombre string")}
+    of_place = (rows([(1, 7, "cercania")], "src long, dst long, origen string"), "Lugar", "Calle")
+    return PropertyGraph.build(nodes, {"EN_CALLE:Lugar": of_place, "EN_CALLE:Reclamo": (rows([(1, 7), (2, 7)], "src long, dst long"), "Reclamo", "Calle")})
+
+
+def test_formats_know_labels_and_not_kinds(spark, tmp_path):
+    graph = kinds_of_ends(spark)
+    assert {r.etiqueta: r.cantidad for r in graph.counts().collect()} == {"Lugar": 1, "Reclamo": 2, "Calle": 1, "EN_CALLE": 3}
+    graph_csv.write_bundle(graph, str(tmp_path / "b"))
+    assert sorted(p.name for p in (tmp_path / "b").iterdir()) == ["Calle.csv", "Lugar.csv", "Reclamo.csv", "en_calle.csv", "spanner_import_config.json"]
+    back = graph_csv.read_bundle(spark, str(tmp_path / "b"))
+    assert {k: t.rows.count() for k, t in back.edges.items()} == {"EN_CALLE:Lugar:Calle": 1, "EN_CALLE:Reclamo:Calle": 2}
+    graph_json.write_document(graph, str(tmp_path / "j"))
+    told = json.loads("".join(p.read_text() for p in (tmp_path / "j").glob("part-*")))
+    assert [len(told["nodes"]), [e["id"] for e in told["edges"]]] == [4, ["a0", "a1", "a2"]] and {e["labels"][0] for e in told["edges"]} == {"EN_CALLE"}
+    empty = PropertyGraph.build({"Calle": graph.nodes["Calle"].rows.limit(0)}, {})
+    graph_json.write_document(empty, str(tmp_path / "e"))
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "e").glob("part-*"))) == {"nodes": [], "edges": []}
+    keys = [r.value for r in graphml.lines(graph).filter("order = 0").orderBy("place").collect()]
+    assert sum('id="label"' in k for k in keys) == 2 and sum('attr.name="origen"' in k for k in keys) == 1
+
+
+def test_patterns_over_several_labels(spark):
+    found = kinds_of_ends(spark).match().node("c", "Calle", "nombre").into("EN_CALLE").node("p", "Lugar|Reclamo", "kind").rows().collect()
+    assert sorted((r.c, r.p_label, r.p, r.p_kind) for r in found) == [(7, "Lugar", 1, "bar"), (7, "Reclamo", 1, None), (7, "Reclamo", 2, None)]
+
+
+def test_summary_and_catalogue(spark, graph, tmp_path):
+    graph_csv.write_summary(graph, str(tmp_path / "s"))
+    assert [tuple(r) for r in graph_csv.read_summary(spark, str(tmp_path / "s")).collect()][:2] == [("Calle", 3, "nodo"), ("Lugar", 2, "nodo")]
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "02-ruido.gql").write_text("-- Dónde hay ruido.\n-- Cuenta por calle\n-- y ordena.\nMATCH (a)\nRETURN a\n")
+    row = layers.catalogue(spark, str(tmp_path / "q")).first()
+    assert tuple(row) == ("02-ruido.gql", "02", "Dónde hay ruido", "Cuenta por calle y ordena.", "MATCH (a)\nRETURN a")
+
+
+def test_layers_by_geometry_and_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "8", "MultiPolygon"), ("x", "8", "LineString")], "name string, admin_level string, geometry_type string")
+    assert layers.boundaries(rows, ["x"]).count() == 1
+    layers.write_layer(rows, str(tmp_path / "l"))
+    layers.write_layer(rows.limit(1), str(tmp_path / "l"))
+    assert spark.read.parquet(str(tmp_path / "l")).count() == 2
+    places = spark.createDataFrame([("bar", None), (None, "alcohol"), ("cafe", "shoes")], "amenity string, shop string")
+    venues = spark.createDataFrame([("Pub",), ("Home",)], "category string")
+    assert tuple(layers.count_kinds(places, venues, ("Pub",)).first()) == (1, 1, 1)
 
 
 def test_graphml_is_well_formed(graph, tmp_path):

@@ -68,3 +68,37 @@ def test_aggregates(spark):
     assert df.select(aggregates.rate(F.lit(3), F.lit(0))).first()[0] is None
     placed = aggregates.positions(spark.range(1000).withColumn("o", F.xxhash64("id")), "o").collect()
     assert [r.position for r in sorted(placed, key=lambda r: r.o)] == list(range(1000))
+
+
+def test_ascii_of_every_character(spark):
+    """What compatibility decomposition and an ASCII encoding leave of each character."""
+    import unicodedata
+
+    from meshwright.functions import text
+
+    codes = [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]
+    rows = spark.createDataFrame([(i, f"a{chr(i)}b") for i in codes], "i int, t string")
+    left = lambda c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+    wrong = [r.i for r in rows.select("i", text.ascii_only(F.col("t")).alias("t")).collect() if r.t != f"a{left(chr(r.i))}b"]
+    assert not wrong
+    names = spark.createDataFrame([("Phố Hàng Đào", "pho-hang-ao"), ("ĳ ½ ﬁ Ø", "ij-12-fi"), ("!!!", "sin-nombre")], "n string, want string")
+    assert all(r.got == r.want for r in names.select("want", text.slug(F.col("n")).alias("got")).collect())
+
+
+def test_far_points_find_their_nearest(spark):
+    """Points far from a dense cluster, beyond it and within, against all pairs."""
+    import random
+
+    from meshwright.operators import spatial
+
+    rng = random.Random(5)
+    right = [(k, 5000 + rng.random() * 30, 700 + rng.random() * 30) for k in range(300)] + [(900, -4000.0, -90.0), (901, -4000.0, -90.0)]
+    left = [(k, rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for k in range(80)] + [(100, 5010.0, 710.0), (101, 10.0**6, 0.0)]
+    make = lambda rows: spark.createDataFrame(rows, "id long, x double, y double").repartition(3)
+    far = lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5
+    want = {a[0]: min((round(far(a, b), 6), b[0]) for b in right) for a in left}
+    got = {r.left_id: (round(r.distance, 6), r.right_id) for r in spatial.nearest_join(make(left), make(right), 5.0).collect()}
+    assert got == want
+    within = {r.left_id for r in spatial.nearest_join(make(left), make(right), 5.0, 3000.0).collect()}
+    assert within == {k for k, (d, _) in want.items() if d <= 3000}
+    assert spatial.nearest_join(make(left), make(right).limit(0), 5.0).count() == 0
