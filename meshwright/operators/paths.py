@@ -99,7 +99,7 @@ def all_shortest(edges: DataFrame, seeds: DataFrame, targets: DataFrame, most_ho
     node = F.col("node")
     paths = ends.select("seed", node.alias("target"), "hops", node.alias("at"), F.array("node").alias("path"), F.col("hops").alias("left"), *vias)
     paths = checkpoint(paths)
-    back = edges.select("src", "dst", *(["via"] if listed else []))
+    back = checkpoint(edges.select("src", "dst", *(["via"] if listed else [])))
     before = levels.select("seed", F.col("node").alias("src"), F.col("hops").alias("_h"))
     vias = [F.concat(F.array("via"), "vias").alias("vias")] if listed else []
     done = [paths.filter("left = 0")]
@@ -121,11 +121,12 @@ def all_shortest(edges: DataFrame, seeds: DataFrame, targets: DataFrame, most_ho
 
 def hops_to_nearest(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Fewest edges from any source to each reachable node: one search from all sources at once (node, hops)."""
+    steps = checkpoint(edges.select("src", "dst").distinct())
     frontier = reached = checkpoint(sources.select("node").distinct().withColumn("hops", F.lit(0)))
     hops = 0
     while True:
         hops += 1
-        moved = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        moved = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
         seen = Observation()
         fresh = moved.join(reached, "node", "left_anti").withColumn("hops", F.lit(hops))
         frontier = checkpoint(fresh.observe(seen, F.count("*").alias("n")))
