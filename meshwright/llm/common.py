@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +39,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: More buckets than these are refused by Spark's default settings.
+MOST_BUCKETS = 100_000
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df as a table of the warehouse, bucketed by key: while the block runs, joins on the key leave its rows where they are.
+
+    The table is dropped at the end of the block, so what is made of it must be written or checkpointed there.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        df.write.bucketBy(buckets, key).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
 #: Bits of an id filter for each id, and in all (at 64 bits a row, 2**21 rows are broadcast at most).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 

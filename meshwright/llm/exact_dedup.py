@@ -115,13 +115,21 @@ def _telling(bits: int):
     return tell
 
 
+def _at_home(sent: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Each packet's ids and hashes with its bitmap: only bitmaps travel, all those of a source together, to where its rows lie."""
+    answers = bitmaps.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("owner", "bitmap"))).alias("answers"))
+    home = sent.select("source", "owner", "doc_ids", "hashes").join(answers, "source")
+    return home.select("doc_ids", "hashes", F.col("answers")[F.col("owner")].alias("bitmap"))
+
+
 def find_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """Groups docs(doc_id long, text string) whose texts are equal after each run of white space became one space.
 
     One row for each input row: doc_id, keep_id (the group's smallest doc_id), group_size, kept, text_sha256.
 
     Each source chunk sends every owner (a range of fingerprints) its sorted, Golomb-coded fingerprints and gets back a bitmap
-    of those that some source, itself included, holds more than once. Only texts of rows so marked are read again and
+    of those that some source, itself included, holds more than once. Ids and hashes stay in a table bucketed by source, which the
+    bitmaps come to. Only texts of rows so marked are read again and
     shuffled, and grouped by their bytes; a fingerprint that merely collides ends in a group of one, and texts that share a sha256 are
     classes apart. Counts and minima are
     taken before the shuffle, so that a text that a third of all rows share is no hot spot. `owners` is the number
@@ -133,12 +141,12 @@ def find_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body"))
-    sent = common.checkpoint(rows.select("doc_id", _digest("body").alias("sha")).mapInArrow(_send(owners, FINGERPRINT_BITS), _SENT))
-    prints = sent.select("source", "owner", "n", "low", "prints", "here")
-    bitmaps = prints.groupBy("owner").applyInPandas(_answer, "source long, owner int, bitmap binary")
-    home = sent.select("source", "owner", "doc_ids", "hashes").join(bitmaps, ["source", "owner"])
-    home = home.select("doc_ids", "hashes", "bitmap")
-    told = common.checkpoint(home.mapInArrow(_telling(FINGERPRINT_BITS), "doc_id long, sha binary, suspect boolean"))
+    packets = rows.select("doc_id", _digest("body").alias("sha")).mapInArrow(_send(owners, FINGERPRINT_BITS), _SENT)
+    with common.bucketed(packets, "source") as sent:
+        prints = sent.select("source", "owner", "n", "low", "prints", "here")
+        bitmaps = prints.groupBy("owner").applyInPandas(_answer, "source long, owner int, bitmap binary")
+        told = _at_home(sent, bitmaps).mapInArrow(_telling(FINGERPRINT_BITS), "doc_id long, sha binary, suspect boolean")
+        told = common.checkpoint(told)
     suspects = told.filter("suspect")
 
     # the suspects' bytes, grouped before they are shuffled; rows that the id filter lets through beside them are groups of their own

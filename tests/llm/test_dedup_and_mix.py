@@ -87,6 +87,29 @@ def test_hot_texts_send_each_fingerprint_once(spark):
     assert Counter(r.group_size for r in got) == Counter({2940: 2940, 1: 60}) and sum(r.kept for r in got) == 61
 
 
+def test_ids_and_hashes_stay_where_they_are(spark):
+    """The join of packets and bitmaps shuffles the bitmaps alone; the packets' table goes when it is done."""
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(99)] + [(None, "text 1")], "doc_id long, text string").repartition(3)
+    packets = docs.select("doc_id", exact_dedup._digest("text").alias("sha")).mapInArrow(exact_dedup._send(4, 48), exact_dedup._SENT)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with common.bucketed(packets, "source") as sent:
+            prints = sent.select("source", "owner", "n", "low", "prints", "here")
+            bitmaps = prints.groupBy("owner").applyInPandas(exact_dedup._answer, "source long, owner int, bitmap binary")
+            joined = exact_dedup._at_home(sent, bitmaps)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert joined.select(F.sum(F.size("doc_ids"))).first()[0] == 100
+        shuffled = [line for line in plan.split("\n") if "Exchange" in line]
+        # fingerprints to their owners, bitmaps to their sources
+        assert plan.count("SortMergeJoin") == 1 and "Bucketed: true" in plan
+        assert ["owner" in line for line in shuffled] == [False, True] and "source" in shuffled[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert exact_dedup.find_duplicates(docs).count() == 100
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
 def test_exact_dedup_of_nothing(no_docs):
     assert exact_dedup.find_duplicates(no_docs).count() == 0
 
