@@ -151,6 +151,39 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.key_graph(spark, sf_dir).counts()
 
 
+@registered("""
+    SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey
+    WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND n_name NOT IN ('NATION_1', 'NATION_4')
+""")
+def pattern_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.key_graph(spark, sf_dir).match().node("c", "Customer", "name", "mktsegment").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    m = m.out("CUSTOMER_IN").node("n", "Nation", "name").where(~F.col("n_name").isin("NATION_1", "NATION_4"))
+    return m.rows().select(F.col("c_name").alias("customer"), F.col("n_name").alias("nation"))
+
+
+@registered("""
+    SELECT 'customer:' || c_custkey AS id, '{"kind":"node","labels":["Customer"],"props":{"segment":"' || c_mktsegment || '"}}' AS node FROM customer
+    UNION ALL SELECT 'supplier:' || s_suppkey, '{"kind":"node","labels":["Supplier"],"props":{}}' FROM supplier
+""")
+def pattern_whole_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole nodes as values; a property that a node lacks isn't there."""
+    g, out = fx.mixed_graph(spark, sf_dir), None
+    for label in ("Customer", "Supplier"):
+        rows = g.node_values(label).select(F.concat_ws(":", F.lit(label.lower()), F.col("id").cast("string")).alias("id"), F.to_json("node").alias("node"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@registered("""
+    SELECT * FROM (VALUES ('node', 'Corner'), ('node', 'Customer'), ('node', 'Nation'), ('node', 'Supplier'),
+                          ('edge', 'IS_IN'), ('edge', 'ONE_WAY'), ('edge', 'ROAD')) t(kind, label)
+""")
+def graph_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.mixed_graph(spark, sf_dir).schema()
+    rows = [(kind, label) for kind in ("node", "edge") for label in found[f"{kind}_labels"]]
+    return spark.createDataFrame(rows, "kind string, label string")
+
+
 # Paths
 
 
@@ -331,6 +364,19 @@ def isochrone_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.isochrone(_arcs(spark, sf_dir), _seeds(spark, sf_dir), "largo_m", 500.0)
 
 
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, {_SEEDS},
+    walk(seed, node, total) AS (
+        SELECT node, node, CAST(0 AS DOUBLE) FROM seeds
+        UNION
+        SELECT seed, dst, total + largo_m FROM walk JOIN arcs ON node = src WHERE total + largo_m <= 500)
+    SELECT segmento_id, u, v FROM road WHERE u IN (SELECT node FROM walk) AND v IN (SELECT node FROM walk)
+""")
+def reachable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reached = paths.isochrone(_arcs(spark, sf_dir), _seeds(spark, sf_dir), "largo_m", 500.0)
+    return paths.reachable_segments(fx.grid_road(spark, sf_dir), reached).select("segmento_id", "u", "v")
+
+
 _LABELS = """
     part_of(node, component) USING KEY (node) AS (
         SELECT p_partkey, p_partkey FROM part WHERE p_partkey IN (SELECT src FROM arcs)
@@ -597,6 +643,41 @@ def street_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("calle_id", F.size("lines").cast("long").alias("parts"), F.array_join(starts, ",").alias("starts"))
 
 
+@registered(f"""
+    WITH {_ROAD}, {_LINED}
+    SELECT segmento_id, CAST(greatest(ax, 150) AS DOUBLE) AS ax, CAST(greatest(ay, 50) AS DOUBLE) AS ay, CAST(least(bx, 1250) AS DOUBLE) AS bx, CAST(least(b_y, 350) AS DOUBLE) AS by_
+    FROM l WHERE ax <= 1250 AND bx >= 150 AND ay <= 350 AND b_y >= 50
+""")
+def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each segment within a box."""
+    nodes = fx.grid_nodes(spark, sf_dir)
+    at = lambda end, k: nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    segments = fx.grid_road(spark, sf_dir).join(at("u", "a"), "u").join(at("v", "b"), "v")
+    kept = spatial.clip(segments, 150.0, 50.0, 1250.0, 350.0)
+    return kept.select("segmento_id", "ax", "ay", "bx", F.col("by").alias("by_"))
+
+
+@registered(f"""
+    WITH {_POINTS}, {_ROAD}, {_LINED},
+    d AS (SELECT s.id, segmento_id, calle, sqrt((x - greatest(ax, least(bx, x))) * (x - greatest(ax, least(bx, x))) + (y - greatest(ay, least(b_y, y))) * (y - greatest(ay, least(b_y, y)))) AS far FROM s, l),
+    near AS (SELECT id, arg_min(segmento_id, (far, segmento_id)) AS segmento_id, arg_min(calle, (far, segmento_id)) AS calle, min(far) AS far FROM d WHERE far <= 40 GROUP BY id),
+    told AS (SELECT id, calle, min(far) AS far FROM d WHERE id % 3 = 0 AND calle = 'H' || id % 7 GROUP BY id, calle)
+    SELECT s.id, lower(coalesce(told.calle, near.calle)) AS calle_id, near.segmento_id, round(coalesce(told.far, near.far), 6) AS distancia_m,
+           CASE WHEN told.calle IS NOT NULL THEN 'declarada' WHEN near.calle IS NOT NULL THEN 'cercania' END AS origen
+    FROM s LEFT JOIN near USING (id) LEFT JOIN told USING (id)
+""")
+def assign_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The street of each point: the declared one where there is such a street, else the nearest."""
+    nodes = fx.grid_nodes(spark, sf_dir)
+    at = lambda end, k: nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    segments = fx.grid_road(spark, sf_dir).join(at("u", "a"), "u").join(at("v", "b"), "v").withColumn("calle_id", F.lower("calle"))
+    streets = segments.select("calle_id", F.col("calle").alias("nombre")).distinct()
+    declared = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" h"), (F.col("id") % 7).cast("string")))
+    points = fx.points(spark, sf_dir, "supplier").withColumn("told", declared)
+    found = network.assign_street(points, segments.select("segmento_id", "calle_id", "ax", "ay", "bx", "by"), streets, 40.0, "told")
+    return found.withColumn("distancia_m", F.round("distancia_m", 6))
+
+
 # Space
 
 
@@ -669,6 +750,36 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.project_utm(points, "lon", "lat").select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@registered("""
+    SELECT n_nationkey AS id, CAST(180000 AS DOUBLE) AS area, CAST(n_nationkey * 190 + 200 AS DOUBLE) AS cx, CAST(n_nationkey * 3 + 300 AS DOUBLE) AS cy,
+           'POINT (' || n_nationkey * 190.0 || ' ' || n_nationkey * 3.0 || ')' AS wkt FROM nation
+""")
+def polygon_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = F.col("rings")[0]
+    middle = geo.ring_centroid(ring)
+    return _zones(spark, sf_dir).select(
+        F.col("polygon_id").alias("id"),
+        geo.ring_area(ring).alias("area"),
+        F.round(middle["x"], 6).alias("cx"),
+        F.round(middle["y"], 6).alias("cy"),
+        geo.wkt_point(ring[0]["x"], ring[0]["y"]).alias("wkt"),
+    )
+
+
+@registered(f"""
+    WITH {_ROAD}, {_LINED}
+    SELECT segmento_id, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) AS metres, CAST(bx + b_y AS BIGINT) AS middle,
+           'LINESTRING (' || ax || ' ' || ay || ', ' || bx || ' ' || b_y || ')' AS wkt
+    FROM (SELECT segmento_id, CAST(ax AS DOUBLE) AS ax, CAST(ay AS DOUBLE) AS ay, CAST(bx AS DOUBLE) AS bx, CAST(b_y AS DOUBLE) AS b_y FROM l)
+""")
+def line_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("line")
+    middle = geo.middle_vertex(line)
+    return _lined(spark, sf_dir).select(
+        "segmento_id", geo.line_length(line).alias("metres"), (middle["x"] + middle["y"]).cast("long").alias("middle"), geo.wkt_line(line).alias("wkt")
+    )
+
+
 # Text, ids and aggregates
 
 
@@ -765,6 +876,85 @@ def outer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k", "full")
 
 
+@registered("""
+    SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS text FROM documents
+""")
+def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.xml_escaped(F.col("text")).alias("text"))
+
+
+@registered("""
+    WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 3 = 1 THEN '' END AS amenity,
+                      CASE WHEN c_custkey % 4 < 2 THEN 'books' END AS shop, CASE WHEN c_custkey % 5 = 0 THEN 'yes' END AS office FROM customer)
+    SELECT id, coalesce('amenity=' || nullif(amenity, ''), 'shop=' || shop, 'office=' || office, 'sin_categoria') AS categoria FROM p
+""")
+def place_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    tags = {
+        "amenity": F.when(key % 3 == 0, F.lower("c_mktsegment")).when(key % 3 == 1, ""),
+        "shop": F.when(key % 4 < 2, "books"),
+        "office": F.when(key % 5 == 0, "yes"),
+    }
+    return fx.table(spark, sf_dir, "customer").select(key.alias("id"), text.place_category(tags).alias("categoria"))
+
+
+@registered("""
+    WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, CASE c_custkey % 3 WHEN 0 THEN 'bench' WHEN 1 THEN 'cafe' END AS amenity,
+                      CASE WHEN c_custkey % 5 = 0 THEN 'track' END AS leisure FROM customer)
+    SELECT CAST(id AS VARCHAR) AS osm_id, name, amenity FROM p
+    WHERE name IS NOT NULL OR NOT (coalesce(amenity = 'bench', false) OR coalesce(leisure = 'track', false))
+""")
+def admitted_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named places and unnamed ones that aren't street furniture, with listed columns and ids as text."""
+    key = F.col("c_custkey")
+    places = fx.table(spark, sf_dir, "customer").select(
+        key.alias("osm_id"),
+        F.when(key % 2 == 0, F.col("c_name")).alias("name"),
+        F.when(key % 3 == 0, "bench").when(key % 3 == 1, "cafe").alias("amenity"),
+        F.when(key % 5 == 0, "track").alias("leisure"),
+    )
+    return layers.keep_listed(layers.admitted_places(places), ["name", "amenity", "not there"])
+
+
+@registered("SELECT n_nationkey AS zona_id FROM nation WHERE n_name IN ('NATION_3', 'NATION_7', 'NATION_12')")
+def zones_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of communes whose names are written with other accents and case."""
+    zones = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zona_id"), F.translate("n_name", "AEIOU", "ÁÉÍÓÚ").alias("comuna"))
+    return layers.zones_of(zones, "comuna", ["Natión_3", " nation_7 ", "NATION_12", "Nowhere"]).select("zona_id")
+
+
+@registered("""
+    WITH o AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+    SELECT o_custkey AS customer, o_orderkey AS orders, n FROM o WHERE k = 1
+""")
+def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dearest order of each customer, beside how many there are."""
+    orders = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("orders"), "o_totalprice")
+    first = spatial.first_of_each(orders, "customer", F.col("o_totalprice").desc(), "orders").select("customer", "orders")
+    return first.join(orders.groupBy("customer").agg(F.count("*").alias("n")), "customer")
+
+
+@registered("SELECT l_quantity AS value, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS price FROM lineitem GROUP BY l_quantity")
+def value_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each value of a field, of several the last, in order of the values."""
+    found = aggregates.steps(fx.table(spark, sf_dir, "lineitem"), "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return found.select(F.col("l_quantity").alias("value"), F.col("l_extendedprice").alias("price"))
+
+
+@registered("""
+    WITH c AS (SELECT n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    p AS (SELECT n_name AS name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name NOT LIKE '%1' GROUP BY ALL)
+    SELECT upper(left(name, 1)) || lower(name[2:]) AS comuna, c.n * 10000.0 / p.n AS rate FROM c JOIN p USING (name)
+""")
+def population_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by title-cased name against the population of that name; names that the population lacks are left out."""
+    nation = fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    by = lambda t, key, name, n: fx.table(spark, sf_dir, t).join(nation, F.col(key) == F.col("n_nationkey")).groupBy(name.alias("comuna")).agg(F.count("*").alias(n))
+    events = by("customer", "c_nationkey", text.title_case(F.col("n_name")), "events")
+    people = by("supplier", "s_nationkey", text.title_case(F.lower("n_name")), "people").filter(~F.col("comuna").endswith("1"))
+    return events.join(people, "comuna").select("comuna", aggregates.rate(F.col("events"), F.col("people")).alias("rate"))
+
+
 # Files: contents of what was written and read back, of a graph whose IS_IN edges come from nodes of two labels
 
 

@@ -32,6 +32,13 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 30
     return inside.groupBy((F.width_bucket(value, F.lit(float(low)), F.lit(float(high)), F.lit(bins)) - 1).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def steps(df: DataFrame, value: str, *order: str) -> DataFrame:
+    """One row for each value of a column: of several the last in the order given, which must be total; sorted by value, null first."""
+    rest = [c for c in df.columns if c != value]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+    return df.groupBy(value).agg(last).select(value, "_last.*").orderBy(value)
+
+
 def positions(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
     """The place of each row in a total order, from 0."""
     one = F.lit(1).cast("long")

@@ -102,6 +102,25 @@ def nearest_segment(points: DataFrame, segments: DataFrame, most: float = 40.0)
     return points.select("id").join(best, "id", "left")
 
 
+def clip(segments: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """The part of each straight piece (ax, ay, bx, by, other columns) within a box, edges included; pieces outside are dropped.
+
+    A piece is a + t (b - a) for t from 0 to 1; each axis gives the stretch of t in which it lies between its two bounds.
+    """
+    start, end = [F.lit(0.0)], [F.lit(1.0)]
+    for v, low, high in (("x", x0, x1), ("y", y0, y1)):
+        a, d = F.col(f"a{v}"), F.col(f"b{v}") - F.col(f"a{v}")
+        at = [F.try_divide(F.lit(float(bound)) - a, d) for bound in (low, high)]
+        # across the axis a piece is inside all along or, starting after its end, nowhere
+        level = F.when(a.between(low, high), 0.0).otherwise(2.0)
+        start.append(F.when(d == 0, level).otherwise(F.least(*at)))
+        end.append(F.when(d == 0, 1.0).otherwise(F.greatest(*at)))
+    kept = segments.withColumns({"_from": F.greatest(*start), "_to": F.least(*end)}).filter("_from <= _to")
+    point = lambda v, t, whole, own: F.when(F.col(t) == whole, F.col(own)).otherwise(F.col(f"a{v}") + F.col(t) * (F.col(f"b{v}") - F.col(f"a{v}")))
+    ends = {f"a{v}": point(v, "_from", 0.0, f"a{v}") for v in "xy"} | {f"b{v}": point(v, "_to", 1.0, f"b{v}") for v in "xy"}
+    return kept.withColumns(ends).drop("_from", "_to")
+
+
 def within_join(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """The first polygon (by polygon_id) that holds each point: id, polygon_id (null where none does).
 

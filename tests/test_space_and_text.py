@@ -102,3 +102,32 @@ def test_far_points_find_their_nearest(spark):
     within = {r.left_id for r in spatial.nearest_join(make(left), make(right), 5.0, 3000.0).collect()}
     assert within == {k for k, (d, _) in want.items() if d <= 3000}
     assert spatial.nearest_join(make(left), make(right).limit(0), 5.0).count() == 0
+
+
+def test_clip_keeps_the_part_within_the_box(spark):
+    rows = [
+        (1, 0.0, 0.0, 10.0, 10.0),  # through two corners
+        (2, 0.0, 5.0, 20.0, 15.0),  # cut by the left and the upper edge
+        (3, 3.0, 3.0, 4.0, 6.0),  # all inside
+        (4, 5.0, 5.0, 5.0, 5.0),  # a point
+        (5, 0.0, 9.0, 10.0, 14.0),  # passes the corner by
+        (6, 8.0, 0.0, 8.0, 8.0),  # along the right edge
+        (7, 9.0, 0.0, 9.0, 8.0),  # beside it
+        (8, 10.0, 10.0, 0.0, 0.0),  # the other way
+    ]
+    kept = spatial.clip(spark.createDataFrame(rows, "id int, ax double, ay double, bx double, by double"), 2.0, 2.0, 8.0, 8.0)
+    got = {r["id"]: tuple(round(r[c], 6) for c in ("ax", "ay", "bx", "by")) for r in kept.collect()}
+    assert got == {
+        1: (2, 2, 8, 8),
+        2: (2, 6, 6, 8),
+        3: (3, 3, 4, 6),
+        4: (5, 5, 5, 5),
+        6: (8, 2, 8, 8),
+        8: (8, 8, 2, 2),
+    }
+
+
+def test_steps_keep_the_last_row_of_each_value(spark):
+    rows = spark.createDataFrame([(1.0, 2, "a"), (1.0, 3, "b"), (None, 1, "c"), (0.5, 9, "d"), (None, 4, None)], "v double, t int, x string")
+    assert [tuple(r) for r in aggregates.steps(rows, "v", "t").collect()] == [(None, 4, None), (0.5, 9, "d"), (1.0, 3, "b")]
+    assert aggregates.steps(rows.limit(0), "v", "t").count() == 0
