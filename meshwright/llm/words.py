@@ -148,20 +148,36 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").reshape(-1).astype(np.int32)
 
 
-_BLOCKS = "block long, doc_ids array<long>, sizes array<int>, places binary, words array<string>"
+def _listed(words: list[str]) -> bytes:
+    """Words as one value; no text holds the byte between them."""
+    raw = b"\xff".join(w.encode() for w in words)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unlisted(blob: bytes) -> list[bytes]:
+    n = int.from_bytes(blob[:8], "little")
+    return _ZSTD.decompress(blob[8:], n, asbytes=True).split(b"\xff") if n else []
+
+
+_BLOCKS = "block long, doc_ids array<long>, sizes array<int>, places binary, words binary"
 
 
 def _splitting(path: str):
     def split(batches):
-        """Blocks of texts: their distinct words, and at each position the number of its word there."""
+        """Blocks of texts: their distinct words, frequent ones first, and at each position the number of its word there."""
         from pyspark import TaskContext
 
         splitter, block = WordSplitter.of(path), TaskContext.get().partitionId() << 32
         names, sizes, places, chars, numbers = [], [], [], 0, defaultdict(count().__next__)
 
         def flush():
-            row = (block, names, sizes, _packed(np.concatenate(places or [np.zeros(0, np.int32)])), list(numbers))
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()))
+            at = np.concatenate(places or [np.zeros(0, np.int32)])
+            order = np.argsort(-np.bincount(at, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            words = list(numbers)
+            row = (block, names, sizes, _packed(rank[at]), _listed([words[i] for i in order.tolist()]))
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["block", "doc_ids", "sizes", "places", "words"])
 
         for batch in batches:
@@ -183,6 +199,13 @@ def _splitting(path: str):
     return split
 
 
+def _listing(block: pa.Table) -> pa.Table:
+    """A row for each distinct word of a block, with its number there."""
+    words = pa.array(_unlisted(block["words"][0].as_py()), pa.binary()).cast(pa.string())
+    same = np.full(len(words), block["block"][0].as_py(), np.int64)
+    return pa.table({"block": same, "number": np.arange(len(words), dtype=np.int32), "word": words})
+
+
 _FOUND = "block long, numbers array<int>, sizes array<int>, ids array<int>"
 
 
@@ -234,13 +257,12 @@ def _coding(path: str):
 def _joining(whole: bool):
     def join(block: pa.Table, found: pa.Table) -> pa.Table:
         """The ids and pieces of each of the block's texts."""
-        n = len(block["words"][0])
         lists = lambda name: found[name].combine_chunks().flatten().to_numpy()
         is_word = found["piece"].is_null()
         pieces = dict(zip(found.filter(pc.invert(is_word))["id"].to_pylist(), found.filter(pc.invert(is_word))["piece"].to_pylist()))
         found = found.filter(is_word)
         number, size, ids = lists("numbers"), lists("sizes"), lists("ids")
-        ends = np.cumsum(size)
+        n, ends = len(number), np.cumsum(size)
         decimals, spelled = [""] * n, [""] * n
         ids_of = [None] * n
         for k, a, b in zip(number.tolist(), (ends - size).tolist(), ends.tolist()):
@@ -289,9 +311,9 @@ def encode(docs: DataFrame, path: str, whole: bool = True) -> DataFrame:
     if Tokenizer.from_file(path).decoder is not None:
         raise ValueError("decode() reads the ids of this tokenizer: its decoder does more than to join pieces")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    # read twice from one shuffle: by the words' table and by the positions
+    # both sides read whole rows of one shuffle, so texts are cut once and both know the same numbers
     blocks = rows.mapInArrow(_splitting(path), _BLOCKS).repartition("block")
-    uses = blocks.select("block", F.posexplode("words").alias("number", "word"))
+    uses = blocks.groupBy("block").applyInArrow(_listing, "block long, number int, word string")
     found = uses.repartition("word").sortWithinPartitions("word").mapInArrow(_coding(path), _FOUND)
     ids = found.select("block", F.explode(F.array_distinct("ids")).alias("id")).distinct()
     pieces = ids.join(F.broadcast(vocabulary(docs, path)), "id")
