@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwright import fixtures as fx
 from meshwright.functions import geo, text
-from meshwright.operators import aggregates, network, paths, spatial
+from meshwright.operators import aggregates, network, paths, routes as street_routes, spatial
 from meshwright.operators.components import connected_components
 from meshwright.plans.materialise import scratch_path
 from meshwright.sources import graph_csv, graph_json, graphml, layers
@@ -377,6 +377,88 @@ def reachable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.reachable_segments(fx.grid_road(spark, sf_dir), reached).select("segmento_id", "u", "v")
 
 
+_TRIPS = """
+    n AS (SELECT count(*) AS n FROM part), k AS (SELECT s_suppkey AS trip, (s_suppkey * 197) % n AS k, n FROM supplier, n),
+    trips AS (
+        SELECT trip, k AS source,
+               CASE trip % 4 WHEN 0 THEN k - k % 50 + (k + 6) % 50 WHEN 1 THEN (k + 150) % n WHEN 2 THEN (k + 104) % n ELSE (k + 1) % n END AS target
+        FROM k)
+"""
+
+
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trip for each supplier: along a row of the grid, along a column, across, and to the next junction."""
+    n = fx.table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    k = fx.table(spark, sf_dir, "supplier").crossJoin(F.broadcast(n)).select(F.col("s_suppkey").alias("trip"), (F.col("s_suppkey") * 197 % F.col("n")).alias("source"), "n")
+    target = F.expr("CASE trip % 4 WHEN 0 THEN source - source % 50 + (source + 6) % 50 WHEN 1 THEN (source + 150) % n WHEN 2 THEN (source + 104) % n ELSE (source + 1) % n END")
+    return k.select("trip", "source", target.alias("target"))
+
+
+@registered(f"""
+    WITH RECURSIVE {_ROAD}, {_TRIPS},
+    ways AS (SELECT u AS src, v AS dst, segmento_id, calle, largo_m FROM road UNION ALL SELECT v, u, segmento_id, calle, largo_m FROM road),
+    steps AS (SELECT * FROM ways UNION ALL SELECT src, dst, segmento_id, '', largo_m FROM ways),
+    corner AS (SELECT DISTINCT src AS node, calle FROM ways),
+    shared AS (SELECT trip, source, target, a.calle FROM trips JOIN corner a ON a.node = source JOIN corner b ON b.node = target AND b.calle = a.calle),
+    wanted AS (SELECT * FROM shared UNION ALL SELECT trip, source, target, '' FROM trips),
+    best(source, calle, node, cost) USING KEY (source, calle, node) AS (
+        SELECT DISTINCT source, calle, source, [0.0::DOUBLE, 0] FROM wanted
+        UNION
+        SELECT b.source, b.calle, s.dst, min([b.cost[1] + s.largo_m, b.cost[2] + 1])
+        FROM best b JOIN steps s ON s.src = b.node AND s.calle = b.calle
+        LEFT JOIN recurring.best r ON r.source = b.source AND r.calle = b.calle AND r.node = s.dst
+        WHERE r.node IS NULL OR [b.cost[1] + s.largo_m, b.cost[2] + 1] < r.cost
+        GROUP BY b.source, b.calle, s.dst),
+    before AS (
+        SELECT b.source, b.calle, b.node, min([p.node, s.segmento_id]) AS step
+        FROM best b JOIN steps s ON s.dst = b.node AND s.calle = b.calle
+        JOIN best p ON p.source = b.source AND p.calle = b.calle AND p.node = s.src AND [p.cost[1] + s.largo_m, p.cost[2] + 1] = b.cost
+        GROUP BY b.source, b.calle, b.node),
+    chosen AS (
+        SELECT w.*, b.cost[1] AS metres FROM wanted w JOIN best b ON b.source = w.source AND b.calle = w.calle AND b.node = w.target
+        QUALIFY row_number() OVER (PARTITION BY w.trip ORDER BY w.calle = '', metres, w.calle) = 1),
+    walk AS (
+        SELECT trip, source, calle, metres, target AS node, CAST([] AS BIGINT[]) AS segments FROM chosen
+        UNION ALL
+        SELECT w.trip, w.source, w.calle, w.metres, b.step[1], list_prepend(b.step[2], w.segments)
+        FROM walk w JOIN before b ON b.source = w.source AND b.calle = w.calle AND b.node = w.node WHERE w.node <> w.source)
+    SELECT w.trip, w.source, c.target, nullif(w.calle, '') AS calle, metres, array_to_string(segments, '>') AS segments
+    FROM walk w JOIN trips c ON c.trip = w.trip WHERE w.node = w.source
+""")
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From corner to corner, along a street that both lie on, or else any way, with the segments in order."""
+    trips = _trips(spark, sf_dir)
+    found = street_routes.routes(fx.grid_road(spark, sf_dir).withColumnRenamed("calle", "calle_id"), trips)
+    segments = F.array_join(F.transform("segmentos", lambda s: s.cast("string")), ">").alias("segments")
+    return found.join(trips, "trip").select("trip", "source", "target", F.col("calle_id").alias("calle"), "metres", segments)
+
+
+def _route_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Streets, rows of two or three corners (every fifth has none) with the streets of their corners, and two points for each row."""
+    road = fx.grid_road(spark, sf_dir)
+    on = road.select(F.explode(F.array("u", "v")).alias("node"), "calle").distinct().groupBy("node").agg(F.collect_set("calle").alias("calles"))
+    corners = F.when(F.col("trip") % 5 == 0, F.array().cast("array<bigint>")).when(F.col("trip") % 3 == 0, F.array("source", "target", "source")).otherwise(F.array("source", "target"))
+    trips = _trips(spark, sf_dir)
+    at = lambda end: on.select(F.col("node").alias(end), F.col("calles").alias(f"{end}_calles"))
+    rows = trips.join(at("source"), "source", "left").join(at("target"), "target", "left")
+    no_streets = F.array().cast("array<string>")
+    rows = rows.select(F.col("trip").alias("fila"), corners.alias("esquinas"), F.array_union(F.coalesce("source_calles", no_streets), F.coalesce("target_calles", no_streets)).alias("calles"))
+    points = fx.points(spark, sf_dir, "customer").withColumn("fila", F.floor(F.col("id") / 2))
+    points = points.join(rows.select("fila", "calles"), "fila")
+    own = F.when(F.col("id") % 3 == 0, F.lower(F.get("calles", F.lit(0))))
+    streets = road.select(F.col("calle").alias("calle_id"), F.col("calle").alias("nombre")).distinct()
+    return streets, rows, points.select("fila", F.col("id").alias("punto"), "x", "y", own.alias("calle"))
+
+
+@registered()
+def row_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of corners and loose points as the segments that they go along; tests hold it against a search one row at a time."""
+    streets, rows, points = _route_rows(spark, sf_dir)
+    found = street_routes.row_routes(fx.grid_road(spark, sf_dir).withColumnRenamed("calle", "calle_id"), fx.grid_nodes(spark, sf_dir), streets, rows, points)
+    segments = F.array_join(F.transform("segmentos", lambda s: s.cast("string")), ">").alias("segments")
+    return found.select("fila", segments, F.array_join("calles", ",").alias("calles"), "metres")
+
+
 _LABELS = """
     part_of(node, component) USING KEY (node) AS (
         SELECT p_partkey, p_partkey FROM part WHERE p_partkey IN (SELECT src FROM arcs)
