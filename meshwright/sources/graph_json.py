@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.graph import Edges, PropertyGraph
 from meshwright.operators.aggregates import numbered
+from meshwright.sources.json_document import read_elements
+from meshwright.sources.ordered import write_parts
 
 
 def _props(names: list[str], kinds: dict[str, str]) -> Column:
@@ -37,14 +38,17 @@ def identified(label: str, column: str) -> Column:
     return F.concat(F.lit(label.lower() + ":"), F.col(column).cast("string"))
 
 
-def element_lines(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) as a column `value` of compact JSON objects; edges are a0, a1 and so on."""
+def _lines(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as columns `value`, compact JSON objects, and `number`, from 0 each; edges are a0, a1 and so on."""
     nodes = edges = None
+    before = 0
     for label, t in graph.nodes.items():
+        rows = numbered(t.rows, "_number")
         props = _props(t.properties, dict(t.rows.dtypes)).alias("props")
         element = F.struct(identified(label, "id").alias("id"), F.array(F.lit(label)).alias("labels"), props)
-        lines = t.rows.select(F.to_json(element).alias("value"))
+        lines = rows.select(F.to_json(element).alias("value"), (F.col("_number") + before).alias("number"))
         nodes = lines if nodes is None else nodes.unionByName(lines)
+        before += rows.count()
     for label, t, rows in numbered_edges(graph):
         element = F.struct(
             F.concat(F.lit("a"), F.col("_number").cast("string")).alias("id"),
@@ -53,38 +57,28 @@ def element_lines(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
             F.lit("->" if t.directed else "~~").alias("directionality"),
             _props(t.properties, dict(t.rows.dtypes)).alias("props"),
         )
-        lines = rows.select(F.to_json(element).alias("value"))
+        lines = rows.select(F.to_json(element).alias("value"), F.col("_number").alias("number"))
         edges = lines if edges is None else edges.unionByName(lines)
     return nodes, edges
 
 
 def write_lines(graph: PropertyGraph, path: str) -> None:
     """The elements as JSON lines, in parallel: <path>/nodes and <path>/edges."""
-    for name, lines in zip(("nodes", "edges"), element_lines(graph)):
+    for name, lines in zip(("nodes", "edges"), _lines(graph)):
         if lines is not None:
-            lines.write.text(f"{path}/{name}")
-
+            lines.select("value").write.text(f"{path}/{name}")
 
-def _separated(batches):
-    """A comma before each element but the first of a list; the frames between lists have none."""
-    within = False
-    for batch in batches:
-        out = []
-        for text, part in zip(batch.column("value").to_pylist(), batch.column("_p").to_pylist()):
-            out.append(f",{text}" if within and part % 2 else text)
-            within = part % 2 == 1
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-
-def write_document(graph: PropertyGraph, path: str) -> None:
-    """One JSON document as a text file in `path`, for small graphs: a single writer puts the elements in order."""
-    nodes, edges = element_lines(graph)
+def write_document(graph: PropertyGraph, path: str) -> list[str]:
+    """One JSON document as numbered text parts in `path`, written by many tasks; joined in the order of the names returned, they are the document."""
+    nodes, edges = _lines(graph)
     spark = nodes.sparkSession
-    whole = spark.createDataFrame([('{"nodes":[', 0), ('],"edges":[', 2), ("]}", 4)], "value string, _p int")
+    whole = spark.createDataFrame([('{"nodes":[', 0), ('],"edges":[', 2), ("]}", 4)], "value string, part int").withColumn("number", F.lit(0).cast("long"))
     for lines, part in ((nodes, 1), (edges, 3)):
-        whole = whole if lines is None else whole.unionByName(lines.withColumn("_p", F.lit(part)))
-    ordered = whole.repartition(1).sortWithinPartitions("_p")
-    ordered.mapInArrow(_separated, "value string").write.text(path)
+        if lines is not None:
+            comma = F.when(F.col("number") > 0, ",").otherwise("")
+            whole = whole.unionByName(lines.select(F.concat(comma, "value").alias("value"), F.lit(part).alias("part"), "number"))
+    return write_parts(whole, ["part", "number"], path)
 
 
 _NODE = "struct<id:string,labels:array<string>,props:map<string,string>>"
@@ -92,9 +86,13 @@ _EDGE = "struct<id:string,labels:array<string>,endpoints:array<string>,direction
 
 
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a JSON document: id, labels, props and id, labels, endpoints, directionality, props as text values."""
-    whole = spark.read.schema(f"nodes array<{_NODE}>, edges array<{_EDGE}>").option("multiLine", True).json(path)
-    return tuple(whole.select(F.explode(c).alias("e")).select("e.*") for c in ("nodes", "edges"))
+    """(nodes, edges) of a JSON document: id, labels, props and id, labels, endpoints, directionality, props as text values.
+
+    It may lie in one line of one file or in parts; it is read in byte ranges, of which no task sees all (see json_document).
+    """
+    found = read_elements(spark, path)
+    of = lambda section, kind: found.filter(F.col("section") == section).select(F.from_json("value", kind).alias("e")).select("e.*")
+    return of("nodes", _NODE), of("edges", _EDGE)
 
 
 def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""GraphML, written line by line in parallel and joined in order by one writer a file."""
+"""GraphML, written line by line in parallel as parts that joined in order are one file."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meshwright.functions.text import xml_escaped
 from meshwright.graph import PropertyGraph
 from meshwright.sources.graph_json import identified, numbered_edges
+from meshwright.sources.ordered import write_parts
 
 #: GraphML's names of types.
 TYPES = {"boolean": "boolean", "int": "long", "bigint": "long", "smallint": "long", "float": "double", "double": "double"}
@@ -64,7 +65,7 @@ def lines(graph: PropertyGraph, directed: bool = True) -> DataFrame:
     for label, t in graph.nodes.items():
         opened = F.concat(F.lit('<node id="'), name(label, "id"), F.lit(f'"><data key="label">{label}</data>'))
         text = F.concat(opened, F.concat_ws("", *_data(t.rows, t.properties)), F.lit("</node>"))
-        out = out.unionByName(t.rows.select(text.alias("value"), F.lit(1).alias("order"), F.lit(0).cast("long").alias("place")))
+        out = out.unionByName(t.rows.select(text.alias("value"), F.lit(1).alias("order"), F.xxhash64(F.lit(label), "id").alias("place")))
     for label, t, rows in numbered_edges(graph):
         own = "" if t.directed == directed else f' directed="{str(t.directed).lower()}"'
         ends = [F.lit('" source="'), name(t.source, "src"), F.lit('" target="'), name(t.target, "dst")]
@@ -74,9 +75,9 @@ def lines(graph: PropertyGraph, directed: bool = True) -> DataFrame:
     return out
 
 
-def write(graph: PropertyGraph, path: str, directed: bool = True) -> None:
-    """The graph as one well-formed text file in the folder `path` (the format has one root, so one task writes it)."""
-    lines(graph, directed).repartition(1).sortWithinPartitions("order", "place").select("value").write.text(path)
+def write(graph: PropertyGraph, path: str, directed: bool = True) -> list[str]:
+    """The graph as numbered text parts in the folder `path`, written by many tasks; joined in the order of the names returned, they are one file."""
+    return write_parts(lines(graph, directed), ["order", "place"], path)
 
 
 def write_modes(graph: PropertyGraph, path: str, modes: dict[str, str], nodes: str) -> None:
