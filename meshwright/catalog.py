@@ -545,27 +545,35 @@ def _pick(values: tuple, by: str) -> str:
 _TAGS = f"""
     tags AS (SELECT p_partkey AS way_id,
         {_pick(("residential", "motorway", "footway", "cycleway", "service", "path", "primary", "steps", None, "Track "), "p_partkey")} AS highway,
-        {_pick((None, "private", "no", "yes", ""), "p_partkey * 3 + p_size")} AS access, {_pick((None, None, "yes", "no", " Designated"), "p_partkey + p_size")} AS bicycle,
+        {_pick((None, "private", "no", "yes", ""), "p_partkey * 3 + p_size")} AS access, {_pick((None, None, "yes", "no", "\tDesignated\u00a0"), "p_partkey + p_size")} AS bicycle,
         {_pick((None, "no", "yes"), "p_size")} AS foot, {_pick((None, None, "yes", "no"), "p_partkey * 5 + p_size * 3")} AS motor_vehicle,
         {_pick((None, "driveway", None, "parking_aisle", None, None, None), "p_partkey + 2 * p_size")} AS service,
         {_pick((None, "yes", "-1", "no", "reverse", "1"), "p_partkey * 7 + p_size")} AS oneway, {_pick((None, "lane", "no", "separate", ""), "p_partkey * 11 + p_size")} AS cycleway FROM part),
-    t AS (SELECT way_id, lower(trim(coalesce(highway, ''))) AS highway, lower(trim(coalesce(access, ''))) AS access, lower(trim(coalesce(bicycle, ''))) AS bici,
-        lower(trim(coalesce(foot, ''))) AS foot, lower(trim(coalesce(motor_vehicle, ''))) AS auto, lower(trim(coalesce(service, ''))) AS service,
-        lower(trim(coalesce(oneway, ''))) AS oneway, lower(trim(coalesce(cycleway, ''))) AS cycleway FROM tags)
+    t AS (SELECT way_id, lower(trim(coalesce(highway, ''), chr(9) || chr(160) || ' ')) AS highway, lower(trim(coalesce(access, ''), chr(9) || chr(160) || ' ')) AS access,
+        lower(trim(coalesce(bicycle, ''), chr(9) || chr(160) || ' ')) AS bici, lower(trim(coalesce(foot, ''), chr(9) || chr(160) || ' ')) AS foot,
+        lower(trim(coalesce(motor_vehicle, ''), chr(9) || chr(160) || ' ')) AS auto, lower(trim(coalesce(service, ''), chr(9) || chr(160) || ' ')) AS service,
+        lower(trim(coalesce(oneway, ''), chr(9) || chr(160) || ' ')) AS oneway, lower(trim(coalesce(cycleway, ''), chr(9) || chr(160) || ' ')) AS cycleway FROM tags)
 """
 
 
-def _rule(own: str, mode: str) -> str:
-    inside = lambda c, values: f"{c} IN ({', '.join(repr(v) for v in sorted(values))})"
-    allowed = inside(own, [v for v, sign in network.VALUES.items() if sign == "+"])
-    uses, never = inside("highway", network.classes(mode, "+")), inside("highway", network.classes(mode, "-"))
-    denied = f"({own} IN ('no', 'private') OR (access IN ('no', 'private') AND NOT {allowed}))"
-    return f"({uses} OR {allowed}) AND NOT {never} AND NOT {denied} AND service NOT IN ('parking_aisle', 'driveway')"
+def _rule(own: str, open_: str, closed: str) -> str:
+    """May a mode use a way: what its own tag says, where it stands, the lists of open and closed classes."""
+    return f"""
+        CASE WHEN service IN ('parking_aisle', 'driveway') OR highway IN ({closed}) OR {own} IN ('no', 'private') THEN false
+             WHEN {own} IN ('yes', 'designated', 'permissive', 'destination', 'official') THEN true
+             WHEN access IN ('no', 'private') THEN false ELSE highway IN ({open_}) END"""
+
+
+#: Fixed values, written out once more for the oracle: classes of ways that each mode may use, and those that it may not.
+_STREETS = """'primary', 'primary_link', 'secondary', 'secondary_link', 'tertiary', 'tertiary_link',
+    'unclassified', 'residential', 'living_street', 'service'"""
+_CAR = _rule("auto", f"'motorway', 'motorway_link', 'trunk', 'trunk_link', {_STREETS}", "'footway', 'pedestrian', 'path', 'track', 'steps', 'corridor', 'cycleway'")
+_BICYCLE = _rule("bici", f"{_STREETS}, 'path', 'track', 'cycleway'", "'motorway', 'motorway_link', 'trunk', 'trunk_link', 'steps', 'corridor'")
+_FOOT = _rule("foot", f"{_STREETS}, 'footway', 'pedestrian', 'path', 'track', 'steps', 'corridor'", "'motorway', 'motorway_link', 'trunk', 'trunk_link', 'cycleway'")
 
 
 @registered(f"""
-    WITH {_TAGS} SELECT way_id, {_rule("auto", "auto")} AS permite_auto, {_rule("bici", "bici")} AS permite_bici,
-        {_rule("foot", "peaton")} AS permite_peaton,
+    WITH {_TAGS} SELECT way_id, {_CAR} AS permite_auto, {_BICYCLE} AS permite_bici, {_FOOT} AS permite_peaton,
         CASE WHEN oneway IN ('yes', 'true', '1') THEN 'directo' WHEN oneway IN ('-1', 'reverse') THEN 'inverso' ELSE 'ambos' END AS sentido,
         highway = 'cycleway' OR (cycleway <> '' AND cycleway NOT IN ('no', 'separate', 'none')) AS ciclovia FROM t
 """)
@@ -886,9 +894,14 @@ def accented_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("s_suppkey").alias("id"), text.slug(name).alias("slug"), text.normal_name(name).alias("nombre"), title.alias("titulo"))
 
 
-@registered(r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
+@registered(r"""
+    SELECT conv_id, turn, trim(regexp_replace(replace(text, '.', chr(160) || '.' || chr(8232) || chr(28) || chr(9)), '[\s\x1c' || chr(160) || chr(8232) || ']+', ' ', 'g')) AS text
+    FROM conversations
+""")
 def clean_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.squeeze(F.col("text")).alias("text"))
+    """Texts on one line, with white space beyond ASCII around each full stop."""
+    spread = F.replace("text", F.lit("."), F.lit("\u00a0.\u2028\x1c\t"))
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.squeeze(spread).alias("text"))
 
 
 @registered()

@@ -107,7 +107,7 @@ def tagged_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("way_id"),
         pick(("residential", "motorway", "footway", "cycleway", "service", "path", "primary", "steps", None, "Track "), k).alias("highway"),
         pick((None, "private", "no", "yes", ""), k * 3 + F.col("p_size")).alias("access"),
-        pick((None, None, "yes", "no", " Designated"), k + F.col("p_size")).alias("bicycle"),
+        pick((None, None, "yes", "no", "\tDesignated\u00a0"), k + F.col("p_size")).alias("bicycle"),
         pick((None, "no", "yes"), F.col("p_size")).alias("foot"),
         pick((None, None, "yes", "no"), k * 5 + F.col("p_size") * 3).alias("motor_vehicle"),
         pick((None, "driveway", None, "parking_aisle", None, None, None), k + 2 * F.col("p_size")).alias("service"),

@@ -37,6 +37,15 @@ def ascii_only(text: Column) -> Column:
     return F.when(plain.rlike(f"[{listed}]"), F.array_join(each, "")).otherwise(plain)
 
 
+#: Every character that Unicode calls white space, and the four separators of ASCII that Python takes for it too.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def stripped(text: Column) -> Column:
+    """Without white space outside."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def slug(name: Column, empty: str = "sin-nombre") -> Column:
     """Lower-case ASCII words joined by hyphens; `empty` where nothing is left."""
     words = F.regexp_replace(F.lower(ascii_only(F.coalesce(name, F.lit("")))), "[^a-z0-9]+", "-")
@@ -46,7 +55,7 @@ def slug(name: Column, empty: str = "sin-nombre") -> Column:
 
 def normal_name(name: Column) -> Column:
     """Upper-case ASCII without outer white space."""
-    return F.trim(F.upper(ascii_only(name)))
+    return stripped(F.upper(ascii_only(name)))
 
 
 def title_case(text: Column) -> Column:
@@ -56,13 +65,13 @@ def title_case(text: Column) -> Column:
 
 
 def clean_tag(tag: Column) -> Column:
-    """Trimmed lower case; null as empty."""
-    return F.lower(F.trim(F.coalesce(tag, F.lit(""))))
+    """Lower case without white space outside; null as empty."""
+    return F.lower(stripped(F.coalesce(tag, F.lit(""))))
 
 
 def squeeze(text: Column) -> Column:
-    """Each run of white space as one space, none outside."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Each run of white space, of any kind that Unicode knows, as one space; none outside."""
+    return F.btrim(F.regexp_replace(text, f"[{SPACES}]+", " "))
 
 
 #: Patterns of contact data (word characters are Unicode's).

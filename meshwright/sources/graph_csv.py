@@ -18,6 +18,8 @@ _BACK = {"BOOL": "boolean", "INT64": "bigint", "FLOAT64": "double", "STRING": "s
 
 
 CONFIG = "spanner_import_config.json"
+#: A quote within a text is doubled, as readers of CSV expect.
+_FORMAT = {"header": True, "quote": '"', "escape": '"'}
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -37,19 +39,20 @@ def write_bundle(graph: PropertyGraph, path: str) -> None:
     """A folder of CSV part files for each label, <Label>.csv of nodes and <label>.csv of edges, and CONFIG, which lists them.
 
     Ids are "<label>:<id>", so that one file holds the edges of a label whatever their ends; properties that an edge lacks are empty.
+    Texts are put on one line, their quotes doubled; the format doesn't tell an empty text from a missing one, so both come back as null.
     """
     listed, by_label = [], {}
     columns = lambda df: {c: TYPES.get(kind, "STRING") for c, kind in df.dtypes}
     for label, t in sorted(graph.nodes.items()):
         own = [F.col(f"`{c}`") for c in t.properties]
         rows = _flat(t.rows.select(identified(label, "id").alias("vid"), *own))
-        rows.write.option("header", True).csv(f"{path}/{label}.csv")
+        rows.write.options(**_FORMAT).csv(f"{path}/{label}.csv")
         listed.append({"path": f"{label}.csv", "columns": columns(rows)})
     for name, t in graph.edges.items():
         label, rows = name.split(":")[0], _flat(edge_rows(t))
         by_label[label] = rows if label not in by_label else by_label[label].unionByName(rows, allowMissingColumns=True)
     for label, rows in sorted(by_label.items()):
-        rows.write.option("header", True).csv(f"{path}/{label.lower()}.csv")
+        rows.write.options(**_FORMAT).csv(f"{path}/{label.lower()}.csv")
         listed.append({"path": f"{label.lower()}.csv", "label": label, "columns": columns(rows)})
     spark = next(iter(graph.nodes.values())).rows.sparkSession
     spark.createDataFrame([(json.dumps({"files": listed}, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{path}/{CONFIG}")
@@ -64,7 +67,7 @@ def read_bundle(spark: SparkSession, path: str) -> PropertyGraph:
 
     def read(t: dict) -> DataFrame:
         schema = ", ".join(f"`{c}` {_BACK[k]}" for c, k in t["columns"].items())
-        return spark.read.schema(schema).option("header", True).csv(f"{path}/{t['path']}")
+        return spark.read.schema(schema).options(**_FORMAT).csv(f"{path}/{t['path']}")
 
     nodes = {t["path"].removesuffix(".csv"): Nodes(read(t).withColumnRenamed("vid", "id")) for t in told if "label" not in t}
     labels, edges = {label.lower(): label for label in nodes}, {}
@@ -84,8 +87,8 @@ def read_bundle(spark: SparkSession, path: str) -> PropertyGraph:
 def write_summary(graph: PropertyGraph, path: str) -> None:
     """etiqueta, cantidad, clase of every label as CSV: nodes first, each the most frequent first."""
     order = [F.col("clase").desc(), F.col("cantidad").desc(), "etiqueta"]
-    graph.counts().coalesce(1).sortWithinPartitions(*order).write.option("header", True).csv(path)
+    graph.counts().coalesce(1).sortWithinPartitions(*order).write.options(**_FORMAT).csv(path)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("etiqueta string, cantidad long, clase string").option("header", True).csv(path)
+    return spark.read.schema("etiqueta string, cantidad long, clase string").options(**_FORMAT).csv(path)

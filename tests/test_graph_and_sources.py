@@ -1,3 +1,4 @@
+import csv
 import json
 import xml.etree.ElementTree as tree
 from pathlib import Path
@@ -56,6 +57,23 @@ def test_csv_writes_undirected_edges_twice(spark, graph, tmp_path):
     assert {r.id: r.nombre for r in back.nodes["Calle"].rows.collect()}["calle:2"] == "Otra calle"
 
 
+def test_csv_as_other_readers_see_it(spark, tmp_path):
+    """Quotes, commas, backslashes and every kind of white space in names."""
+    names = ['say "hi", ok', '"', "a\\", '\\"', "a\u00a0b\u2028c\x1cd\x85e\r\nf", "  \tx\u3000 ", "", None, "plain, é"]
+    nodes = spark.createDataFrame(list(enumerate(names)), "id long, nombre string").repartition(3)
+    edges = spark.createDataFrame([(0, 1, 'x "y", z')], "src long, dst long, tag string")
+    graph_csv.write_bundle(PropertyGraph.build({"Calle": nodes}, {"CRUZA_CON": (edges, "Calle", "Calle")}), str(tmp_path / "b"))
+    seen = {}
+    for part in (tmp_path / "b" / "Calle.csv").glob("part-*"):
+        with part.open(newline="", encoding="utf-8") as f:
+            seen |= {r["vid"]: r["nombre"] for r in csv.DictReader(f)}
+    want = {f"calle:{i}": " ".join((n or "").split()) for i, n in enumerate(names)}
+    assert seen == want
+    back = graph_csv.read_bundle(spark, str(tmp_path / "b"))
+    assert {r.id: r.nombre for r in back.nodes["Calle"].rows.collect()} == {k: v or None for k, v in want.items()}
+    assert back.edges["CRUZA_CON"].rows.first().tag == 'x "y", z'
+
+
 def kinds_of_ends(spark):
     """An edge label whose edges come from nodes of two labels, with other properties each."""
     rows = lambda values, schema: spark.createDataFrame(values, schema)
