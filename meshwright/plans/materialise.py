@@ -28,7 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder; a lost executor loses nothing, and Spark drops the files with the plan."""
+    """Writes df once to the shared folder, so that a lost executor loses nothing.
+
+    Spark drops the files with the plan only where spark.cleaner.referenceTracking.cleanCheckpoints is true; else they stay until the folder is cleared.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -36,3 +39,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the place that executors share."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch_path whose contents nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
