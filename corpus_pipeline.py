@@ -72,16 +72,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without words, have size 0 and come as often as their source's share says; a null source is a source
     of its own; null ids are rows as any other. Very long texts are sized whole. Empty table: no rows.
 
-    The copies that all documents of a source get come from a table of sources; only rows that may get one more are shuffled.
+    The copies that all documents of a source get come from a table of sources, broadcast if it is counted to be small; only rows that may
+    get one more are shuffled.
     """
     found = common.checkpoint(mixing.mix(docs))
     more = found.filter("copies > sure")
     far, near = common.split_by_ids(docs, more)
     key, place, copy = common.fresh(docs, "_key", "_place", "_copy")
     names = [F.col(f"r.`{c}`") for c in docs.columns]
-    sure = found.groupBy("source").agg(F.first("sure").alias("sure")).alias("s")
-    same_source = F.col("r.source").eqNullSafe(F.col("s.source"))
-    far = far.alias("r").join(sure, same_source).select(*names, F.col("s.sure").alias(copy))
+    sure = common.checkpoint(found.groupBy("source").agg(F.first("sure").alias("sure")))
+    far = common.beside(far, sure, "source").select(*names, F.col("s.sure").alias(copy))
     # copies of each id, size and source, in the order of their rows there
     _, told = common.split_by_ids(found, more)
     told = told.groupBy("doc_id", "size", "source").agg(F.count("*").alias("n"), F.count_if(F.expr("copies > sure")).alias("more"), F.first("sure").alias("sure"))
@@ -113,10 +113,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline over documents; what each stage returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pipeline over documents; what each stage returns is written to the shared folder, read again and removed after the next stage."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = common.scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return docs

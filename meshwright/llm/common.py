@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.plans.materialise import checkpoint, scratch_path  # noqa: F401
+from meshwright.plans.materialise import checkpoint, remove, scratch_path  # noqa: F401
 
 #: White space of every contract here: space, and tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -45,17 +45,38 @@ MOST_BUCKETS = 100_000
 
 @contextmanager
 def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
-    """df as a table of the warehouse, bucketed by key: while the block runs, joins on the key leave its rows where they are.
+    """df as a table bucketed by key: while the block runs, joins on the key leave its rows where they are.
 
-    The table is dropped at the end of the block, so what is made of it must be written or checkpointed there.
+    Its files lie in the folder that executors share, not in the warehouse, which by default is one machine's. Table and files are dropped at the end
+    of the block, so what is made of them must be written or checkpointed there.
     """
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    path = scratch_path(spark, "bucketed")
     buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     try:
-        df.write.bucketBy(buckets, key).saveAsTable(name)
+        df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
         yield spark.table(name)
     finally:
         spark.sql(f"drop table if exists {name}")
+        remove(spark, path)
+
+
+#: A table of this many rows at most goes to every task; beyond it the other side's rows are dealt over SALT keys.
+MOST_SENT, SALT = 1 << 16, 64
+
+
+def beside(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """rows (r) joined with a table (s) of one row for each value of a column, nulls with nulls.
+
+    The table is broadcast only if it was counted to be small; else a value that many rows share meets it under SALT keys.
+    """
+    same = F.col(f"r.{column}").eqNullSafe(F.col(f"s.{column}"))
+    if table.count() <= MOST_SENT:
+        return rows.alias("r").join(F.broadcast(table.alias("s")), same)
+    (salt,) = fresh(rows, "_salt")
+    dealt = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")).alias("r")
+    copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).alias("s")
+    return dealt.join(copies, same & (F.col(f"r.{salt}") == F.col(f"s.{salt}")))
 
 
 #: Bits of an id filter for each id, and in all (at 64 bits a row, 2**21 rows are broadcast at most).

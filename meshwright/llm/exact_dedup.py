@@ -14,6 +14,8 @@ from meshwright.llm import common, golomb
 FINGERPRINT_BITS = 48
 #: Rows that one packet's source holds at most.
 CHUNK = 1 << 16
+#: Fingerprints that one owner compares: about 32 MB in its task.
+OWNED = 1 << 22
 #: Keys over which the rows of one text are dealt.
 SALT = 16
 
@@ -133,13 +135,13 @@ def find_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     shuffled, and grouped by their bytes; a fingerprint that merely collides ends in a group of one, and texts that share a sha256 are
     classes apart. Counts and minima are
     taken before the shuffle, so that a text that a third of all rows share is no hot spot. `owners` is the number
-    of shuffle partitions unless given.
+    of shuffle partitions unless given, or more, so that none has over about OWNED fingerprints. Very long texts are hashed and compared whole.
 
     Nulls: a null text equals the empty text. A null doc_id is kept only where its group has no other; of repeated rows with the
     smallest id one is kept. Empty table: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNED))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body"))
     packets = rows.select("doc_id", _digest("body").alias("sha")).mapInArrow(_send(owners, FINGERPRINT_BITS), _SENT)
     with common.bucketed(packets, "source") as sent:

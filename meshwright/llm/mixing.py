@@ -144,7 +144,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     The same documents give the same result, however they are partitioned: chunks and order come from a hash of the id, the size and the
     row's place among rows equal in these and the source, which are alike here and counted before they are dealt. Nulls: a null text has no
-    words, a null source is a source of its own (last), null ids are rows as any other. Sources without words get nothing. Empty table: no rows. Other columns are ignored.
+    words, a null source is a source of its own (last), null ids are rows as any other. Sources without words get nothing. Very long texts are sized whole. Empty table: no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"))
     rows = rows.groupBy("doc_id", "size", "source").agg(F.count("*").alias("_n"))
@@ -156,8 +156,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     whole = F.floor(each + F.lit(_ZERO)).cast("int")
     sources = common.checkpoint(sources.withColumn("_whole", whole).withColumn("_chance", F.greatest(each - F.col("_whole"), F.lit(0.0))).withColumn("_chunks", F.greatest(F.lit(1), F.ceil(F.col("_n") / CHUNK_ROWS)).cast("int")))
     most = sources.agg(F.max("_chunks")).first()[0] or 1
-    own = ["doc_id", "size", "_place", F.lit(seed)]
-    joined = rows.join(sources.drop("_n"), rows["source"].eqNullSafe(sources["source"])).select(rows["*"], "source_size", "target", "_source", "_whole", "_chance", F.pmod(F.xxhash64(*own), F.col("_chunks")).cast("int").alias("_chunk"), F.xxhash64(*own, F.lit("order")).alias("_order"))
+    own = ["r.doc_id", "r.size", "_place", F.lit(seed)]
+    joined = common.beside(rows, sources.drop("_n"), "source").select("r.doc_id", "r.size", "r.source", "r._place", "source_size", "target", "_source", "_whole", "_chance", F.pmod(F.xxhash64(*own), F.col("_chunks")).cast("int").alias("_chunk"), F.xxhash64(*own, F.lit("order")).alias("_order"))
     schema = joined.schema
     state = common.checkpoint(joined.groupBy("_source", "_chunk").applyInArrow(_balancing(seed, False), schema))
     is_open = (F.col("_chance") > _ZERO) & (F.col("_chance") < 1 - _ZERO)

@@ -259,7 +259,7 @@ def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _candidates(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(rows: pa.Table, least: float, least_shared: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a group that may be linked, best first: (rows of members, rows of others, number of samples shared).
 
     A pair counts in the first band that it shares and, if both are others, in one order; pairs of a component, pairs with the bucket's
@@ -277,7 +277,7 @@ def _candidates(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, n
         ahead = (keys[left, 0] < keys[r, 0]) | ((keys[left, 0] == keys[r, 0]) & (keys[left, 1] < keys[r, 1]))
         some = left[(part[left] != part[r]) & ~leads[left] & (main[left] | ahead) & _alike(weight[left], weight[r], least)]
         shared = (samples[some] == samples[r]).sum(1)
-        near = shared >= LEAST_SHARED * BANDS * ROWS
+        near = shared >= least_shared * BANDS * ROWS
         some, shared = some[near], shared[near]
         first = ~(bands[some, :band] == bands[r, :band]).any(1)
         found.append((some[first], np.full(int(first.sum()), r), shared[first]))
@@ -289,22 +289,22 @@ def _candidates(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, n
 _GROUP = ("bucket", "i", "j")
 
 
-def _wanting(least: float):
+def _wanting(least: float, least_shared: float):
     def wanting(batches):
         """The rows of each group that some candidate pair needs."""
         for rows in _runs(batches, _GROUP):
-            a, b, _ = _candidates(rows, least)
+            a, b, _ = _candidates(rows, least, least_shared)
             if len(a):
                 yield from rows.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
 
     return wanting
 
 
-def _linking(least: float):
+def _linking(least: float, least_shared: float):
     def link(batches):
         """Links between a group's members; components that a link has joined aren't compared further."""
         for rows in _runs(batches, _GROUP):
-            a, b, _ = _candidates(rows, least)
+            a, b, _ = _candidates(rows, least, least_shared)
             part = rows["part"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
             keys, sets = rows["key"].to_pylist(), [np.frombuffer(x, np.uint64) for x in rows["entries"].to_pylist()]
             found = []
@@ -318,7 +318,7 @@ def _linking(least: float):
     return link
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_shared: float = LEAST_SHARED) -> DataFrame:
     """Classes of docs(doc_id long, text string) linked by a weighted similarity of `least` or more over shingles of five words.
 
     One row for each input row: doc_id, class_id (the class's smallest doc_id), class_size (rows), kept (one row of each class: the least
@@ -329,7 +329,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bucket is held against its leader, the member whose buckets are fullest: in a group of near copies that is the text they derive from,
     and the components that follow join nearly all. Then buckets whose members are still in different components are searched whole, in
     blocks: each member outside the bucket's largest component against all members of other components. So every pair that shares a
-    bucket is decided, and buckets of one component cost as much as they have members.
+    bucket is decided, and buckets of one component cost as much as they have members. In this last search a pair whose samples agree in
+    less than `least_shared` isn't verified; 0 verifies every one.
 
     Nulls: a null or empty text, or one without words, resembles nothing and is a class of its own. Null ids are linked as any; a class's
     id is null only if all its ids are, and one of its rows is kept all the same. Rows that share an id are rows of their own. Very long
@@ -350,7 +351,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sets = common.checkpoint(sets.dropDuplicates(["key"]))
 
     parts = common.checkpoint(connected_components(common.checkpoint(_verified(pairs, sets, least)), "a", "b"))
-    found = common.checkpoint(_found_in_open(members, nodes, sets, parts, least))
+    found = common.checkpoint(_found_in_open(members, nodes, sets, parts, least, least_shared))
     if not found.isEmpty():
         parts = _joined(parts, found)
     return _classes(rows, parts)
@@ -390,7 +391,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_verifying(least), _LINKS)
 
 
-def _found_in_open(members: DataFrame, nodes: DataFrame, sets: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+def _found_in_open(members: DataFrame, nodes: DataFrame, sets: DataFrame, parts: DataFrame, least: float, least_shared: float) -> DataFrame:
     """Links (a, b) that leaders haven't shown, from buckets whose members are in several components."""
     where = members.join(parts.toDF("key", "part"), "key", "left").withColumn("part", F.coalesce("part", "key"))
     counted = where.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks"))
@@ -412,8 +413,8 @@ def _found_in_open(members: DataFrame, nodes: DataFrame, sets: DataFrame, parts:
     others = rows.filter("not main").withColumns({"other": F.lit(True), "i": F.explode(until("blocks")), "j": turn})
     columns = [*_GROUP, "other", "band", "key", "part", "weight", "leads", "main", "samples", "bands"]
     groups = held.select(*columns).unionByName(others.select(*columns))
-    wanted = _grouped(groups).mapInArrow(_wanting(least), groups.schema)
-    return _grouped(wanted.join(sets, "key")).mapInArrow(_linking(least), _LINKS)
+    wanted = _grouped(groups).mapInArrow(_wanting(least, least_shared), groups.schema)
+    return _grouped(wanted.join(sets, "key")).mapInArrow(_linking(least, least_shared), _LINKS)
 
 
 def _grouped(rows: DataFrame) -> DataFrame:

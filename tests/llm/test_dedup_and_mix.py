@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -110,6 +111,40 @@ def test_ids_and_hashes_stay_where_they_are(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
 
 
+def test_owners_follow_the_rows_and_files_lie_in_the_shared_folder(spark, monkeypatch):
+    """No owner gets many more fingerprints than OWNED; the bucketed table's files aren't the warehouse's and go with it."""
+    monkeypatch.setattr(exact_dedup, "OWNED", 50)
+    seen = []
+    send = exact_dedup._send
+    monkeypatch.setattr(exact_dedup, "_send", lambda owners, bits: seen.append(owners) or send(owners, bits))
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, exact_dedup.find_duplicates(docs).select("doc_id", "keep_id", "group_size").collect())) == [(i, i % 700, 2 if i % 700 < 300 else 1) for i in range(1000)]
+    assert seen == [20]
+    prints = docs.select("doc_id", exact_dedup._digest("text").alias("sha")).mapInArrow(send(20, 48), exact_dedup._SENT)
+    assert prints.groupBy("owner").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] < 100
+    with common.bucketed(prints, "source") as table:
+        (folder,) = {re.sub("^file:/+", "/", f.rsplit("/", 1)[0]) for f in table.inputFiles()}
+        assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_many_sources_meet_their_rows_under_several_keys(spark, monkeypatch):
+    """More sources than a broadcast may hold: the same mix, a null source included."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 70}") for i in range(400)], "doc_id long, text string, source string").repartition(4)
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    staged = sorted(map(str, corpus_pipeline.mixed(spark, docs, None).collect()))
+    monkeypatch.setattr(common, "MOST_SENT", 3)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+    assert sorted(map(str, corpus_pipeline.mixed(spark, docs, None).collect())) == staged
+
+
+def test_the_last_search_may_verify_every_pair(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = lambda rows: sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in rows)
+    assert key(near_dedup.near_duplicates(docs, least_shared=0).collect()) == key(near_dedup.near_duplicates(docs).collect())
+
+
 def test_exact_dedup_of_nothing(no_docs):
     assert exact_dedup.find_duplicates(no_docs).count() == 0
 
