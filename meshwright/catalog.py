@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from meshwright import fixtures as fx
 from meshwright.functions import geo, text
-from meshwright.operators import aggregates, network, paths, routes as street_routes, spatial
+from meshwright.operators import aggregates, areas, network, paths, spatial
+from meshwright.operators import routes as street_routes
 from meshwright.operators.components import connected_components
 from meshwright.plans.materialise import scratch_path
 from meshwright.sources import graph_csv, graph_json, graphml, layers
@@ -733,6 +734,89 @@ def street_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("calle_id", F.size("lines").cast("long").alias("parts"), F.array_join(starts, ",").alias("starts"))
 
 
+_AREA = """
+    h AS (SELECT count(*) // 50 AS h FROM part),
+    edge(ex, ey, fx, fy) AS (
+        SELECT 130.5, -50.0, 4711.25, 10.0 UNION ALL SELECT 4711.25, 10.0, 2100.5, h * 90 + 37.0 FROM h UNION ALL SELECT 2100.5, h * 90 + 37.0, 130.5, -50.0 FROM h
+        UNION ALL SELECT 1500.5, h * 20 + 5.5, 2500.5, h * 20 + 5.5 FROM h UNION ALL SELECT 2500.5, h * 20 + 5.5, 2000.25, h * 50 + 7.5 FROM h
+        UNION ALL SELECT 2000.25, h * 50 + 7.5, 1500.5, h * 20 + 5.5 FROM h)
+"""
+
+
+def _area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle over the grid with a triangle out of it."""
+    h = fx.table(spark, sf_dir, "part").agg(F.floor(F.count("*") / 50).alias("h"))
+    point = lambda x, a, b: F.struct(F.lit(x).alias("x"), (F.col("h") * a + b).cast("double").alias("y"))
+    ring = lambda *p: F.array(*(point(*v) for v in (*p, p[0])))
+    outer, hole = ring((130.5, 0, -50.0), (4711.25, 0, 10.0), (2100.5, 90, 37.0)), ring((1500.5, 20, 5.5), (2500.5, 20, 5.5), (2000.25, 50, 7.5))
+    return h.select(F.lit(1).alias("polygon_id"), F.array(outer, hole).alias("rings"))
+
+
+@registered(f"""
+    WITH {_ROAD}, {_LINED}, {_AREA},
+    meets AS (
+        SELECT segmento_id, ((ex - ax) * (fy - ey) - (ey - ay) * (fx - ex)) / ((bx - ax) * (fy - ey) - (b_y - ay) * (fx - ex)) AS t,
+               ((ex - ax) * (b_y - ay) - (ey - ay) * (bx - ax)) / ((bx - ax) * (fy - ey) - (b_y - ay) * (fx - ex)) AS u
+        FROM l, edge WHERE (bx - ax) * (fy - ey) <> (b_y - ay) * (fx - ex)),
+    cuts AS (SELECT segmento_id, t FROM meets WHERE t > 0 AND t < 1 AND u BETWEEN 0 AND 1 UNION SELECT segmento_id, unnest([0.0, 1.0]) FROM l),
+    stretch AS (SELECT segmento_id, t AS t0, lead(t) OVER (PARTITION BY segmento_id ORDER BY t) AS t1 FROM cuts),
+    middle AS (SELECT s.*, l.ax + (t0 + t1) / 2 * (bx - ax) AS x, l.ay + (t0 + t1) / 2 * (b_y - ay) AS y FROM stretch s JOIN l USING (segmento_id) WHERE t1 IS NOT NULL),
+    kept AS (
+        SELECT segmento_id, t0, t1 FROM middle, edge GROUP BY segmento_id, t0, t1, x, y
+        HAVING count_if((ey > y) <> (fy > y) AND x < (fx - ex) * (y - ey) / (CASE WHEN fy = ey THEN 1 ELSE fy - ey END) + ex) % 2 = 1)
+    SELECT segmento_id AS way_id, CAST(row_number() OVER (PARTITION BY segmento_id ORDER BY t0) - 1 AS INTEGER) AS part, round((t1 - t0) * (abs(bx - ax) + abs(b_y - ay)), 6) AS metres
+    FROM kept JOIN l USING (segmento_id)
+""")
+def clip_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each segment within an area with a hole."""
+    lines = _lined(spark, sf_dir).select(F.col("segmento_id").alias("way_id"), "line")
+    kept = areas.clip_lines(lines, _area(spark, sf_dir), 250.0)
+    return kept.select("way_id", "part", F.round(geo.line_length(F.col("line")), 6).alias("metres"))
+
+
+_BLOCKS = """
+    cell AS (SELECT p_partkey % 50 AS gx, p_partkey // 50 AS gy FROM part),
+    named AS (SELECT gx, gy, (gx // 5) || '-' || (gy // 4) AS block, gx % 5 = 2 AND gy % 4 = 1 AS hole FROM cell),
+    zone AS (SELECT gx, gy, CASE WHEN hole THEN 'hole ' ELSE 'block ' END || block AS name FROM named)
+"""
+
+
+def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square of 100 m for each junction of the grid; five by four of one name, with one of another in it."""
+    k = F.col("p_partkey")
+    gx, gy = k % 50, F.floor(k / 50)
+    corner = lambda dx, dy: F.struct(((gx + dx) * 100).cast("double").alias("x"), ((gy + dy) * 100).cast("double").alias("y"))
+    block = F.concat_ws("-", F.floor(gx / 5).cast("string"), F.floor(gy / 4).cast("string"))
+    name = F.concat(F.when((gx % 5 == 2) & (gy % 4 == 1), "hole ").otherwise("block "), block).alias("name")
+    ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
+    return fx.table(spark, sf_dir, "part").select(k.alias("polygon_id"), name, F.array(ring).alias("rings"))
+
+
+@registered(f"""
+    WITH {_BLOCKS}, side AS (SELECT z.name, n.name AS other FROM zone z, unnest([[0, 1], [1, 0], [0, -1], [-1, 0]]) t(d) LEFT JOIN zone n ON n.gx = z.gx + d[1] AND n.gy = z.gy + d[2])
+    SELECT name, count(*) * 10000.0 AS area, CAST(CASE WHEN name LIKE 'hole%' THEN 1 ELSE 2 END AS INTEGER) AS rings,
+           (SELECT count(*) * 100.0 FROM side WHERE side.name = zone.name AND other IS DISTINCT FROM side.name) AS outline
+    FROM zone GROUP BY name
+""")
+def dissolve_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squares of each name as one area, with the hole that another name leaves."""
+    found = areas.dissolve(_squares(spark, sf_dir), "name")
+    outline = F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.line_length(r)).alias("outline")
+    return found.select("name", "area", F.size("rings").alias("rings"), outline)
+
+
+@registered(f"""
+    WITH {_BLOCKS}
+    SELECT gy * 50 + gx AS polygon_id, CAST((least(gx * 100 + 100, 1250) - greatest(gx * 100, 150)) * (least(gy * 100 + 100, 350) - greatest(gy * 100, 50)) AS DOUBLE) AS area
+    FROM zone WHERE gx * 100 < 1250 AND gx * 100 + 100 > 150 AND gy * 100 < 350 AND gy * 100 + 100 > 50
+""")
+def clip_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squares cut by a box."""
+    kept = areas.clip_rings(_squares(spark, sf_dir), 150.0, 50.0, 1250.0, 350.0)
+    area = F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.ring_area(r)).alias("area")
+    return kept.select("polygon_id", area).filter("area > 0")
+
+
 @registered(f"""
     WITH {_ROAD}, {_LINED}
     SELECT segmento_id, CAST(greatest(ax, 150) AS DOUBLE) AS ax, CAST(greatest(ay, 50) AS DOUBLE) AS ay, CAST(least(bx, 1250) AS DOUBLE) AS bx, CAST(least(b_y, 350) AS DOUBLE) AS by_
@@ -799,7 +883,7 @@ def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c.id, min(polygon_id) AS polygon_id FROM c LEFT JOIN held USING (id) GROUP BY c.id
 """)
 def within_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.within_join(fx.points(spark, sf_dir, "customer"), _zones(spark, sf_dir), 500.0)
+    return areas.within_join(fx.points(spark, sf_dir, "customer"), _zones(spark, sf_dir), 500.0)
 
 
 @registered(f"""

@@ -17,19 +17,24 @@ def flat_metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return distance(lon1 * F.cos(F.radians(lat1)) * 111_320, lat1 * 111_320, lon2 * F.cos(F.radians(lat1)) * 111_320, lat2 * 111_320)
 
 
-def _steps(line: Column) -> Column:
+def steps(line: Column | str) -> Column:
     """Pairs of neighbouring vertices."""
     n = F.size(line)
     return F.arrays_zip(F.slice(line, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(line, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
 
 
 def line_length(line: Column) -> Column:
-    return F.aggregate(_steps(line), F.lit(0.0), lambda s, p: s + distance(p["a"]["x"], p["a"]["y"], p["b"]["x"], p["b"]["y"]))
+    return F.aggregate(steps(line), F.lit(0.0), lambda s, p: s + distance(p["a"]["x"], p["a"]["y"], p["b"]["x"], p["b"]["y"]))
+
+
+def signed_area(ring: Column) -> Column:
+    """Shoelace area of a closed ring (first vertex repeated at the end), negative if it runs clockwise."""
+    return F.aggregate(steps(ring), F.lit(0.0), lambda s, p: s + p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"]) / 2
 
 
 def ring_area(ring: Column) -> Column:
-    """Shoelace area of a closed ring (first vertex repeated at the end), without sign."""
-    return F.abs(F.aggregate(_steps(ring), F.lit(0.0), lambda s, p: s + p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"])) / 2
+    """Area of a closed ring, without sign."""
+    return F.abs(signed_area(ring))
 
 
 def ring_centroid(ring: Column) -> Column:
@@ -38,7 +43,7 @@ def ring_centroid(ring: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     add = lambda s, p: F.struct((s["a"] + cross(p)).alias("a"), (s["x"] + (p["a"]["x"] + p["b"]["x"]) * cross(p)).alias("x"), (s["y"] + (p["a"]["y"] + p["b"]["y"]) * cross(p)).alias("y"))
     done = lambda s: F.when(s["a"] == 0, ring[0]).otherwise(F.struct(F.try_divide(s["x"], 3 * s["a"]).alias("x"), F.try_divide(s["y"], 3 * s["a"]).alias("y")))
-    return F.aggregate(_steps(ring), zero, add, done)
+    return F.aggregate(steps(ring), zero, add, done)
 
 
 def middle_vertex(line: Column) -> Column:
@@ -52,7 +57,7 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
         ax, ay, bx, by = p["a"]["x"], p["a"]["y"], p["b"]["x"], p["b"]["y"]
         return F.when(((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.when(by == ay, F.lit(1.0)).otherwise(by - ay) + ax), 1).otherwise(0)
 
-    return F.aggregate(_steps(ring), F.lit(0), lambda s, p: s + crosses(p)) % 2 == 1
+    return F.aggregate(steps(ring), F.lit(0), lambda s, p: s + crosses(p)) % 2 == 1
 
 
 def on_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -62,7 +67,7 @@ def on_ring(x: Column, y: Column, ring: Column) -> Column:
         straight = (bx - ax) * (y - ay) == (by - ay) * (x - ax)
         return straight & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
 
-    return F.exists(_steps(ring), on)
+    return F.exists(steps(ring), on)
 
 
 def inside_polygon(x: Column, y: Column, rings: Column) -> Column:
@@ -80,6 +85,43 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return distance(px, py, ax + t * dx, ay + t * dy)
 
 
+def cells_of(ax: Column, ay: Column, bx: Column, by: Column, size: float) -> Column:
+    """The grid cells that a segment passes, as array<struct<cx,cy>>: those on both sides of each grid line that it crosses, and those of its ends.
+
+    As many as it crosses lines, however slanted it is; where it crosses near a corner a cell beside it may be among them.
+    """
+    cell = lambda v: F.floor(v / size)
+    none = F.array().cast("array<struct<cx:bigint,cy:bigint>>")
+
+    def crossed(a: Column, b: Column, c: Column, d: Column, swap: bool) -> Column:
+        def beside(k: Column) -> Column:
+            other = cell(c + (d - c) * (k * F.lit(float(size)) - a) / (b - a))
+            pair = lambda i: F.struct(other.alias("cx"), i.alias("cy")) if swap else F.struct(i.alias("cx"), other.alias("cy"))
+            return F.array(pair(k), pair(k - 1))
+
+        first, last = cell(F.least(a, b)) + 1, cell(F.greatest(a, b))
+        return F.when(first <= last, F.flatten(F.transform(F.sequence(first, F.greatest(first, last)), beside))).otherwise(none)
+
+    ends = F.array(*(F.struct(cell(x).alias("cx"), cell(y).alias("cy")) for x, y in ((ax, ay), (bx, by))))
+    return F.array_distinct(F.concat(ends, crossed(ax, bx, ay, by, False), crossed(ay, by, ax, bx, True)))
+
+
+#: Parts of a segment's length within which two points of it are one.
+NEAR = 1e-9
+
+
+def meeting(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
+    """Where a segment a-b meets a segment c-d, as parts of the way from a to b; two places where they lie on one line. Near misses at ends count."""
+    rx, ry, sx, sy, qx, qy = bx - ax, by - ay, dx - cx, dy - cy, cx - ax, cy - ay
+    across, aside, long = rx * sy - ry * sx, qx * ry - qy * rx, rx * rx + ry * ry
+    t, u = F.try_divide(qx * sy - qy * sx, across), F.try_divide(aside, across)
+    none = F.array().cast("array<double>")
+    along = lambda x, y: (x * rx + y * ry) / long
+    level = F.when(F.abs(aside) <= NEAR * long, F.array(along(qx, qy), along(dx - ax, dy - ay))).otherwise(none)
+    hit = F.when(t.between(-NEAR, 1 + NEAR) & u.between(-NEAR, 1 + NEAR), F.array(t)).otherwise(none)
+    return F.when(F.abs(across) <= NEAR * NEAR * long, level).otherwise(hit)
+
+
 def wkt_point(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")"))
 

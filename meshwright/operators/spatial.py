@@ -91,11 +91,10 @@ def _descended(left: DataFrame, right: DataFrame, size: float, most: float | Non
 def nearest_segment(points: DataFrame, segments: DataFrame, most: float = 40.0) -> DataFrame:
     """The nearest segment (at most `most` away) of each point: id, segmento_id, distance; null where there is none.
 
-    points(id, x, y); segments(segmento_id, ax, ay, bx, by) are laid into the cells that their bounds touch.
+    points(id, x, y); segments(segmento_id, ax, ay, bx, by) are laid into the cells that they pass.
     """
-    lo = lambda a, b: _cell(F.least(F.col(a), F.col(b)), most)
-    hi = lambda a, b: _cell(F.greatest(F.col(a), F.col(b)), most)
-    laid = segments.select("segmento_id", "ax", "ay", "bx", "by", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx"))).alias("_cx")).withColumn("_cy", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))))
+    ends = ("ax", "ay", "bx", "by")
+    laid = segments.select("segmento_id", *ends, F.explode(geo.cells_of(*map(F.col, ends), most)).alias("_c")).select("segmento_id", *ends, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
     d = geo.segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
     near = _around(points.select("id", "x", "y"), "x", "y", most).join(laid, ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= most)
     best = near.groupBy("id").agg(F.min_by(F.struct("segmento_id", "distance"), F.struct("distance", "segmento_id")).alias("b")).select("id", "b.segmento_id", "b.distance")
@@ -121,20 +120,6 @@ def clip(segments: DataFrame, x0: float, y0: float, x1: float, y1: float) -> Dat
     return kept.withColumns(ends).drop("_from", "_to")
 
 
-def within_join(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """The first polygon (by polygon_id) that holds each point: id, polygon_id (null where none does).
-
-    polygons(polygon_id, rings array<array<struct<x,y>>>) are laid into the cells of `size` that their bounds touch.
-    """
-    vertex = F.flatten("rings")
-    bound = lambda f, c: f(F.transform(vertex, lambda p: p[c]))
-    boxed = polygons.select("polygon_id", "rings", bound(F.array_min, "x").alias("x0"), bound(F.array_max, "x").alias("x1"), bound(F.array_min, "y").alias("y0"), bound(F.array_max, "y").alias("y1"))
-    laid = boxed.withColumn("_cx", F.explode(F.sequence(_cell(F.col("x0"), size), _cell(F.col("x1"), size)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col("y0"), size), _cell(F.col("y1"), size))))
-    placed = points.select("id", "x", "y", _cell(F.col("x"), size).alias("_cx"), _cell(F.col("y"), size).alias("_cy"))
-    held = placed.join(laid, ["_cx", "_cy"]).filter((F.col("x").between(F.col("x0"), F.col("x1"))) & F.col("y").between(F.col("y0"), F.col("y1"))).filter(geo.inside_polygon(F.col("x"), F.col("y"), F.col("rings")))
-    return points.select("id").join(held.groupBy("id").agg(F.min("polygon_id").alias("polygon_id")), "id", "left")
-
-
 def cluster(points: DataFrame, tolerance: float = 1.5) -> DataFrame:
     """Chains of points at most `tolerance` apart: id, cluster (the lowest id of the chain)."""
     near = radius_join(points, points, tolerance).filter("left_id < right_id")

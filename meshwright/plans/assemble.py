@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions.text import place_category
 from meshwright.graph import PropertyGraph
-from meshwright.operators import network, paths, spatial
+from meshwright.operators import areas, network, paths, spatial
 from meshwright.plans.materialise import checkpoint
 
 # Names of properties in the graph.
@@ -86,7 +86,7 @@ def build(nodes: DataFrame, segments: DataFrame, streets: DataFrame, places: Dat
         corner = spatial.nearest_join(rows, walkable, 200.0)
         edges[f"EN_ESQUINA:{label}"] = (corner.select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), metres("distance")), label, "Interseccion")
         if zones is not None:
-            zone = spatial.within_join(rows, zones.select(F.col("zona_id").alias("polygon_id"), "rings"), cell).filter(F.col("polygon_id").isNotNull())
+            zone = areas.within_join(rows, zones.select(F.col("zona_id").alias("polygon_id"), "rings"), cell).filter(F.col("polygon_id").isNotNull())
             edges[f"EN_ZONA:{label}"] = (zone.select(F.col("id").alias("src"), F.col("polygon_id").alias("dst")), label, "ZonaCensal")
     near = spatial.radius_join(points["Reclamo"][0], points["Lugar"][0], near_m)
     edges["CERCA_DE"] = (near.select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), metres("distance")), "Reclamo", "Lugar")

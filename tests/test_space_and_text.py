@@ -6,7 +6,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from meshwright.functions import geo, text
-from meshwright.operators import aggregates, spatial
+from meshwright.operators import aggregates, areas, spatial
 
 
 def points(spark, rows):
@@ -32,7 +32,7 @@ def test_chained_tolerance(spark):
 def test_within_polygon_with_hole(spark):
     ring = lambda lo, hi: [(lo, lo), (hi, lo), (hi, hi), (lo, hi), (lo, lo)]
     polygons = spark.createDataFrame([(7, [ring(0.0, 10.0), ring(4.0, 6.0)]), (9, [ring(0.0, 20.0)])], "polygon_id long, rings array<array<struct<x:double,y:double>>>")
-    got = {r.id: r.polygon_id for r in spatial.within_join(points(spark, [(1, 1), (5, 5), (15, 15), (30, 1), (0, 3)]), polygons, 3.0).collect()}
+    got = {r.id: r.polygon_id for r in areas.within_join(points(spark, [(1, 1), (5, 5), (15, 15), (30, 1), (0, 3)]), polygons, 3.0).collect()}
     assert got == {0: 7, 1: 9, 2: 9, 3: None, 4: None}
 
 
