@@ -13,7 +13,7 @@ from meshwright.operators import aggregates, areas, network, paths, spatial
 from meshwright.operators import routes as street_routes
 from meshwright.operators.components import connected_components
 from meshwright.plans.materialise import scratch_path
-from meshwright.sources import graph_csv, graph_json, graphml, layers
+from meshwright.sources import graph_csv, graph_json, graphml, layers, wkb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -924,6 +924,32 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.project_utm(points, "lon", "lat").select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@registered("""
+    WITH h AS (SELECT greatest(count(*) // 50 - 1, 1) AS h FROM part)
+    SELECT c_custkey AS id, round(((c_custkey * 6151) % 490000) / 100.0 / 100000 - 70.7, 7) AS lon, round(((c_custkey * 7919) % (h * 10000)) / 100.0 / 100000 - 33.5, 7) AS lat
+    FROM customer, h
+""")
+def utm_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees to metres and back, to seven places."""
+    points = fx.points(spark, sf_dir, "customer").select("id", (F.col("x") / 100_000 - 70.7).alias("lon"), (F.col("y") / 100_000 - 33.5).alias("lat"))
+    there = geo.project_utm(points, "lon", "lat").select("id", "x", "y")
+    return geo.unproject_utm(there, "x", "y").select("id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+@registered(f"""
+    WITH {_ROAD}, {_LINED}
+    SELECT segmento_id, calle, round(ax, 6) AS xmin, round(ay, 6) AS ymin, round(bx, 6) AS xmax, round(b_y, 6) AS ymax, CAST(2 AS INTEGER) AS vertices FROM l
+    WHERE bx >= 150 AND b_y >= 50 AND ax <= 1250 AND ay <= 350
+""")
+def geo_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's lines written as well-known binary, and those that touch a box read back."""
+    path = scratch_path(spark, "layer")
+    rows = _lined(spark, sf_dir).select("segmento_id", "calle", wkb.geometry("LineString", F.col("line")).alias("geometry"))
+    wkb.write_geo(rows, path)
+    back = wkb.read_geo(spark, path, ["segmento_id", "calle"], (150.0, 50.0, 1250.0, 350.0)).withColumn("b", wkb.bounds())
+    return back.select("segmento_id", "calle", *(F.col(f"b.{c}") for c in ("xmin", "ymin", "xmax", "ymax")), F.size(F.element_at(wkb.line_parts(), 1)).alias("vertices"))
+
+
 @registered("""
     SELECT n_nationkey AS id, CAST(180000 AS DOUBLE) AS area, CAST(n_nationkey * 190 + 200 AS DOUBLE) AS cx, CAST(n_nationkey * 3 + 300 AS DOUBLE) AS cy,
            'POINT (' || n_nationkey * 190.0 || ' ' || n_nationkey * 3.0 || ')' AS wkt FROM nation
@@ -1032,8 +1058,8 @@ def hist30(spark: SparkSession, sf_dir: str) -> DataFrame:
            count(*) FILTER (o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) AS share_f FROM orders
 """)
 def scalar_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    return fx.table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.sum(price).alias("total"), F.median(price).alias("middle"), F.avg(price).alias("mean"), F.min(price).alias("least"), F.max(price).alias("most"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("share_f"))
+    orders, price = fx.table(spark, sf_dir, "orders"), F.col("o_totalprice")
+    return orders.agg(F.count("*").alias("n"), F.sum(price).alias("total"), F.lit(aggregates.median(orders, "o_totalprice")).cast("double").alias("middle"), F.avg(price).alias("mean"), F.min(price).alias("least"), F.max(price).alias("most"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("share_f"))
 
 
 @registered("""

@@ -148,3 +148,32 @@ def project_utm(df: DataFrame, lon: str, lat: str, zone: int = 19, south: bool =
         north = north + c * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
     out = out.withColumn(x, 500_000 + 0.9996 * big_a * east).withColumn(y, (10_000_000 if south else 0) + 0.9996 * big_a * north)
     return out.drop("_s", "_dl", "_t", "_xi", "_eta")
+
+
+def unproject_utm(df: DataFrame, x: str, y: str, zone: int = 19, south: bool = True, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """UTM metres back to WGS 84 degrees: the inverse series to the fourth order, and the latitude by three of Newton's steps."""
+    f, a = 1 / 298.257223563, 6378137.0
+    n = f / (2 - f)
+    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+    atanh = lambda v: 0.5 * F.log((1 + v) / (1 - v))
+    out = df.withColumn("_n", (F.col(y) - (10_000_000 if south else 0)) / (0.9996 * big_a)).withColumn("_e", (F.col(x) - 500_000) / (0.9996 * big_a))
+    xi, eta = F.col("_n"), F.col("_e")
+    for j, c in enumerate(beta, 1):
+        xi = xi - c * F.sin(2 * j * F.col("_n")) * F.cosh(2 * j * F.col("_e"))
+        eta = eta - c * F.cos(2 * j * F.col("_n")) * F.sinh(2 * j * F.col("_e"))
+    out = out.withColumn("_xi", xi).withColumn("_eta", eta)
+    # the tangent of the conformal latitude, and from it that of the latitude
+    sinh, cos = F.sinh("_eta"), F.cos("_xi")
+    out = out.withColumn("_c", F.sin("_xi") / F.sqrt(sinh * sinh + cos * cos)).withColumn("_dl", F.atan2(sinh, cos)).withColumn("_t", F.col("_c"))
+    for _ in range(3):
+        t, c = F.col("_t"), F.col("_c")
+        out = out.withColumn("_r", F.sqrt(1 + t * t)).withColumn("_s", F.sinh(e * atanh(e * t / F.col("_r"))))
+        made = t * F.sqrt(1 + F.col("_s") * F.col("_s")) - F.col("_s") * F.col("_r")
+        step = (c - made) / F.sqrt(1 + made * made) * (1 + (1 - e2) * t * t) / ((1 - e2) * F.col("_r"))
+        out = out.withColumn("_t", t + step)
+    central = 6 * zone - 183
+    out = out.withColumn(lon, F.degrees("_dl") + central).withColumn(lat, F.degrees(F.atan("_t")))
+    return out.drop("_n", "_e", "_xi", "_eta", "_c", "_dl", "_t", "_r", "_s")

@@ -32,6 +32,45 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 30
     return inside.groupBy((F.width_bucket(value, F.lit(float(low)), F.lit(float(high)), F.lit(bins)) - 1).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+#: Ranges that one round of a selection counts, and rows that are put in order at its end.
+RANGES, FEW = 1024, 4096
+
+
+def median(df: DataFrame, value: str) -> float | None:
+    """The exact median of a numeric column, without nulls and NaN: the mean of the two middle values where their number is even.
+
+    Selection by counts: each round counts the values in RANGES equal ranges and goes on in the one that holds the middle, with its own least and greatest value, until it
+    has FEW rows or one value. No task sees more than counts and a few rows, and df is read once a round.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    return (_ranked(rows, (n - 1) // 2, n, low, high) + _ranked(rows, n // 2, n, low, high)) / 2 if n % 2 == 0 else _ranked(rows, n // 2, n, low, high)
+
+
+def _ranked(rows: DataFrame, rank: int, n: int, low: float, high: float) -> float:
+    """The value at a place (from 0) of the n rows between low and high."""
+    while low < high and n > FEW:
+        here = rows.filter(F.col("v").between(low, high))
+        # halves keep the difference finite
+        bin_ = F.least(F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * RANGES), F.lit(RANGES - 1)).alias("bin")
+        counts = here.groupBy(bin_).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect()
+        if len(counts) == 1:  # nearly all of the range is empty: halve it by value
+            middle = low / 2 + high / 2
+            below = here.filter(F.col("v") <= middle).agg(F.count("*"), F.min("v"), F.max("v")).first()
+            above = here.filter(F.col("v") > middle).agg(F.count("*"), F.min("v"), F.max("v")).first()
+            counts = [c for c in ({"n": b[0], "low": b[1], "high": b[2]} for b in (below, above)) if c["n"]]
+        for c in counts:
+            if rank < c["n"]:
+                n, low, high = c["n"], c["low"], c["high"]
+                break
+            rank -= c["n"]
+    if low == high:
+        return low
+    return rows.filter(F.col("v").between(low, high)).orderBy("v").limit(rank + 1).agg(F.max("v")).first()[0]
+
+
 def steps(df: DataFrame, value: str, *order: str) -> DataFrame:
     """One row for each value of a column: of several the last in the order given, which must be total; sorted by value, null first."""
     rest = [c for c in df.columns if c != value]
