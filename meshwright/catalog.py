@@ -12,7 +12,9 @@ from meshwright.functions import geo, text
 from meshwright.operators import aggregates, areas, network, paths, spatial
 from meshwright.operators import routes as street_routes
 from meshwright.operators.components import connected_components
-from meshwright.plans.materialise import scratch_path
+from meshwright.graph import PropertyGraph
+from meshwright.plans import assemble
+from meshwright.plans.materialise import checkpoint, scratch_path
 from meshwright.sources import graph_csv, graph_json, graphml, layers, wkb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1277,3 +1279,110 @@ def graphml_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = graphml.lines(fx.road_graph(spark, sf_dir))
     element = F.regexp_extract("value", "^<(node|edge) ", 1)
     return lines.groupBy(element.alias("element")).agg(F.count("*").alias("n")).filter("element != ''")
+
+
+# The whole build: layers to a graph
+
+
+_CITY = f"""
+    {_ROAD},
+    degrees AS (
+        SELECT 'Interseccion' AS label, CAST(p_partkey AS VARCHAR) AS id, round(p_partkey % 50 * 0.001 - 70.7, 6) AS lon, round(p_partkey // 50 * 0.0009 - 33.5, 6) AS lat FROM part
+        UNION ALL SELECT 'Lugar', CAST(s_suppkey AS VARCHAR), round(((s_suppkey * 4211) % 24500 * 2 + 1) / 1e6 - 70.7, 6), round(((s_suppkey * 9173) % 4500 * 2 + 1) / 1e6 - 33.5, 6) FROM supplier
+        UNION ALL SELECT 'Reclamo', CAST(c_custkey AS VARCHAR), round(((c_custkey * 6151) % 24500 * 2 + 1) / 1e6 - 70.7, 6), round(((c_custkey * 7919) % 4500 * 2 + 1) / 1e6 - 33.5, 6) FROM customer
+        UNION ALL SELECT 'Venue', CAST(s_suppkey AS VARCHAR), round(((s_suppkey * 3331) % 24500 * 2 + 1) / 1e6 - 70.7, 6), round(((s_suppkey * 7177) % 4500 * 2 + 1) / 1e6 - 33.5, 6) FROM supplier),
+    ell AS (SELECT n, 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS big, 2 * sqrt(n) / (1 + n) AS e, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1,
+                   13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM (SELECT (1 / 298.257223563) / (2 - 1 / 298.257223563) AS n)),
+    conf AS (SELECT label, id, lon, lat, radians(lon) - radians(-69) AS dl, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, ell.* FROM degrees, ell),
+    turned AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM conf),
+    spot AS (
+        SELECT label, id, lon, lat, 500000 + 0.9996 * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS x,
+               10000000 + 0.9996 * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS y FROM turned),
+    corner AS (SELECT CAST(id AS BIGINT) AS node, x, y FROM spot WHERE label = 'Interseccion'),
+    place AS (SELECT * FROM spot WHERE label <> 'Interseccion'),
+    piece AS (SELECT r.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM road r JOIN corner a ON a.node = u JOIN corner b ON b.node = v),
+    gap AS (
+        SELECT p.label, p.id, s.segmento_id, s.calle, t, sqrt(pow(p.x - ax - t * (bx - ax), 2) + pow(p.y - ay - t * (b_y - ay), 2)) AS far
+        FROM place p JOIN piece s ON p.x BETWEEN least(ax, bx) - 41 AND greatest(ax, bx) + 41 AND p.y BETWEEN least(ay, b_y) - 41 AND greatest(ay, b_y) + 41,
+             LATERAL (SELECT greatest(0, least(1, ((p.x - ax) * (bx - ax) + (p.y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) AS t)),
+    near AS (SELECT label, id, arg_min(calle, (far, segmento_id)) AS calle FROM gap WHERE far <= 40 GROUP BY label, id),
+    told AS (SELECT id, 'H' || CAST(id AS BIGINT) % 7 AS calle FROM place WHERE label = 'Lugar' AND CAST(id AS BIGINT) % 4 = 0 AND 'H' || CAST(id AS BIGINT) % 7 IN (SELECT calle FROM road)),
+    on_street AS (
+        SELECT p.label, p.id, coalesce(t.calle, n.calle) AS calle, CASE WHEN t.calle IS NOT NULL THEN 'declarada' ELSE 'cercania' END AS origen
+        FROM place p LEFT JOIN told t ON p.label = 'Lugar' AND t.id = p.id LEFT JOIN near n ON n.label = p.label AND n.id = p.id WHERE coalesce(t.calle, n.calle) IS NOT NULL),
+    foot AS (SELECT u AS src, v AS dst FROM road WHERE segmento_id % 5 <> 0 UNION ALL SELECT v, u FROM road WHERE segmento_id % 5 <> 0),
+    part_of(node, component) USING KEY (node) AS (
+        SELECT DISTINCT src, src FROM foot
+        UNION
+        SELECT p.node, min(q.component) FROM recurring.part_of p JOIN foot ON p.node = src JOIN part_of q ON q.node = dst WHERE q.component < p.component GROUP BY p.node),
+    giant AS (SELECT node FROM part_of WHERE component IN (SELECT component FROM part_of GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)),
+    at_corner AS (
+        SELECT p.label, p.id, arg_min(c.node, (sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2)), c.node)) AS esquina
+        FROM place p, corner c WHERE c.node IN (SELECT node FROM giant) GROUP BY p.label, p.id),
+    in_zone AS (SELECT label, id, CAST(floor((x - 342000) / 600) AS BIGINT) AS zona FROM place WHERE x BETWEEN 342000 AND 345600 AND y BETWEEN 6292000 AND 6292600)
+"""
+
+
+def _city(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """A city on the grid: suppliers are places, some of which declare a street, and venues; customers are reports; six square zones."""
+
+    def placed(name: str, key: str, a: int, b: int) -> DataFrame:
+        k = F.col(key)
+        at = fx.table(spark, sf_dir, name).select(k, F.round((k * a % 24_500 * 2 + 1) / 1e6 - 70.7, 6).alias("lon"), F.round((k * b % 4_500 * 2 + 1) / 1e6 - 33.5, 6).alias("lat"))
+        return geo.project_utm(at, "lon", "lat").withColumn("id", k.cast("string")).drop("lon", "lat")
+
+    k = F.col("node")
+    corners = fx.grid_nodes(spark, sf_dir).select("node", F.round(k % 50 * 0.001 - 70.7, 6).alias("lon"), F.round(F.floor(k / 50) * 0.0009 - 33.5, 6).alias("lat"))
+    corners = checkpoint(geo.project_utm(corners, "lon", "lat").select(k.alias("nodo_id"), "x", "y"))
+    end = lambda c: corners.select(F.col("nodo_id").alias(c), F.struct("x", "y").alias(f"_{c}"))
+    segments = fx.grid_road(spark, sf_dir).withColumnRenamed("calle", "calle_id").join(end("u"), "u").join(end("v"), "v")
+    s = F.col("segmento_id")
+    segments = segments.withColumns({"line": F.array("_u", "_v"), "permite_auto": s % 7 != 0, "permite_bici": s % 3 >= 0, "permite_peaton": s % 5 != 0, "ciclovia": s % 2 == 0}).drop("_u", "_v")
+    segments = checkpoint(segments)
+    streets = segments.groupBy("calle_id").agg(F.first("calle_id").alias("nombre"), F.sum("largo_m").alias("largo_m"), F.count("*").alias("segmentos"))
+    key = F.col("s_suppkey")
+    places = placed("supplier", "s_suppkey", 4211, 9173).select(F.col("id").alias("osm_id"), "x", "y", F.when(key % 4 == 0, F.concat(F.lit("h"), key % 7)).alias("addr:street"))
+    reports = placed("customer", "c_custkey", 6151, 7919).select(F.col("id").alias("reporte_id"), "x", "y")
+    venues = placed("supplier", "s_suppkey", 3331, 7177).select(F.col("id").alias("venue_id"), "x", "y")
+    point = lambda x, y: F.struct((342_000.0 + 600 * (F.col("id") + x)).alias("x"), F.lit(6_292_000.0 + 600 * y).alias("y"))
+    ring = F.array(point(0, 0), point(1, 0), point(1, 1), point(0, 1), point(0, 0))
+    zones = spark.range(6).select(F.col("id").cast("string").alias("zona_id"), F.array(ring).alias("rings"))
+    return assemble.build(corners, segments, streets, places, reports, venues, zones, utm=19)
+
+
+@registered(f"""
+    WITH RECURSIVE {_CITY},
+    member AS (SELECT u AS node, calle FROM road UNION SELECT v, calle FROM road)
+    SELECT 'nodo' AS clase, label AS etiqueta, count(*) AS cantidad FROM spot GROUP BY label
+    UNION ALL SELECT 'nodo', 'Calle', count(DISTINCT calle) FROM road UNION ALL SELECT 'nodo', 'ZonaCensal', 6
+    UNION ALL SELECT 'arista', 'CONECTA_AUTO', CAST(sum(CASE sentido WHEN 'ambos' THEN 2 ELSE 1 END) AS BIGINT) FROM road WHERE segmento_id % 7 <> 0
+    UNION ALL SELECT 'arista', 'CONECTA_BICI', count(*) FROM road UNION ALL SELECT 'arista', 'CONECTA_PEATON', count(*) FROM road WHERE segmento_id % 5 <> 0
+    UNION ALL SELECT 'arista', 'CRUZA_CON', count(*) FROM (SELECT DISTINCT a.calle, b.calle FROM member a JOIN member b ON a.node = b.node AND a.calle < b.calle)
+    UNION ALL SELECT 'arista', 'EN_CALLE', (SELECT count(*) FROM member) + (SELECT count(*) FROM on_street)
+    UNION ALL SELECT 'arista', 'EN_ESQUINA', count(*) FROM at_corner UNION ALL SELECT 'arista', 'EN_ZONA', count(*) FROM in_zone
+    UNION ALL SELECT 'arista', 'CERCA_DE', count(*) FROM place r JOIN place l ON r.label = 'Reclamo' AND l.label = 'Lugar' AND sqrt(pow(r.x - l.x, 2) + pow(r.y - l.y, 2)) <= 50
+""")
+def city_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build: every label's nodes and edges."""
+    return _city(spark, sf_dir).counts().select("clase", "etiqueta", "cantidad")
+
+
+@registered(f"""
+    WITH RECURSIVE {_CITY}
+    SELECT s.label, s.id, s.lon, s.lat, o.calle, o.origen, e.esquina, z.zona
+    FROM spot s LEFT JOIN on_street o USING (label, id) LEFT JOIN at_corner e USING (label, id) LEFT JOIN in_zone z USING (label, id)
+""")
+def city_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build: every corner and point in degrees, with its street, corner and zone."""
+    graph, out = _city(spark, sf_dir), None
+    for label in ("Interseccion", "Lugar", "Reclamo", "Venue"):
+        rows = graph.nodes[label].rows.select(F.lit(label).alias("label"), F.col("id").cast("string").alias("id"), "lon", "lat")
+        for edge, name in (("EN_CALLE", "calle"), ("EN_ESQUINA", "esquina"), ("EN_ZONA", "zona")):
+            told = graph.edges[f"{edge}:{label}"].rows if label != "Interseccion" else None
+            kind = "string" if name == "calle" else "long"
+            if told is None:
+                rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in ((name, kind), *([("origen", "string")] if name == "calle" else []))})
+            else:
+                rows = rows.join(told.select(F.col("src").alias("id"), F.col("dst").cast(kind).alias(name), *(["origen"] if name == "calle" else [])), "id", "left")
+        out = rows if out is None else out.unionByName(rows)
+    return out

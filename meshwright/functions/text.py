@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def _decompositions() -> tuple[str, str, str]:
     return "".join(one), "".join(one.values()), json.dumps(several, ensure_ascii=False)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that a plan holds, and Spark evaluates, once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ascii_only(text: Column) -> Column:
     """Accents off, ligatures and other compatible forms spelt out, what then isn't ASCII dropped (as NFKD and an ASCII encoding do).
 
@@ -33,8 +39,9 @@ def ascii_only(text: Column) -> Column:
     listed = "".join(json.loads(several))
     plain = F.regexp_replace(F.translate(text, one, ascii_), f"[^\\x00-\\x7F{listed}]", "")
     spelt = F.from_json(F.lit(several), "map<string,string>")
-    each = F.transform(F.regexp_extract_all(plain, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(spelt, c), c))
-    return F.when(plain.rlike(f"[{listed}]"), F.array_join(each, "")).otherwise(plain)
+    letters = lambda p: F.regexp_extract_all(p, F.lit("(?s)(.)"), F.lit(1))
+    each = lambda p: F.array_join(F.transform(letters(p), lambda c: F.coalesce(F.try_element_at(spelt, c), c)), "")
+    return _once(plain, lambda p: F.when(p.rlike(f"[{listed}]"), each(p)).otherwise(p))
 
 
 #: Every character that Unicode calls white space, and the four separators of ASCII that Python takes for it too.
@@ -49,8 +56,7 @@ def stripped(text: Column) -> Column:
 def slug(name: Column, empty: str = "sin-nombre") -> Column:
     """Lower-case ASCII words joined by hyphens; `empty` where nothing is left."""
     words = F.regexp_replace(F.lower(ascii_only(F.coalesce(name, F.lit("")))), "[^a-z0-9]+", "-")
-    found = F.regexp_replace(words, "^-+|-+$", "")
-    return F.when(found == "", F.lit(empty)).otherwise(found)
+    return _once(F.regexp_replace(words, "^-+|-+$", ""), lambda found: F.when(found == "", F.lit(empty)).otherwise(found))
 
 
 def normal_name(name: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.functions import geo
 from meshwright.functions.text import place_category
 from meshwright.graph import PropertyGraph
 from meshwright.operators import areas, network, paths, spatial
@@ -44,20 +45,27 @@ def _straight(segments: DataFrame) -> DataFrame:
     return segments.select("segmento_id", "calle_id", piece.alias("s")).select("segmento_id", "calle_id", *(F.col(f"s.{e}.{k}").alias(f"{e}{k}") for e in "ab" for k in "xy"))
 
 
-def build(nodes: DataFrame, segments: DataFrame, streets: DataFrame, places: DataFrame, reports: DataFrame, venues: DataFrame | None = None, zones: DataFrame | None = None, street_m: float = 40.0, near_m: float = 50.0) -> PropertyGraph:
+def build(nodes: DataFrame, segments: DataFrame, streets: DataFrame, places: DataFrame, reports: DataFrame, venues: DataFrame | None = None, zones: DataFrame | None = None, street_m: float = 40.0, near_m: float = 50.0, utm: int | None = None, south: bool = True) -> PropertyGraph:
     """Node and edge tables of every label.
 
     nodes(nodo_id, x, y); segments(segmento_id, u, v, largo_m, line, sentido, permite_*, calle_id, tags); streets(calle_id, nombre, largo_m, ...);
     places, reports and venues have an id (osm_id, reporte_id, venue_id) and x, y; zones(zona_id, rings, ...). A point goes to its street (a
     place's declared street first), to the nearest corner of the largest network on foot, and to its zone; a report also to places near it.
+    With a zone number `utm`, corners and points have lon and lat too, to six places.
     """
+
+    def located(rows: DataFrame) -> DataFrame:
+        if utm is None:
+            return rows
+        return geo.unproject_utm(rows, "x", "y", utm, south).withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
+
     straight = checkpoint(_straight(segments.filter(F.col("calle_id").isNotNull())))
     degree = network.degrees(nodes.select(F.col("nodo_id").alias("node")), segments)
     corners = nodes.join(degree.withColumnRenamed("node", "nodo_id"), "nodo_id").select(F.col("nodo_id").alias("id"), "x", "y", "grado")
     on_foot = segments.filter("permite_peaton")
     walkable = checkpoint(corners.select("id", "x", "y").join(paths.giant_nodes(on_foot, "u", "v").withColumnRenamed("node", "id"), "id", "left_semi"))
     named = [F.bround("largo_m", 1).alias("largo_m") if c == "largo_m" else F.col(c) for c in streets.columns]
-    tables = {"Calle": streets.select(F.col("calle_id").alias("id"), *named), "Interseccion": corners}
+    tables = {"Calle": streets.select(F.col("calle_id").alias("id"), *named), "Interseccion": located(corners)}
     edges: dict[str, tuple] = {
         mode.label: (mode_edges(segments, name), "Interseccion", "Interseccion", mode.directed) for name, mode in network.MODES.items()
     }
@@ -68,11 +76,11 @@ def build(nodes: DataFrame, segments: DataFrame, streets: DataFrame, places: Dat
     tags = {c: F.col(f"`{c}`") for c in ("amenity", "shop", "leisure", "tourism", "healthcare", "office") if c in places.columns}
     kind = place_category(tags)
     title = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.concat(F.lit("("), kind, F.lit(")"))) if "name" in places.columns else F.concat(F.lit("("), kind, F.lit(")"))
-    tables["Lugar"] = places.select(F.col("osm_id").alias("id"), *_properties(places, PLACE_PROPERTIES), "x", "y", kind.alias("categoria"), title.alias("etiqueta"))
-    tables["Reclamo"] = reports.select(F.col("reporte_id").alias("id"), *_properties(reports, REPORT_PROPERTIES), "x", "y")
+    tables["Lugar"] = located(places.select(F.col("osm_id").alias("id"), *_properties(places, PLACE_PROPERTIES), "x", "y", kind.alias("categoria"), title.alias("etiqueta")))
+    tables["Reclamo"] = located(reports.select(F.col("reporte_id").alias("id"), *_properties(reports, REPORT_PROPERTIES), "x", "y"))
     points = {"Lugar": (places.withColumnRenamed("osm_id", "id"), "addr:street" if "addr:street" in places.columns else None), "Reclamo": (reports.withColumnRenamed("reporte_id", "id"), None)}
     if venues is not None:
-        tables["Venue"] = venues.select(F.col("venue_id").alias("id"), *_properties(venues, VENUE_PROPERTIES), "x", "y")
+        tables["Venue"] = located(venues.select(F.col("venue_id").alias("id"), *_properties(venues, VENUE_PROPERTIES), "x", "y"))
         points["Venue"] = (venues.withColumnRenamed("venue_id", "id"), None)
     if zones is not None:
         tables["ZonaCensal"] = zones.select(F.col("zona_id").alias("id"), *(F.col(c).alias(c.lower()) for c in zones.columns if c != "rings"))
