@@ -381,20 +381,28 @@ def reachable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRIPS = """
-    n AS (SELECT count(*) AS n FROM part), k AS (SELECT s_suppkey AS trip, (s_suppkey * 197) % n AS k, n FROM supplier, n),
+    n AS (SELECT count(*) AS n FROM part),
+    ahead AS (
+        SELECT s_suppkey AS trip, a.u AS source, c.v AS target, c.v - a.u IN (3, 150) AS straight
+        FROM supplier, n JOIN road a ON a.u = (s_suppkey * 197) % n JOIN road b ON b.u = a.v JOIN road c ON c.u = b.v),
     trips AS (
-        SELECT trip, k AS source,
-               CASE trip % 4 WHEN 0 THEN k - k % 50 + (k + 6) % 50 WHEN 1 THEN (k + 150) % n WHEN 2 THEN (k + 104) % n ELSE (k + 1) % n END AS target
-        FROM k)
+        SELECT trip, source, CASE trip % 3 WHEN 0 THEN max(target) WHEN 1 THEN min(target) ELSE max(target) FILTER (NOT straight) END AS target
+        FROM ahead GROUP BY trip, source HAVING target IS NOT NULL)
 """
 
 
 def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trip for each supplier: along a row of the grid, along a column, across, and to the next junction."""
+    """A trip for each supplier to a junction that three segments lead to: the last one, the first one, or the last round a bend."""
     n = fx.table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
-    k = fx.table(spark, sf_dir, "supplier").crossJoin(F.broadcast(n)).select(F.col("s_suppkey").alias("trip"), (F.col("s_suppkey") * 197 % F.col("n")).alias("source"), "n")
-    target = F.expr("CASE trip % 4 WHEN 0 THEN source - source % 50 + (source + 6) % 50 WHEN 1 THEN (source + 150) % n WHEN 2 THEN (source + 104) % n ELSE (source + 1) % n END")
-    return k.select("trip", "source", target.alias("target"))
+    k = fx.table(spark, sf_dir, "supplier").crossJoin(F.broadcast(n)).select(F.col("s_suppkey").alias("trip"), (F.col("s_suppkey") * 197 % F.col("n")).alias("source"))
+    step = fx.grid_road(spark, sf_dir)
+    ahead = k.withColumn("at", F.col("source"))
+    for _ in range(3):
+        ahead = ahead.join(step.select(F.col("u").alias("at"), "v"), "at").select("trip", "source", F.col("v").alias("at"))
+    bend = F.max(F.when(~(F.col("at") - F.col("source")).isin(3, 150), F.col("at"))).alias("bend")
+    found = ahead.groupBy("trip", "source").agg(F.max("at").alias("last"), F.min("at").alias("first"), bend)
+    target = F.when(F.col("trip") % 3 == 0, F.col("last")).when(F.col("trip") % 3 == 1, F.col("first")).otherwise(F.col("bend"))
+    return found.select("trip", "source", target.alias("target")).filter("target is not null")
 
 
 @registered(f"""
@@ -453,15 +461,6 @@ def _route_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return streets, rows, points.select("fila", F.col("id").alias("punto"), "x", "y", own.alias("calle"))
 
 
-@registered()
-def row_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of corners and loose points as the segments that they go along; tests hold it against a search one row at a time."""
-    streets, rows, points = _route_rows(spark, sf_dir)
-    found = street_routes.row_routes(fx.grid_road(spark, sf_dir).withColumnRenamed("calle", "calle_id"), fx.grid_nodes(spark, sf_dir), streets, rows, points)
-    segments = F.array_join(F.transform("segmentos", lambda s: s.cast("string")), ">").alias("segments")
-    return found.select("fila", segments, F.array_join("calles", ",").alias("calles"), "metres")
-
-
 _LABELS = """
     part_of(node, component) USING KEY (node) AS (
         SELECT p_partkey, p_partkey FROM part WHERE p_partkey IN (SELECT src FROM arcs)
@@ -1329,7 +1328,7 @@ def _city(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     def placed(name: str, key: str, a: int, b: int) -> DataFrame:
         k = F.col(key)
         at = fx.table(spark, sf_dir, name).select(k, F.round((k * a % 24_500 * 2 + 1) / 1e6 - 70.7, 6).alias("lon"), F.round((k * b % 4_500 * 2 + 1) / 1e6 - 33.5, 6).alias("lat"))
-        return geo.project_utm(at, "lon", "lat").withColumn("id", k.cast("string")).drop("lon", "lat")
+        return checkpoint(geo.project_utm(at, "lon", "lat").withColumn("id", k.cast("string")).drop("lon", "lat"))
 
     k = F.col("node")
     corners = fx.grid_nodes(spark, sf_dir).select("node", F.round(k % 50 * 0.001 - 70.7, 6).alias("lon"), F.round(F.floor(k / 50) * 0.0009 - 33.5, 6).alias("lat"))

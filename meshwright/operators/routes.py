@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions import geo
+from meshwright.operators.components import connected_components
 from meshwright.operators.edges import swapped
 from meshwright.operators.network import street_junctions
 from meshwright.plans.materialise import checkpoint
@@ -89,6 +90,11 @@ def _walked(segments: DataFrame, wanted: DataFrame) -> DataFrame:
     found = checkpoint(found.groupBy("trip").agg(first).select("trip", "b.*"))
     rest = wanted.join(found.select("trip"), "trip", "left_anti").groupBy("trip").agg(F.min_by(F.struct("source", "target", "rank"), F.struct("rank", "source", "target")).alias("b"))
     rest = checkpoint(rest.select("trip", "b.*"))
+    if not rest.isEmpty():
+        # a search for what lies in another component would see all of its own
+        parts = checkpoint(connected_components(segments, "u", "v"))
+        of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+        rest = checkpoint(rest.join(of("source"), "source").join(of("target"), "target").filter("source_part = target_part").select("trip", "source", "target", "rank"))
     free = rest.join(least_paths(arcs, rest), ["source", "target"]).withColumn("calle_id", F.lit(None).cast("string"))
     return found.unionByName(free.select(*columns))
 
