@@ -48,7 +48,12 @@ def cover(polygons: DataFrame, size: float) -> DataFrame:
 
     Which corners lie inside is told row by row: of all places where edges cross a row's lower line, those right of a corner are counted by a running sum.
     """
-    edges = checkpoint(edges_of(polygons))
+    return _covered(polygons, size)[0]
+
+
+def _covered(polygons: DataFrame, size: float) -> tuple[DataFrame, int]:
+    """The cells of cover(), and how many levels they may have: as many as the widest polygon has halvings."""
+    edges = edges_of(polygons)
     crossed = edges.select("polygon_id", *_ENDS, _cells(size)).select("polygon_id", "c.cx", "c.cy", *_ENDS)
     mixed = checkpoint(crossed.groupBy("polygon_id", "cx", "cy").agg(F.collect_list(F.struct(*_ENDS)).alias("edges")))
     spread = mixed.groupBy("polygon_id").agg(*((F.max(c) - F.min(c) + 1).alias(c) for c in ("cx", "cy")))
@@ -72,7 +77,7 @@ def cover(polygons: DataFrame, size: float) -> DataFrame:
     marks = marks.unionByName(corners, allowMissingColumns=True)
     right = Window.partitionBy("polygon_id", "row").orderBy(F.col("at").desc(), F.col("mark").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     found = marks.withColumn("corner", F.coalesce(F.sum("mark").over(right), F.lit(0)) % 2 == 1).filter("mark is null")
-    return found.filter("edges is not null or corner").select("polygon_id", "level", "cx", "cy", "edges", "corner")
+    return found.filter("edges is not null or corner").select("polygon_id", "level", "cx", "cy", "edges", "corner"), max(1, top)
 
 
 def _held(x: Column, y: Column, size: float) -> tuple[Column, Column]:
@@ -93,12 +98,14 @@ def _held(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return on, (crossings % 2 == 1) != F.col("corner")
 
 
-def holders(points: DataFrame, cells: DataFrame, size: float, edges: bool = False) -> DataFrame:
-    """id, polygon_id of the polygons that hold each of points(id, x, y), from their cover(); `edges` says whether points on an edge are held."""
-    levels = sorted(r.level for r in cells.select("level").distinct().collect())  # as many as a polygon's width has halvings
-    if not levels:
-        return points.select("id").join(cells.select("polygon_id"), F.lit(False))
-    at = [F.struct(F.lit(n).alias("level"), *(F.floor((F.col(v) - SHIFT * size) / (size * 2**n)).alias(f"c{v}") for v in "xy")) for n in levels]
+def holders(points: DataFrame, cells: DataFrame, size: float, edges: bool = False, levels: int | None = None) -> DataFrame:
+    """id, polygon_id of the polygons that hold each of points(id, x, y), from their cover(); `edges` says whether points on an edge are held.
+
+    A point is looked for at as many levels as are given, or as the cells have.
+    """
+    if levels is None:
+        levels = (cells.agg(F.max("level")).first()[0] or 0) + 1
+    at = [F.struct(F.lit(n).alias("level"), *(F.floor((F.col(v) - SHIFT * size) / (size * 2**n)).alias(f"c{v}") for v in "xy")) for n in range(levels)]
     placed = points.select("id", "x", "y", F.explode(F.array(*at)).alias("c")).select("id", "x", "y", "c.*")
     met = placed.join(cells, ["level", "cx", "cy"])
     on, inside = _held(F.col("x"), F.col("y"), size)
@@ -110,7 +117,8 @@ def within_join(points: DataFrame, polygons: DataFrame, size: float) -> DataFram
 
     Points meet the cells of cover(polygons, size) by equal keys: in inner cells without a test, in others with the edges that cross the cell.
     """
-    held = holders(points, checkpoint(cover(polygons, size)), size).groupBy("id").agg(F.min("polygon_id").alias("polygon_id"))
+    cells, levels = _covered(polygons, size)
+    held = holders(points, cells, size, levels=levels).groupBy("id").agg(F.min("polygon_id").alias("polygon_id"))
     return points.select("id").join(held, "id", "left")
 
 
@@ -123,7 +131,8 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     step = lines.select("way_id", F.posexplode(geo.steps("line")).alias("pos", "s"))
     pieces = step.select("way_id", "pos", *(F.col(f"s.{e}.{v}").alias(f"{e}{v}") for e in "ab" for v in "xy")).filter("ax != bx or ay != by")
     pieces = checkpoint(pieces)
-    cells = checkpoint(cover(polygons, size))
+    cells, levels = _covered(polygons, size)
+    cells = checkpoint(cells)
     laid = pieces.select("way_id", "pos", *_ENDS, _cells(size)).select("way_id", "pos", *_ENDS, "c.*")
     edges = cells.filter("edges is not null").select("cx", "cy", F.explode("edges").alias("e"))
     met = laid.join(edges, ["cx", "cy"]).select("way_id", "pos", F.explode(geo.meeting(*map(F.col, _ENDS), *(F.col(f"e.{c}") for c in _ENDS))).alias("t"))
@@ -138,7 +147,7 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     stretch = stretch.filter(F.col("t.to") - F.col("t.from") > geo.NEAR)
     stretch = checkpoint(stretch.select("way_id", "pos", "nth", *_ENDS, F.col("t.from").alias("from"), F.col("t.to").alias("to"), along("x", middle).alias("x"), along("y", middle).alias("y")))
     key = F.struct("way_id", "pos", "nth").alias("id")
-    held = holders(stretch.select(key, "x", "y"), cells, size, edges=True).select("id").distinct()
+    held = holders(stretch.select(key, "x", "y"), cells, size, True, levels).select("id").distinct()
     kept = stretch.withColumn("id", key).join(held, "id").drop("id")
     order = Window.partitionBy("way_id").orderBy("pos", "nth")
     before = F.lag(F.struct("pos", "to")).over(order)
