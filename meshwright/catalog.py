@@ -14,7 +14,7 @@ from meshwright.operators import routes as street_routes
 from meshwright.operators.components import connected_components
 from meshwright.graph import PropertyGraph
 from meshwright.plans import assemble
-from meshwright.plans.materialise import checkpoint, scratch_path
+from meshwright.plans.materialise import checkpoint, dealt, scratch_path
 from meshwright.sources import graph_csv, graph_json, graphml, layers, wkb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1334,7 +1334,7 @@ def _city(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     corners = fx.grid_nodes(spark, sf_dir).select("node", F.round(k % 50 * 0.001 - 70.7, 6).alias("lon"), F.round(F.floor(k / 50) * 0.0009 - 33.5, 6).alias("lat"))
     corners = checkpoint(geo.project_utm(corners, "lon", "lat").select(k.alias("nodo_id"), "x", "y"))
     end = lambda c: corners.select(F.col("nodo_id").alias(c), F.struct("x", "y").alias(f"_{c}"))
-    segments = fx.grid_road(spark, sf_dir).withColumnRenamed("calle", "calle_id").join(end("u"), "u").join(end("v"), "v")
+    segments = fx.grid_road(spark, sf_dir).withColumnRenamed("calle", "calle_id").join(dealt(end("u")), "u").join(dealt(end("v")), "v")
     s = F.col("segmento_id")
     segments = segments.withColumns({"line": F.array("_u", "_v"), "permite_auto": s % 7 != 0, "permite_bici": s % 3 >= 0, "permite_peaton": s % 5 != 0, "ciclovia": s % 2 == 0}).drop("_u", "_v")
     segments = checkpoint(segments)

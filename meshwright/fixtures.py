@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.graph import PropertyGraph
+from meshwright.plans.materialise import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,7 @@ def grid_road(spark: SparkSession, sf_dir: str) -> DataFrame:
     across = part.filter((k % 50 < 49) & ~(k * 7 % 11).isin(3, 5)).select((k * 2).alias("segmento_id"), k.alias("u"), (k + 1).alias("v"), (F.lit(50.0) + F.col("p_size")).alias("largo_m"), F.concat(F.lit("H"), F.floor(k / 50).cast("string")).alias("calle"), F.when(k % 3 == 1, "directo").when(k % 3 == 2, "inverso").otherwise("ambos").alias("sentido"))
     down = part.filter(~((k * k + k) % 13).isin(2, 6, 7)).select((k * 2 + 1).alias("segmento_id"), k.alias("u"), (k + 50).alias("v"), (F.lit(60.0) + F.col("p_size")).alias("largo_m"), F.concat(F.lit("V"), (k % 50).cast("string")).alias("calle"), F.lit("ambos").alias("sentido"))
     ends = part.select(k.alias("v"))
-    return across.unionByName(down).join(ends, "v").select("segmento_id", "u", "v", "largo_m", "calle", "sentido")
+    return across.unionByName(down).join(dealt(ends), "v").select("segmento_id", "u", "v", "largo_m", "calle", "sentido")
 
 
 def road_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:

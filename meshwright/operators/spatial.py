@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import geo
 from meshwright.operators.components import connected_components
-from meshwright.plans.materialise import checkpoint
+from meshwright.plans.materialise import checkpoint, dealt
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -25,7 +25,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     a = _around(left.select(F.col("id").alias("left_id"), F.col("x").alias("ax"), F.col("y").alias("ay")), "ax", "ay", radius)
     b = right.select(F.col("id").alias("right_id"), F.col("x").alias("bx"), F.col("y").alias("by"), _cell(F.col("x"), radius).alias("_cx"), _cell(F.col("y"), radius).alias("_cy"))
     d = geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    return a.join(b, ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= radius).select("left_id", "right_id", "distance")
+    return a.join(dealt(b), ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= radius).select("left_id", "right_id", "distance")
 
 
 #: A coarser grid's cells have this many times the side of the next finer one's.
@@ -96,7 +96,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, most: float = 40.0)
     ends = ("ax", "ay", "bx", "by")
     laid = segments.select("segmento_id", *ends, F.explode(geo.cells_of(*map(F.col, ends), most)).alias("_c")).select("segmento_id", *ends, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
     d = geo.segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    near = _around(points.select("id", "x", "y"), "x", "y", most).join(laid, ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= most)
+    near = _around(points.select("id", "x", "y"), "x", "y", most).join(dealt(laid), ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= most)
     best = near.groupBy("id").agg(F.min_by(F.struct("segmento_id", "distance"), F.struct("distance", "segmento_id")).alias("b")).select("id", "b.segmento_id", "b.distance")
     return points.select("id").join(best, "id", "left")
 

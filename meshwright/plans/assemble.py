@@ -9,7 +9,7 @@ from meshwright.functions import geo
 from meshwright.functions.text import place_category
 from meshwright.graph import PropertyGraph
 from meshwright.operators import areas, network, paths, spatial
-from meshwright.plans.materialise import checkpoint
+from meshwright.plans.materialise import checkpoint, dealt
 
 # Names of properties in the graph.
 SEGMENT_PROPERTIES = {"highway": "tipo", "name": "calle", "surface": "superficie", "maxspeed": "velocidad_max", "lanes": "pistas", "lit": "iluminacion"}
@@ -61,7 +61,7 @@ def build(nodes: DataFrame, segments: DataFrame, streets: DataFrame, places: Dat
 
     straight = checkpoint(_straight(segments.filter(F.col("calle_id").isNotNull())))
     degree = network.degrees(nodes.select(F.col("nodo_id").alias("node")), segments)
-    corners = nodes.join(degree.withColumnRenamed("node", "nodo_id"), "nodo_id").select(F.col("nodo_id").alias("id"), "x", "y", "grado")
+    corners = nodes.join(dealt(degree.withColumnRenamed("node", "nodo_id")), "nodo_id").select(F.col("nodo_id").alias("id"), "x", "y", "grado")
     on_foot = segments.filter("permite_peaton")
     walkable = checkpoint(corners.select("id", "x", "y").join(paths.giant_nodes(on_foot, "u", "v").withColumnRenamed("node", "id"), "id", "left_semi"))
     named = [F.bround("largo_m", 1).alias("largo_m") if c == "largo_m" else F.col(c) for c in streets.columns]
