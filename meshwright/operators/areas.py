@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import geo
 from meshwright.operators.components import connected_components
-from meshwright.plans.materialise import checkpoint
+from meshwright.plans.materialise import checkpoint, dealt
 
 
 def edges_of(polygons: DataFrame) -> DataFrame:
@@ -202,20 +202,21 @@ def dissolve(polygons: DataFrame, key: str) -> DataFrame:
     # outer rings anticlockwise, holes clockwise
     turn = F.when((geo.signed_area(F.col("ring")) > 0) == (F.col("nth") == 0), F.col("ring")).otherwise(F.reverse("ring"))
     edge = numbered.select("key", F.explode(geo.steps(turn)).alias("s")).select("key", F.col("s.a").alias("a"), F.col("s.b").alias("b")).filter("a != b")
-    edge = edge.distinct()
-    back = edge.select("key", F.col("b").alias("a"), F.col("a").alias("b"))
-    left = checkpoint(edge.join(back, ["key", "a", "b"], "left_anti"))
+    # both directions of an edge meet in one group
+    edge = edge.groupBy("key", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.bool_or(F.col("a") < F.col("b")).alias("up"), F.bool_or(F.col("a") > F.col("b")).alias("down"))
+    start = lambda up, down: F.when(F.col("up"), F.col(up)).otherwise(F.col(down))
+    left = checkpoint(edge.filter("up != down").select("key", start("low", "high").alias("a"), start("high", "low").alias("b")))
     # at a vertex: of the edges that leave it, the first clockwise from the one that came
     angle = lambda p, q: F.atan2(q["y"] - p["y"], q["x"] - p["x"])
     come = left.select("key", F.col("b").alias("at"), F.col("a").alias("origin"), angle(F.col("b"), F.col("a")).alias("from"))
     go = left.select("key", F.col("a").alias("at"), F.col("b").alias("to"), angle(F.col("a"), F.col("b")).alias("towards"))
     turned = F.pmod(F.col("from") - F.col("towards"), F.lit(2 * math.pi))
     turned = F.when(turned == 0, F.lit(2 * math.pi)).otherwise(turned)
-    link = come.join(go, ["key", "at"]).groupBy("key", "origin", "at").agg(F.min_by("to", F.struct(turned, "to")).alias("to"))
+    link = come.join(dealt(go), ["key", "at"]).groupBy("key", "origin", "at").agg(F.min_by("to", F.struct(turned, "to")).alias("to"))
     of = lambda a, b: F.struct("key", F.col(a).alias("a"), F.col(b).alias("b"))
     link = checkpoint(link)
     parts = connected_components(link.select(of("origin", "at").alias("src"), of("at", "to").alias("dst")))
-    rings = link.select(of("origin", "at").alias("node"), "key", "origin", "at", "to").join(parts, "node").drop("node")
+    rings = link.select(of("origin", "at").alias("node"), "key", "origin", "at", "to").join(dealt(parts), "node").drop("node")
     point = "struct<x:double,y:double>"
     kind = dict(polygons.dtypes)[key]
     rings = rings.groupBy("component").applyInArrow(_in_order, f"key {kind}, ring array<{point}>")

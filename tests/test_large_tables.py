@@ -3,7 +3,7 @@
 import pytest
 
 from meshwright import fixtures as fx
-from meshwright.operators import spatial
+from meshwright.operators import areas, spatial
 
 
 def sent_whole(df):
@@ -28,3 +28,14 @@ def test_points_around_aren_t_sent_whole(spark, points):
 
 def test_ends_of_the_grid_aren_t_sent_whole(spark, sf_dir):
     assert not sent_whole(fx.grid_road(spark, sf_dir))
+
+
+def test_edges_of_areas_aren_t_sent_whole(spark, monkeypatch):
+    """Squares of a row: those of each ten are one area."""
+    sent, keep = [], areas.checkpoint
+    monkeypatch.setattr(areas, "checkpoint", lambda df: sent.append(sent_whole(df)) or keep(df))
+    point = lambda x, y: f"named_struct('x', CAST(id % 10 + {x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))"
+    ring = f"array({point(0, 0)}, {point(1, 0)}, {point(1, 1)}, {point(0, 1)}, {point(0, 0)})"
+    found = areas.dissolve(spark.range(30).selectExpr("id AS polygon_id", "floor(id / 10) AS k", f"array({ring}) AS rings"), "k")
+    assert sent and not any(sent)
+    assert sorted((r.k, r.area, len(r.rings), len(r.rings[0])) for r in found.collect()) == [(k, 10.0, 1, 23) for k in range(3)]
