@@ -3,7 +3,7 @@
 import pytest
 
 from meshwright import fixtures as fx
-from meshwright.operators import areas, spatial
+from meshwright.operators import areas, network, spatial
 
 
 def sent_whole(df):
@@ -39,3 +39,12 @@ def test_edges_of_areas_aren_t_sent_whole(spark, monkeypatch):
     found = areas.dissolve(spark.range(30).selectExpr("id AS polygon_id", "floor(id / 10) AS k", f"array({ring}) AS rings"), "k")
     assert sent and not any(sent)
     assert sorted((r.k, r.area, len(r.rings), len(r.rings[0])) for r in found.collect()) == [(k, 10.0, 1, 23) for k in range(3)]
+
+
+def test_equal_namesakes_follow_numbers(spark):
+    """Of two streets of one name and length the first is that of node 9, not that of node 10."""
+    point = lambda x: {"x": float(x), "y": 0.0}
+    rows = [(1, 10, 11, 5.0, [point(1000), point(1005)], "A"), (2, 9, 12, 5.0, [point(0), point(5)], "A")]
+    segments = spark.createDataFrame(rows, "segmento_id long, u long, v long, largo_m double, line array<struct<x:double,y:double>>, name string")
+    _, tagged = network.build_streets(segments)
+    assert {r.segmento_id: r.calle_id for r in tagged.collect()} == {2: "a", 1: "a-2"}
