@@ -2,6 +2,7 @@
 
 import pytest
 
+from meshwright import catalog
 from meshwright import fixtures as fx
 from meshwright.operators import areas, network, spatial
 
@@ -41,6 +42,10 @@ def test_edges_of_areas_aren_t_sent_whole(spark, monkeypatch):
     assert sorted((r.k, r.area, len(r.rings), len(r.rings[0])) for r in found.collect()) == [(k, 10.0, 1, 23) for k in range(3)]
 
 
+def test_rows_are_spread_before_they_multiply(spark, sf_dir):
+    assert catalog.QUERIES["pattern_same_street"](spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
 def test_equal_namesakes_follow_numbers(spark):
     """Of two streets of one name and length the first is that of node 9, not that of node 10."""
     point = lambda x: {"x": float(x), "y": 0.0}
