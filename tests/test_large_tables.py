@@ -53,3 +53,12 @@ def test_equal_namesakes_follow_numbers(spark):
     segments = spark.createDataFrame(rows, "segmento_id long, u long, v long, largo_m double, line array<struct<x:double,y:double>>, name string")
     _, tagged = network.build_streets(segments)
     assert {r.segmento_id: r.calle_id for r in tagged.collect()} == {2: "a", 1: "a-2"}
+
+
+def test_tasks_of_crossings_grow_with_pairs(spark, monkeypatch):
+    """Each corner has four streets, which are six pairs."""
+    monkeypatch.setattr(network, "PAIRS", 100, raising=False)
+    members = spark.range(800).selectExpr("floor(id / 4) AS nodo_id", "id % 4 + floor(id / 400) * 4 AS calle_id")
+    found = network.crossings(members)
+    assert found.rdd.getNumPartitions() == 12
+    assert sorted(map(tuple, found.collect())) == [(a + k, b + k, 100) for k in (0, 4) for a in range(4) for b in range(a + 1, 4)]
