@@ -587,7 +587,7 @@ def access_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _street_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unbroken run of the grid's streets as one way, with a half-metre wobble that the tolerance takes up."""
-    road = fx.grid_road(spark, sf_dir)
+    road = checkpoint(fx.grid_road(spark, sf_dir))
     axis = network.axes(road, "calle").select("segmento_id", F.concat_ws("@", "name", F.col("axis.node").cast("string")).alias("way_id"))
     ends = road.join(axis, "segmento_id").select("way_id", F.explode(F.array("u", "v")).alias("node")).distinct().join(fx.grid_nodes(spark, sf_dir), "node")
     wobble = F.when(F.col("way_id").startswith("V"), F.lit(0.5)).otherwise(F.lit(0.0))

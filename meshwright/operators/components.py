@@ -47,6 +47,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Stars need a number of steps that grows with the logarithm of the longest path, and no step gathers a node's
     neighbours, so a hub is split like any skewed join key.
     """
+    # read three times
+    edges = checkpoint(edges.select(src, dst))
     ends = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node")))
     nodes = ends.filter(F.col("node").isNotNull()).distinct()
     pairs, before = _checkpoint(_pairs(edges, src, dst))

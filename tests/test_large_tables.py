@@ -5,6 +5,7 @@ import pytest
 from meshwright import catalog
 from meshwright import fixtures as fx
 from meshwright.operators import areas, network, spatial
+from meshwright.operators.components import connected_components
 
 
 def sent_whole(df):
@@ -62,3 +63,15 @@ def test_tasks_of_crossings_grow_with_pairs(spark, monkeypatch):
     found = network.crossings(members)
     assert found.rdd.getNumPartitions() == 12
     assert sorted(map(tuple, found.collect())) == [(a + k, b + k, 100) for k in (0, 4) for a in range(4) for b in range(a + 1, 4)]
+
+
+def test_components_read_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        seen.add(1)
+        return (i, i + 1)
+
+    edges = spark.sparkContext.parallelize(range(30), 3).map(read)
+    found = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(31)} and seen.value == 30
