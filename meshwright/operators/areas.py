@@ -107,7 +107,7 @@ def holders(points: DataFrame, cells: DataFrame, size: float, edges: bool = Fals
         levels = (cells.agg(F.max("level")).first()[0] or 0) + 1
     at = [F.struct(F.lit(n).alias("level"), *(F.floor((F.col(v) - SHIFT * size) / (size * 2**n)).alias(f"c{v}") for v in "xy")) for n in range(levels)]
     placed = points.select("id", "x", "y", F.explode(F.array(*at)).alias("c")).select("id", "x", "y", "c.*")
-    met = placed.join(cells, ["level", "cx", "cy"])
+    met = placed.join(dealt(cells), ["level", "cx", "cy"])
     on, inside = _held(F.col("x"), F.col("y"), size)
     return met.filter(F.col("edges").isNull() | ((on | inside) if edges else (inside & ~on))).select("id", "polygon_id")
 
@@ -119,7 +119,7 @@ def within_join(points: DataFrame, polygons: DataFrame, size: float) -> DataFram
     """
     cells, levels = _covered(polygons, size)
     held = holders(points, cells, size, levels=levels).groupBy("id").agg(F.min("polygon_id").alias("polygon_id"))
-    return points.select("id").join(held, "id", "left")
+    return points.select("id").join(dealt(held), "id", "left")
 
 
 def clip_lines(lines: DataFrame, polygons: DataFrame, size: float) -> DataFrame:

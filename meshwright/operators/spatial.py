@@ -30,6 +30,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 #: A coarser grid's cells have this many times the side of the next finer one's.
 COARSER = 4
+#: Occupied cells of one grid that are sent whole to all executors.
+SENT = 1 << 14
 
 
 def nearest_join(left: DataFrame, right: DataFrame, first: float, most: float | None = None) -> DataFrame:
@@ -65,6 +67,7 @@ def _descended(left: DataFrame, right: DataFrame, size: float, most: float | Non
     while max(box[1] - box[0], box[3] - box[2]) > size * COARSER**level:
         level += 1
     finest = checkpoint(right.select(_cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy")).distinct())
+    occupied = finest.count()
     at = lambda up, c: F.floor(F.col(c) / COARSER**up)
     # four cells at most, as none of the two sides is longer than a cell's
     tops = sorted(map(tuple, finest.select(at(level, "cx"), at(level, "cy")).distinct().collect()))
@@ -73,7 +76,9 @@ def _descended(left: DataFrame, right: DataFrame, size: float, most: float | Non
     for up in range(level - 1, -1, -1):
         cells = finest.select(at(up, "cx").alias("cx"), at(up, "cy").alias("cy")).distinct()
         cells = cells.select(F.floor(F.col("cx") / COARSER).alias("px"), F.floor(F.col("cy") / COARSER).alias("py"), "cx", "cy")
-        finer = held.withColumnsRenamed({"cx": "px", "cy": "py"}).join(cells, ["px", "py"])
+        # few cells go to the points, which would else all be dealt to them; the points never go to the cells
+        few = min(occupied, len(tops) * COARSER ** (2 * (level - up))) <= SENT
+        finer = held.withColumnsRenamed({"cx": "px", "cy": "py"}).join(F.broadcast(cells) if few else dealt(cells), ["px", "py"])
         side = size * COARSER**up
         near = [F.greatest(F.col(c) * side - F.col(v), F.col(v) - (F.col(c) + 1) * side, F.lit(0.0)) for c, v in (("cx", "x"), ("cy", "y"))]
         far = [F.greatest(F.abs(F.col(c) * side - F.col(v)), F.abs((F.col(c) + 1) * side - F.col(v))) for c, v in (("cx", "x"), ("cy", "y"))]
@@ -84,7 +89,7 @@ def _descended(left: DataFrame, right: DataFrame, size: float, most: float | Non
     points = right.select(F.col("id").alias("right_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     points = points.withColumns({"cx": _cell(F.col("bx"), size), "cy": _cell(F.col("by"), size)})
     d = geo.distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))
-    pairs = held.join(points, ["cx", "cy"]).select(F.col("id").alias("left_id"), "right_id", d.alias("distance"))
+    pairs = held.join(dealt(points), ["cx", "cy"]).select(F.col("id").alias("left_id"), "right_id", d.alias("distance"))
     return pairs if most is None else pairs.filter(F.col("distance") <= most)
 
 
@@ -98,7 +103,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, most: float = 40.0)
     d = geo.segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
     near = _around(points.select("id", "x", "y"), "x", "y", most).join(dealt(laid), ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= most)
     best = near.groupBy("id").agg(F.min_by(F.struct("segmento_id", "distance"), F.struct("distance", "segmento_id")).alias("b")).select("id", "b.segmento_id", "b.distance")
-    return points.select("id").join(best, "id", "left")
+    return points.select("id").join(dealt(best), "id", "left")
 
 
 def clip(segments: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:

@@ -75,3 +75,29 @@ def test_components_read_their_edges_once(spark):
     edges = spark.sparkContext.parallelize(range(30), 3).map(read)
     found = connected_components(spark.createDataFrame(edges, "src long, dst long"))
     assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(31)} and seen.value == 30
+
+
+def test_points_aren_t_sent_whole_to_cells(spark, monkeypatch):
+    """A filter on what was found turns an outer join round, and would send all points; cells go whole only while they are few."""
+    points = spark.range(40).selectExpr("id", "id * 30.0D AS x", "id * 20.0D AS y")
+    right = spark.range(8).selectExpr("id", "id * 170.0D AS x", "400.0D AS y")
+    point = lambda x, y: f"named_struct('x', {x}.0D, 'y', {y}.0D)"
+    ring = f"array({point(-5, -5)}, {point(305, -5)}, {point(305, 205)}, {point(-5, 205)}, {point(-5, -5)})"
+    zones = spark.range(1).selectExpr("'z' AS polygon_id", f"array({ring}) AS rings")
+    inside = areas.holders(points, areas.cover(zones, 16.0), 16.0)
+    held = areas.within_join(points, zones, 16.0).filter("polygon_id is not null")
+    assert {r.id for r in held.collect()} == {r.id for r in inside.collect()} == set(range(11))
+    pieces = points.selectExpr("id AS segmento_id", "x AS ax", "y AS ay", "x + 1 AS bx", "y AS by")
+    near = spatial.nearest_segment(points, pieces, 5.0).filter("segmento_id is not null")
+    assert near.count() == 40 and not sent_whole(near)
+    want = {i: min((((i * 30 - j * 170) ** 2 + (i * 20 - 400) ** 2) ** 0.5, j) for j in range(8)) for i in range(40)}
+    for few in (1 << 14, 0):
+        monkeypatch.setattr(spatial, "SENT", few, raising=False)
+        found = spatial._descended(points, right, 10.0, None)
+        built = found._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in built and (few or "BroadcastExchange" not in built)
+        best = spatial._nearest(found).collect()
+        assert {r.left_id: (pytest.approx(r.distance), r.right_id) for r in best} == want
+    for plan in (held, inside):
+        built = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in built
