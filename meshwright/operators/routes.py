@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from meshwright.functions import geo
 from meshwright.operators.components import connected_components
 from meshwright.operators.edges import swapped
 from meshwright.operators.network import street_junctions
-from meshwright.plans.materialise import checkpoint
+from meshwright.plans.materialise import checkpoint, dealt
 
 #: Steps back that one job takes.
 STRIDE = 8
+#: Rounds after which a free search asks for the components of what it hasn't reached.
+PATIENCE = 8
 
 
 def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
@@ -22,7 +26,7 @@ def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
     return out
 
 
-def least_paths(arcs: DataFrame, trips: DataFrame, held: tuple[str, ...] = ()) -> DataFrame:
+def least_paths(arcs: DataFrame, trips: DataFrame, held: tuple[str, ...] = (), parts: Callable[[], DataFrame] | None = None) -> DataFrame:
     """The least-weight path of each of trips(source, target, *held): these columns, metres, segmentos (in order).
 
     arcs(src, dst, segmento_id, largo_m, *held) are followed from src to dst, those of a search only where the columns `held` are
@@ -31,6 +35,8 @@ def least_paths(arcs: DataFrame, trips: DataFrame, held: tuple[str, ...] = ()) -
 
     Trips with a source (and street) in common share a search. A round relaxes what improved in the last one, and stops short of the
     farthest target once all are reached; the tree of predecessors is then walked back from the targets only, STRIDE steps a job.
+    A search for what lies in another component would see all of its own: `parts` makes (node, component) of the whole network, which is asked for only
+    if after PATIENCE rounds a target isn't reached, and ends such searches.
     """
     keys = ["source", *held]
     wanted = checkpoint(trips.select(*keys, "target").dropna().distinct())
@@ -39,8 +45,11 @@ def least_paths(arcs: DataFrame, trips: DataFrame, held: tuple[str, ...] = ()) -
     none, no_segment = F.lit(None).cast(dict(arcs.dtypes)["src"]), F.lit(None).cast(dict(arcs.dtypes)["segmento_id"])
     start = wanted.select(*keys).distinct().withColumns({"node": F.col("source"), "total": F.lit(0.0), "hops": F.lit(0), "previous": none, "segment": no_segment})
     label = F.struct("total", "hops", "previous", "segment")
-    best = checkpoint(start.withColumn("changed", F.lit(True)))
+    best, rounds = checkpoint(start.withColumn("changed", F.lit(True))), 0
     while True:
+        if parts is not None and rounds == PATIENCE:
+            wanted = _within_parts(wanted, best, keys, parts)
+        rounds += 1
         # beyond the farthest target of a search nothing is relaxed, once all its targets are reached
         there = best.select(*keys, F.col("node").alias("target"), "total")
         reach = wanted.join(there, [*keys, "target"], "left").groupBy(*keys)
@@ -74,6 +83,18 @@ def least_paths(arcs: DataFrame, trips: DataFrame, held: tuple[str, ...] = ()) -
             return walks.drop("at")
 
 
+def _within_parts(wanted: DataFrame, best: DataFrame, keys: list[str], parts: Callable[[], DataFrame]) -> DataFrame:
+    """wanted without the targets that `best` lacks and that lie in another component than their source."""
+    there = best.select(*keys, F.col("node").alias("target"))
+    missed = checkpoint(wanted.join(there, [*keys, "target"], "left_anti"))
+    if missed.isEmpty():
+        return wanted
+    nodes = checkpoint(parts())
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    reachable = missed.join(of("source"), "source").join(of("target"), "target").filter("source_part = target_part")
+    return checkpoint(wanted.join(there, [*keys, "target"], "left_semi").unionByName(reachable.select(wanted.columns)))
+
+
 def _arcs(segments: DataFrame) -> DataFrame:
     ahead = segments.select(F.col("u").alias("src"), F.col("v").alias("dst"), "segmento_id", F.col("largo_m").cast("double").alias("largo_m"), "calle_id")
     return ahead.unionByName(swapped(ahead))
@@ -89,13 +110,15 @@ def _walked(segments: DataFrame, wanted: DataFrame) -> DataFrame:
     first = F.min_by(F.struct(*columns[1:]), F.struct("rank", "metres", "calle_id")).alias("b")
     found = checkpoint(found.groupBy("trip").agg(first).select("trip", "b.*"))
     rest = wanted.join(found.select("trip"), "trip", "left_anti").groupBy("trip").agg(F.min_by(F.struct("source", "target", "rank"), F.struct("rank", "source", "target")).alias("b"))
-    rest = checkpoint(rest.select("trip", "b.*"))
-    if not rest.isEmpty():
-        # a search for what lies in another component would see all of its own
-        parts = checkpoint(connected_components(segments, "u", "v"))
-        of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
-        rest = checkpoint(rest.join(of("source"), "source").join(of("target"), "target").filter("source_part = target_part").select("trip", "source", "target", "rank"))
-    free = rest.join(least_paths(arcs, rest), ["source", "target"]).withColumn("calle_id", F.lit(None).cast("string"))
+    rest = rest.select("trip", "b.*")
+    # ends that no segment has
+    ends = arcs.select("src")
+    for end in ("source", "target"):
+        rest = rest.join(dealt(ends.withColumnRenamed("src", end)), end, "left_semi")
+    rest = checkpoint(rest)
+    if rest.isEmpty():
+        return found
+    free = rest.join(least_paths(arcs, rest, parts=lambda: connected_components(segments, "u", "v")), ["source", "target"]).withColumn("calle_id", F.lit(None).cast("string"))
     return found.unionByName(free.select(*columns))
 
 
@@ -106,6 +129,8 @@ def routes(segments: DataFrame, trips: DataFrame) -> DataFrame:
     lie on, of several to that with the shortest way (ties: the least calle_id). Where no such street leads there, it takes the shortest way by any segment: then calle_id is null. calles are
     the streets that the trip goes along: the one that it keeps to, or all that its corners share. A trip that no way serves is left out.
     """
+    # both are read many times
+    segments, trips = checkpoint(segments.select("segmento_id", "u", "v", "largo_m", "calle_id")), checkpoint(trips.select("trip", "source", "target"))
     corners = checkpoint(street_junctions(segments))
     at = lambda end: corners.select(F.col("nodo_id").alias(end), "calle_id")
     shared = trips.join(at("source"), "source").join(at("target"), ["target", "calle_id"]).select("trip", "source", "target", "calle_id")

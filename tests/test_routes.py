@@ -138,6 +138,24 @@ def test_nothing_to_walk(spark, grid):
     assert routes.routes(grid.limit(0), one).count() == 0
 
 
+def test_components_are_made_only_for_what_isn_t_reached(spark, monkeypatch):
+    """Two lines of corners: a trip's near target needs no components of the network, one on the other line ends its search by them."""
+    asked, keep = [], routes.connected_components
+    monkeypatch.setattr(routes, "connected_components", lambda *a: asked.append(a) or keep(*a))
+    monkeypatch.setattr(routes, "PATIENCE", 3, raising=False)
+    rows = [(i, i, i + 1, 1.0, None) for i in [*range(9), *range(100, 103)]]
+    segments = spark.createDataFrame(rows, "segmento_id long, u long, v long, largo_m double, calle_id string")
+
+    def found(*trips):
+        at = spark.createDataFrame(trips, "trip string, source long, target long")
+        return {r.trip: (r.metres, r.segmentos) for r in routes.routes(segments, at).collect()}
+
+    near = {"near": (2.0, [0, 1]), "self": (0.0, [])}
+    assert found(("near", 0, 2), ("self", 5, 5), ("nowhere", 900, 900)) == near and not asked
+    far = ("far", 0, 9), ("other", 0, 101), ("lone", 102, 4)
+    assert found(("near", 0, 2), ("self", 5, 5), ("nowhere", 900, 900), ("beyond", 0, 900), *far) == near | {"far": (9.0, list(range(9)))} and len(asked) == 1
+
+
 def test_rows_with_loose_points(spark, sf_dir, grid):
     streets, rows, points = catalog._route_rows(spark, sf_dir)
     steps, on = network_of(grid.collect())
