@@ -4,7 +4,8 @@ import pytest
 
 from meshwright import catalog
 from meshwright import fixtures as fx
-from meshwright.operators import areas, network, spatial
+from meshwright.graph import PropertyGraph
+from meshwright.operators import areas, edges, network, spatial
 from meshwright.operators.components import connected_components
 
 
@@ -47,6 +48,24 @@ def test_rows_are_spread_before_they_multiply(spark, sf_dir):
     assert catalog.QUERIES["pattern_same_street"](spark, sf_dir).rdd.getNumPartitions() >= 4
 
 
+def test_rows_are_multiplied_last_and_in_blocks(spark, monkeypatch):
+    """Two nodes of 50 and 30 neighbours: 5 blocks meet 3 at each; nothing is joined to, or moved after, the rows that they make."""
+    monkeypatch.setattr(edges, "BLOCK", 10, raising=False)
+    side = lambda n: spark.range(n).selectExpr("id", "concat('n', id) AS name")
+    ends = lambda n: spark.range(n).selectExpr("id AS src", "nullif(id % 3, 2) AS dst")
+    nodes = {"A": side(150), "B": side(90), "N": side(2)}
+    g = PropertyGraph.build(nodes, {"A_IN": (ends(150), "A", "N"), "B_IN": (ends(90), "B", "N")})
+    found = g.match().node("a", "A", "name").out("A_IN").node("n", "N", "name").spread().into("B_IN").node("b", "B", "name").rows()
+    assert sorted(tuple(r) for r in found.select("a", "b", "n_name", "b_name").collect()) == [
+        (a, b, f"n{a % 3}", f"n{b}") for a in range(150) for b in range(90) if a % 3 == b % 3 < 2
+    ]
+    assert found.rdd.getNumPartitions() == 30
+    built = found._jdf.queryExecution().executedPlan().toString()
+    assert "_left" in next(line for line in built.splitlines() if "Join" in line)
+    empty = g.match().node("a", "A").where("a < 0").out("A_IN").node("n", "N").spread().into("B_IN").node("b", "B").rows()
+    assert empty.count() == 0
+
+
 def test_equal_namesakes_follow_numbers(spark):
     """Of two streets of one name and length the first is that of node 9, not that of node 10."""
     point = lambda x: {"x": float(x), "y": 0.0}
