@@ -590,7 +590,7 @@ def _street_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unbroken run of the grid's streets as one way, with a half-metre wobble that the tolerance takes up."""
     road = checkpoint(fx.grid_road(spark, sf_dir))
     axis = network.axes(road, "calle").select("segmento_id", F.concat_ws("@", "name", F.col("axis.node").cast("string")).alias("way_id"))
-    ends = road.join(axis, "segmento_id").select("way_id", F.explode(F.array("u", "v")).alias("node")).distinct().join(fx.grid_nodes(spark, sf_dir), "node")
+    ends = road.join(dealt(axis), "segmento_id").select("way_id", F.explode(F.array("u", "v")).alias("node")).distinct().join(dealt(fx.grid_nodes(spark, sf_dir)), "node")
     wobble = F.when(F.col("way_id").startswith("V"), F.lit(0.5)).otherwise(F.lit(0.0))
     return ends.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("node", F.col("x").alias("x"), (F.col("y") + wobble).alias("y")))).alias("l")).select("way_id", F.transform("l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
 
@@ -625,7 +625,7 @@ def split_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def street_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     road, nodes = fx.grid_road(spark, sf_dir), fx.grid_nodes(spark, sf_dir)
-    at = lambda end: nodes.select(F.col("node").alias(end), F.struct("x", "y").alias(f"_{end}"))
+    at = lambda end: dealt(nodes.select(F.col("node").alias(end), F.struct("x", "y").alias(f"_{end}")))
     lined = road.join(at("u"), "u").join(at("v"), "v").withColumn("line", F.array("_u", "_v")).withColumn("highway", F.when(F.col("segmento_id") % 3 == 0, "primary").otherwise("residential")).drop("_u", "_v")
     streets, _ = network.build_streets(lined, "calle", 150.0)
     return streets.select("calle_id", "nombre", "largo_m", "segmentos", "tipo")
@@ -704,7 +704,7 @@ _LINED = """
 def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid's segments with straight lines and calle_id."""
     nodes = fx.grid_nodes(spark, sf_dir)
-    at = lambda end: nodes.select(F.col("node").alias(end), F.struct("x", "y").alias(f"_{end}"))
+    at = lambda end: dealt(nodes.select(F.col("node").alias(end), F.struct("x", "y").alias(f"_{end}")))
     road = fx.grid_road(spark, sf_dir).join(at("u"), "u").join(at("v"), "v")
     return road.withColumn("line", F.array("_u", "_v")).withColumn("calle_id", F.col("calle")).drop("_u", "_v")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from meshwright.plans.materialise import checkpoint
+from meshwright.plans.materialise import checkpoint, dealt
 
 
 def _pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -22,14 +22,14 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     """Every larger neighbour of a node gets the node's least neighbour."""
     ways = _both_ways(pairs)
     least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    found = ways.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    found = ways.filter(F.col("v") > F.col("u")).join(dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return found.filter("u != v")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """A node and its smaller neighbours all get the least of them."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    joined = pairs.join(least, "u")
+    joined = pairs.join(dealt(least), "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
@@ -58,4 +58,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         before = after
     found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(dealt(found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

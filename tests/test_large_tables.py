@@ -5,7 +5,7 @@ import pytest
 from meshwright import catalog
 from meshwright import fixtures as fx
 from meshwright.graph import PropertyGraph
-from meshwright.operators import areas, edges, network, spatial
+from meshwright.operators import areas, components, edges, network, spatial
 from meshwright.operators.components import connected_components
 
 
@@ -84,6 +84,28 @@ def test_tasks_of_crossings_grow_with_pairs(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [(a + k, b + k, 100) for k in (0, 4) for a in range(4) for b in range(a + 1, 4)]
 
 
+def test_streets_and_corners_aren_t_sent_whole(spark, sf_dir, monkeypatch):
+    """Corners of a narrow table, stars of components and pieces of streets."""
+    sent = []
+    for module in (components, network):
+        monkeypatch.setattr(module, "checkpoint", lambda df, keep=module.checkpoint: sent.append(sent_whole(df)) or keep(df))
+    built = network.build_streets
+    monkeypatch.setattr(network, "build_streets", lambda segments, *a: sent.append(sent_whole(segments)) or built(segments, *a))
+    streets = catalog.QUERIES["street_build"](spark, sf_dir)
+    assert len(sent) > 8 and not any(sent) and streets.count() > 0
+    assert not sent_whole(catalog._lined(spark, sf_dir))
+
+
+def test_pieces_that_share_cells_are_compared_once(spark, monkeypatch):
+    """Two long pieces side by side share many cells; the first of these compares them, whichever piece begins it."""
+    seen, keep = [], network.connected_components
+    monkeypatch.setattr(network, "connected_components", lambda df: seen.append(df) or keep(df))
+    rows = [("a", "n", 0.0, 0.0, 1000.0, 900.0), ("b", "n", -400.0, 60.0, 1000.0, 960.0), ("c", "n", 0.0, 5000.0, 10.0, 5000.0), ("d", "m", 0.0, 0.0, 10.0, 0.0)]
+    found = network.rejoined(spark.createDataFrame(rows, "axis string, name string, ax double, ay double, bx double, by double"), 150.0)
+    assert {tuple(r) for r in found.collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+    assert "_x0" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_components_read_their_edges_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
