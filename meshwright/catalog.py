@@ -827,7 +827,7 @@ def clip_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of each segment within a box."""
     nodes = fx.grid_nodes(spark, sf_dir)
-    at = lambda end, k: nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    at = lambda end, k: dealt(nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")))
     segments = fx.grid_road(spark, sf_dir).join(at("u", "a"), "u").join(at("v", "b"), "v")
     kept = spatial.clip(segments, 150.0, 50.0, 1250.0, 350.0)
     return kept.select("segmento_id", "ax", "ay", "bx", F.col("by").alias("by_"))
@@ -845,7 +845,7 @@ def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assign_street(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The street of each point: the declared one where there is such a street, else the nearest."""
     nodes = fx.grid_nodes(spark, sf_dir)
-    at = lambda end, k: nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    at = lambda end, k: dealt(nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")))
     segments = fx.grid_road(spark, sf_dir).join(at("u", "a"), "u").join(at("v", "b"), "v").withColumn("calle_id", F.lower("calle"))
     streets = segments.select("calle_id", F.col("calle").alias("nombre")).distinct()
     declared = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" h"), (F.col("id") % 7).cast("string")))
@@ -905,7 +905,7 @@ def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = fx.grid_nodes(spark, sf_dir)
-    at = lambda end, k: nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    at = lambda end, k: dealt(nodes.select(F.col("node").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")))
     segments = fx.grid_road(spark, sf_dir).join(at("u", "a"), "u").join(at("v", "b"), "v")
     found = spatial.nearest_segment(fx.points(spark, sf_dir, "supplier"), segments, 40.0)
     return found.withColumn("distance", F.round("distance", 6))

@@ -34,7 +34,8 @@ def key_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
             "IN_REGION": (edge("nation", "n_nationkey", "n_regionkey"), "Nation", "Region"),
             "PLACED": (edge("orders", "o_custkey", "o_orderkey"), "Customer", "Orders"),
             "CONTAINS": (edge("lineitem", "l_orderkey", "l_partkey", quantity="l_quantity"), "Orders", "Part"),
-            "SUPPLIES": (edge("lineitem", "l_suppkey", "l_partkey").distinct(), "Supplier", "Part"),
+            # nearly all pairs differ: they are dealt out by part once, for what follows too
+            "SUPPLIES": (edge("lineitem", "l_suppkey", "l_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dst").distinct(), "Supplier", "Part"),
         },
     )
 

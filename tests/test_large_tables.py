@@ -1,6 +1,7 @@
 """Plans that must hold on tables of any size: what Spark estimates too low isn't sent whole to all executors."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from meshwright import catalog
 from meshwright import fixtures as fx
@@ -106,6 +107,24 @@ def test_pieces_that_share_cells_are_compared_once(spark, monkeypatch):
     assert "_x0" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_of_crossings_aren_t_moved(spark, monkeypatch):
+    """Pairs are counted where they are made; member 0, which is in all groups, has several tasks. Equal members, nulls and texts are as in a join."""
+    monkeypatch.setattr(network, "PAIRS", 300, raising=False)
+    rows = [(g, "0") for g in range(300)] + [(g, str(m % 61)) for g in range(300) for m in range(g, g + g % 9)]
+    rows += [(7, "0"), (None, "1"), (None, "2"), (5, None)]
+    members = spark.createDataFrame(rows, "nodo_id long, calle_id string")
+    found = network.crossings(members)
+    a, b = members.select("nodo_id", F.col("calle_id").alias("calle_a")), members.select("nodo_id", F.col("calle_id").alias("calle_b"))
+    want = a.join(b, "nodo_id").filter("calle_a < calle_b").groupBy("calle_a", "calle_b").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    built = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    made = next(i for i, line in enumerate(built) if "Generate explode(greater" in line)
+    assert not any("Exchange" in line or "Shuffle" in line for line in built[:made])
+    of_hub = found.filter("calle_a = '0'").groupBy(F.spark_partition_id()).agg(F.sum("esquinas").alias("n")).collect()
+    assert len(of_hub) > 2 and max(r.n for r in of_hub) < 600
+    assert network.crossings(members.limit(0)).count() == 0
+
+
 def test_components_read_their_edges_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
